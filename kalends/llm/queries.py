@@ -5,7 +5,10 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .quality_rules import quality_rules
+from .sharding import ring_shards
 
 QUERIES: dict = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
@@ -19,3 +22,18 @@ def query(f):
 @query
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source", "copies")
+
+
+@query
+def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=40)
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
