@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .quality_rules import quality_rules
+from .scratch import shared_folder
 from .sharding import ring_shards
+from .token_files import digest_token_files, read_token_files, write_token_files
+from .topk_search import topk_search
 
 QUERIES: dict = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
@@ -37,3 +44,28 @@ def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return digest_token_files(read_token_files(spark, path))
+
+
+@query
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
+ORACLES["op10_topk_search"] = """
+with fit as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from (select distinct * from fit where vec_id % 100 = 0) q join fit c on q.vec_id <> c.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from scored)
+select query_id, cast(n as integer) as rank, vec_id, score from ranked where n <= 10
+"""
