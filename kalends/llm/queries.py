@@ -14,6 +14,7 @@ from .ngram_join import ngram_jaccard_join
 from .quality_rules import quality_rules
 from .scratch import shared_folder
 from .sharding import ring_shards
+from .token_counts import token_counts
 from .token_files import digest_token_files, read_token_files, write_token_files
 from .topk_search import topk_search
 
@@ -69,3 +70,8 @@ scored as (
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from scored)
 select query_id, cast(n as integer) as rank, vec_id, score from ranked where n <= 10
 """
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)

@@ -29,18 +29,27 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._next = 0
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Writes `df` as Parquet and gives a DataFrame over the files; its shuffle files can go then."""
+    def write(self, df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+        """Writes `df` as Parquet, in a folder for each value of `by`, and gives a DataFrame over the files; its shuffle files can go then."""
         path = f"{self.root}/{name}-{self._next}"
         self._next += 1
         schema = df.schema
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
         del df
         self.release()
         out = self.spark.read.schema(schema).parquet(path)
         out._kalends_path = path
         return out
 
+    def part(self, table: DataFrame, folder: str) -> DataFrame:
+        """One folder of a table written with `by`, which can be dropped alone."""
+        path = f"{table._kalends_path}/{folder}"
+        schema = table.drop(folder.split("=")[0]).schema
+        place, files = self._file_system(path)
+        out = self.spark.read.schema(schema).parquet(path) if files.exists(place) else self.spark.createDataFrame([], schema)
+        out._kalends_path = path
+        return out
+
     def release(self) -> None:
         """Lets Spark's cleaner find the shuffles of DataFrames that are gone."""
         gc.collect()
@@ -48,5 +57,9 @@ class Scratch:
 
     def drop(self, table: DataFrame) -> None:
         """Deletes a table that no DataFrame to come reads."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._kalends_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        place, files = self._file_system(table._kalends_path)
+        files.delete(place, True)
+
+    def _file_system(self, path: str):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def _cell(k: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if vectors.num_rows and queries.num_rows:
-            width = max(pa.compute.max(pa.compute.list_value_length(t["v"])).as_py() for t in (vectors, queries))
+            width = max(pc.max(pc.list_value_length(t["v"])).as_py() for t in (vectors, queries))
             m, q = _matrix(vectors["v"], width), _matrix(queries["v"], width)
             ids, own = np.asarray(vectors["id"]), np.asarray(queries["id"])
             if width and float(np.abs(m).max()) * float(np.abs(q).max()) * width < 2.0**53:
