@@ -88,8 +88,8 @@ def _coded(split: Callable[[], Callable[[list[str]], Pieces]], parts: int, bags:
                 key, times = np.unique(rows * max(len(words), 1) + codes, return_counts=True)
                 n, codes = np.bincount(key // max(len(words), 1), minlength=len(n)), key % max(len(words), 1)
                 extra = {"times": times.astype(np.uint32)}
-            ids = b.column("id")
-            held = {"null": np.asarray(ids.is_null()).astype(np.uint8), "id": np.asarray(ids.fill_null(0)), "size": np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))}
+            ids, raw = b.column("id"), [t.encode() for t in texts]
+            held = {"null": np.asarray(ids.is_null()).astype(np.uint8), "id": np.asarray(ids.fill_null(0)), "size": np.fromiter((len(t) for t in raw), np.int64, len(raw)), "crc": np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw))}
             blobs = [pack(**held, beside=np.array(beside, np.uint32), n=n.astype(np.uint32), codes=codes.astype(np.uint32), **extra)]
             kinds, found = [CODES], [-1]
             for p in np.unique(part):

@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .quality_rules import quality_rules
 from .scratch import shared_folder
+from .sentencepiece_codec import encode_digest
 from .sharding import ring_shards
 from .token_counts import token_counts
 from .token_files import digest_token_files, read_token_files, write_token_files
@@ -75,3 +76,8 @@ select query_id, cast(n as integer) as rank, vec_id, score from ranked where n <
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query
+def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
