@@ -15,6 +15,7 @@ from .quality_rules import quality_rules
 from .scratch import shared_folder
 from .sentencepiece_codec import encode_digest
 from .sharding import ring_shards
+from .substring_dedup import repeated_paragraphs
 from .token_counts import token_counts
 from .token_files import digest_token_files, read_token_files, write_token_files
 from .topk_search import topk_search
@@ -81,3 +82,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
