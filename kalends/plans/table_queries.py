@@ -1,0 +1,3 @@
+"""Loads every module that registers queries."""
+
+from . import calendar_queries  # noqa: F401
