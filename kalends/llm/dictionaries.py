@@ -8,24 +8,44 @@ the dictionary, and codes then index the answers. Neither texts nor one row per
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import slices
+from .words import release_memory, slices
 
 #: Parts of a dictionary for each shuffle partition, so that partitions get even shares.
 PARTS_EACH = 8
 SCHEMA = "chunk long, kind int, part int, blob binary"
 CODES, PIECES = 0, 1
+#: Gives texts' distinct pieces, the pieces' codes in order, how many each text has, and a count beside them.
+Coder = Callable[[pa.Array], tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]
+
+
+def by_text(split: Callable[[str], tuple[list[str], int]]) -> Coder:
+    """A coder from a function that cuts one text; pieces get codes at once, so that few strings are held."""
+
+    def run(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        code_of: dict[str, int] = defaultdict(itertools.count().__next__)
+        flat, n, beside = array("i"), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint32)
+        for i, text in enumerate(texts):
+            found, beside[i] = split(text.as_py())
+            n[i] = len(found)
+            flat.extend(map(code_of.__getitem__, found))
+        return list(code_of), np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32), n, beside
+
+    return run
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -50,8 +70,9 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def pack_strings(strings: list[bytes]) -> bytes:
-    return pack(lengths=np.fromiter(map(len, strings), np.uint32, len(strings)), data=np.frombuffer(b"".join(strings), np.uint8))
+def pack_strings(strings: list[bytes], times: np.ndarray | None = None) -> bytes:
+    more = {} if times is None else {"times": times}
+    return pack(lengths=np.fromiter(map(len, strings), np.uint32, len(strings)), data=np.frombuffer(b"".join(strings), np.uint8), **more)
 
 
 def unpack_strings(blob: bytes) -> list[bytes]:
@@ -60,55 +81,51 @@ def unpack_strings(blob: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
-class Pieces(NamedTuple):
-    """What a splitter gives for some texts: their pieces one after another, how many each has, and a count beside."""
-
-    flat: list[str]
-    counts: list[int]
-    beside: list[int]
-
-
-def _coded(split: Callable[[], Callable[[list[str]], Pieces]], parts: int, bags: bool, slice_bytes: int):
+def _coded(make: Callable[[], Coder], parts: int, bags: bool, slice_bytes: int, counted: Callable[[np.ndarray], np.ndarray] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, task, nth = split(), TaskContext.get().partitionId(), 0
+        coder, task, nth = make(), TaskContext.get().partitionId(), 0
         for b in slices(batches, most=slice_bytes):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            flat, counts, beside = splitter(texts)
-            coded = pa.array(flat, pa.string()).dictionary_encode()
-            del flat
-            words = [w.encode() for w in coded.dictionary.to_pylist()]
+            texts = pc.fill_null(b.column("text"), "")
+            words, flat, n, beside = coder(texts)
+            words = [w.encode() for w in words]
             part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
             order = np.argsort(part, kind="stable")
             code = np.empty(len(words), np.int64)
             code[order] = np.arange(len(words))
-            codes = code[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
-            n, extra = np.array(counts, np.int64), {}
+            codes = code[flat] if len(flat) else np.zeros(0, np.int64)
+            rows, extra = np.repeat(np.arange(len(n)), n), {}
+            ids, raw = b.column("id"), texts.cast(pa.binary()).to_pylist()
+            held = {"null": np.asarray(ids.is_null()).astype(np.uint8), "id": np.asarray(ids.fill_null(0)), "size": np.fromiter((len(t) for t in raw), np.int64, len(raw)), "crc": np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw))}
+            times = None
+            if counted is not None:
+                times = np.bincount(codes[counted(held)[rows]], minlength=len(words)).astype(np.uint32)
             if bags:
-                rows = np.repeat(np.arange(len(n)), n)
-                key, times = np.unique(rows * max(len(words), 1) + codes, return_counts=True)
+                key, several = np.unique(rows * max(len(words), 1) + codes, return_counts=True)
                 n, codes = np.bincount(key // max(len(words), 1), minlength=len(n)), key % max(len(words), 1)
-                extra = {"times": times.astype(np.uint32)}
-            ids, raw = b.column("id"), [t.encode() for t in texts]
-            held = {"null": np.asarray(ids.is_null()).astype(np.uint8), "id": np.asarray(ids.fill_null(0)), "size": np.fromiter((len(t) for t in raw), np.int64, len(raw)), "crc": np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw))}
-            blobs = [pack(**held, beside=np.array(beside, np.uint32), n=n.astype(np.uint32), codes=codes.astype(np.uint32), **extra)]
-            kinds, found = [CODES], [-1]
-            for p in np.unique(part):
-                blobs.append(pack_strings([words[i] for i in order[np.searchsorted(part[order], p) : np.searchsorted(part[order], p, "right")]]))
-                kinds.append(PIECES)
-                found.append(p)
+                extra = {"times": several.astype(np.uint32)}
+            blobs = [pack(**held, beside=beside, n=n.astype(np.uint32), codes=codes.astype(np.uint32), **extra)]
+            present, first = np.unique(part[order], return_index=True)
+            for lo, hi in zip(first, np.append(first, len(words))[1:], strict=True):
+                blobs.append(pack_strings([words[i] for i in order[lo:hi]], None if times is None else times[lo:hi]))
+            kinds = [CODES] + [PIECES] * len(present)
             chunk = pa.array(np.full(len(blobs), (task << 32) + nth, np.int64))
-            yield pa.RecordBatch.from_arrays([chunk, pa.array(kinds, pa.int32()), pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "kind", "part", "blob"])
+            yield pa.RecordBatch.from_arrays([chunk, pa.array(kinds, pa.int32()), pa.array([-1, *present], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "kind", "part", "blob"])
             nth += 1
+        release_memory()
 
     return run
 
 
-def dictionary_chunks(docs: DataFrame, split: Callable[[], Callable[[list[str]], Pieces]], bags: bool, scratch: Scratch, slice_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame, int]:
-    """(codes, pieces, parts) of `docs` (id, text). With `bags`, codes are distinct in a document and have `times`."""
+def dictionary_chunks(docs: DataFrame, make: Callable[[], Coder], bags: bool, scratch: Scratch, slice_bytes: int = 8 << 20, counted: Callable[[dict[str, np.ndarray]], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(codes, pieces) of `docs` (id, text), both (chunk, part, blob).
+
+    With `bags`, codes are distinct in a document and have `times`. With `counted`, which marks rows by their ids,
+    pieces have `times`, how often each occurs in the chunk's marked rows.
+    """
     parts = PARTS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # each folder of the table by kind has the other columns
-    both = scratch.write(docs.mapInArrow(_coded(split, parts, bags, slice_bytes), SCHEMA), "chunks", by="kind")
-    return scratch.part(both, f"kind={CODES}"), scratch.part(both, f"kind={PIECES}"), parts
+    both = scratch.write(docs.mapInArrow(_coded(make, parts, bags, slice_bytes, counted), SCHEMA), "chunks", by="kind")
+    return scratch.part(both, f"kind={CODES}"), scratch.part(both, f"kind={PIECES}")
 
 
 def with_answers(codes: DataFrame, answers: DataFrame, finish: Callable[[dict[str, np.ndarray], list[dict[str, np.ndarray]]], pa.Table], schema: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -63,3 +64,17 @@ class Scratch:
     def _file_system(self, path: str):
         place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextlib.contextmanager
+def session_setting(spark: SparkSession, key: str, value: str):
+    """A setting for the jobs that run within, put back afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .dictionaries import Pieces, dictionary_chunks, id_array, pack, unpack_strings, with_answers
-from .scratch import Scratch
+from .dictionaries import dictionary_chunks, id_array, pack, unpack_strings, with_answers
+from .scratch import Scratch, session_setting
 
 SPACE = "▁"
 #: Longest unit whose cut points fit in the bits of a long; longer ones are merged with a heap in the task.
 LONGEST = 60
+#: Units whose edges one task groups in memory before it sorts.
+UNITS_AT_ONCE = 50_000
+#: In the bits of an edge: no id.
+NO_ID = (1 << 20) - 1
 
 
 class Vocabulary(NamedTuple):
@@ -51,19 +58,40 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(pieces, max(len(p) for p, _, _ in pieces), zero if sp.is_byte(zero) else None, sp.unk_id(), text)
 
 
-def _unit_splitter():
-    """Cuts a text, with its spaces escaped and one put in front, where no piece can cross: before a run of spaces and around line ends."""
-    unit = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
+def _unit_splitter(v: Vocabulary):
+    """Cuts a text, with its spaces escaped and one put in front, where no piece can cross.
 
-    def split(texts: list[str]) -> Pieces:
-        flat, counts = [], []
-        for text in texts:
-            found = unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
-            flat += found
-            counts.append(len(found))
-        return Pieces(flat, counts, [0] * len(texts))
-
-    return split
+    That is before a run of spaces, around line ends, and before those marks that no piece has after a letter.
+    """
+    letters = "a-zA-ZÀ-ÖØ-öø-ÿ"
+    joined = {m for p, _, _ in v.pieces for m in re.findall(f"(?<=[{letters}])[^{letters}]", p)}
+    marks = "".join(re.escape(c) for c in ".,!?;:" if c not in joined)
+    words = f"{SPACE}+[{letters}]+(?=[{marks}])|(?<=[{letters}])[{marks}][^{SPACE}\n]*|" if marks else ""
+    unit = re.compile(f"{words}{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
+
+    def coder(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        # words between single spaces are cut once each; texts with other spaces are cut whole
+        odd = pc.match_substring_regex(texts, f"  |^ | $|{SPACE}")
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        coded = lists.flatten().dictionary_encode()
+        code_of: dict[str, int] = defaultdict(itertools.count().__next__)
+        cut = [[code_of[u] for u in unit.findall(SPACE + w)] if w else [] for w in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = np.fromiter((c for x in cut for c in x), np.int32, int(size.sum()))
+        word = np.asarray(coded.indices)
+        n_of = size[word]
+        ends = np.concatenate([[0], np.cumsum(n_of)])
+        codes = flat[np.repeat((np.cumsum(size) - size)[word] - ends[:-1], n_of) + np.arange(ends[-1])]
+        at = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        n = np.diff(at)
+        if pc.any(odd).as_py():
+            rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            whole = {i: np.array([code_of[u] for u in unit.findall(SPACE + texts[i].as_py().replace(" ", SPACE))], np.int32) for i in rows.tolist()}
+            codes = np.concatenate([whole[i] if i in whole else codes[at[i] : at[i + 1]] for i in range(len(n))])
+            n[rows] = [len(whole[i]) for i in rows.tolist()]
+        return list(code_of), codes, n, np.zeros(len(texts), np.uint32)
+
+    return coder
 
 
 def _distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,19 +159,26 @@ def lattice_ids(units: DataFrame, v: Vocabulary) -> DataFrame:
     starts = short.select("part", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
     spans = starts.select("part", "unit", "start", F.explode(F.expr(f"sequence(1, least({v.longest}, length(unit) - start))")).alias("n"))
     hits = spans.withColumn("piece", F.expr("substring(unit, start + 1, n)")).join(pieces, "piece", "left").where("id is not null or n = 1")
-    edge = F.expr("""struct(start, id, rank, n,
-        shiftleft(1L, start) | shiftleft(1L, start + n) as ends, shiftleft(1L, start + n) - shiftleft(1L, start + 1) as inner)""")
+    # an edge is one long, best rank first, then leftmost: rank (20 bits), start (6), length (6), id (20; all ones: none)
+    edge = F.expr(f"shiftleft(cast(coalesce(rank, 0) as bigint), 32) | shiftleft(cast(start as bigint), 26) | shiftleft(cast(n as bigint), 20) | coalesce(id, {NO_ID})")
     edges = hits.groupBy("part", "unit").agg(F.collect_list(edge).alias("edges"))
-    edges = edges.withColumn("joins", F.expr("transform(filter(edges, x -> x.n > 1), x -> struct(x.rank, x.start, x.ends, x.inner))"))
+    first, last = "(shiftright(x, 26) & 63)", "((shiftright(x, 26) & 63) + (shiftright(x, 20) & 63))"
+    both, between = (
+        f"(shiftleft(1L, cast({first} as int)) | shiftleft(1L, cast({last} as int)))",
+        f"(shiftleft(1L, cast({last} as int)) - shiftleft(1L, cast({first} as int) + 1))",
+    )
+    edges = edges.withColumn("joins", F.expr(f"transform(array_sort(filter(edges, x -> (shiftright(x, 20) & 63) > 1)), x -> struct({both} as ends, {between} as inner))"))
+    # as joins are in order of rank, the first that fits is the best
     fold = """aggregate(slice(sequence(0, length(unit)), 2, least(length(unit) - 1, size(joins))), shiftleft(1L, length(unit) + 1) - 1,
-        (cuts, i) -> cuts & ~coalesce(array_min(filter(joins, x -> cuts & x.ends = x.ends and bit_count(cuts & x.inner) = 1)).inner, 0L))"""
+        (cuts, i) -> cuts & ~coalesce(get(filter(joins, x -> (cuts & x.ends) = x.ends and bit_count(cuts & x.inner) = 1), 0).inner, 0L))"""
     edges = edges.withColumn("cuts", F.expr(f"case when size(joins) = 0 then shiftleft(1L, length(unit) + 1) - 1 else {fold} end"))
     other = f"array({v.unknown})" if v.byte_zero is None else (
-        "transform(array(hex(encode(substring(unit, x.start + 1, 1), 'UTF-8'))), h -> transform(sequence(0, length(h) div 2 - 1), "
+        f"transform(array(hex(encode(substring(unit, cast({first} as int) + 1, 1), 'UTF-8'))), h -> transform(sequence(0, length(h) div 2 - 1), "
         f"i -> {v.byte_zero} + cast(conv(substring(h, cast(2 * i + 1 as int), 2), 16, 10) as int)))[0]"
     )
-    chosen = "array_sort(filter(edges, x -> cuts & x.ends = x.ends and cuts & x.inner = 0))"
-    ids = F.expr(f"flatten(transform({chosen}, x -> if(x.id is null, {other}, array(x.id))))")
+    # the edges that are symbols in the end, by start, as the mask takes the rank off
+    chosen = f"array_sort(transform(filter(edges, x -> (cuts & {both}) = {both} and (cuts & {between}) = 0), x -> x & 4294967295))"
+    ids = F.expr(f"flatten(transform({chosen}, x -> if((x & {NO_ID}) = {NO_ID}, {other}, array(cast(x & {NO_ID} as int)))))")
     long = units.where(F.length("unit") > LONGEST).mapInArrow(_merge_long(v), "part int, unit string, ids array<int>")
     return edges.select("part", "unit", ids.alias("ids")).unionByName(long)
 
@@ -183,10 +218,12 @@ def sentencepiece_encode(docs: DataFrame, model: str, id_col: str = "doc_id", te
     spark = docs.sparkSession
     scratch, v = Scratch(spark, "sentencepiece"), load_vocabulary(model)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    codes, pieces, _ = dictionary_chunks(slim, lambda: _unit_splitter(), False, scratch)
+    codes, pieces = dictionary_chunks(slim, lambda: _unit_splitter(v), False, scratch, 4 << 20)
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = scratch.write(pieces.repartition(spread, "part").mapInArrow(_distinct_units, "part int, unit string"), "units")
-    found = scratch.write(lattice_ids(units, v), "found")
+    # a partition's units fit in memory, so their edges are grouped by hash; sorting them would spill
+    with session_setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(UNITS_AT_ONCE)):
+        found = scratch.write(lattice_ids(units, v), "found")
     scratch.drop(units)
     answers = scratch.write(pieces.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_answer, "chunk long, part int, blob binary"), "answers")
     scratch.drop(found)
@@ -203,8 +240,8 @@ def sentencepiece_decode(encoded: DataFrame, model: str, ids_col: str = "ids", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(ids_col)
-            flat, at = ids.flatten().to_pylist(), (np.asarray(ids.offsets) - ids.offsets[0].as_py()).tolist()
-            whole = [b"".join([texts[i] for i in flat[p:q]]) for p, q in zip(at[:-1], at[1:], strict=True)]
+            flat, at = np.asarray(ids.flatten()), (np.asarray(ids.offsets) - ids.offsets[0].as_py()).tolist()
+            whole = [b"".join(map(texts.__getitem__, flat[p:q].tolist())) for p, q in zip(at[:-1], at[1:], strict=True)]
             # the first piece brings the space that encoding put in front
             out = pa.array([None if not ok else t.removeprefix(b" ").decode("utf-8", "replace") for t, ok in zip(whole, ids.is_valid().to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), out], [*columns, text_col])

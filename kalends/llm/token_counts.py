@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dictionaries import Pieces, dictionary_chunks, id_array, pack, unpack_strings, with_answers
+from .dictionaries import by_text, dictionary_chunks, id_array, pack, unpack_strings, with_answers
 from .scratch import Scratch
 
 #: The pre-tokenizer's pattern (fixed value; public_tokenizers.PATTERN).
@@ -36,18 +36,13 @@ def pre_token_splitter(path: str):
                 return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
             return pattern.findall(text)
 
-        def split(texts: list[str]) -> Pieces:
-            flat, counts, beside = [], [], []
-            for text in texts:
-                spans = special.split(text) if special and special.search(text) else [text]
-                before = len(flat)
-                for span in spans:
-                    flat += cut(span)
-                counts.append(len(flat) - before)
-                beside.append(len(spans) - 1)
-            return Pieces(flat, counts, beside)
+        def split(text: str) -> tuple[list[str], int]:
+            if special is None or not special.search(text):
+                return cut(text), 0
+            spans = special.split(text)
+            return [p for span in spans for p in cut(span)], len(spans) - 1
 
-        return split
+        return by_text(split)
 
     return make
 
@@ -90,7 +85,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     """
     scratch = Scratch(docs.sparkSession, "token-counts")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    codes, pieces, parts = dictionary_chunks(slim, pre_token_splitter(tokenizer), True, scratch)
+    codes, pieces = dictionary_chunks(slim, pre_token_splitter(tokenizer), True, scratch, 4 << 20)
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     answers = scratch.write(pieces.repartition(spread, "part").mapInArrow(_piece_counts(tokenizer), "chunk long, part int, blob binary"), "answers")
     scratch.drop(pieces)

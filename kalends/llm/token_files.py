@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,27 +20,62 @@ from .words import slices
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of texts by a tokenizers file, for tokenizers that drop white space, so that words are encoded alone."""
-    from tokenizers import Tokenizer
+#: A word of Latin-1 letters and the punctuation that ends it, which this kind of tokenizer always parts.
+SIMPLE = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+#: Words that a task keeps the ids of; then it starts anew.
+KEPT, TOGETHER = 250_000, 2048
 
-    tok = Tokenizer.from_file(path)
-    return lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+class WordEncoder:
+    """Ids of words by a tokenizers file that lower-cases and drops white space, so that words can be encoded alone.
+
+    Ids are little-endian bytes and are kept between slices of texts. Pieces of ASCII letters go to the model at once,
+    as neither normaliser nor pre-tokenizer would change them.
+    """
 
-def encode_texts(texts: pa.Array, encode: Callable, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > KEPT:
+            self.known.clear()
+        out = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, out, strict=True) if ids is None]
+        if new:
+            self._encode(new)
+            out = list(map(self.known.__getitem__, words))
+        return out
+
+    def _encode(self, words: list[str]) -> None:
+        cut = [(m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(w)) else (w, "") for w in words]
+        pieces, rest, model = {"": b""}, [], self.tokenizer.model
+        for p in {p for both in cut for p in both if p}:
+            if p.isascii() and p.isalpha() and p.islower():
+                pieces[p] = array("i", [t.id for t in model.tokenize(p)]).tobytes()
+            else:
+                rest.append(p)
+        for i in range(0, len(rest), TOGETHER):
+            some = rest[i : i + TOGETHER]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            pieces.update(zip(some, (array("i", e.ids).tobytes() for e in found), strict=True))
+        self.known.update(zip(words, (pieces[a] + pieces[b] for a, b in cut), strict=True))
+
+
+def encode_texts(texts: pa.Array, encode: Callable[[list[str]], list[bytes]], end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and ids of all texts, each ended by end_id; every distinct word is encoded once."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     bounds = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
     coded = lists.flatten().dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-    pieces = encode(words) if words else []
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    flat = np.fromiter((i for p in pieces for i in p), np.int32, int(lengths.sum()))
+    codes = np.asarray(coded.indices)
+    pieces = encode(coded.dictionary.to_pylist())
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+    flat = np.frombuffer(b"".join(pieces), "<i4")
     first = np.concatenate([[0], np.cumsum(lengths)])
     n = lengths[codes]
     ends = np.concatenate([[0], np.cumsum(n)])
-    gather = np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])
+    gather = np.repeat((first[codes] - ends[:-1]), n) + np.arange(ends[-1])
     offsets = ends[bounds] + np.arange(len(bounds))
     out = np.full(offsets[-1], end_id, np.int32)
     inside = np.ones(offsets[-1], bool)
@@ -49,8 +86,8 @@ def encode_texts(texts: pa.Array, encode: Callable, end_id: int) -> tuple[np.nda
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before = word_encoder(path), 0
-        for b in slices(batches):
+        encode, before = WordEncoder(path), 0
+        for b in slices(batches, most=2 << 20):
             offsets, ids = encode_texts(b.column("text"), encode, end_id)
             counts = np.diff(offsets)
             arrays = [b.column("id"), pa.array(before + offsets[:-1]), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -79,3 +80,12 @@ def distinct_sorted(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, n
     first = np.ones(len(rows), bool)
     first[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
     return rows[first], values[first]
+
+
+def release_memory() -> None:
+    """Gives freed memory back, as a reused worker would hold it beside the next stages' needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this kind of C library
+        return
