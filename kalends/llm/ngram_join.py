@@ -106,40 +106,6 @@ def _points(k: int, threshold: int):
     return run
 
 
-def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (cell, id): each id of a cell with the cell's first id in this partition.
-
-    The first and last cell of a partition may go on in another one; their centres come out with the cell's name.
-    """
-    last, centre, edge_of, pending = None, None, None, None
-    for b in batches:
-        cell, ids = np.asarray(b.column("cell")), np.asarray(b.column("id"))
-        new = np.concatenate([[last is None or cell[0] != last], cell[1:] != cell[:-1]])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(cell)), -1))
-        centres = np.where(start >= 0, ids[np.maximum(start, 0)], centre if centre is not None else 0)
-        if edge_of is None:
-            edge_of = (cell[0], ids[0])
-        differ = centres != ids
-        yield pa.RecordBatch.from_arrays([pa.array(centres[differ]), pa.array(ids[differ]), pa.nulls(int(differ.sum()), pa.int64())], ["a", "b", "cell"])
-        last, centre = cell[-1], centres[-1]
-        pending = (last, centre)
-    ends = [e for e in dict.fromkeys((edge_of, pending)) if e]
-    yield pa.RecordBatch.from_arrays([pa.array([int(e[1]) for e in ends], pa.int64())] * 2 + [pa.array([int(e[0]) for e in ends], pa.int64())], ["a", "b", "cell"])
-
-
-def star_pairs(cells: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct pairs (a, b), a the first id of a cell and b another, from rows (cell, id); a cell may have many centres.
-
-    Rows are ranged by cell and id, so a large cell spreads over partitions; each of its parts has a centre of its
-    own, and these are joined with the first one.
-    """
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stars = scratch.write(cells.repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id").mapInArrow(_star, "a long, b long, cell long"), "stars")
-    ends = stars.where("cell is not null")
-    joints = ends.join(ends.groupBy("cell").agg(F.min("a").alias("low")), "cell").where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))
-    return scratch.write(stars.where("cell is null").select("a", "b").unionByName(joints).distinct(), "pairs")
-
-
 def _stars_of(cell: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells and ids in order, and for each row the first row of its cell."""
     order = np.lexsort((ids, cell))
@@ -192,8 +158,8 @@ def _merged_cells(table: pa.Table) -> pa.Table:
     return pa.table({"cell": _cell_names(table["part"][0].as_py(), cell[rest]), "a": ids[first[rest]], "b": ids[rest]})
 
 
-def cell_stars(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(cell, a, b) for each member b of a cell beside its first one, a, from rows (id, cells).
+def cell_stars(sets: DataFrame, scratch: Scratch, cells=iter) -> DataFrame:
+    """(cell, a, b) for each member b of a cell beside its first one, a, from rows (id, cells), or what `cells` makes of them in tasks.
 
     Cells are hashed into as many parts as there are shuffle partitions. A task sends each part one packed list of its
     cells with their first ids, whose other members stay with them; so a cell that many sets share weighs as much as
@@ -201,7 +167,8 @@ def cell_stars(sets: DataFrame, scratch: Scratch) -> DataFrame:
     clash only makes more candidates.
     """
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = scratch.write(sets.mapInArrow(_packed_cells(parts), "kind int, part int, blob binary, cell long, a long, b long"), "coded", by="kind")
+    packed = _packed_cells(parts)
+    coded = scratch.write(sets.mapInArrow(lambda batches: packed(cells(batches)), "kind int, part int, blob binary, cell long, a long, b long"), "coded", by="kind")
     lists, near = scratch.part(coded, "kind=0"), scratch.part(coded, "kind=1").select("cell", "a", "b")
     merged = lists.select("part", "blob").groupBy("part").applyInArrow(_merged_cells, "cell long, a long, b long")
     out = scratch.write(near.unionByName(merged), "stars")
