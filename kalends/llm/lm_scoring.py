@@ -358,7 +358,7 @@ def _score(m: Model, types: int, fold: int, folds: int):
 
 
 def lm_scores(
-    docs: DataFrame, tokenizer: str, fold: int = 2, folds: int = 7, components: int = 8, em_rounds: int = 8, em_share: int = 16, rounds: int = 3, share: int = 4,
+    docs: DataFrame, tokenizer: str, fold: int = 2, folds: int = 7, components: int = 8, em_rounds: int = 8, em_share: int = 1, rounds: int = 3, share: int = 1,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Log10 probability of every text by a causal self-attention model, beside a smoothed unigram's.
@@ -367,8 +367,8 @@ def lm_scores(
     lower-cased (A-Z) and made of subword ids of a byte-level tokenizers file. A word's likelihood by component mixes
     its training count, shared out by how its subwords are spelled in each component, with its spelling alone, so every
     word has a probability and all sum to one. Attention over the words before gives the components' weights. Components are fitted
-    by EM, attention by Adam in numpy within tasks whose parameters are averaged, over a fixed share of all training documents (1 in
-    `em_share`) and of their windows (1 in `share`), so both grow with the input; word counts and shares are over all training
+    by EM, attention by Adam in numpy within tasks whose parameters are averaged, over all training documents and windows (a caller may
+    take 1 in `em_share` of the documents and 1 in `share` of their windows); word counts and shares are always over all training
     documents. Scoring windows hold SCORED positions and BEFORE more, so each token is scored once, in masked batches.
 
     Training documents are those whose crc32 of the id as text mod `folds` is not `fold`. Null text is empty: one

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 import random
 import zlib
@@ -105,6 +106,16 @@ def test_lm_beats_the_base_on_held_out_texts_of_topics(spark):
     assert sum(x["score"] for x in got) > 0.95 * sum(x["base_score"] for x in got)
 
 
+def test_lm_learns_from_all_training_texts_by_default():
+    defaults = {n: p.default for n, p in inspect.signature(L.lm_scores).parameters.items()}
+    assert (defaults["em_share"], defaults["share"]) == (1, 1)
+    ids = np.arange(50)
+    codes = {"id": ids, "null": np.zeros(50, bool), "n": np.ones(50, np.int64), "codes": np.zeros(50, np.uint32)}
+    answers = [{"c": np.array([50], np.uint64), "n": np.array([1], np.uint32), "ids": np.array([3], np.uint32)}]
+    sample = L.Chunk(L._gather(defaults["em_share"], 2, 7)(codes, answers)["blob"][1].as_py(), 2, 7)
+    assert sample.ids.tolist() == [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 != 2]
+
+
 def test_lm_scores_on_hard_cases(hard, empty):
     got = L.lm_scores(hard, public_tokenizers.path("byte_bpe_50k.json"), em_rounds=1, rounds=1, em_share=1, share=1).collect()
     assert len(got) == hard.count()
