@@ -14,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, one of our own is set and kept for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.kalends.scratch", None)
     if not folder:
-        if spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] == "local":  # one process, so nothing else needs to see it
             folder = tempfile.mkdtemp(prefix="kalends-")
         else:
             folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kalends"
@@ -22,11 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows and bytes of the Arrow batches that tasks exchange with Python, so that a batch of long texts stays small.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("64MB", "4MB")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCHES for the session, as results are computed after an operator returns; what the caller has set stays."""
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, default) in (default, str(64 << 20)):
+            spark.conf.set(key, ours)
+
+
 class Scratch:
     """Tables of one operator run: written once, so that later jobs neither recompute them nor depend on one executor."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._next = 0
 

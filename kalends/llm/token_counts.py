@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .dictionaries import by_text, dictionary_chunks, id_array, pack, unpack_strings, with_answers
 from .scratch import Scratch
+from .words import byte_characters, releasing
 
 #: The pre-tokenizer's pattern (fixed value; public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,23 +48,29 @@ def pre_token_splitter(path: str):
     return make
 
 
+#: Pieces whose counts a task keeps; then it starts anew.
+KEPT = 100_000
+
+
 def _piece_counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        known: dict[bytes, int] = {}
+        # a piece is a whole pre-token, so its bytes' characters go to the model at once
+        model, characters, known = Tokenizer.from_file(path).model, byte_characters(), {}
         for b in batches:
             out = []
-            for blob in b.column("blob").to_pylist():
-                words = unpack_strings(blob)
-                new = [w for w in words if w not in known]
-                known.update(zip(new, (len(e.ids) for e in tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
-                out.append(pack(n=np.fromiter((known[w] for w in words), np.uint32, len(words))))
+            for blob in b.column("blob"):
+                if len(known) > KEPT:
+                    known.clear()
+                words = unpack_strings(blob.as_py())
+                counts = np.fromiter((known.get(w, 0) for w in words), np.uint32, len(words))
+                for i in np.flatnonzero(counts == 0).tolist():
+                    counts[i] = known[words[i]] = len(model.tokenize(words[i].decode("latin-1").translate(characters)))
+                out.append(pack(n=counts))
             yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("part"), pa.array(out, pa.binary())], ["chunk", "part", "blob"])
 
-    return run
+    return releasing(run)
 
 
 def _sum_up(codes: dict[str, np.ndarray], answers: list[dict[str, np.ndarray]]) -> pa.Table:

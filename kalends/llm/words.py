@@ -25,15 +25,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that a piece holds about `most` bytes of `column`, one row at least."""
+    """Cuts and joins batches so that a piece holds about `most` bytes of `column`, one row at least."""
+    held, total = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
+
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        piece = np.cumsum(size) // most
-        cuts = np.flatnonzero(np.diff(piece)) + 1
+        piece = (total + np.cumsum(size)) // most
+        cuts = (np.flatnonzero(np.diff(piece)) + 1).tolist()
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            yield batch.slice(lo, hi - lo)
+            if held and lo == 0 and piece[0] > 0:
+                yield joined()
+                held, total = [], 0
+            if lo:
+                yield joined()
+                held, total = [], 0
+            held.append(batch.slice(lo, hi - lo))
+            total += int(size[lo:hi].sum())
+    if held:
+        yield joined()
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -82,6 +96,24 @@ def distinct_sorted(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, n
     return rows[first], values[first]
 
 
+def releasing(run):
+    """The same function of batches, which gives freed memory back when a task is done with it."""
+
+    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return held
+
+
+def byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + n for n, b in enumerate(sorted({*range(256)} - {*plain}))}
+
+
 def release_memory() -> None:
     """Gives freed memory back, as a reused worker would hold it beside the next stages' needs."""
     pa.default_memory_pool().release_unused()
