@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -10,57 +11,73 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .words import slices
+from .scratch import small_batches
+from .words import byte_characters, releasing, slices
 
 #: Rows go to row groups of about this size, and to pages of this size with an index of their smallest and largest ids.
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
 
 
-#: A word of Latin-1 letters and the punctuation that ends it, which this kind of tokenizer always parts.
-SIMPLE = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
-#: Words that a task keeps the ids of; then it starts anew.
-KEPT, TOGETHER = 250_000, 2048
+#: Words of visible Latin-1 characters but those that start special tokens: normalisers change no more than their case.
+VISIBLE = re.compile("[!-;=-~¡-¬®-ÿ]+")
+#: Marks that the pattern parts from the letters before them.
+MARKS = frozenset(".,!?;:")
+#: Words that go through the library at once, and bytes of text whose distinct words a task encodes at once.
+TOGETHER, SLICE = 2048, 12 << 20
 
 
 class WordEncoder:
-    """Ids of words by a tokenizers file that lower-cases and drops white space, so that words can be encoded alone.
+    """Ids of words by a byte-level tokenizers file that lower-cases, drops white space and parts words by a pattern.
 
-    Ids are little-endian bytes and are kept between slices of texts. Pieces of ASCII letters go to the model at once,
-    as neither normaliser nor pre-tokenizer would change them.
+    Ids are little-endian bytes. Words of visible Latin-1 characters are parted by
+    the file's own pattern here and their parts go to the model at once; other words go through the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        with open(path) as f:
+            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
+        self.tokenizer, self.pattern = Tokenizer.from_file(path), regex.compile(split["pattern"]["Regex"])
+        self.characters = {n: "".join(chr(c) for c in map(byte_characters().__getitem__, chr(n).encode())) for n in range(256)}
+        if any(not t.content.startswith("<") for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens of this file may stand in plain words")
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT:
-            self.known.clear()
-        out = list(map(self.known.get, words))
-        new = [w for w, ids in zip(words, out, strict=True) if ids is None]
-        if new:
-            self._encode(new)
-            out = list(map(self.known.__getitem__, words))
-        return out
-
-    def _encode(self, words: list[str]) -> None:
-        cut = [(m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(w)) else (w, "") for w in words]
-        pieces, rest, model = {"": b""}, [], self.tokenizer.model
-        for p in {p for both in cut for p in both if p}:
-            if p.isascii() and p.isalpha() and p.islower():
-                pieces[p] = array("i", [t.id for t in model.tokenize(p)]).tobytes()
+        tokenize, out, rest, known = self.tokenizer.model.tokenize, [], [], {}
+
+        def ids(part: str) -> bytes:
+            found = known.get(part)
+            if found is None:
+                found = known[part] = array("i", [t.id for t in tokenize(part)]).tobytes()
+            return found
+
+        for n, w in enumerate(words):
+            if w.isascii() and w.isalpha():
+                out.append(ids(w.lower()))
+            elif w[-1:] in MARKS and (body := w[:-1]).isascii() and body.isalpha():
+                out.append(ids(body.lower()) + ids(w[-1]))
+            elif VISIBLE.fullmatch(w):
+                body, mark = (w[:-1], w[-1]) if w[-1] in MARKS else (w, "")
+                if body.isalpha():
+                    out.append(ids(body.lower().translate(self.characters)) + (ids(mark) if mark else b""))
+                    continue
+                parts = self.pattern.findall(w.lower())
+                out.append(b"".join(ids(p if p.isascii() else p.translate(self.characters)) for p in parts))
             else:
-                rest.append(p)
+                out.append(b"")
+                rest.append(n)
         for i in range(0, len(rest), TOGETHER):
             some = rest[i : i + TOGETHER]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            pieces.update(zip(some, (array("i", e.ids).tobytes() for e in found), strict=True))
-        self.known.update(zip(words, (pieces[a] + pieces[b] for a, b in cut), strict=True))
+            found = self.tokenizer.encode_batch_fast([words[n] for n in some], add_special_tokens=False)
+            for n, e in zip(some, found, strict=True):
+                out[n] = array("i", e.ids).tobytes()
+        return out
 
 
 def encode_texts(texts: pa.Array, encode: Callable[[list[str]], list[bytes]], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +104,14 @@ def encode_texts(texts: pa.Array, encode: Callable[[list[str]], list[bytes]], en
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = WordEncoder(path), 0
-        for b in slices(batches, most=2 << 20):
+        for b in slices(batches, most=SLICE):
             offsets, ids = encode_texts(b.column("text"), encode, end_id)
             counts = np.diff(offsets)
             arrays = [b.column("id"), pa.array(before + offsets[:-1]), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start_in_file", "n_tokens", "ids"])
             before += int(offsets[-1])
 
-    return run
+    return releasing(run)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
@@ -107,6 +124,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     order of their texts' hashes. An empty table gives files without rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
@@ -140,4 +158,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest_token_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of what `read_token_files` gives; the checksum is over little-endian 32-bit ids."""
-    return files.mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(releasing(_digest), "doc_id long, start long, n_tokens long, ids_crc32 long")
