@@ -10,30 +10,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import SMALL, Components, cell_stars, links_across, overlaps, pairs_within
 from .components import connected_components
-from .dictionaries import pack, unpack
 from .scratch import Scratch
-from .words import distinct_sorted, mix, shingles, slices, split_words, word_hashes
+from .words import distinct_sorted, mix, releasing, shingles, slices, split_words, word_hashes
 
-#: Coordinates of a set's coarse point, in the R-tree's boxes. A larger set's own point has one for two shingles, so
-#: that its summed minima still tell unlike sets apart; it folds to fewer coordinates by adding up.
+#: Coordinates of a set's point, at least. A larger set's has one for two shingles, so that its summed minima still
+#: tell unlike sets apart; a point folds to fewer coordinates by adding up.
 COORDINATES = 128
-#: Entries of an R-tree leaf, and rows of a part of a large cell that one task joins with another part.
-LEAF, PART = 32, 512
+#: Entries of an R-tree leaf.
+LEAF = 32
 #: Finer coordinates in each block of the directory.
 FINE = 1 << 20
 
 
-def size_classes(threshold: int, largest: int) -> list[tuple[int, int, int]]:
-    """(first size, size after the last, blocks) of each class of set sizes.
+def size_classes(threshold: int, largest: int) -> list[tuple[int, int, int, int]]:
+    """(first size, size after the last, blocks, spare blocks) of each class of set sizes.
 
-    Two sets of at most s elements that link differ in at most floor(2 (100 - t) s / (100 + t)) elements, so with
-    one block more, their points agree in all coordinates of some block.
+    Two sets of at most s elements that link differ in at most floor(2 (100 - t) s / (100 + t)) elements. With one block
+    and some spare ones more, their points agree in all coordinates of more blocks than are spare.
     """
     out, lo = [], 1
     while lo <= largest:
-        hi = max(lo + 1, lo * 3 // 2)
-        out.append((lo, hi, 2 * (100 - threshold) * (hi - 1) // (100 + threshold) + 1))
+        hi = max(lo + 1, lo * 5 // 4, lo * 100 // threshold)
+        most = 2 * (100 - threshold) * (hi - 1) // (100 + threshold)
+        spare = 1 + most // 8 if most else 0
+        out.append((lo, hi, most + 1 + spare, spare))
         lo = hi
     return out
 
@@ -44,7 +46,11 @@ def needed(threshold: int, na, nb):
 
 
 def point_columns(offsets: np.ndarray, hashes: np.ndarray, k: int, threshold: int) -> dict[str, pa.Array]:
-    """Set size, fingerprint, coarse point and directory cells for each row's shingle set."""
+    """Set size, fingerprint, point and directory cells for each row's shingle set.
+
+    A set names only its cells with elements if at most the spare ones are empty, as linked sets then agree in one that
+    isn't; a set with more empty ones names all.
+    """
     rows = len(offsets) - 1
     row, sh = distinct_sorted(*shingles(offsets, hashes, k))
     n = np.bincount(row, minlength=rows)
@@ -61,6 +67,7 @@ def point_columns(offsets: np.ndarray, hashes: np.ndarray, k: int, threshold: in
     point = np.bincount(corner[row] + (sh >> np.uint64(6)).astype(np.int64) % np.maximum(width, 1)[row], minlength=corner[-1])
     owners, cells = [], []
     classes = size_classes(threshold, int(n.max(initial=0)) * 100 // threshold + 1)
+    spare = np.array([c[3] for c in classes] or [0])
     starts = np.array([c[0] for c in classes] or [1])
     for ahead in (0, 1):
         own = np.searchsorted(starts, n, "right") - 1 + ahead
@@ -80,10 +87,15 @@ def point_columns(offsets: np.ndarray, hashes: np.ndarray, k: int, threshold: in
             begin = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
             # a sum of one random number for each coordinate times its count: a hash of the block's count vector
             sums[slot[begin]] = np.add.reduceat(mix((s & np.uint64(FINE - 1)) + np.uint64(7919)), begin)
+        filled = np.zeros(first[-1], bool)
+        if len(s):
+            filled[slot[begin]] = True
         owner = np.repeat(np.arange(rows), blocks)
+        empty = blocks - np.bincount(owner[filled], minlength=rows)
+        named = filled | (empty > spare[np.minimum(own, len(spare) - 1)])[owner]
         place = (np.arange(first[-1]) - first[owner]).astype(np.uint64)
-        cells.append(mix(sums + mix((own[owner].astype(np.uint64) << np.uint64(32)) + place)))
-        owners.append(owner)
+        cells.append(mix(sums + mix((own[owner].astype(np.uint64) << np.uint64(32)) + place))[named])
+        owners.append(owner[named])
     owner, cell = np.concatenate(owners), np.concatenate(cells)
     order = np.argsort(owner, kind="stable")
     bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))])
@@ -100,166 +112,97 @@ def _points(k: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             offsets, codes, words = split_words(b.column("text"))
-            out = {"id": b.column("id")} | point_columns(offsets, word_hashes(words)[codes] if len(words) else np.zeros(0, np.uint64), k, threshold)
+            out = {"id": b.column("id"), "key": b.column("key")} | point_columns(offsets, word_hashes(words)[codes] if len(words) else np.zeros(0, np.uint64), k, threshold)
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return run
+    return releasing(run)
 
 
-def _stars_of(cell: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells and ids in order, and for each row the first row of its cell."""
-    order = np.lexsort((ids, cell))
-    cell, ids = cell[order], ids[order]
-    new = np.ones(len(cell), bool)
-    new[1:] = cell[1:] != cell[:-1]
-    return cell, ids, np.maximum.accumulate(np.where(new, np.arange(len(cell)), 0)) if len(cell) else np.zeros(0, int)
+def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and distinct shingle hashes of each text's set."""
+    offsets, codes, words = split_words(texts)
+    row, sh = distinct_sorted(*shingles(offsets, word_hashes(words)[codes] if len(words) else np.zeros(0, np.uint64), k))
+    return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]), sh
 
 
-def _cell_names(part: int, cell: np.ndarray) -> pa.Array:
-    return pa.array(mix(cell + (np.uint64(part) << np.uint64(48))).view(np.int64))
+class Leaf:
+    """Some sets of like size as points, and the corner of their box."""
 
+    def __init__(self, rows: np.ndarray, at: np.ndarray, flat: np.ndarray):
+        self.rows, self.n = rows, np.diff(at)[rows]
+        self.width = max(COORDINATES, 1 << int(np.ceil(np.log2(max(int(self.n.max()), 2) / 2))))
+        place = np.concatenate([flat[at[r] : at[r + 1]] for r in rows.tolist()]) >> np.uint64(6)
+        owner = np.repeat(np.arange(len(rows)), self.n)
+        points = np.bincount(owner * self.width + (place % np.uint64(self.width)).astype(np.int64), minlength=len(rows) * self.width)
+        self.at_width = {self.width: points.reshape(len(rows), self.width).astype(np.int32)}
 
-def _packed_cells(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each part of the cells: the batch's cells with their first ids, packed (kind 0), and other members beside the first (kind 1)."""
-        for b in batches:
-            lists = b.column("cells")
-            flat = np.asarray(lists.flatten()).view(np.uint64)
-            ids = np.repeat(np.asarray(b.column("id")), np.asarray(lists.value_lengths()).astype(np.int64))
-            part = (flat % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            kinds, places, blobs, rows = [], [], [], []
-            for k in np.flatnonzero(np.diff(bounds)).tolist():
-                some = order[bounds[k] : bounds[k + 1]]
-                cell, who, first = _stars_of(flat[some] >> np.uint64(16), ids[some])
-                lead = first == np.arange(len(cell))
-                kinds.append(0)
-                places.append(k)
-                blobs.append(pack(cell=np.diff(cell[lead], prepend=np.uint64(0)), id=who[lead]))
-                rest = np.flatnonzero(who != who[first])
-                if len(rest):
-                    rows.append((_cell_names(k, cell[rest]), pa.array(who[first[rest]]), pa.array(who[rest])))
-            n = sum(len(r[0]) for r in rows)
-            none = pa.nulls(len(blobs), pa.int64())
-            columns = [pa.concat_arrays([none, *(r[i] for r in rows)]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds + [1] * n, pa.int32()), pa.array(places + [None] * n, pa.int32()), pa.array(blobs + [None] * n, pa.binary()), *columns],
-                ["kind", "part", "blob", "cell", "a", "b"],
-            )
-
-    return run
-
-
-def _merged_cells(table: pa.Table) -> pa.Table:
-    held = [unpack(x) for x in table["blob"].to_pylist()]
-    cell, ids, first = _stars_of(np.concatenate([np.cumsum(x["cell"]) for x in held]), np.concatenate([x["id"] for x in held]))
-    rest = np.flatnonzero(ids != ids[first])
-    return pa.table({"cell": _cell_names(table["part"][0].as_py(), cell[rest]), "a": ids[first[rest]], "b": ids[rest]})
-
-
-def cell_stars(sets: DataFrame, scratch: Scratch, cells=iter) -> DataFrame:
-    """(cell, a, b) for each member b of a cell beside its first one, a, from rows (id, cells), or what `cells` makes of them in tasks.
-
-    Cells are hashed into as many parts as there are shuffle partitions. A task sends each part one packed list of its
-    cells with their first ids, whose other members stay with them; so a cell that many sets share weighs as much as
-    any, and cells of one set, which are most, cost some bytes. Cells are told apart by 48 bits within a part: a
-    clash only makes more candidates.
-    """
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = _packed_cells(parts)
-    coded = scratch.write(sets.mapInArrow(lambda batches: packed(cells(batches)), "kind int, part int, blob binary, cell long, a long, b long"), "coded", by="kind")
-    lists, near = scratch.part(coded, "kind=0"), scratch.part(coded, "kind=1").select("cell", "a", "b")
-    merged = lists.select("part", "blob").groupBy("part").applyInArrow(_merged_cells, "cell long, a long, b long")
-    out = scratch.write(near.unionByName(merged), "stars")
-    scratch.drop(coded)
-    return out
-
+    def points(self, width: int) -> np.ndarray:
+        if width not in self.at_width:
+            self.at_width[width] = self.at_width[self.width].reshape(len(self.rows), -1, width).sum(1)
+        return self.at_width[width]
 
-def tree_pairs(left: np.ndarray, nl: np.ndarray, right: np.ndarray, nr: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs whose summed coordinate minima reach the needed overlap, through R-tree leaves packed by size.
+    def corner(self, width: int) -> np.ndarray:
+        return self.points(width).max(0)
 
-    A pair of leaves is left out if even the minima of their boxes' maxima don't reach what their smallest sets need.
-    """
 
-    def leaves(points, n):
-        order = np.lexsort((points[:, 0], n))
-        return [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-
-    one, two, found = leaves(left, nl), leaves(right, nr), []
-    tops = np.array([right[x].max(0) for x in two])
-    smallest = np.array([nr[x].min() for x in two])
-    for x in one:
-        bound = np.minimum(left[x].max(0), tops).sum(1)
-        for y in np.flatnonzero(bound >= needed(threshold, nl[x].min(), smallest)):
-            z = two[y]
-            overlap = np.minimum(left[x][:, None], right[z][None]).sum(2)
-            i, j = np.nonzero(overlap >= needed(threshold, nl[x][:, None], nr[z][None]))
-            found.append((x[i], z[j]))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def coarse_points(lists: pa.Array) -> np.ndarray:
-    """Points folded to COORDINATES coordinates, as rows."""
-    flat, size = np.asarray(lists.flatten()), np.asarray(lists.value_lengths()).astype(np.int64)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    at = np.repeat(np.arange(len(size)), size) * COORDINATES + place % COORDINATES
-    return np.bincount(at, flat, len(size) * COORDINATES).astype(np.int32).reshape(-1, COORDINATES)
-
-
-def _across(threshold: int):
-    def group(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Candidate pairs of the two parts of one cell whose members are in different components so far."""
-        ids, n, component, one = (np.asarray(rows.column(c)) for c in ("id", "n", "component", "first"))
-        points = coarse_points(rows.column("point"))
-        left, right = np.flatnonzero(one & 1), np.flatnonzero(one & 2)
-        i, j = tree_pairs(points[left], n[left], points[right], n[right], threshold)
-        i, j = left[i], right[j]
-        keep = component[i] != component[j]
-        return np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep]
-
-    def several(b: pa.RecordBatch, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        found = [group(b.slice(x, y - x)) for x, y in itertools.pairwise(cuts)]
-        if found:
-            pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+def tree_pairs(left: list[Leaf], right: list[Leaf], threshold: int, components: Components) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of different components whose summed coordinate minima reach the needed overlap, leaf by leaf.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # the last group so far, which may go on in the next batch
-        for b in batches:
-            if rest is not None:
-                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
-            if not b.num_rows:
-                continue
-            key = np.stack([np.asarray(b.column(c)) for c in ("cell", "p", "q")])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
-            yield from several(b, cuts)
-            rest = b.slice(cuts[-1])
-        if rest is not None:
-            yield from several(rest, [0, rest.num_rows])
-
-    return run
+    A pair of leaves is left out if both are wholly in one component, or if even the minima of their boxes' corners don't
+    reach what their smallest sets need.
+    """
+    for x, y in itertools.product(left, right):
+        tops = np.union1d(components.top(x.rows), components.top(y.rows))
+        least = needed(threshold, int(x.n.min()), int(y.n.min()))
+        width = min(x.width, y.width)
+        if len(tops) < 2 or np.minimum(x.corner(width), y.corner(width)).sum() < least:
+            continue
+        p, q = x.points(width), y.points(width)
+        step = max(1, (1 << 22) // (len(q) * width))
+        overlap = np.concatenate([np.minimum(p[i : i + step, None], q[None]).sum(2) for i in range(0, len(p), step)])
+        i, j = np.nonzero(overlap >= needed(threshold, x.n[:, None], y.n[None]))
+        i, j = x.rows[i], y.rows[j]
+        apart = components.top(i) != components.top(j)
+        yield i[apart], j[apart]
+
+
+def _across(k: int, threshold: int):
+    def compare(b: pa.RecordBatch, group: np.ndarray, components: Components) -> tuple[np.ndarray, np.ndarray]:
+        """Links between the two parts of each cell in the batch that join components."""
+        at, flat = shingle_sets(b.column("text"), k)
+        n, top, side = np.diff(at), components.top(np.arange(b.num_rows)), np.asarray(b.column("side"))
+        found = [(np.zeros(0, np.int64),) * 2]
+
+        def leaves(rows: np.ndarray) -> list[Leaf]:
+            rows = rows[np.lexsort((n[rows], top[rows]))]
+            return [Leaf(rows[i : i + LEAF], at, flat) for i in range(0, len(rows), LEAF)]
+
+        bounds = np.searchsorted(group, np.arange(group[-1] + 2))
+        for lo, hi in itertools.pairwise(bounds.tolist()):
+            here = np.arange(lo, hi)
+            left = leaves(here[(side[lo:hi] & 1) > 0])
+            right = left if (side[lo:hi] == 3).all() else leaves(here[(side[lo:hi] & 2) > 0])
+            for i, j in tree_pairs(left, right, threshold, components):
+                both = overlaps(at, flat, i, j)
+                like = 100 * both >= threshold * (n[i] + n[j] - both)
+                i, j = i[like], j[like]
+                new = components.join(i, j)
+                found.append((i[new], j[new]))
+        return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+    return compare
 
 
 def _verify(k: int, threshold: int):
-    def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        offsets, codes, words = split_words(texts)
-        row, sh = distinct_sorted(*shingles(offsets, word_hashes(words)[codes] if len(words) else np.zeros(0, np.uint64), k))
-        return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]), sh
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "x", 4 << 20):
-            (p, x), (q, y) = sets(b.column("x")), sets(b.column("y"))
-            keep = []
-            for i in range(b.num_rows):
-                one, two = x[p[i] : p[i + 1]], y[q[i] : q[i + 1]]
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * both >= threshold * (len(one) + len(two) - both))
+            (p, x), (q, y) = shingle_sets(b.column("x"), k), shingle_sets(b.column("y"), k)
+            m, pairs = b.num_rows, np.arange(b.num_rows)
+            both = overlaps(np.concatenate([p, q[1:] + p[-1]]), np.concatenate([x, y]), pairs, pairs + m)
+            keep = 100 * both >= threshold * (np.diff(p) + np.diff(q) - both)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return releasing(run)
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 90) -> DataFrame:
@@ -271,40 +214,45 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     directory of the tree and an equi-join key. Within a cell, R-tree leaves bound the overlap of their members by
     summed coordinate minima, and what survives is verified on whole texts.
 
-    Equal sets become one row first. In a first pass each member of a cell is held against the cell's first member
-    only; links make components. A second pass holds members of different components of a cell against each other,
-    in parts of bounded size, so pairs inside a linked group are never enumerated and no link is lost. Sets are
-    compared by 64-bit shingle hashes.
+    Equal sets become one row with a number of its own first. In a first pass each member of a cell is held against the
+    cell's first member only: first against the smallest of these, then against those that are still in other
+    components. A second pass holds members of different components of a cell against each other: pair by pair in cells
+    of SMALL members at most, in parts of bounded size in larger ones, where components are joined as links are found. So
+    pairs inside a linked group are never listed and no link is lost.
+    Sets are compared by 64-bit shingle hashes.
 
     Null or wordless texts have n_shingles 0 and are linked with nothing. A null id never serves as component_id;
-    such a row gets its equal sets' component, or null. Repeated rows fall in one component. Other columns are not
-    returned, so clashing names don't matter.
+    such a row gets its equal sets' component, or null. Repeated rows fall in one component. Rows that share an id but
+    not the text are sets of their own, each with its links; they are in one component only if links make them so. Other
+    columns are not returned, so clashing names don't matter. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    points = scratch.write(slim.mapInArrow(_points(words, threshold), "id long, n long, f1 long, f2 long, point array<int>, cells array<long>"), "points")
-    sets = scratch.write(points.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("first_id")), "sets")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    points = scratch.write(slim.mapInArrow(_points(words, threshold), "id long, key long, n long, f1 long, f2 long, point array<int>, cells array<long>"), "points")
     light = scratch.write(points.select("id", "n", "f1", "f2"), "light")
-    alone = sets.select(F.col("first_id").alias("id")).where("id is not null").distinct()
-    single = points.where("n > 0 and size(cells) > 0").join(alone.hint("merge"), "id", "left_semi")
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stars = cell_stars(single.select("id", "cells"), scratch)
+    # (place, key) names a text: rows without id are told apart by their texts alone
+    place = F.coalesce("id", F.lit(-1).cast("long")).alias("place")
+    filled = points.where("n > 0").select(place, "key", "id", "n", "f1", "f2", "point", "cells")
+    sets = filled.groupBy("f1", "f2", "n").agg(F.min("id").alias("first_id"), F.min(F.struct("place", "key")).alias("first"))
+    sets = scratch.write(sets.select("f1", "f2", "n", "first_id", "first.place", "first.key", F.monotonically_increasing_id().alias("set")), "sets")
+    names = sets.select("place", "key", "set", "n")
+
+    single = filled.where("size(cells) > 0").select("place", "key", "cells").join(names.drop("n").hint("merge"), ["place", "key"])
+    stars = cell_stars(single.select(F.col("set").alias("id"), "cells"), scratch)
     pairs = scratch.write(stars.select("a", "b").distinct(), "pairs")
-    named = scratch.write(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id"), "named")
-    shapes = scratch.write(points.where("n > 0").select("id", "n", "point").join(named.hint("merge"), "id", "left_semi").dropDuplicates(["id", "n"]), "shapes")
+    named = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "set")
+    named = scratch.write(names.join(named.hint("merge"), "set", "left_semi"), "named")
+    shapes = scratch.write(filled.select("place", "key", "point").join(named.hint("merge"), ["place", "key"]).dropDuplicates(["set"]).select(F.col("set").alias("id"), "n", "point"), "shapes")
     scratch.drop(points)
+    texts = slim.select(place, "key", "text").join(named.hint("merge"), ["place", "key"]).dropDuplicates(["set"])
+    texts = scratch.write(texts.select(F.col("set").alias("id"), F.col("n").alias("elements"), "text"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs in a table: those whose whole texts link. Only texts that some pair names are moved."""
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = scratch.write(slim.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+        """Of pairs in a table: those whose whole texts link."""
         one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
         both = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "x", "y")
-        out = scratch.write(both.mapInArrow(_verify(words, threshold), "a long, b long"), "verified")
-        scratch.drop(texts)
-        return out
+        return scratch.write(both.mapInArrow(_verify(words, threshold), "a long, b long"), "verified")
 
     one, two = (shapes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
     # sizes that differ more can't link, so that one of two points has as many coordinates, or twice as many
@@ -315,31 +263,29 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reach = bound * (100 + threshold) >= threshold * (F.col("na") + F.col("nb"))
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        return scratch.write(pairs.join(one, "a").join(two, "b").where(near_sizes).where(reach).select("a", "b"), "near")
-
-    links = verified(bounded(pairs))
-    linked = connected_components(links, scratch)
-
-    members = shapes.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    members = scratch.write(members.select("id", "n", "point", "component"), "members")
-    held = stars.select("cell", F.col("b").alias("id")).unionByName(stars.select("cell", F.col("a").alias("id"))).distinct()
-    listed = scratch.write(held.join(members.select("id", "component"), "id"), "listed")
-    # cells with the same members would give the same pairs: one of them is enough
-    same = [F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("s2")]
-    mixed = listed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"), *same).where("low < high")
-    mixed = scratch.write(mixed.groupBy("s1", "s2", "rows").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("rows") / PART).alias("parts")), "mixed")
-    inside = listed.join(mixed, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    places = inside.select("cell", "id", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    p, q = F.least("part", "other"), F.greatest("part", "other")
-    places = places.select("cell", "id", p.alias("p"), q.alias("q"), (F.when(F.col("part") == p, 1).otherwise(0) + F.when(F.col("part") == q, 2).otherwise(0)).alias("first"))
-    joined = places.join(members.select("id", "n", "point", "component"), "id").repartition(parts, "cell", "p", "q").sortWithinPartitions("cell", "p", "q")
-    more = scratch.write(joined.mapInArrow(_across(threshold), "a long, b long").distinct(), "more")
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(bounded(more)))
+        return pairs.join(one, "a").join(two, "b").where(near_sizes).where(reach).select("a", "b")
+
+    near = scratch.write(bounded(pairs), "near")
+    scratch.drop(pairs)
+
+    lowest = scratch.write(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "lowest")
+    links = verified(lowest)
+    linked = scratch.write(connected_components(links, scratch), "linked")
+    ends = [linked.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    apart = near.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    links = scratch.write(links.unionByName(verified(scratch.write(apart.select("a", "b").join(lowest, ["a", "b"], "left_anti"), "apart"))), "links")
+    linked = scratch.write(connected_components(links, scratch), "linked")
+    within = bounded(pairs_within(stars, linked, texts, scratch)).join(near, ["a", "b"], "left_anti")
+    links = scratch.write(links.unionByName(verified(scratch.write(within, "within"))), "links")
+    linked = scratch.write(connected_components(links, scratch), "linked")
+    links = links.unionByName(links_across(stars, linked, texts, "text", _across(words, threshold), scratch, SMALL + 1))
     linked = scratch.write(connected_components(links, scratch), "components")
+    for table in (stars, texts, shapes, near):
+        scratch.drop(table)
 
-    classes = sets.join(linked.withColumnRenamed("node", "first_id"), "first_id", "left").select("f1", "f2", "n", F.coalesce("component", "first_id").alias("component_id"))
-    classes = scratch.write(classes, "classes")
+    groups = sets.join(linked.withColumnRenamed("node", "set"), "set", "left").select("f1", "f2", "n", "first_id", F.coalesce("component", "set").alias("group"))
+    least = groups.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    classes = scratch.write(groups.join(least, "group").select("f1", "f2", "n", "component_id"), "classes")
     out = light.where("n > 0").join(classes, ["f1", "f2", "n"]).select("id", "n", "component_id")
     none = light.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return out.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
