@@ -53,13 +53,34 @@ def nth_weekday(month: Column, weekday: int, nth: Column | int) -> Column:
     return F.when(F.trunc(day, "month") == month, day)
 
 
-def nearest_year(month: Column, day: Column, anchor: Column, back: int = 7) -> Column:
-    """A date from month and day: in the anchor's year, or the next one if that lies more than `back` days before it."""
-    this = F.try_make_date(F.year(anchor), month, day) if hasattr(F, "try_make_date") else F.expr("null")
-    following = F.try_make_date(F.year(anchor) + 1, month, day) if hasattr(F, "try_make_date") else F.expr("null")
-    return F.when(this >= F.date_sub(anchor, back), this).otherwise(following)
+def made_date(year: Column, month: Column, day: Column) -> Column:
+    """The date of three numbers, null where there is no such day."""
+    first = F.make_date(year, F.when(month.between(1, 12), month), F.lit(1))
+    return F.when(day.between(1, F.dayofmonth(F.last_day(first))), F.date_add(first, day - 1))
+
+
+def nearest_year(month: Column, day: Column, anchor: Column, back: int = 7, ahead_months: int = 12) -> Column:
+    """A date from month and day: in the anchor's year, or the next one if that lies more than `back` days before it.
+
+    Null where there is no such day, or it lies beyond `ahead_months` and `back` days.
+    """
+    this, following = (made_date(F.year(anchor) + n, month, day) for n in (0, 1))
+    found = F.when(this >= F.date_sub(anchor, back), this).otherwise(following)
+    return F.when(found <= F.date_add(F.add_months(anchor, ahead_months), back), found)
+
+
+def closest_year(month: Column, day: Column, anchor: Column, within: int = 45) -> Column:
+    """A date from month and day in the year that brings it nearest to the anchor, null if that is over `within` days away."""
+    days = F.filter(F.array(*[made_date(F.year(anchor) + n, month, day) for n in (-1, 0, 1)]), lambda d: d.isNotNull())
+    best = F.get(F.array_sort(F.transform(days, lambda d: F.struct(F.abs(F.datediff(d, anchor)).alias("gap"), d.alias("day")))), F.lit(0))
+    return F.when(best["gap"] <= within, best["day"])
 
 
 def valid_date(text: Column) -> Column:
     """A date from yyyy-MM-dd text that exists, else null."""
-    return F.when(text.rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.expr("null")
+    return F.when(text.rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+
+
+def default_start(text: Column, day: Column, all_day: Column) -> Column:
+    """The civil start of an occurrence: its own, else 9:00 for all-day ones and 12:00 where the time is unknown."""
+    return F.coalesce(text, F.timestamp_add("HOUR", F.when(all_day, 9).otherwise(12), day.cast("timestamp_ntz")))

@@ -56,7 +56,7 @@ def slug(c: Column) -> Column:
 def safe_id(c: Column, most: int = 80) -> Column:
     """Kebab id of at most `most` characters: longer ones are cut and end in 8 hex digits of their SHA-256. Null if nothing is left."""
     k = F.regexp_replace(F.regexp_replace(F.lower(strip_marks(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    cut = F.concat(F.substring(k, 1, most - 9), F.lit("-"), F.substring(F.sha2(k, 256), 1, 8))
+    cut = F.concat(F.regexp_replace(F.substring(k, 1, most - 9), "-+$", ""), F.lit("-"), F.substring(F.sha2(k, 256), 1, 8))
     return F.when(F.length(k) == 0, None).when(F.length(k) > most, cut).otherwise(k)
 
 
@@ -97,7 +97,7 @@ def content_digest(*columns: Column) -> Column:
 
 def ical_escape(c: Column) -> Column:
     """Backslash, semicolon, comma and line ends as iCalendar text has them."""
-    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\r", "\\n"), ("\n", "\\n")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
@@ -121,3 +121,44 @@ def canonical_url(c: Column, keep: tuple[str, ...] = ()) -> Column:
     values = [(k, F.regexp_extract(c, f"[?&]{k}=([^&#]*)", 1)) for k in keep]
     query = F.concat_ws("&", *[F.when(v != "", F.concat(F.lit(f"{k}="), v)) for k, v in values]) if keep else F.lit("")
     return F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
+def tags_off(c: Column) -> Column:
+    """Text of an HTML page: scripts, styles and comments dropped, block ends as line ends, entities decoded, blank lines dropped."""
+    c = F.regexp_replace(c, "(?is)<(script|style|head|template|noscript)\\b.*?</\\1\\s*>|<!--.*?-->|<!doctype[^>]*>", " ")
+    c = F.regexp_replace(F.regexp_replace(c, "\\s+", " "), "(?i)<(br|/?(p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|form|body|html|dd|dt))\\b[^>]*>", "\n")
+    c = F.regexp_replace(c, "<[^>]*>", "")
+    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(value))
+    return F.array_join(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, "\\s+", " "))), lambda x: x != ""), "\n")
+
+
+def clean_lines(c: Column) -> Column:
+    """Each line cleaned, blank ones dropped."""
+    return F.array_join(F.filter(F.transform(F.split(F.regexp_replace(c, "\\r\\n?", "\n"), "\n"), clean_text), lambda x: x != ""), "\n")
+
+
+def status_label(status: Column) -> Column:
+    """What a view says of a status; scheduled ones need no word."""
+    return F.when(status == "cancelled", "Aflyst").when(status == "postponed", "Udsat").when(status == "sold-out", "Udsolgt")
+
+
+def price_of(c: Column) -> Column:
+    """The first amount in kroner in a text as whole kroner, 0 for 'gratis', else null."""
+    amount = F.nullif(F.regexp_extract(F.lower(c), "(\\d{1,5})(?:[.,]\\d{2}|,-)?\\s*(?:kr\\b|dkk\\b)", 1), F.lit("")).cast("int")
+    return F.coalesce(amount, F.when(F.lower(c).rlike("\\bgratis\\b"), 0))
+
+
+def split_place(c: Column) -> Column:
+    """A struct of name, address, postcode and city from text such as 'Hall, Street 3, 5970 Town'."""
+    parts = F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p)), lambda p: p != "")
+    coded = F.get(F.filter(parts, lambda p: p.rlike("^\\d{4}\\b")), F.lit(0))
+    others = F.filter(parts, lambda p: ~p.rlike("^\\d{4}\\b"))
+    return F.struct(F.get(others, F.lit(0)).alias("name"), F.get(others, F.lit(1)).alias("address"), F.nullif(F.regexp_extract(coded, "^(\\d{4})", 1), F.lit("")).alias("postcode"), F.nullif(F.trim(F.regexp_replace(coded, "^\\d{4}\\s*", "")), F.lit("")).alias("city"))
+
+
+def fnv36(c: Column) -> Column:
+    """A short hash of a text: 32-bit FNV-1a over its code points, in base 36 (offset and prime are fixed values)."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    folded = F.aggregate(chars, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(F.ascii(x).cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.lower(F.conv(folded.cast("string"), 10, 36))

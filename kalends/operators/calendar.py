@@ -94,11 +94,12 @@ def month_grid(df: DataFrame, first: date, months: int, day: str) -> DataFrame:
 
 
 def next_or_last(df: DataFrame, today: date, key: str, start: str, last: str) -> DataFrame:
-    """Each key's first upcoming row, or its latest one where none is to come."""
-    ahead = F.col(last) >= F.lit(today)
-    days = F.datediff(F.col(start), F.lit(today))
-    order = W.partitionBy(key).orderBy(F.when(ahead, 0).otherwise(1), F.when(ahead, days).otherwise(-days), *[c for c in df.columns if c not in (key, start, last)])
-    return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """Each key's upcoming rows, or its latest one where none is to come."""
+    ahead = df.where(F.col(last) >= F.lit(today))
+    past = df.join(ahead.select(key).distinct(), key, "left_anti")
+    order = W.partitionBy(key).orderBy(F.desc(start), *[c for c in df.columns if c not in (key, start, last)])
+    latest = past.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return ahead.unionByName(latest.select(df.columns))
 
 
 def top_per_kind(df: DataFrame, kind: str, order: list[Column], k: int) -> DataFrame:
@@ -112,6 +113,11 @@ def effective_status(sold_out: Column, own: Column, event: Column) -> Column:
     return F.when(sold_out, "sold-out").when(known(own) != "scheduled", known(own)).otherwise(known(event))
 
 
+def effective_location(own: Column, event: Column) -> Column:
+    """The occurrence's own location if it has one, else the event's."""
+    return F.coalesce(own, event)
+
+
 def date_label(d: Column, months: list[str]) -> Column:
     """Day and month name, as '3. marts'."""
     names = F.element_at(F.array(*[F.lit(m) for m in months]), F.month(d))

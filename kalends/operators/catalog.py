@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,12 +78,11 @@ def ordered_list(df: DataFrame, key: str, order: list[str], value: Column, name:
 
 
 def resolve_organizer(df: DataFrame, organizers: DataFrame, name: str, ref: str) -> DataFrame:
-    """Adds organizer_id: an organizer of the row's name (any case), else of its reference, else one made from the name."""
+    """Adds organizer_id: an organizer of the row's name (any case) first; a row without a name keeps its reference; any other gets an id made from its name."""
     by_name = organizers.groupBy(F.lower("name").alias("_low")).agg(F.min("id").alias("_by_name"))
-    by_ref = organizers.select(F.col("id").alias(ref), F.col("id").alias("_by_ref"))
-    out = df.withColumn("_low", F.lower(name)).join(by_name, "_low", "left").join(by_ref, ref, "left")
+    out = df.withColumn("_low", F.lower(F.nullif(F.trim(name), F.lit("")))).join(by_name, "_low", "left")
     made = F.concat(F.lit("made-"), F.regexp_replace(F.col("_low"), "[^a-z0-9]+", "-"))
-    return out.withColumn("organizer_id", F.coalesce(F.col("_by_name").cast("string"), F.col("_by_ref").cast("string"), made)).drop("_low", "_by_name", "_by_ref")
+    return out.withColumn("organizer_id", F.coalesce(F.col("_by_name").cast("string"), F.when(F.col("_low").isNull(), F.col(ref).cast("string")), made)).drop("_low", "_by_name")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -126,3 +126,131 @@ def paging_faults(pages: DataFrame, run: str, page: str, item: str, total: str)
     """(run, complete, n_totals, n_items, n_distinct, expected) of paged captures: one total, no item twice, all there."""
     a = pages.groupBy(run).agg(F.countDistinct(total).alias("n_totals"), F.count(item).alias("n_items"), F.countDistinct(item).alias("n_distinct"), F.max(total).cast("long").alias("expected"), F.countDistinct(page).alias("n_pages"), F.max(page).cast("long").alias("last_page"))
     return a.withColumn("complete", F.expr("n_totals = 1 and n_items = n_distinct and n_items = expected and n_pages = last_page"))
+
+
+def pass_conflicts(passes: DataFrame, run: str, item: str, payload: Column, expected: str) -> DataFrame:
+    """(run, n, conflicts, complete) of captures read in several passes: equal overlaps are one, differing ones conflict."""
+    items = passes.groupBy(run, item).agg(F.count_distinct(payload).alias("_v"), F.max(expected).alias("_e"))
+    return items.groupBy(run).agg(F.count("*").alias("n"), F.sum((F.col("_v") > 1).cast("long")).alias("conflicts"), F.max("_e").cast("long").alias("expected")).withColumn("complete", F.expr("n = expected and conflicts = 0")).drop("expected")
+
+
+def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """Adds each row's place (from 1) in its group by a column whose values are distinct there, without a group coming to one task.
+
+    Rows are ranged by group and order; a place is the count of the group's rows in earlier ranges and the one within.
+    """
+    ranged = df.repartitionByRange(group, order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    within = W.partitionBy("_p", group).orderBy(order)
+    before = W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    counts = ranged.groupBy(group, "_p").agg(F.count("*").alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    return ranged.withColumn("_n", F.row_number().over(within)).join(counts, [group, "_p"]).withColumn(name, F.col("_n") + F.col("_b")).drop("_n", "_b", "_p")
+
+
+def window_faults(pages: DataFrame, day: str, window: str, days: int = 7) -> DataFrame:
+    """Rows of a capture by windows (each named by its first day) whose date lies outside of theirs."""
+    return pages.where(~F.col(day).between(F.col(window), F.date_add(F.col(window), days - 1)))
+
+
+def week_windows(first: Column, months: int = 12) -> Column:
+    """The Mondays that cover the time from a day to some months later, as an array."""
+    return F.sequence(F.date_sub(first, F.weekday(first)), F.add_months(first, months), F.make_interval(days=F.lit(7)))
+
+
+def listing_gaps(listing: DataFrame, details: DataFrame, key: str) -> DataFrame:
+    """(key, gap) of ids that a listing has without detail, or a detail without listing."""
+    both = listing.select(key).distinct().withColumn("_l", F.lit(True)).join(details.select(key).distinct().withColumn("_d", F.lit(True)), key, "full_outer")
+    return both.where(F.col("_l").isNull() | F.col("_d").isNull()).select(key, F.when(F.col("_l").isNull(), "unlisted").otherwise("no-detail").alias("gap"))
+
+
+def in_request_order(runs: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Results of several sources as one, with `source` and its `position` in the request."""
+    out = None
+    for n, (name, df) in enumerate(runs):
+        df = df.withColumn("source", F.lit(name)).withColumn("position", F.lit(n))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def merged_structs(df: DataFrame, over: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Rows whose fields are filled from a reference table where they are blank themselves."""
+    o = over.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
+    out = df.join(o, key, "left")
+    return out.withColumns({f: F.coalesce(F.col(f), F.col(f"_{f}")) for f in fields}).drop(*[f"_{f}" for f in fields])
+
+
+def category_names(df: DataFrame, key: str, ids: str, categories: DataFrame, fallback: bool) -> DataFrame:
+    """(key, names) in the order of the ids: unknown ones are left out, or with `fallback` shown as they are."""
+    rows = df.select(key, F.posexplode_outer(ids).alias("_n", "_c")).join(categories.select(F.col("id").alias("_c"), F.col("name").alias("_name")), "_c", "left")
+    shown = F.coalesce("_name", "_c") if fallback else F.col("_name")
+    pairs = F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct("_n", shown.alias("v")))))
+    return rows.groupBy(key).agg(F.transform(pairs, lambda p: p["v"]).alias("names"))
+
+
+def events_of_category(events: DataFrame, occurrences: DataFrame, key: str, ids: str, category: str) -> DataFrame:
+    """Occurrences of the events that have a category."""
+    wanted = events.where(F.array_contains(ids, category)).select(key)
+    return occurrences.join(wanted, key, "left_semi")
+
+
+def field_rules(**rules: Column) -> dict[str, Column]:
+    """Field checks for `violations`, by name; a null value holds unless its rule says otherwise."""
+    return {name.replace("_", "-"): rule for name, rule in rules.items()}
+
+
+def published(df: DataFrame, include_drafts: bool = False) -> DataFrame:
+    return df if include_drafts else df.where("publication = 'published'")
+
+
+def draft_to_event(df: DataFrame) -> DataFrame:
+    """Drafts (title, attendance, note, url, price, sold_out, trusted) as events: unknown attendance is public with a note, trusted
+    ones are published, and there is a booking only if one of its fields is set."""
+    unknown = F.col("attendance") == "unknown"
+    notes = F.nullif(F.concat_ws(" ", F.nullif(F.trim("note"), F.lit("")), F.when(unknown, "Attendance is not stated.")), F.lit(""))
+    booking = F.when(F.col("url").isNotNull() | F.col("price").isNotNull() | F.coalesce("sold_out", F.lit(False)), F.struct("url", "price", "sold_out"))
+    return df.withColumn("note", notes).withColumn("attendance", F.when(unknown, "public").otherwise(F.col("attendance"))).withColumn("publication", F.when(F.col("trusted"), "published").otherwise("draft")).withColumn("booking", booking).drop("url", "price", "sold_out", "trusted")
+
+
+def in_scope(df: DataFrame, key: str, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, excluded ids): what is out of scope still leaves its id, so that a merge can retire it."""
+    return df.where(keep), df.where(~keep).select(key).distinct()
+
+
+def any_pattern(text: Column, patterns: list[str]) -> Column:
+    """Whether one of several patterns is in a text, whatever its case."""
+    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+
+
+def outside_area(text: Column, postcodes: list[str], places: list[str]) -> Column:
+    """Whether a text names a four-digit postcode that isn't one of the area's, or one of the places away from it."""
+    codes = F.regexp_extract_all(text, F.lit(r"\b(\d{4})\b"), 1)
+    away = F.exists(codes, lambda c: ~c.isin(postcodes))
+    return away | any_pattern(text, [rf"\b{p}\b" for p in places])
+
+
+def set_faults(groups: DataFrame) -> DataFrame:
+    """(canonical, fault) of groups (canonical, duplicates array) that list themselves or an id twice."""
+    itself = F.when(F.array_contains("duplicates", F.col("canonical")), "itself")
+    twice = F.when(F.size(F.array_distinct("duplicates")) < F.size("duplicates"), "repeated")
+    return groups.select("canonical", F.explode(F.filter(F.array(itself, twice), lambda x: x.isNotNull())).alias("fault"))
+
+
+def first_and_more(values: Column, most: int = 5) -> Column:
+    """The first few values by commas, and how many more there are."""
+    more = F.size(values) - most
+    return F.concat(F.array_join(F.slice(values, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+
+
+def neighbour_months(months: DataFrame, month: str) -> DataFrame:
+    """Each month with the one before and after it among those that there are; the table is as long as a calendar has months."""
+    w = W.orderBy(month)
+    return months.withColumn("previous", F.lag(month).over(w)).withColumn("next", F.lead(month).over(w))
+
+
+def weekly_gaps(df: DataFrame, key: str, day: str) -> DataFrame:
+    """(key, day, gap) with the days since the key's row before."""
+    return df.withColumn("gap", F.datediff(F.col(day), F.lag(day).over(W.partitionBy(key).orderBy(day))))
+
+
+def patch_keys(raw: DataFrame, key: str, text: str) -> DataFrame:
+    """Patches from JSON texts with `set`, the names that are literally there: a missing field is not an edit, a null one clears."""
+    return raw.withColumn("set", F.json_object_keys(F.get_json_object(text, "$.set"))).where(F.col("set").isNotNull() & F.col(key).isNotNull())
