@@ -128,7 +128,7 @@ def tags_off(c: Column) -> Column:
     c = F.regexp_replace(c, "(?is)<(script|style|head|template|noscript)\\b.*?</\\1\\s*>|<!--.*?-->|<!doctype[^>]*>", " ")
     c = F.regexp_replace(F.regexp_replace(c, "\\s+", " "), "(?i)<(br|/?(p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|form|body|html|dd|dt))\\b[^>]*>", "\n")
     c = F.regexp_replace(c, "<[^>]*>", "")
-    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&laquo;", "«"), ("&raquo;", "»"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(value))
     return F.array_join(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, "\\s+", " "))), lambda x: x != ""), "\n")
 

@@ -1,3 +1,3 @@
 """Named queries; importing this package registers all of them."""
 
-from . import calendar_queries, catalog_queries, duplicate_queries, output_queries, recurrence_queries, snapshot_queries, source_queries, text_queries  # noqa: F401
+from . import announcement_queries, calendar_queries, catalog_queries, duplicate_queries, output_queries, recurrence_queries, snapshot_queries, source_queries, text_queries  # noqa: F401

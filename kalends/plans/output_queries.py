@@ -12,8 +12,13 @@ from kalends.operators import reminders as N
 from .calendar_queries import table
 from .registry import query
 
-NOW = F.expr("timestamp_ntz '2024-01-15 12:00:00'")
-STAMP = F.expr("timestamp_ntz '2024-01-01 06:00:00'")
+
+def now():
+    return F.expr("timestamp_ntz '2024-01-15 12:00:00'")
+
+
+def stamp():
+    return F.expr("timestamp_ntz '2024-01-01 06:00:00'")
 
 
 def _entries(spark, sf_dir):
@@ -25,7 +30,7 @@ def _entries(spark, sf_dir):
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     description = I.description_text(F.when(status == "postponed", "Moved; see the page"), F.col("p_type"), F.lit(" "))
     location = I.location_text(F.concat(F.lit("Hall "), F.col("p_brand")), F.lit(None).cast("string"), F.lit("5970"), F.when(F.col("p_size") > 25, "Town"))
-    lines = I.event_lines(key, STAMP, F.to_date("l_shipdate"), F.when(F.col("l_linenumber") == 6, F.date_add("l_shipdate", 2)), start, end, F.concat("p_name", F.lit(", no; "), F.col("p_type")), description, location,
+    lines = I.event_lines(key, stamp(), F.to_date("l_shipdate"), F.when(F.col("l_linenumber") == 6, F.date_add("l_shipdate", 2)), start, end, F.concat("p_name", F.lit(", no; "), F.col("p_type")), description, location,
                           F.col("o_orderpriority"), F.array("p_brand", F.lit("a,b")), F.concat(F.lit("https://example.org/"), F.col("l_orderkey").cast("string")), status, F.when(F.col("l_tax") > 0.04, F.col("o_orderdate")))
     return li.select("l_orderkey", key.alias("occurrence"), F.coalesce(F.date_format(start, "yyyy-MM-dd'T'HH:mm"), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("start_key"), lines.alias("lines"))
 
@@ -103,25 +108,25 @@ def reminder_reconcile(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_id % 7 <> 0")
     start = F.timestamp_add("MINUTE", F.when(F.col("event_id") % 3 == 0, 45).otherwise(0), F.date_trunc("second", "ts").cast("timestamp_ntz"))
     catalog = e.select(F.col("event_id").alias("id"), start.alias("start"), F.col("event_type").alias("title"))
-    return _shown(N.reconcile(_reminders(spark, sf_dir), catalog, NOW, ["title"]), "start", "notify", "delivered")
+    return _shown(N.reconcile(_reminders(spark, sf_dir), catalog, now(), ["title"]), "start", "notify", "delivered")
 
 
 @query("reminder_expiry", REMINDERS + f"select id, lead, {_text('start', 'notify')} from r where start + {EXPIRES} > timestamp '2024-01-15 12:00:00'")
 def reminder_expiry(spark, sf_dir):
-    return _shown(N.prune_expired(_reminders(spark, sf_dir), NOW).select("id", "lead", "start", "notify"), "start", "notify")
+    return _shown(N.prune_expired(_reminders(spark, sf_dir), now()).select("id", "lead", "start", "notify"), "start", "notify")
 
 
 @query("reminder_delivery", REMINDERS + f"""
 select id, case when delivered is not null then 'none' when start + {EXPIRES} <= timestamp '2024-01-15 12:00:00' then 'mark' when notify <= timestamp '2024-01-15 12:00:00' then 'show' else 'none' end as action from r""")
 def reminder_delivery(spark, sf_dir):
-    return N.deliver(_reminders(spark, sf_dir), NOW).select("id", "action")
+    return N.deliver(_reminders(spark, sf_dir), now()).select("id", "action")
 
 
 @query("next_wake", REMINDERS + f"""
 select user_id, {_text('wake')} from (select user_id, least(case when min(notify) <= timestamp '2024-01-15 12:00:00' then timestamp '2024-01-15 12:01:00' else min(notify) end, timestamp '2024-01-16 12:00:00') as wake
 from r where delivered is null and start + {EXPIRES} > timestamp '2024-01-15 12:00:00' group by 1)""")
 def next_wake(spark, sf_dir):
-    return _shown(N.next_wake(_reminders(spark, sf_dir), "user_id", NOW), "wake")
+    return _shown(N.next_wake(_reminders(spark, sf_dir), "user_id", now()), "wake")
 
 
 def _subscriptions(spark, sf_dir):

@@ -13,17 +13,20 @@ from kalends.operators import recurrence as R
 from .calendar_queries import table
 from .registry import query
 
-EVENING = F.expr("o_orderdate + interval 18 hours")
 END = "date '1996-06-30'"
 
 
+def evening():
+    return F.expr("o_orderdate + interval 18 hours")
+
+
 @query("expand_weekly", f"""
 with r as (select o_orderkey as id, cast(o_orderdate as date) as d0, cast(1 + o_orderkey % 3 as integer) as n from orders where cast(o_orderdate as date) <= {END}),
 w as (select id, d0, cast(unnest(generate_series(d0 - (isodow(d0)::int - 1), {END}, to_days(7 * n))) as date) as week from r)
 select id, week + k as date from w, (values (0), (3)) b(k) where week + k >= d0 and week + k between date '1996-05-01' and {END}""", dates=("date",))
 def expand_weekly(spark, sf_dir):
     rule = F.concat(F.lit("FREQ=WEEKLY;INTERVAL="), (1 + F.col("o_orderkey") % 3).cast("string"), F.lit(";BYDAY=MO,TH"))
-    rules = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), EVENING.alias("dtstart"), rule.alias("rule"))
+    rules = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), evening().alias("dtstart"), rule.alias("rule"))
     return R.expand_rules(rules, "id", date(1996, 5, 1), date(1996, 6, 30)).select("id", F.to_date("recurrence").alias("date"))
 
 
@@ -35,7 +38,7 @@ d as (select id, d0, case when id % 2 = 0 then m + ((2 - isodow(m)::int + 7) % 7
 select id, date from d where date >= d0 and date between date '1995-09-01' and {END} and month(date) in (1, 2, 3, 4, 5, 9, 10, 11)""", dates=("date",))
 def expand_monthly_nth(spark, sf_dir):
     rule = F.when(F.col("o_orderkey") % 2 == 0, "FREQ=MONTHLY;BYDAY=2TU;BYMONTH=1,2,3,4,5,9,10,11").otherwise("FREQ=MONTHLY;BYDAY=FR;BYSETPOS=-1;BYMONTH=1,2,3,4,5,9,10,11")
-    rules = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), EVENING.alias("dtstart"), rule.alias("rule"))
+    rules = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), evening().alias("dtstart"), rule.alias("rule"))
     return R.expand_rules(rules, "id", date(1995, 9, 1), date(1996, 6, 30)).select("id", F.to_date("recurrence").alias("date"))
 
 
@@ -59,7 +62,7 @@ def expand_count_exdate(spark, sf_dir):
     until = F.concat(F.lit("FREQ=DAILY;INTERVAL=2;UNTIL="), F.date_format(F.date_add("o_orderdate", 8), "yyyyMMdd"))
     rule = F.when(F.col("o_orderkey") % 2 == 0, "FREQ=DAILY;INTERVAL=2;COUNT=10").otherwise(until)
     at = lambda n: F.expr(f"o_orderdate + interval {24 * n + 18} hours")
-    rules = o.select(F.col("o_orderkey").alias("id"), EVENING.alias("dtstart"), rule.alias("rule"), F.array(at(2), at(3)).alias("rdates"), F.array(at(4)).alias("exdates"))
+    rules = o.select(F.col("o_orderkey").alias("id"), evening().alias("dtstart"), rule.alias("rule"), F.array(at(2), at(3)).alias("rdates"), F.array(at(4)).alias("exdates"))
     return R.expand_rules(rules, "id", date(1995, 1, 1), date(2001, 12, 31)).select("id", F.to_date("recurrence").alias("date"))
 
 
