@@ -76,7 +76,11 @@ def pack_strings(strings: list[bytes], times: np.ndarray | None = None) -> bytes
 
 
 def unpack_strings(blob: bytes) -> list[bytes]:
-    x = unpack(blob)
+    return strings_of(unpack(blob))
+
+
+def strings_of(x: dict[str, np.ndarray]) -> list[bytes]:
+    """The strings of an unpacked value of `pack_strings`."""
     data, ends = x["data"].tobytes(), np.cumsum(x["lengths"].astype(np.int64)).tolist()
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
@@ -133,7 +137,9 @@ def with_answers(codes: DataFrame, answers: DataFrame, finish: Callable[[dict[st
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by("part")
-        return finish(unpack(rows["blob"][0].as_py()), [unpack(x.as_py()) for x in rows["blob"][1:]])
+        out = finish(unpack(rows["blob"][0].as_py()), [unpack(x.as_py()) for x in rows["blob"][1:]])
+        release_memory()
+        return out
 
     return codes.unionByName(answers).groupBy("chunk").applyInArrow(run, schema)
 

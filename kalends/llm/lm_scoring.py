@@ -1,25 +1,31 @@
-"""Language-model scoring: causal self-attention over words made of subword ids, trained and run in numpy within tasks."""
+"""Language-model scoring: causal self-attention over subword ids, trained and run in numpy within tasks."""
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dictionaries import dictionary_chunks, id_array, pack, unpack, unpack_strings, with_answers
+from .dictionaries import dictionary_chunks, id_array, pack, strings_of, unpack, with_answers
 from .scratch import Scratch
-from .words import mix, split_words
+from .token_counts import PATTERN, SAME_BELOW
+from .words import byte_characters, mix, release_memory, releasing, split_words
 
-#: Positions scored in a context window, and positions before them that it also holds: windows overlap by BEFORE.
-SCORED, BEFORE = 32, 32
-#: Windows whose attention is computed at once.
-BATCH = 256
+#: Positions (subword ids) of a context window that predict, and positions before them that it also holds: windows
+#: overlap by BEFORE.
+SCORED, BEFORE = 24, 8
+#: Words of a stretch that one component explains in EM; windows whose attention is computed at once; heads' width.
+STRETCH, BATCH, HEAD = 32, 64, 8
 
 
 @dataclass(frozen=True)
@@ -55,49 +61,50 @@ def _count_words(path: str):
         """For the words of one part of all dictionaries: their training counts and subword ids, and the part's totals."""
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        blobs, counts, held = rows["blob"].to_pylist(), {}, []
-        for blob in blobs:
-            words, times = unpack_strings(blob), unpack(blob)["times"].tolist()
-            held.append(words)
-            for w, n in zip(words, times, strict=True):
-                counts[w] = counts.get(w, 0) + n
-        names, ids = list(counts), {}
-        for i in range(0, len(names), 2048):
-            some = names[i : i + 2048]
-            ids.update(zip(some, (e.ids for e in tok.encode_batch_fast([" " + w.decode() for w in some], add_special_tokens=False)), strict=True))
-        out = []
-        for words in held:
+        tok, characters = Tokenizer.from_file(path), byte_characters()
+        pre, tokenize = tok.pre_tokenizer.pre_tokenize_str, tok.model.tokenize
+        pattern, beyond = regex.compile(PATTERN), re.compile(f"[^\\x00-{chr(SAME_BELOW - 1)}]")
+        counts: dict[bytes, int] = defaultdict(int)
+        for blob in rows["blob"]:
+            held = unpack(blob.as_py())
+            for w, n in zip(strings_of(held), held["times"].tolist(), strict=True):
+                counts[w] += n
+
+        def of(part: str) -> list[int]:
+            return [t.id for t in tokenize(part.encode().decode("latin-1").translate(characters))]
+
+        def ids_of(w: bytes) -> bytes:
+            if w.isalpha():  # ASCII letters are one pre-token
+                return array("I", [t.id for t in tokenize("\u0120" + w.decode())]).tobytes()
+            text = w.decode()
+            if beyond.search(text):
+                return array("I", [t.id for p, _ in pre(" " + text) for t in tokenize(p)]).tobytes()
+            parts = [" " + text] if text.isalpha() else pattern.findall(" " + text)
+            return array("I", [i for p in parts for i in of(p)]).tobytes()
+
+        ids, out = {w: ids_of(w) for w in counts}, []
+        for blob in rows["blob"]:
+            words = strings_of(unpack(blob.as_py()))
             pieces = [ids[w] for w in words]
-            out.append(pack(c=np.array([counts[w] for w in words], np.uint64), n=np.fromiter(map(len, pieces), np.uint32, len(pieces)), ids=np.fromiter((x for p in pieces for x in p), np.uint32)))
-        zeros = np.zeros(len(blobs), np.int64)
-        totals = [zeros.copy() for _ in range(3)]
-        if len(blobs):
+            c = np.fromiter((counts[w] for w in words), np.uint64, len(words))
+            out.append(pack(c=c, n=np.fromiter(map(len, pieces), np.uint32, len(pieces)) // 4, ids=np.frombuffer(b"".join(pieces), np.uint32)))
+        totals = [np.zeros(len(out), np.int64) for _ in range(3)]
+        if len(out):
             c = np.fromiter(counts.values(), np.int64, len(counts))
             for t, v in zip(totals, (c.sum(), (c > 0).sum(), (c == 1).sum()), strict=True):
                 t[0] = v
+        del ids, counts
+        release_memory()
         return pa.table({"chunk": rows["chunk"], "part": rows["part"], "blob": pa.array(out, pa.binary()), "tokens": totals[0], "types": totals[1], "once": totals[2]})
 
     return run
 
 
-def _gather(share: int, fold: int, folds: int):
-    """A chunk's codes and answers in one blob (kind 0), and the same for a fixed share of its training documents (kind 1)."""
-
-    def run(codes: dict[str, np.ndarray], answers: list[dict[str, np.ndarray]]) -> pa.Table:
-        parts = {k: np.concatenate([a[k] for a in answers]) if answers else np.zeros(0, np.uint32) for k in ("c", "n", "ids")}
-        whole = pack(id=codes["id"], null=codes["null"], n=codes["n"], codes=codes["codes"], c=parts["c"], subwords=parts["n"], ids=parts["ids"])
-        key = mix(codes["id"].view(np.uint64) + np.uint64(17)) >> np.uint64(8)
-        used = ~held_out(codes["id"], codes["null"], fold, folds) & (key % np.uint64(share) == 0)
-        mine, inverse = np.unique(codes["codes"][np.repeat(used, codes["n"])], return_inverse=True)
-        ends = np.cumsum(parts["n"].astype(np.int64))
-        size = parts["n"][mine].astype(np.int64)
-        at = np.repeat(ends[mine] - size - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        some = pack(id=codes["id"][used], null=codes["null"][used], n=codes["n"][used], codes=inverse.astype(np.uint32), c=parts["c"][mine], subwords=parts["n"][mine], ids=parts["ids"][at])
-        return pa.table({"kind": pa.array([0, 1], pa.int32()), "blob": pa.array([whole, some], pa.binary())})
-
-    return run
+def _gather(codes: dict[str, np.ndarray], answers: list[dict[str, np.ndarray]]) -> pa.Table:
+    """A chunk's codes and answers in one blob."""
+    parts = {k: np.concatenate([a[k] for a in answers]) if answers else np.zeros(0, np.uint32) for k in ("c", "n", "ids")}
+    whole = pack(id=codes["id"], null=codes["null"], n=codes["n"], codes=codes["codes"], c=parts["c"], subwords=parts["n"], ids=parts["ids"])
+    return pa.table({"blob": pa.array([whole], pa.binary())})
 
 
 class Chunk:
@@ -129,42 +136,49 @@ class Chunk:
         return x / x.sum(1, keepdims=True)
 
 
-def _expect(m: Model, fold: int, folds: int, first_round: bool):
-    """One EM round over training stretches of SCORED words: expected subword counts by component."""
-    k = len(m.prior)
+def each_chunk(batches: Iterator[pa.RecordBatch], fold: int, folds: int) -> Iterator[Chunk]:
+    for b in batches:
+        for blob in b.column("blob"):
+            yield Chunk(blob.as_py(), fold, folds)
+
+
+def _expect(m: Model, fold: int, folds: int, share: int, first_round: bool):
+    """One EM round over 1 in `share` training stretches of STRETCH words: a task's expected subword counts by component."""
+    k, v = len(m.prior), len(m.first)
+
+    def add(x: Chunk, sums: list[np.ndarray]) -> None:
+        row = np.repeat(np.arange(len(x.n)), x.n)
+        place = np.arange(len(x.codes)) - x.at[row]
+        new = np.flatnonzero(place % STRETCH == 0)
+        size = np.diff(np.append(new, len(x.codes)))
+        key = mix(x.ids[row[new]].view(np.uint64) + place[new].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+        used = ~x.out[row[new]] & ((key >> np.uint64(9)) % np.uint64(share) == 0)
+        codes, size, key = x.codes[np.repeat(used, size)], size[used], key[used]
+        if not len(size):
+            return
+        if first_round:
+            r = np.eye(k, dtype=np.float32)[(key % np.uint64(k)).astype(int)] * 0.9 + np.float32(0.1 / k)
+        else:
+            logs = np.add.reduceat(x.spelled(m)[codes], np.cumsum(size) - size, axis=0) + m.prior
+            r = np.exp(logs - logs.max(1, keepdims=True))
+            r /= r.sum(1, keepdims=True)
+        which = np.repeat(np.arange(len(size)), size)
+        weight = np.stack([np.bincount(codes, r[which, z], len(x.c)) for z in range(k)], 1)
+        for n, mask in enumerate((x.is_first, ~x.is_first)):
+            for z in range(k):
+                sums[n][:, z] += np.bincount(x.flat[mask], weight[x.word_of[mask], z], v)
+        sums[2] += weight.sum(0)[None]
+        sums[3] += r.sum(0)[None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for blob in b.column("blob").to_pylist():
-                x = Chunk(blob, fold, folds)
-                row = np.repeat(np.arange(len(x.n)), x.n)
-                place = np.arange(len(x.codes)) - x.at[row]
-                new = np.flatnonzero(place % SCORED == 0)
-                if not len(new):
-                    continue
-                size = np.diff(np.append(new, len(x.codes)))
-                if first_round:
-                    key = mix(x.ids[row[new]].view(np.uint64) + place[new].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-                    r = np.eye(k, dtype=np.float32)[(key % np.uint64(k)).astype(int)] * 0.9 + np.float32(0.1 / k)
-                else:
-                    logs = np.add.reduceat(x.spelled(m)[x.codes], new, axis=0) + m.prior
-                    r = np.exp(logs - logs.max(1, keepdims=True))
-                    r /= r.sum(1, keepdims=True)
-                codes, which = x.codes, np.repeat(np.arange(len(new)), size)
-                weight = np.stack([np.bincount(codes, r[which, z], len(x.c)) for z in range(k)], 1)
-                out = []
-                for kind, mask in ((0, x.is_first), (1, ~x.is_first)):
-                    t = x.flat[mask]
-                    if len(t):
-                        sums = np.stack([np.bincount(t, weight[x.word_of[mask], z]) for z in range(k)], 1)
-                        some = np.flatnonzero(sums.any(1))
-                        out.append((kind, some, sums[some]))
-                out += [(2, np.zeros(1, int), weight.sum(0)[None]), (3, np.zeros(1, int), r.sum(0)[None])]
-                kinds = np.concatenate([np.full(len(t), kind) for kind, t, _ in out])
-                sums = np.concatenate([s for _, _, s in out])
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(np.concatenate([t for _, t, _ in out]), pa.int32()), *(pa.array(sums[:, z].astype(np.float64)) for z in range(k))], ["kind", "t", *(f"z{z}" for z in range(k))])
+        sums = [np.zeros((v, k)), np.zeros((v, k)), np.zeros((1, k)), np.zeros((1, k))]
+        for x in each_chunk(batches, fold, folds):
+            add(x, sums)
+        for kind, s in enumerate(sums):
+            some = np.flatnonzero(s.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind), pa.int32()), pa.array(some, pa.int32()), *(pa.array(s[some, z]) for z in range(k))], ["kind", "t", *(f"z{z}" for z in range(k))])
 
-    return run
+    return releasing(run)
 
 
 def _maximise(m: Model, rows: list, smooth: float) -> Model:
@@ -183,11 +197,11 @@ def _maximise(m: Model, rows: list, smooth: float) -> Model:
     return replace(m, first=np.log(first / first.sum(0)).astype(np.float32), later=np.log(later / later.sum(0)).astype(np.float32), prior=np.log(prior / prior.sum()).astype(np.float32))
 
 
-# --- attention: inputs are the words' component shares and a one; the output is a distribution over components
+# --- attention: inputs are subword ids' vectors and a one; the output is a distribution over components
 
 
 def _shapes(k: int) -> dict[str, tuple[int, ...]]:
-    return {"q": (k + 1, 8), "key": (k + 1, 8), "v": (k + 1, k), "o": (k, k), "u": (k + 1, k), "near": (SCORED + BEFORE,), "b": (k,)}
+    return {"q": (k + 1, HEAD), "key": (k + 1, HEAD), "v": (k + 1, k), "o": (k, k), "u": (k + 1, k), "near": (SCORED + BEFORE,), "b": (k,)}
 
 
 def split_parameters(flat: np.ndarray, k: int) -> dict[str, np.ndarray]:
@@ -207,7 +221,7 @@ def initial_attention(k: int) -> np.ndarray:
 
 
 def windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For documents of n words and an end each: every window's document, first scored position and positions scored."""
+    """For documents of n ids and an end each: every window's document, first predicting position and how many there are."""
     length = n + 1
     count = -(-length // SCORED)
     doc = np.repeat(np.arange(len(n)), count)
@@ -215,175 +229,179 @@ def windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return doc, first, np.minimum(SCORED, length[doc] - first), np.concatenate([[0], np.cumsum(length)])
 
 
-def attend(p: dict[str, np.ndarray], x: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Log component weights for each scored position from inputs (windows, BEFORE + SCORED, k + 1) up to it."""
-    q, key, v = x[:, BEFORE:] @ p["q"], x @ p["key"], x @ p["v"]
-    s = q @ key.transpose(0, 2, 1) * np.float32(1 / np.sqrt(8))
-    i, j = np.arange(SCORED)[:, None] + BEFORE, np.arange(BEFORE + SCORED)[None]
-    s += p["near"][np.clip(i - j, 0, BEFORE + SCORED - 1)]
-    seen = (j <= i)[None] & there[:, None, :]
-    s[~seen] = -np.inf
-    a = np.exp(s - s.max(2, keepdims=True))
-    a /= a.sum(2, keepdims=True)
-    h = a @ v
+def attend(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Log component weights for each predicting position from inputs (windows, BEFORE + SCORED, k + 1) up to it.
+
+    The last number of an input is one, or the whole input is zero where there is no such position; such ones then add
+    nothing to the weighted sums, nor to the sum of weights, which is the one's.
+    """
+    k = x.shape[2] - 1
+    q, key = x[:, BEFORE:] @ (p["q"] * np.float32(1 / np.sqrt(HEAD))), x @ p["key"]
+    v = np.concatenate([x @ p["v"], x[..., k:]], 2)
+    gap = np.arange(SCORED)[:, None] + BEFORE - np.arange(BEFORE + SCORED)[None]
+    e = q @ key.transpose(0, 2, 1)
+    e += np.where(gap >= 0, p["near"][np.clip(gap, 0, None)], -np.inf).astype(x.dtype)
+    # inputs are shares and a one, so parameters bound the scores; only then can exp not overflow
+    if 4 * (np.abs(p["q"]).max(0) * np.abs(p["key"]).max(0)).sum() + np.abs(p["near"]).max() > 80:
+        np.minimum(e, 80, out=e)
+    np.exp(e, out=e)
+    h = e @ v
+    total = h[..., k:] + np.finfo(x.dtype).tiny
+    h = h[..., :k] / total
     logits = h @ p["o"] + x[:, BEFORE:] @ p["u"] + p["b"]
     top = logits.max(2, keepdims=True)
-    return logits - top - np.log(np.exp(logits - top).sum(2, keepdims=True)), (q, key, v, a, h, i - j)
+    return logits - top - np.log(np.exp(logits - top).sum(2, keepdims=True)), (q, key, v[..., :k], e, total, h, gap)
 
 
-def gradient(p: dict[str, np.ndarray], x: np.ndarray, there: np.ndarray, emit: np.ndarray, scored: np.ndarray) -> tuple[float, np.ndarray]:
-    """Summed negative log-likelihood of scored positions and its gradient, flat; emit: each one's likelihood by component."""
-    logp, (q, key, v, a, h, gap) = attend(p, x, there)
+def gradient(p: dict[str, np.ndarray], x: np.ndarray, emit: np.ndarray, scored: np.ndarray) -> tuple[float, np.ndarray]:
+    """Summed negative log-likelihood of predicting positions and its gradient, flat; emit: each one's likelihood by component."""
+    logp, (q, key, v, e, total, h, gap) = attend(p, x)
     w = np.exp(logp)
     mixed = (w * emit).sum(2)
     g = (w - w * emit / mixed[..., None]) * scored[..., None]
     xs = x[:, BEFORE:]
-    k = emit.shape[2]
     flat = lambda t: t.reshape(-1, t.shape[-1])
     dh = g @ p["o"].T
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    scale = np.float32(1 / np.sqrt(8))
-    dq, dkey, dv = ds @ key * scale, ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ dh
-    near = np.bincount(np.clip(gap, 0, None).ravel(), ds.sum(0).ravel() * (gap >= 0).ravel(), BEFORE + SCORED)[: BEFORE + SCORED]
+    a = np.divide(e, total, out=e)
+    ds = dh @ v.transpose(0, 2, 1)
+    ds -= (dh * h).sum(2, keepdims=True)
+    ds *= a
+    scale = np.float32(1 / np.sqrt(HEAD))
+    dq, dkey, dv = ds @ key * scale, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
+    by_place = np.einsum("wij,wj->ij", ds, x[..., -1])
+    near = np.bincount(np.clip(gap, 0, None).ravel(), (by_place * (gap >= 0)).ravel(), BEFORE + SCORED)[: BEFORE + SCORED]
     parts = {"q": flat(xs).T @ flat(dq), "key": flat(x).T @ flat(dkey), "v": flat(x).T @ flat(dv), "o": flat(h).T @ flat(g), "u": flat(xs).T @ flat(g), "near": near, "b": g.sum((0, 1))}
-    return float(-(np.log(mixed) * scored).sum()), np.concatenate([parts[n].ravel() for n in _shapes(k)]).astype(np.float64)
+    return float(-(np.log(mixed) * scored).sum()), np.concatenate([parts[n].ravel() for n in _shapes(emit.shape[2])]).astype(np.float64)
 
 
-def _emissions(x: Chunk, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log scale, likelihood over it by component, input) for each distinct word, and then for the end of a document."""
-    k = len(m.prior)
+def _emissions(x: Chunk, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(log scale, likelihood over it by component) of each distinct word, and then of the end of a document."""
     spelled = x.spelled(m).astype(np.float64)
-    shares = x.shares(spelled, m)
     with np.errstate(divide="ignore"):
-        seen = np.log((1 - m.rate) * x.c / max(m.total, 1))[:, None] + np.log(shares) - np.log(m.known)
+        seen = np.log((1 - m.rate) * x.c / max(m.total, 1))[:, None] + np.log(x.shares(spelled, m)) - np.log(m.known)
     logs = np.logaddexp(seen, np.log(m.rate) + spelled)
-    logs = np.concatenate([logs, np.full((1, k), np.log((1 - m.rate) * max(m.ends, 1e-9) / max(m.total, 1)))])
+    logs = np.concatenate([logs, np.full((1, len(m.prior)), np.log((1 - m.rate) * max(m.ends, 1e-9) / max(m.total, 1)))])
     top = logs.max(1)
-    # inputs: a word's shares; the start of a document has the components' own; nothing is put in for an end
-    inputs = np.concatenate([shares, np.exp(m.prior)[None] / np.exp(m.prior).sum()])
-    inputs = np.concatenate([inputs, np.ones((len(inputs), 1))], 1)
-    return top, np.exp(logs - top[:, None]).astype(np.float32), inputs.astype(np.float32)
-
-
-def _batches(x: Chunk, m: Model, keep=None):
-    """Arrays for some windows at once: positions (into scored tokens), inputs, which exist, emissions, which are scored."""
-    top, emit, inputs = _emissions(x, m)
-    doc, first, count, at = windows(x.n)
-    if keep is not None:
-        some = keep(x, doc, first)
-        doc, first, count = doc[some], first[some], count[some]
-    special = len(x.c)  # the code of an end as a target and of a start as an input
-    target = np.full(at[-1], special)
-    inside = np.ones(at[-1], bool)
-    inside[at[1:] - 1] = False
-    target[inside] = x.codes
-    source = np.full(at[-1], special)
-    inside = np.ones(at[-1], bool)
-    inside[at[:-1]] = False
-    source[inside] = x.codes
+    return top, np.exp(logs - top[:, None]).astype(np.float32)
+
+
+def vectors(m: Model) -> np.ndarray:
+    """The input vector of every subword id as a word's first (row t) and as a later one (row t + vocabulary), of the start, and of nothing.
+
+    It is the posterior of the components given the id alone, and a one; zeros for nothing.
+    """
+    table = np.concatenate([m.first, m.later[: len(m.first)], np.zeros((1, len(m.prior)), np.float32)]) + m.prior
+    table = np.exp(table - table.max(1, keepdims=True))
+    table /= table.sum(1, keepdims=True)
+    return np.pad(np.concatenate([table, np.ones((len(table), 1), np.float32)], 1), ((0, 1), (0, 0))).astype(np.float32)
+
+
+def _batches(x: Chunk, m: Model, table: np.ndarray, train: bool):
+    """Arrays for some windows at once: documents, inputs, emissions, which predict, log scales.
+
+    A document's positions are its start and its subword ids. The start and each word's last id predict the next word, all
+    of its ids at once, or the end.
+    """
+    top, emit = _emissions(x, m)
+    pieces = x.subwords[x.codes]
+    row = np.repeat(np.arange(len(x.n)), x.n)
+    ids_of = np.bincount(row, pieces, len(x.n)).astype(np.int64)
+    doc, first, count, at = windows(ids_of)
+    if train:
+        doc, first, count = (v[~x.out[doc]] for v in (doc, first, count))
+    starts = at[:-1]
+    before = np.cumsum(pieces) - pieces + row + 1  # where a word's ids begin, each document having one start
+    source = np.full(at[-1] + 1, len(table) - 2)
+    source[-1] = len(table) - 1  # where a window has no position
+    inside = np.ones(at[-1] + 1, bool)
+    inside[starts] = inside[-1] = False
+    # id k of a word stands in x.flat at its word's start plus k
+    place = np.repeat(x.starts[x.codes] - (np.cumsum(pieces) - pieces), pieces) + np.arange(pieces.sum())
+    source[inside] = (x.flat + np.where(x.is_first, 0, len(m.first)))[place]
+    target = np.full(at[-1] + 1, -1)
+    target[before - 1] = x.codes
+    target[at[1:] - 1] = len(x.c)
     for lo in range(0, len(doc), BATCH):
         d, f, c = doc[lo : lo + BATCH], first[lo : lo + BATCH], count[lo : lo + BATCH]
-        place = f[:, None] + np.arange(-BEFORE, SCORED)
-        there = (place >= 0) & (place < (f + c)[:, None])
-        token = np.where(there, at[d][:, None] + place, 0)
-        scored = there[:, BEFORE:]
+        where = f[:, None] + np.arange(-BEFORE, SCORED)
+        there = (where >= 0) & (where < (f + c)[:, None])
+        token = np.where(there, at[d][:, None] + where, at[-1])
         t = target[token[:, BEFORE:]]
-        # positions after the end see what is there; they are not scored
-        sight = there.copy()
-        sight[:, BEFORE] = True
-        yield d, inputs[source[token]], sight, emit[t], scored, top[t]
-
+        yield d, table[source[token]], emit[t], t >= 0, top[t]
 
-def _train(m: Model, seed: int, share: int, fold: int, folds: int, step: float):
-    """Passes over a share of the training windows with Adam, from the shared parameters; their weighted sum per task."""
-    k = len(m.prior)
 
-    def keep(x: Chunk, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-        key = (x.ids[doc].astype(np.uint64) * np.uint64(0x94D049BB133111EB) + first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) >> np.uint64(20)
-        return ~x.out[doc] & (key % np.uint64(share) == 0)
+def _train(m: Model, fold: int, folds: int, step: float):
+    """A pass over all training windows with Adam, from the shared parameters; their weighted sum per task."""
+    k, table = len(m.prior), vectors(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = m.attention.astype(np.float64)
         one, two, n, steps = np.zeros_like(flat), np.zeros_like(flat), 0.0, 0
-        for b in batches:
-            for blob in b.column("blob").to_pylist():
-                for _, x, there, emit, scored, _ in _batches(Chunk(blob, fold, folds), m, keep):
-                    size = float(scored.sum())
-                    if not size:
-                        continue
-                    _, g = gradient(split_parameters(flat.astype(np.float32), k), x, there, emit, scored.astype(np.float32))
-                    steps, n, g = steps + 1, n + size, g / size
-                    one, two = 0.9 * one + 0.1 * g, 0.99 * two + 0.01 * g * g
-                    flat = flat - step * (one / (1 - 0.9**steps)) / (np.sqrt(two / (1 - 0.99**steps)) + 1e-8)
+        for x in each_chunk(batches, fold, folds):
+            for _, inputs, emit, scored, _ in _batches(x, m, table, True):
+                size = float(scored.sum())
+                if not size:
+                    continue
+                _, g = gradient(split_parameters(flat.astype(np.float32), k), inputs, emit, scored.astype(np.float32))
+                steps, n, g = steps + 1, n + size, g / size
+                one, two = 0.9 * one + 0.1 * g, 0.99 * two + 0.01 * g * g
+                flat = flat - step / np.sqrt(1 + steps / 50) * (one / (1 - 0.9**steps)) / (np.sqrt(two / (1 - 0.99**steps)) + 1e-8)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * n), pa.array(np.full(len(flat), n))], ["i", "value", "weight"])
 
-    return run
+    return releasing(run)
 
 
 def _known(m: Model, fold: int, folds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(m.prior))
-        for b in batches:
-            for blob in b.column("blob").to_pylist():
-                x = Chunk(blob, fold, folds)
-                times = np.bincount(x.codes[np.repeat(~x.out, x.n)], minlength=len(x.c))
-                total += times @ x.shares(x.spelled(m).astype(np.float64), m)
+        for x in each_chunk(batches, fold, folds):
+            times = np.bincount(x.codes[np.repeat(~x.out, x.n)], minlength=len(x.c))
+            total += times @ x.shares(x.spelled(m).astype(np.float64), m)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["z", "share"])
 
-    return run
+    return releasing(run)
 
 
 def _score(m: Model, types: int, fold: int, folds: int):
+    k, p, table = len(m.prior), split_parameters(m.attention, len(m.prior)), vectors(m)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, p = len(m.prior), split_parameters(m.attention, len(m.prior))
-        for b in batches:
-            for blob in b.column("blob").to_pylist():
-                x = Chunk(blob, fold, folds)
-                scores = np.zeros(len(x.n))
-                for doc, inputs, there, emit, scored, top in _batches(x, m):
-                    logp, _ = attend(p, inputs, there)
-                    mixed = np.log((np.exp(logp) * emit).sum(2)) + top
-                    scores += np.bincount(doc, (mixed * scored).sum(1), len(scores))
-                base = np.bincount(np.repeat(np.arange(len(x.n)), x.n), np.log10((x.c + 1) / (m.total + types + 1))[x.codes], len(x.n))
-                known = np.concatenate([[0], np.cumsum((x.c > 0)[x.codes])])
-                end = np.log10((m.ends + 1) / (m.total + types + 1))
-                columns = {
-                    "doc_id": id_array({"id": x.ids, "null": x.null}), "held_out": pa.array(x.out), "n_tokens": pa.array(x.n + 1), "n_known": pa.array(known[x.at[1:]] - known[x.at[:-1]] + int(m.ends > 0)),
-                    "train_tokens": pa.array(np.full(len(x.n), m.total)), "base_score": pa.array(base + end), "score": pa.array(scores / np.log(10)),
-                }
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        for x in each_chunk(batches, fold, folds):
+            scores = np.zeros(len(x.n))
+            for doc, inputs, emit, scored, top in _batches(x, m, table, False):
+                logp, _ = attend(p, inputs)
+                mixed = np.log((np.exp(logp) * emit).sum(2)) + top
+                scores += np.bincount(doc, (mixed * scored).sum(1), len(scores))
+            base = np.bincount(np.repeat(np.arange(len(x.n)), x.n), np.log10((x.c + 1) / (m.total + types + 1))[x.codes], len(x.n))
+            known = np.concatenate([[0], np.cumsum((x.c > 0)[x.codes])])
+            end = np.log10((m.ends + 1) / (m.total + types + 1))
+            columns = {
+                "doc_id": id_array({"id": x.ids, "null": x.null}), "held_out": pa.array(x.out), "n_tokens": pa.array(x.n + 1), "n_known": pa.array(known[x.at[1:]] - known[x.at[:-1]] + int(m.ends > 0)),
+                "train_tokens": pa.array(np.full(len(x.n), m.total)), "base_score": pa.array(base + end), "score": pa.array(scores / np.log(10)),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return releasing(run)
 
-    return run
 
+@dataclass(frozen=True)
+class Fitted:
+    """Documents' coded chunks in a table, the model that learned from those of training, and its number of word types."""
 
-def lm_scores(
-    docs: DataFrame, tokenizer: str, fold: int = 2, folds: int = 7, components: int = 8, em_rounds: int = 8, em_share: int = 1, rounds: int = 3, share: int = 1,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """Log10 probability of every text by a causal self-attention model, beside a smoothed unigram's.
+    chunks: DataFrame
+    model: Model
+    types: int
 
-    Returns doc id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score and score. Words are
-    lower-cased (A-Z) and made of subword ids of a byte-level tokenizers file. A word's likelihood by component mixes
-    its training count, shared out by how its subwords are spelled in each component, with its spelling alone, so every
-    word has a probability and all sum to one. Attention over the words before gives the components' weights. Components are fitted
-    by EM, attention by Adam in numpy within tasks whose parameters are averaged, over all training documents and windows (a caller may
-    take 1 in `em_share` of the documents and 1 in `share` of their windows); word counts and shares are always over all training
-    documents. Scoring windows hold SCORED positions and BEFORE more, so each token is scored once, in masked batches.
 
-    Training documents are those whose crc32 of the id as text mod `folds` is not `fold`. Null text is empty: one
-    token, the end. A null id's crc is that of empty text. Repeated rows are all scored (and count). An empty table
-    gives no rows. Only parameters and sums by subword reach the driver.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
+def fit_lm(docs: DataFrame, tokenizer: str, scratch: Scratch, fold: int, folds: int, components: int, em_shares: Sequence[int], rounds: int, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
+    """Codes the documents and learns from those of training; see `lm_scores`."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = lambda held: ~held_out(held["id"], held["null"], fold, folds)
     codes, pieces = dictionary_chunks(slim, lambda: _words, False, scratch, 4 << 20, counted)
     answers = scratch.write(pieces.groupBy("part").applyInArrow(_count_words(tokenizer), "chunk long, part int, blob binary, tokens long, types long, once long"), "answers")
     scratch.drop(pieces)
-    both = scratch.write(with_answers(codes, answers.select("chunk", "part", "blob"), _gather(em_share, fold, folds), "kind int, blob binary"), "coded", by="kind")
-    coded, sample = scratch.part(both, "kind=0"), scratch.part(both, "kind=1")
+    coded = scratch.write(with_answers(codes, answers.select("chunk", "part", "blob"), _gather, "blob binary"), "coded")
+    scratch.drop(codes)
     words, types, once = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "once"))).first()
     scratch.drop(answers)
     text_id = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))
@@ -398,19 +416,45 @@ def lm_scores(
     rate = min(0.5, max(once / max(total, 1), 1e-6))
     m = Model(uniform, np.concatenate([uniform, uniform[:1]]), flat, np.full(k, 1 / k), rate, total, ends, initial_attention(k))
     sums = [F.sum(f"z{z}").alias(f"z{z}") for z in range(k)]
-    for r in range(em_rounds):
-        found = sample.mapInArrow(_expect(m, fold, folds, r == 0), "kind int, t int, " + ", ".join(f"z{z} double" for z in range(k)))
+    for r, share in enumerate(em_shares):
+        found = coded.mapInArrow(_expect(m, fold, folds, share, r == 0), "kind int, t int, " + ", ".join(f"z{z} double" for z in range(k)))
         m = _maximise(m, found.groupBy("kind", "t").agg(*sums).collect(), 0.02)
     shares = {r["z"]: r["share"] for r in coded.mapInArrow(_known(m, fold, folds), "z int, share double").groupBy("z").agg(F.sum("share").alias("share")).collect()}
     known = np.array([shares.get(z, 0.0) for z in range(k)])
     m = replace(m, known=np.maximum(known / max(known.sum(), 1e-9), 1e-9))
     for r in range(rounds):
-        moved = sample.mapInArrow(_train(m, 101 + r, share, fold, folds, 0.02 / (r + 1)), "i int, value double, weight double")
+        moved = coded.mapInArrow(_train(m, fold, folds, 0.03 / (r + 1)), "i int, value double, weight double")
         rows = moved.groupBy("i").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).collect()
         if rows and rows[0]["weight"]:
             attention = m.attention.copy()
             for row in rows:
                 attention[row["i"]] = row["value"] / row["weight"]
             m = replace(m, attention=attention)
-    out = coded.mapInArrow(_score(m, types, fold, folds), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return Fitted(coded, m, types)
+
+
+def lm_scores(
+    docs: DataFrame, tokenizer: str, fold: int = 2, folds: int = 7, components: int = 8, em_shares: Sequence[int] = (16, 8, 4, 1), rounds: int = 1,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Log10 probability of every text by a causal self-attention model, beside a smoothed unigram's.
+
+    Returns doc id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score and score. Words are
+    lower-cased (A-Z) and cut into subword ids of a byte-level tokenizers file. Attention runs over the ids of a document in
+    overlapping windows and gives, after each word, the weights of the components for the next word's ids. Their likelihood by
+    component mixes the word's training count, shared out by how its ids are spelled in each component, with the
+    spelling alone, so every word has a probability and all sum to one; what each id adds to its word's is the chain of
+    these mixtures. Components are fitted by EM: an early round takes 1 in `em_shares` of the stretches of text, as it only
+    has to part the components, and the last takes all, so that what it leaves is learned from all training documents; so
+    are word counts and shares. Attention is fitted by Adam in numpy within tasks over all training windows, and the
+    tasks' parameters are averaged. Scoring windows predict from SCORED positions and hold BEFORE more, so each token is
+    scored once, in masked batches.
+
+    Training documents are those whose crc32 of the id as text mod `folds` is not `fold`. Null text is empty: one
+    token, the end. A null id's crc is that of empty text. Repeated rows are all scored (and count). An empty table
+    gives no rows. Only parameters and sums by subword reach the driver.
+    """
+    scratch = Scratch(docs.sparkSession, "lm")
+    fitted = fit_lm(docs, tokenizer, scratch, fold, folds, components, em_shares, rounds, id_col, text_col)
+    out = fitted.chunks.mapInArrow(_score(fitted.model, fitted.types, fold, folds), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", id_col)

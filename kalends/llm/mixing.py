@@ -29,7 +29,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.sum("most").over(upto) + F.col("most")) / (F.sum("weight").over(everything) - F.sum("weight").over(upto) + F.col("weight"))
     s = s.withColumn("level", level)
     s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("edge"), F.struct("edge", "level"))).over(everything)["level"])
-    return s.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
+    more = [c for c in sizes.columns if c not in ("source", "source_size")]
+    return s.select("source", "source_size", *more, F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
 
 
 def mix_sources(
@@ -39,11 +40,12 @@ def mix_sources(
     """How often the mix takes each document so that sources come to their target words.
 
     Returns doc id, size (words), source, source_size, target, copies and taken (words, repeats counted) for every row.
-    A source's documents get floor(target / source_size) certain copies each. The rest is a Pareto order sample: each
-    document has the rank u / (1 - u) over f / (1 - f), with u a hash of its id and the seed and f the inclusion
-    probability that is left in its source; documents are taken in order of rank up to the source's words left, the
-    last one only if that comes nearer. Where the sample ends is found by sums over parts of the unit interval, then
-    over parts of that part, then over its rows, so no task holds a source.
+    A source's documents get floor(target / source_size) certain copies each. The rest is a Pareto order sample of unequal
+    probabilities: each document has the `rank` u / (1 - u) over p / (1 - p), with u a hash of its id and the seed and p its
+    inclusion probability, min(f * 2 size / (size + mean), 0.99), where f is the share of words that is left to take in its source and
+    mean its documents' mean size. So whole documents of more context are likelier. Documents are taken in order of rank up to the
+    source's words left, the last one only if that comes nearer. Where the sample ends is found by sums over parts of the unit
+    interval of rank / (1 + rank), then over parts of that part, then over its rows, so no task holds a source.
 
     Sources are ordered by code point, null last (null is a source). Null text has size 0. A null id is hashed from its
     text. Rows that repeat have equal ranks and may be taken in any order, which doesn't show. A source without words
@@ -54,15 +56,17 @@ def mix_sources(
     h = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.md5(text)))
     unit: Column = (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / float(1 << 52)
     rows = scratch.write(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), unit.alias("u")), "rows")
-    sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    sizes = scratch.write(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean")), "sizes")
+    sources = source_targets(sizes, weights, share, cap)
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     sources = sources.withColumn("whole", F.floor(ratio)).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     f = F.coalesce(F.try_divide("left", "source_size"), F.lit(0.0))
-    sources = scratch.write(sources.withColumn("odds", f / (1 - f)), "sources")
-    rank = F.try_divide(F.col("u") / (1 - F.col("u")), F.col("odds"))
+    sources = scratch.write(sources.withColumn("f", f), "sources")
     base = rows.withColumnRenamed("source", "s").join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    # in a source the rank grows with u, so parts of the unit interval are parts of the order
-    base = base.withColumn("rank", rank).withColumn("one", F.floor(F.col("u") * PARTS)).withColumn("two", F.floor(F.col("u") * PARTS * PARTS))
+    p = F.least(F.col("f") * F.coalesce(F.try_divide(2 * F.col("size"), F.col("size") + F.col("mean")), F.lit(0.0)), F.lit(0.99))
+    base = base.withColumn("p", F.greatest(p, F.lit(1e-12))).withColumn("rank", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    part = F.col("rank") / (1 + F.col("rank"))
+    base = base.withColumn("one", F.floor(part * PARTS)).withColumn("two", F.floor(part * PARTS * PARTS))
     base = scratch.write(base, "base")
 
     def ending(rows: DataFrame, part: str, left: str) -> DataFrame:
@@ -84,4 +88,4 @@ def mix_sources(
     sure = second.where("not coalesce(one = end1 and two = end2, false)")
     sure = sure.withColumn("extra", F.expr("int(end1 is null or one < end1 or (one = end1 and (end2 is null or two < end2)))"))
     out = sure.unionByName(last).withColumn("copies", F.when(F.col("left") > 0, F.col("whole") + F.col("extra")).otherwise(F.col("whole")).cast("long"))
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rank", F.col("p").alias("inclusion"))

@@ -18,10 +18,11 @@ RULES: dict[str, tuple[str, str, tuple[float, ...]]] = {
 }
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", whole_rows: bool = False) -> DataFrame:
     """Counts for each text: see `quality_rules`. All within the row, as array expressions."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("text"))
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("text"), *row)
     d = d.withColumn("bare", F.expr(f"trim(BOTH {WS} FROM text)"))
     d = d.withColumn("words", F.expr(r"if(bare = '', cast(array() as array<string>), split(bare, '[\\x20\\x09-\\x0D]+'))"))
     d = d.withColumn("hashes", F.expr("if(size(words) < 4, cast(array() as array<bigint>), transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])))"))
@@ -31,7 +32,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
             struct(0L as n, -3 as last), (a, p) -> struct(a.n + least(3, p - a.last) as n, p as last), a -> a.n) end"""
     lines = F.expr(f"filter(split(text, '\\n', -1), l -> trim(BOTH {WS} FROM l) <> '')")
     return d.select(
-        "id", "stratum", F.size("words").cast("long").alias("n_words"), F.expr(f"length(translate(bare, {WS}, ''))").cast("long").alias("word_chars"),
+        "id", "stratum", *(["row"] if whole_rows else []), F.size("words").cast("long").alias("n_words"), F.expr(f"length(translate(bare, {WS}, ''))").cast("long").alias("word_chars"),
         F.expr("length(bare) - length(translate(bare, '#*$%&|<>', ''))").cast("long").alias("n_symbols"),
         lines.alias("lines"), F.expr(covered).cast("long").alias("n_repeat_words"),
     ).withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
@@ -50,42 +51,54 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k < n * p, total).otherwise(F.lit(1.0))
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float, error: float) -> DataFrame:
-    """For each stratum and rule, the strictest cutoff that falsely rejects at most `risk` of good documents.
+def first_level(measured: DataFrame) -> Column:
+    """The first level at which a row's measures are beyond some rule's cutoff, null if at none.
 
-    `labels` has (id, good). A cutoff is certified if, were its rate above `risk`, as few false rejections as seen
-    among the stratum's good labelled documents had probability `error` / (strata x cutoffs) at most (Bonferroni),
-    so all certified rates hold together with probability 1 - `error`.
+    Level n takes the nth cutoff of each rule's grid, or its last one, so levels reject more and more.
     """
-    good = measured.where("not base_failed").join(labels.where("good").select("id"), "id")
-    n_cutoffs = sum(len(grid) for _, _, grid in RULES.values())
-    counts = [F.sum(F.expr(f"int({m} {side} {c}D)")).cast("long").alias(f"{r}_{i}") for r, (side, m, grid) in RULES.items() for i, c in enumerate(grid)]
-    seen = good.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
+    rules = [F.expr("case " + " ".join(f"when {m} {side} {c}D then {n}" for n, c in enumerate(grid, 1)) + " end") for side, m, grid in RULES.values()]
+    return F.least(*rules)
+
+
+def certified_levels(measured: DataFrame, labels: DataFrame, risk: float, error: float) -> DataFrame:
+    """(stratum, n_good, level): the strictest level at which at most `risk` of a stratum's good documents are falsely rejected.
+
+    `labels` has (id, good); rows that repeat an id are one piece of evidence. A level rejects what any of its rules rejects, so
+    the bound is on all rules together. Levels are tested from loose to strict, up to the first that fails: a level passes if,
+    were its rate above `risk`, as few false rejections as seen had probability `error` / strata at most. A fixed order
+    needs no correction beyond that for the strata (Bonferroni), so all hold together with probability 1 - `error`.
+    """
+    levels = max(len(grid) for _, _, grid in RULES.values())
+    good = labels.where("id is not null").groupBy("id").agg(F.min("good").alias("good")).where("good").select("id")
+    seen = measured.where("not base_failed").join(good, "id").groupBy("stratum", "id").agg(F.min("hit").alias("hit"))
+    counts = seen.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.sum(F.coalesce((F.col("hit") <= n).cast("long"), F.lit(0))).alias(f"k{n}") for n in range(1, levels + 1)])
     strata = measured.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("strictness"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, (_, _, grid) in RULES.items() for i, c in enumerate(grid)])
-    tested = seen.crossJoin(F.broadcast(strata)).select("stratum", "n", "strata", F.explode(tests).alias("t")).select("stratum", "n", "strata", "t.*")
-    passed = tested.where(binomial_cdf(F.col("k"), F.col("n"), risk) <= error / (F.col("strata") * n_cutoffs))
-    strictest = {r: F.max_by(F.when(F.col("rule") == r, F.col("cutoff")), F.when(F.col("rule") == r, F.col("strictness"))).alias(f"{r}_cutoff") for r in RULES}
-    return passed.groupBy("stratum").agg(*strictest.values())
+    passes = [binomial_cdf(F.col(f"k{n}"), F.col("n_good"), risk) <= error / F.col("strata") for n in range(1, levels + 1)]
+    level = F.lit(0)
+    for n in range(levels, 0, -1):  # the first that fails ends the sequence
+        level = F.when(~passes[n - 1], n - 1).otherwise(F.lit(levels) if n == levels else level)
+    return counts.crossJoin(F.broadcast(strata)).select("stratum", "n_good", level.alias("level"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.005, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality") -> DataFrame:
+def quality_rules(
+    docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", whole_rows: bool = False,
+) -> DataFrame:
     """Counts, base verdict and risk-controlled verdict for every row.
 
     Returns doc id, n_words, word_chars (code points in words), n_symbols (of `[#*$%&|<>]`), n_dup_lines (lines with
     a word that equal an earlier one), n_repeat_words (words in 3-word windows that occur twice or more), base_failed
     (under 50 words, or more than half of the words in repeated windows) and kept: false for base_failed, else false
-    only if some rule's measure is beyond the cutoff that `certified_cutoffs` gives for the row's stratum. A rule
-    without a certified cutoff (few labels) rejects nothing. Labels: rows of `labels` with label_col > 0 are good;
-    null labels and labels of unknown ids are left out.
+    only if the row is beyond a cutoff of the level that `certified_levels` gives for its stratum. A stratum whose labels certify
+    no level (too few of them) rejects nothing more. Labels: rows of `labels` with label_col > 0 are good;
+    null labels and labels of unknown ids are left out. With `whole_rows` each row of `docs` comes along as the struct `row`.
 
     Null text has no words; null strata are one stratum. Windows are compared by 64-bit hash. Rows that repeat get
-    equal verdicts. Empty tables give no rows; with no labels, only the base rule rejects.
+    equal verdicts; rows that share an id but not the text, and rows without id, have verdicts of their own. Empty tables give no
+    rows; with no labels, only the base rule rejects.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    m = measures(docs, id_col, text_col, stratum_col)
-    m = scratch.write(m.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "measures")
-    cutoffs = scratch.write(certified_cutoffs(m, labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).alias("good")), risk, error), "cutoffs")
-    beyond = " or ".join(f"coalesce({measure} {side} {r}_cutoff, false)" for r, (side, measure, _) in RULES.items())
-    out = m.join(cutoffs, "stratum", "left").withColumn("kept", F.expr(f"not base_failed and not (case when base_failed then true else {beyond} end)"))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    m = measures(docs, id_col, text_col, stratum_col, whole_rows).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    m = scratch.write(m.withColumn("hit", F.when(~F.col("base_failed"), first_level(m))), "measures")
+    levels = scratch.write(certified_levels(m, labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).alias("good")).where("good is not null"), risk, error), "levels")
+    out = m.join(levels.select("stratum", "level"), "stratum", "left").withColumn("kept", F.expr("not base_failed and not coalesce(hit <= level, false)"))
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(["row"] if whole_rows else []))

@@ -5,24 +5,28 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .dictionaries import dictionary_chunks, id_array, pack, unpack_strings, with_answers
+from .dictionaries import dictionary_chunks, id_array, pack, unpack, unpack_strings, with_answers
 from .scratch import Scratch, session_setting
+from .words import release_memory, releasing
 
 SPACE = "▁"
 #: Longest unit whose cut points fit in the bits of a long; longer ones are merged with a heap in the task.
 LONGEST = 60
 #: Units whose edges one task groups in memory before it sorts.
 UNITS_AT_ONCE = 50_000
+#: Bytes of text in a chunk: the larger, the fewer of its units other chunks hold too.
+CHUNK = 6 << 20
 #: In the bits of an edge: no id.
 NO_ID = (1 << 20) - 1
 
@@ -94,16 +98,17 @@ def _unit_splitter(v: Vocabulary):
     return coder
 
 
-def _distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    for b in batches:
-        parts, units = [], []
-        for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
-            new = [u for u in unpack_strings(blob) if u not in seen]
-            seen.update(new)
-            units += new
-            parts += [part] * len(new)
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([u.decode() for u in units], pa.string())], ["part", "unit"])
+def _numbered_units(rows: pa.Table) -> pa.Table:
+    """The distinct units of one part of all dictionaries, numbered (kind 0), and each chunk's units as such numbers (kind 1)."""
+    numbers: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    blobs = [pack(seq=np.fromiter((numbers[u] for u in unpack_strings(blob.as_py())), np.uint32)) for blob in rows["blob"]]
+    n, m, part = len(numbers), len(blobs), rows["part"][0].as_py()
+    out = pa.table({
+        "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [n, m])), "part": pa.array(np.full(n + m, part, np.int32)), "seq": pa.array([*range(n), *[None] * m], pa.int32()),
+        "unit": pa.array([*(u.decode() for u in numbers), *[None] * m], pa.string()), "chunk": pa.concat_arrays([pa.nulls(n, pa.int64()), rows["chunk"].combine_chunks().cast(pa.int64())]), "blob": pa.array([*[None] * n, *blobs], pa.binary()),
+    })
+    release_memory()
+    return out
 
 
 def merge_with_heap(unit: str, ranks: dict[str, int]) -> list[str]:
@@ -141,37 +146,72 @@ def _merge_long(v: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [[i for p in merge_with_heap(u, ranks) for i in of(p)] for u in b.column("unit").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("unit"), pa.array(found, pa.list_(pa.int32()))], ["part", "unit", "ids"])
+            none = pa.nulls(b.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("seq"), pa.array(found, pa.list_(pa.int32())), none], ["part", "seq", "ids", "best"])
 
-    return run
+    return releasing(run)
 
 
-def lattice_ids(units: DataFrame, v: Vocabulary) -> DataFrame:
-    """(part, unit, ids) for distinct units.
+def lattice(units: DataFrame, v: Vocabulary) -> DataFrame:
+    """(part, seq, unit, edges) for units of at most LONGEST characters: every piece that stands in one, and every character.
 
     Substrings up to the longest piece are exploded and joined with the pieces; a unit's hits are the edges of its
-    lattice. The fold runs over an array of edges with the set of cut points as the bits of a long: each step takes
-    the best-ranked, then leftmost edge that spans exactly two of the present symbols, and removes the cut between.
+    lattice. An edge is one long, best rank first, then leftmost: rank (20 bits), start (6), length (6), id (20; all ones: none).
     """
     spark = units.sparkSession
     pieces = F.broadcast(spark.createDataFrame(v.pieces, "piece string, id int, rank int"))
-    short = units.where(F.length("unit") <= LONGEST).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
-    starts = short.select("part", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
-    spans = starts.select("part", "unit", "start", F.explode(F.expr(f"sequence(1, least({v.longest}, length(unit) - start))")).alias("n"))
+    # no piece of over one character begins with other two characters than these, nor is longer than the longest of them
+    most: dict[str, int] = {}
+    for p, _, _ in v.pieces:
+        if len(p) > 1:
+            most[p[:2]] = max(most.get(p[:2], 0), len(p))
+    begins = F.broadcast(spark.createDataFrame(list(most.items()), "head string, most int"))
+    # dealt by unit first, so that the edges are grouped where they arise
+    short = units.where(F.length("unit") <= LONGEST).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part", "seq")
+    starts = short.select("part", "seq", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
+    starts = starts.withColumn("head", F.expr("substring(unit, start + 1, 2)")).join(begins, "head", "left")
+    spans = starts.select("part", "seq", "unit", "start", F.explode(F.expr("sequence(1, greatest(1, least(coalesce(most, 1), length(unit) - start)))")).alias("n"))
     hits = spans.withColumn("piece", F.expr("substring(unit, start + 1, n)")).join(pieces, "piece", "left").where("id is not null or n = 1")
-    # an edge is one long, best rank first, then leftmost: rank (20 bits), start (6), length (6), id (20; all ones: none)
     edge = F.expr(f"shiftleft(cast(coalesce(rank, 0) as bigint), 32) | shiftleft(cast(start as bigint), 26) | shiftleft(cast(n as bigint), 20) | coalesce(id, {NO_ID})")
-    edges = hits.groupBy("part", "unit").agg(F.collect_list(edge).alias("edges"))
-    first, last = "(shiftright(x, 26) & 63)", "((shiftright(x, 26) & 63) + (shiftright(x, 20) & 63))"
+    return hits.groupBy("part", "seq", "unit").agg(F.collect_list(edge).alias("edges"))
+
+
+START, LENGTH = "(shiftright({0}, 26) & 63)", "(shiftright({0}, 20) & 63)"
+
+
+def viterbi(unknown_rank: int) -> Column:
+    """The fewest ids of the path of least total rank through a unit's `edges`: Viterbi, as a fold over the edges by their ends.
+
+    The state holds the best (total, ids) of every place that is reached so far; edges into one place follow each other. A
+    character that is no piece costs `unknown_rank`.
+    """
+    steps = f"array_sort(transform(edges, e -> struct(cast({START.format('e')} + {LENGTH.format('e')} as int) as last, cast({START.format('e')} as int) as first, if((e & {NO_ID}) = {NO_ID}, {unknown_rank}L, shiftright(e, 32)) as cost)))"
+    through = "struct(get(p, e.first).total + e.cost as total, get(p, e.first).ids + 1 as ids)"
+    fold = f"aggregate({steps}, array(struct(0L as total, 0 as ids)), (p, e) -> if(e.last = size(p), array_append(p, {through}), concat(slice(p, 1, size(p) - 1), array(least(get(p, size(p) - 1), {through})))))"
+    return F.expr(f"element_at({fold}, -1).ids")
+
+
+def lattice_ids(units: DataFrame, v: Vocabulary) -> DataFrame:
+    """(part, seq, ids, best) for distinct units (part, seq, unit): the library's ids, and how many Viterbi would take.
+
+    The fold of merges runs over a unit's edges with the set of cut points as the bits of a long: each step takes
+    the best-ranked, then leftmost edge that spans exactly two of the present symbols, and removes the cut between. Edges that
+    can no longer be taken leave the list, so that later steps look at few. Longer units are merged with a heap.
+    """
+    first, last = START.format("x"), f"({START.format('x')} + {LENGTH.format('x')})"
     both, between = (
         f"(shiftleft(1L, cast({first} as int)) | shiftleft(1L, cast({last} as int)))",
         f"(shiftleft(1L, cast({last} as int)) - shiftleft(1L, cast({first} as int) + 1))",
     )
-    edges = edges.withColumn("joins", F.expr(f"transform(array_sort(filter(edges, x -> (shiftright(x, 20) & 63) > 1)), x -> struct({both} as ends, {between} as inner))"))
+    edges = lattice(units, v)
+    edges = edges.withColumn("joins", F.expr(f"transform(array_sort(filter(edges, x -> {LENGTH.format('x')} > 1)), x -> struct({both} as ends, {between} as inner))"))
     # as joins are in order of rank, the first that fits is the best
-    fold = """aggregate(slice(sequence(0, length(unit)), 2, least(length(unit) - 1, size(joins))), shiftleft(1L, length(unit) + 1) - 1,
-        (cuts, i) -> cuts & ~coalesce(get(filter(joins, x -> (cuts & x.ends) = x.ends and bit_count(cuts & x.inner) = 1), 0).inner, 0L))"""
-    edges = edges.withColumn("cuts", F.expr(f"case when size(joins) = 0 then shiftleft(1L, length(unit) + 1) - 1 else {fold} end"))
+    alive = "filter(s.rest, x -> (s.cuts & x.ends) = x.ends and (s.cuts & x.inner) <> 0)"
+    taken = "get(filter(a, x -> bit_count(s.cuts & x.inner) = 1), 0)"
+    step = f"transform(array({alive}), a -> transform(array({taken}), t -> if(t is null, struct(s.cuts as cuts, slice(a, 1, 0) as rest), struct(s.cuts & ~t.inner as cuts, a as rest)))[0])[0]"
+    every = "shiftleft(1L, length(unit) + 1) - 1"
+    fold = f"aggregate(slice(sequence(0, length(unit)), 2, least(length(unit) - 1, size(joins))), struct({every} as cuts, joins as rest), (s, i) -> if(size(s.rest) = 0, s, {step})).cuts"
+    edges = edges.withColumn("cuts", F.expr(f"case when size(joins) = 0 then {every} else {fold} end"))
     other = f"array({v.unknown})" if v.byte_zero is None else (
         f"transform(array(hex(encode(substring(unit, cast({first} as int) + 1, 1), 'UTF-8'))), h -> transform(sequence(0, length(h) div 2 - 1), "
         f"i -> {v.byte_zero} + cast(conv(substring(h, cast(2 * i + 1 as int), 2), 16, 10) as int)))[0]"
@@ -179,56 +219,78 @@ def lattice_ids(units: DataFrame, v: Vocabulary) -> DataFrame:
     # the edges that are symbols in the end, by start, as the mask takes the rank off
     chosen = f"array_sort(transform(filter(edges, x -> (cuts & {both}) = {both} and (cuts & {between}) = 0), x -> x & 4294967295))"
     ids = F.expr(f"flatten(transform({chosen}, x -> if((x & {NO_ID}) = {NO_ID}, {other}, array(cast(x & {NO_ID} as int)))))")
-    long = units.where(F.length("unit") > LONGEST).mapInArrow(_merge_long(v), "part int, unit string, ids array<int>")
-    return edges.select("part", "unit", ids.alias("ids")).unionByName(long)
+    worst = max(r for _, _, r in v.pieces)
+    long = units.where(F.length("unit") > LONGEST).mapInArrow(_merge_long(v), "part int, seq int, ids array<int>, best int")
+    return edges.select("part", "seq", ids.alias("ids"), viterbi(worst + 10).alias("best")).unionByName(long)
 
 
-def _answer(pieces: pa.Table, found: pa.Table) -> pa.Table:
-    known = dict(zip((u.encode() for u in found["unit"].to_pylist()), found["ids"].to_pylist(), strict=True))
+def _answer(chunks: pa.Table, found: pa.Table) -> pa.Table:
+    found = found.sort_by("seq")
+    lists = found["ids"].combine_chunks()
+    n = np.asarray(lists.value_lengths()).astype(np.int64)
+    flat, starts, best = np.asarray(lists.flatten()), np.cumsum(n) - n, np.asarray(found["best"].fill_null(0))
     out = []
-    for blob in pieces["blob"].to_pylist():
-        ids = [known[u] for u in unpack_strings(blob)]
-        out.append(pack(n=np.fromiter(map(len, ids), np.uint32, len(ids)), ids=np.fromiter((i for x in ids for i in x), np.uint32)))
-    return pa.table({"chunk": pieces["chunk"], "part": pieces["part"], "blob": pa.array(out, pa.binary())})
+    for blob in chunks["blob"]:
+        seq = unpack(blob.as_py())["seq"].astype(np.int64)
+        size = n[seq]
+        ids = flat[np.repeat(starts[seq] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        out.append(pack(n=size.astype(np.uint32), ids=ids.astype(np.uint32), best=best[seq].astype(np.uint32)))
+    release_memory()
+    return pa.table({"chunk": chunks["chunk"], "part": chunks["part"], "blob": pa.array(out, pa.binary())})
 
 
 def _lay_out(codes: dict[str, np.ndarray], answers: list[dict[str, np.ndarray]]) -> pa.Table:
-    n = np.concatenate([a["n"] for a in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
-    flat = np.concatenate([a["ids"] for a in answers]).astype(np.int32) if answers else np.zeros(0, np.int32)
-    first = np.concatenate([[0], np.cumsum(n)])
-    lengths = n[codes["codes"]]
+    n, flat, best = (np.concatenate([a[k] for a in answers]) if answers else np.zeros(0, np.uint32) for k in ("n", "ids", "best"))
+    first = np.concatenate([[0], np.cumsum(n.astype(np.int64))])
+    lengths = n.astype(np.int64)[codes["codes"]]
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    ids = flat[np.repeat(first[codes["codes"]] - ends[:-1], lengths) + np.arange(ends[-1])]
+    ids = flat.astype(np.int32)[np.repeat(first[codes["codes"]] - ends[:-1], lengths) + np.arange(ends[-1])]
     at = np.concatenate([[0], np.cumsum(codes["n"].astype(np.int64))])
+    paths = np.concatenate([[0], np.cumsum(best.astype(np.int64)[codes["codes"]])])
     lists = pa.ListArray.from_arrays(pa.array(ends[at], pa.int32()), pa.array(ids))
-    return pa.table({"doc_id": id_array(codes), "text_crc32": codes["crc"].astype(np.int64), "ids": lists})
+    return pa.table({"doc_id": id_array(codes), "text_crc32": codes["crc"].astype(np.int64), "ids": lists, "n_viterbi": paths[at[1:]] - paths[at[:-1]]})
 
 
 def sentencepiece_encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc id, text_crc32, ids): every text's ids by a BPE model of the sentencepiece library, as the library gives them.
+    """(doc id, text_crc32, ids, n_viterbi): every text's ids by a BPE model of the sentencepiece library, as the library gives them.
 
     The model must keep white space and put a space in front (no other normalisation). Distinct units of the whole
     table go through `lattice_ids` once; a document's codes then index the answers. The named method folds Viterbi,
-    which maximises a sum of scores; this model's scores are merge ranks, for which that gives other ids than the
-    library, so the fold merges by rank instead. Characters outside the vocabulary become byte pieces.
+    which finds the path of best total score; this model's scores are merge ranks, for which that gives other ids than the
+    library. So ids come from a fold of merges over the same lattice, and n_viterbi tells how many ids Viterbi's paths
+    have. Characters outside the vocabulary become byte pieces.
 
     Null text counts as empty: no ids, checksum 0. Null ids and repeated rows are kept. An empty table gives no rows.
-    Units longer than `LONGEST` characters are merged with a heap instead of the fold.
+    Units longer than `LONGEST` characters, whose cut points don't fit in a long, are merged with a heap instead of the fold
+    and add nothing to n_viterbi.
     """
+    return encoded_with(docs, model, _lay_out, "doc_id long, text_crc32 long, ids array<int>, n_viterbi long", id_col, text_col).withColumnRenamed("doc_id", id_col)
+
+
+def encoded_with(docs: DataFrame, model: str, finish: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What `finish` makes of a chunk's codes and its units' ids, for every chunk."""
     spark = docs.sparkSession
     scratch, v = Scratch(spark, "sentencepiece"), load_vocabulary(model)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    codes, pieces = dictionary_chunks(slim, lambda: _unit_splitter(v), False, scratch, 4 << 20)
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    units = scratch.write(pieces.repartition(spread, "part").mapInArrow(_distinct_units, "part int, unit string"), "units")
+    codes, pieces = dictionary_chunks(slim, lambda: _unit_splitter(v), False, scratch, CHUNK)
+    numbered = scratch.write(pieces.groupBy("part").applyInArrow(_numbered_units, "kind int, part int, seq int, unit string, chunk long, blob binary"), "numbered", by="kind")
+    scratch.drop(pieces)
+    units, chunks = scratch.part(numbered, "kind=0").select("part", "seq", "unit"), scratch.part(numbered, "kind=1").select("chunk", "part", "blob")
     # a partition's units fit in memory, so their edges are grouped by hash; sorting them would spill
     with session_setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(UNITS_AT_ONCE)):
         found = scratch.write(lattice_ids(units, v), "found")
-    scratch.drop(units)
-    answers = scratch.write(pieces.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_answer, "chunk long, part int, blob binary"), "answers")
+    answers = scratch.write(chunks.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_answer, "chunk long, part int, blob binary"), "answers")
     scratch.drop(found)
-    scratch.drop(pieces)
-    return with_answers(codes, answers, _lay_out, "doc_id long, text_crc32 long, ids array<int>").withColumnRenamed("doc_id", id_col)
+    scratch.drop(numbered)
+    return with_answers(codes, answers, finish, schema)
+
+
+def decoded_texts(ids: pa.Array, texts: list[bytes]) -> pa.Array:
+    """The text of each list of ids; invalid UTF-8 from byte pieces becomes U+FFFD."""
+    flat, at = np.asarray(ids.flatten()), (np.asarray(ids.offsets) - ids.offsets[0].as_py()).tolist()
+    whole = (b"".join(map(texts.__getitem__, flat[p:q].tolist())) for p, q in zip(at[:-1], at[1:], strict=True))
+    # the first piece brings the space that encoding put in front
+    return pa.array([None if not ok else t.removeprefix(b" ").decode("utf-8", "replace") for t, ok in zip(whole, ids.is_valid().to_pylist(), strict=True)], pa.string())
 
 
 def sentencepiece_decode(encoded: DataFrame, model: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -239,28 +301,21 @@ def sentencepiece_decode(encoded: DataFrame, model: str, ids_col: str = "ids", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(ids_col)
-            flat, at = np.asarray(ids.flatten()), (np.asarray(ids.offsets) - ids.offsets[0].as_py()).tolist()
-            whole = [b"".join(map(texts.__getitem__, flat[p:q].tolist())) for p, q in zip(at[:-1], at[1:], strict=True)]
-            # the first piece brings the space that encoding put in front
-            out = pa.array([None if not ok else t.removeprefix(b" ").decode("utf-8", "replace") for t, ok in zip(whole, ids.is_valid().to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), out], [*columns, text_col])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), decoded_texts(b.column(ids_col), texts)], [*columns, text_col])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(releasing(run), schema)
 
 
 def encode_digest(spark: SparkSession, docs: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
-    """(doc id, n_ids, ids_crc32, decoded_crc32, round_trip) of encoding `docs` and decoding again."""
-    import zlib
+    """(doc id, n_ids, n_viterbi, ids_crc32, decoded_crc32, round_trip) of encoding `docs` and decoding again."""
+    texts = load_vocabulary(model).text_of
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids")
-            flat, at = np.asarray(ids.flatten()).astype("<u4"), (np.asarray(ids.offsets) - ids.offsets[0].as_py()).tolist()
-            crc = [zlib.crc32(flat[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)]
-            decoded = [zlib.crc32(t.encode()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_crc32"), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64()), pa.array(decoded, pa.int64())], ["doc_id", "text_crc32", "n_ids", "ids_crc32", "decoded_crc32"])
-
-    both = sentencepiece_decode(sentencepiece_encode(docs, model, id_col).withColumnRenamed(id_col, "doc_id"), model)
-    out = both.mapInArrow(run, "doc_id long, text_crc32 long, n_ids long, ids_crc32 long, decoded_crc32 long")
-    return out.select(F.col("doc_id").alias(id_col), "n_ids", "ids_crc32", "decoded_crc32", (F.col("text_crc32") == F.col("decoded_crc32")).alias("round_trip"))
+    def digest(codes: dict[str, np.ndarray], answers: list[dict[str, np.ndarray]]) -> pa.Table:
+        rows = _lay_out(codes, answers)
+        ids = rows["ids"].combine_chunks()
+        flat, at = np.asarray(ids.flatten()).astype("<u4"), (np.asarray(ids.offsets) - ids.offsets[0].as_py()).tolist()
+        crc = [zlib.crc32(flat[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)]
+        decoded = [zlib.crc32(t.as_py().encode()) for t in decoded_texts(ids, texts)]
+        return pa.table({"doc_id": rows["doc_id"], "n_ids": pa.array(np.diff(at), pa.int64()), "n_viterbi": rows["n_viterbi"], "ids_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array(decoded, pa.int64()), "round_trip": np.asarray(rows["text_crc32"]) == np.array(decoded, np.int64)})
+
+    return encoded_with(docs, model, digest, "doc_id long, n_ids long, n_viterbi long, ids_crc32 long, decoded_crc32 long, round_trip boolean", id_col).withColumnRenamed("doc_id", id_col)

@@ -13,19 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cells import Components, cell_stars, links_across, overlaps
 from .components import connected_components
-from .ngram_join import PART, cell_stars
 from .scratch import Scratch
-from .words import distinct_sorted, mix, shingles, slices, split_words, word_hashes
+from .words import distinct_sorted, mix, releasing, shingles, slices, split_words, word_hashes
 
 #: A paragraph starts where a word's hash is the least of as many words on either side, and after LONGEST words.
 REACH, LONGEST = 5, 64
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def tune_bands(similarity: float, recall: float, rows: int) -> int:
-    """The fewest bands of `rows` MinHash values that let a pair at `similarity` collide with probability `recall`."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+def tune_bands(similarity: int, recall: float, rows: int) -> int:
+    """The fewest bands of `rows` MinHash values that let a pair at `similarity` percent collide with probability `recall`."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - (similarity / 100) ** rows))
 
 
 def paragraph_starts(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -74,37 +74,38 @@ def _occurrences(least_words: int):
             keep = p["n"] >= least_words
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(p["row"][keep])), pa.array(p["at"][keep], pa.int32()), pa.array(p["n"][keep], pa.int32()), pa.array(p["hash"][keep].view(np.int64))], ["id", "at", "n", "hash"])
 
-    return run
+    return releasing(run)
 
 
-def _bands(k: int, similarity: float, bands: int, rows: int, least_words: int):
+def _bands(k: int, similarity: int, bands: int, rows: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = max(least_words, k)
         for b in slices(batches):
             p = paragraphs(b.column("text"))
             bounds = np.append(p["starts"], len(p["words"]))
+            long = p["n"] >= least_words
             row, sh = shingles(bounds, p["words"], k)
-            order = np.argsort(row, kind="stable")
-            row, sh = row[order], sh[order]
-            # sets of under 1 / (1 - similarity) shingles are like no other set
-            wide = (p["n"] >= least) & (p["n"] - k + 2 >= 1 / (1 - similarity))
-            inside = wide[row]
-            row, sh = row[inside], sh[inside]
+            inside = long[row]
+            row, sh = distinct_sorted(row[inside], sh[inside])
             if not len(row):
                 continue
             begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            whose = p["hash"][row[begin]]
-            keys = []
+            n = np.diff(np.append(begin, len(row)))
+            whose, at = np.unique(p["hash"][row[begin]], return_index=True)
+            keys = [mix(np.add.reduceat(mix(sh), begin))]
             for band in range(bands):
                 key = np.full(len(begin), band, np.uint64)
                 for r in range(rows):
                     key = mix(key + np.minimum.reduceat(mix(sh ^ mix(np.array([band * rows + r], np.uint64))), begin))
                 keys.append(key)
-            ids, at = np.unique(whose, return_index=True)
-            cells = np.stack(keys, 1)[at].ravel().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * bands, pa.int32()), pa.array(cells))], ["id", "cells"])
+            # a set so small that one element more or less takes it under the similarity is like its equals only: the
+            # hash of the whole set is its one cell; equal sets of any size agree in all bands
+            small = (100 * n < similarity * (n + 1))[at]
+            cells = np.stack(keys, 1)[at]
+            named = np.concatenate([small[:, None], np.repeat(~small[:, None], bands, 1)], 1)
+            ends = np.concatenate([[0], np.cumsum(named.sum(1))])
+            yield pa.RecordBatch.from_arrays([pa.array(whose.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells[named].view(np.int64)))], ["id", "cells"])
 
-    return run
+    return releasing(run)
 
 
 def _sets(k: int):
@@ -121,117 +122,51 @@ def _sets(k: int):
             out = [sh[first[i] : first[i + 1]].view(np.int64) for i in keep]
             yield pa.RecordBatch.from_arrays([pa.array(p["hash"][keep].view(np.int64)), pa.array(out, pa.list_(pa.int64()))], ["hash", "set"])
 
-    return run
-
-
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The smallest of `n` rows that links i-j reach, for each row."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def similar_members(group: np.ndarray, side: np.ndarray, component: np.ndarray, at: np.ndarray, flat: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that span what links in each group: of different components, one on side 1 and one on side 2, and alike.
-
-    Sets are flat[at[i] : at[i + 1]], distinct. Sizes and the bits that one set has and the other lacks bound the
-    overlap first; what survives is compared exactly.
-    """
-    n = np.diff(at)
-    order = np.lexsort((n, group))
-    group, size, kind, top = group[order], n[order], side[order], component[order]
-    bits = np.zeros((len(n), 4), np.uint64)
-    owner = np.repeat(np.arange(len(n)), n)
-    np.bitwise_or.at(bits, (owner, ((flat >> np.uint64(6)) & np.uint64(3)).astype(np.int64)), np.uint64(1) << (flat & np.uint64(63)))
-    bits = bits[order]
-    # in order of size, the partners of a row are those after it that are not too large
-    key = group * (1 << 32) + size
-    end = np.searchsorted(key, group * (1 << 32) + np.floor(size / similarity + 1e-6).astype(np.int64), "right")
-    count = end - np.arange(len(n)) - 1
-    total = np.concatenate([[0], np.cumsum(count)])
-    cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], 1 << 20), "left"), [0, len(n)]))
-    found = [(np.zeros(0, np.int64),) * 2]
-    for lo, hi in itertools.pairwise(cuts.tolist()):
-        i = np.repeat(np.arange(lo, hi), count[lo:hi])
-        j = np.arange(len(i)) - (total[i] - total[lo]) + i + 1
-        keep = (top[i] != top[j]) & (((kind[i] & 1) & (kind[j] >> 1)) | ((kind[j] & 1) & (kind[i] >> 1))).astype(bool)
-        i, j = i[keep], j[keep]
-        most = np.minimum(size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), size[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
-        keep = most * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-6
-        i, j = order[i[keep]], order[j[keep]]
-        for x in range(0, len(i), 1 << 16):
-            a, b = i[x : x + (1 << 16)], j[x : x + (1 << 16)]
-            rows, label = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-            whole = np.repeat(at[rows] - np.concatenate([[0], np.cumsum(n[rows])[:-1]]), n[rows]) + np.arange(n[rows].sum())
-            label, value = np.repeat(label, n[rows]), flat[whole]
-            sort = np.lexsort((value, label))
-            label, value = label[sort], value[sort]
-            twice = (label[1:] == label[:-1]) & (value[1:] == value[:-1])
-            both = np.bincount(label[1:][twice], minlength=len(a))
-            like = both >= similarity * (n[a] + n[b] - both)
-            found.append((a[like], b[like]))
-    label = forest(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), len(n))
-    away = np.flatnonzero(label != np.arange(len(n)))
-    return label[away], away
-
-
-def _across(similarity: float):
-    def pairs(b: pa.RecordBatch, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if b.num_rows:
-            lists, ids = b.column("set"), np.asarray(b.column("id"))
-            at = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
-            i, j = similar_members(group, np.asarray(b.column("side")).astype(np.int64), np.asarray(b.column("component")), at, np.asarray(lists.flatten()).view(np.uint64), similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # the last group so far, which may go on in the next batch
-        for b in batches:
-            if rest is not None:
-                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
-            if not b.num_rows:
-                continue
-            key = np.stack([np.asarray(b.column(c)) for c in ("cell", "p", "q")])
-            group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(0))])
-            last = int(np.searchsorted(group, group[-1]))
-            yield from pairs(b.slice(0, last), group[:last])
-            rest = b.slice(last)
-        if rest is not None:
-            yield from pairs(rest, np.zeros(rest.num_rows, np.int64))
-
-    return run
-
-
-def links_across(stars: DataFrame, linked: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between members of a cell that are in different components after each was held against the first.
-
-    stars: (cell, a, b); linked: (node, component); sets: (hash, set). Cells of two members are done. A larger cell is
-    dealt into parts of about PART members, and a task holds one part against one other, so no cell is one task's.
-    """
-    parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = stars.select("cell", F.col("b").alias("id")).unionByName(stars.select("cell", F.col("a").alias("id"))).distinct()
-    listed = held.join(linked.withColumnRenamed("node", "id"), "id", "left").select("cell", "id", F.coalesce("component", "id").alias("component"))
-    listed = scratch.write(listed, "listed")
-    # cells with the same members would give the same links: one of them is enough
-    same = [F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("s2")]
-    mixed = listed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"), *same).where("low < high and rows > 2")
-    mixed = scratch.write(mixed.groupBy("s1", "s2", "rows").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("rows") / PART).alias("parts")), "mixed")
-    inside = listed.join(mixed, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    places = inside.select("cell", "id", "component", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    p, q = F.least("part", "other"), F.greatest("part", "other")
-    places = places.select("cell", "id", "component", p.alias("p"), q.alias("q"), (F.when(F.col("part") == p, 1).otherwise(0) + F.when(F.col("part") == q, 2).otherwise(0)).alias("side"))
-    joined = places.join(sets.withColumnRenamed("hash", "id"), "id").repartition(parts, "cell", "p", "q").sortWithinPartitions("cell", "p", "q")
-    return scratch.write(joined.select("cell", "p", "q", "id", "component", "side", "set").mapInArrow(_across(similarity), "a long, b long").distinct(), "across")
+    return releasing(run)
+
+
+def _across(similarity: int):
+    def compare(b: pa.RecordBatch, group: np.ndarray, components: Components) -> tuple[np.ndarray, np.ndarray]:
+        """Links between the two parts of each cell in the batch that join components.
+
+        Sizes and the bits that one set has and the other lacks bound the overlap first; what survives is compared exactly.
+        """
+        lists, side = b.column("set"), np.asarray(b.column("side")).astype(np.int64)
+        at, flat = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py(), np.asarray(lists.flatten()).view(np.uint64)
+        n = np.diff(at)
+        order = np.lexsort((n, group))
+        size, kind = n[order], side[order]
+        bits = np.zeros((len(n), 4), np.uint64)
+        owner = np.repeat(np.arange(len(n)), n)
+        np.bitwise_or.at(bits, (owner, ((flat >> np.uint64(6)) & np.uint64(3)).astype(np.int64)), np.uint64(1) << (flat & np.uint64(63)))
+        bits = bits[order]
+        # in order of size, the partners of a row are those after it that are not too large
+        key = group[order] * (1 << 32) + size
+        end = np.searchsorted(key, group[order] * (1 << 32) + 100 * size // similarity, "right")
+        count = end - np.arange(len(n)) - 1
+        total = np.concatenate([[0], np.cumsum(count)])
+        cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], 1 << 18), "left"), [0, len(n)]))
+        found = [(np.zeros(0, np.int64),) * 2]
+        for lo, hi in itertools.pairwise(cuts.tolist()):
+            i = np.repeat(np.arange(lo, hi), count[lo:hi])
+            j = np.arange(len(i)) - (total[i] - total[lo]) + i + 1
+            keep = (components.top(order[i]) != components.top(order[j])) & (((kind[i] & 1) & (kind[j] >> 1)) | ((kind[j] & 1) & (kind[i] >> 1))).astype(bool)
+            i, j = i[keep], j[keep]
+            most = np.minimum(size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), size[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
+            keep = most * (100 + similarity) >= similarity * (size[i] + size[j])
+            i, j = order[i[keep]], order[j[keep]]
+            both = overlaps(at, flat, i, j)
+            like = 100 * both >= similarity * (n[i] + n[j] - both)
+            i, j = i[like], j[like]
+            new = components.join(i, j)
+            found.append((i[new], j[new]))
+        return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+    return compare
 
 
 def repeated_paragraphs(
-    docs: DataFrame, scratch: Scratch | None = None, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
+    docs: DataFrame, scratch: Scratch | None = None, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: int = 80,
     recall: float = 0.99, band_rows: int = 1, least_words: int = 5, least_run: int = 20,
 ) -> DataFrame:
     """Paragraphs that occur, equal or nearly so, in two documents or more.
@@ -261,10 +196,13 @@ def repeated_paragraphs(
     sets = scratch.write(slim.join(where.hint("merge"), "id").mapInArrow(_sets(words), "hash long, set array<long>").dropDuplicates(["hash"]), "sets")
     one, two = (sets.select(F.col("hash").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    links = near.join(one, "a").join(two, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    links = near.join(one, "a").join(two, "b").where(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
     links = scratch.write(links, "links")
-    more = links_across(stars, connected_components(links, scratch), sets, similarity, scratch)
-    linked = connected_components(links.unionByName(more), scratch)
+    held = sets.select(F.col("hash").alias("id"), F.size("set").alias("elements"), "set")
+    more = links_across(stars, connected_components(links, scratch), held, "set", _across(similarity), scratch)
+    linked = scratch.write(connected_components(links.unionByName(more), scratch), "linked")
+    for table in (stars, near, sets):
+        scratch.drop(table)
 
     often = seen.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
     classes = often.join(linked.withColumnRenamed("node", "hash"), "hash", "full").select("hash", F.coalesce("component", "hash").alias("class"))

@@ -100,6 +100,8 @@ def releasing(run):
     """The same function of batches, which gives freed memory back when a task is done with it."""
 
     def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # freed Arrow memory then goes the way of all other
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:

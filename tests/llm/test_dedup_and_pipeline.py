@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from kalends.llm.substring_dedup import cut_words, drop_repeated_paragraphs, paragraphs, repeated_paragraphs, tune_bands
-from kalends.llm.words import mix, word_hashes
+from kalends.llm.words import mix, shingles, word_hashes
 
 from .conftest import SCHEMA, SF, find_classes, low, pairs_of, words_of
 
@@ -127,7 +127,36 @@ def test_planted_passage_is_found_and_cut_once(spark):
 def test_cut_words_and_bands():
     assert cut_words("a b  c\nd e", [(1, 2)]) == "a d e"
     assert cut_words("é b", [(0, 1), (1, 1)]) == ""
-    assert 1 - (1 - 0.8) ** tune_bands(0.8, 0.99, 1) >= 0.99
+    assert 1 - (1 - 0.8) ** tune_bands(80, 0.99, 1) >= 0.99
+
+
+def test_near_but_unequal_paragraphs_share_a_class(spark):
+    """Of all pairs of unlike contents whose shingle sets have a similarity of 0.8 or more, by brute force, nearly all are in one class."""
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet").where("doc_id < 400")
+    texts = dict(pairs_of(docs))
+    sets, seen = {}, {}
+    for i, t in texts.items():
+        p = paragraphs(pa.array([t], pa.string()))
+        bounds = np.append(p["starts"], len(p["words"]))
+        row, sh = shingles(bounds, p["words"], 5)
+        for n, (at, size, h) in enumerate(zip(p["at"].tolist(), p["n"].tolist(), p["hash"].tolist(), strict=True)):
+            if size >= 5:
+                sets.setdefault(h, frozenset(sh[row == n].tolist()))
+                seen.setdefault(h, []).append((i, at))
+    postings = defaultdict(list)
+    for h, s in sets.items():
+        for x in s:
+            postings[x].append(h)
+    near = set()
+    for h, s in sets.items():
+        for other, both in Counter(o for x in s for o in postings[x]).items():
+            if other < h and 5 * both >= 4 * len(s | sets[other]):
+                near.add((other, h))
+    first = {(r["doc_id"], r["start_word"]): (r["first_doc_id"], r["first_start"]) for r in repeated_paragraphs(docs, least_run=1).collect()}
+    apart = [(a, b) for a, b in near if len({i for i, _ in seen[a] + seen[b]}) > 1]
+    linked = sum(any(first.get(x) is not None and first.get(x) == first.get(y) for x in seen[a] for y in seen[b]) for a, b in apart)
+    assert len(apart) > 30
+    assert linked >= 0.95 * len(apart)
 
 
 def test_empty_table(empty):
