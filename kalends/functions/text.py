@@ -162,3 +162,19 @@ def fnv36(c: Column) -> Column:
     chars = F.filter(F.split(c, ""), lambda x: x != "")
     folded = F.aggregate(chars, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(F.ascii(x).cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.lower(F.conv(folded.cast("string"), 10, 36))
+
+
+def linked_data(c: Column, kind: str, fields: tuple[str, ...]) -> Column:
+    """Objects of one @type in a JSON-LD text, as an array of structs of text fields: the object itself, a list of them, or what is in its @graph."""
+    shape = "struct<`@type`:string," + ",".join(f"{f}:string" for f in fields) + ">"
+    graph = F.from_json(F.get_json_object(c, "$['@graph']"), f"array<{shape}>")
+    whole = F.when(F.trim(c).startswith("["), F.from_json(c, f"array<{shape}>")).otherwise(F.array(F.from_json(c, shape)))
+    wanted = F.filter(F.coalesce(graph, whole), lambda o: o["@type"] == kind)
+    return F.transform(wanted, lambda o: F.struct(*[o[f].alias(f) for f in fields]))
+
+
+def review_card(title: Column, when: Column, place: Column, reasons: Column, most: int = 3) -> Column:
+    """What an editor is shown of a candidate: title, time and place by line, and the first reasons as a list."""
+    shown = F.array_join(F.transform(F.slice(reasons, 1, most), lambda r: F.concat(F.lit("- "), r)), "\n")
+    more = F.when(F.size(reasons) > most, F.concat(F.lit("- and "), (F.size(reasons) - most).cast("string"), F.lit(" more")))
+    return F.concat_ws("\n", missing_if_blank(title), F.concat_ws(", ", missing_if_blank(when), missing_if_blank(place)), F.nullif(shown, F.lit("")), more)

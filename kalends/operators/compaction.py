@@ -136,3 +136,28 @@ def rule_label(rule: Column) -> Column:
     monthly = F.concat(place, name(days[0]), F.lit(" i måneden"), within)
     plain_days = F.coalesce(~F.exists(days, lambda d: d.rlike("[0-9]")), F.lit(False))
     return F.when((rule_part(rule, "FREQ") == "WEEKLY") & plain_days, weekly).when((rule_part(rule, "FREQ") == "MONTHLY") & (F.size(days) == 1) & nth.rlike("^(-1|[1-5])$") & (every == 1), monthly).otherwise(rule)
+
+
+def weekly_rule(weekday: Column) -> Column:
+    """A struct of rule and anchor of a fixed weekly programme whose real start is unknown."""
+    from .recurrence import technical_anchor
+
+    day = F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), weekday + 1)
+    return F.struct(F.concat(F.lit("FREQ=WEEKLY;BYDAY="), day).alias("rule"), technical_anchor(weekday, F.lit(None).cast("int")).alias("anchor"))
+
+
+def monthly_rule(weekday: Column, nth: Column) -> Column:
+    """The same for an nth weekday of the month, 1 to 5; null for other ordinals."""
+    from .recurrence import technical_anchor
+
+    day = F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), weekday + 1)
+    return F.when(nth.between(1, 5), F.struct(F.concat(F.lit("FREQ=MONTHLY;BYDAY="), nth.cast("string"), day).alias("rule"), technical_anchor(weekday, nth).alias("anchor")))
+
+
+def programme_series(df: DataFrame, programmes: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rules, overrides) of members of fixed programmes (name): the members that a weekly rule gives, and those with a status of their
+    own as overrides of it. df: (key, name, start, end, status)."""
+    known = df.join(programmes.select(name).distinct(), name, "left_semi")
+    rules = compact_weekly(known.withColumn("status", F.lit(None).cast("string")), name)
+    overrides = known.where(F.col("status").isNotNull()).join(rules.select(name), name, "left_semi").select(name, key, F.col("start").alias("recurrence"), "status")
+    return rules, overrides

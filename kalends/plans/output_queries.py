@@ -330,3 +330,25 @@ LABELS = {"FREQ=WEEKLY;BYDAY=MO,TH": "hver uge: mandag, torsdag", "FREQ=WEEKLY;I
 def rule_labels(spark, sf_dir):
     rule = F.element_at(F.array(*[F.lit(r) for r in LABELS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", P.rule_label(rule).alias("label"))
+
+
+@query("rule_builders", """
+with r as (select p_partkey, cast(p_partkey % 7 as integer) as w, cast(p_size % 7 as integer) as n from part),
+m as (select p_partkey, w, n, make_date(2000, k, 1) as m from r, (values (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) t(k)),
+d as (select p_partkey, n, m, m + ((w - (isodow(m)::int - 1) + 7) % 7) + (n - 1) * 7 as d from m where n between 1 and 5),
+a as (select p_partkey, min(d) as anchor from d where date_trunc('month', d) = m group by 1)
+select p_partkey, 'FREQ=WEEKLY;BYDAY=' || ['MO','TU','WE','TH','FR','SA','SU'][w + 1] as weekly, date '2000-01-01' + ((w - 5 + 7) % 7) as weekly_anchor,
+  case when n between 1 and 5 then 'FREQ=MONTHLY;BYDAY=' || n || ['MO','TU','WE','TH','FR','SA','SU'][w + 1] end as monthly, anchor as monthly_anchor from r left join a using (p_partkey)""", dates=("weekly_anchor", "monthly_anchor"))
+def rule_builders(spark, sf_dir):
+    w, n = (F.col("p_partkey") % 7).cast("int"), (F.col("p_size") % 7).cast("int")
+    rows = table(spark, sf_dir, "part").select("p_partkey", P.weekly_rule(w).alias("a"), P.monthly_rule(w, n).alias("b"))
+    return rows.select("p_partkey", F.col("a.rule").alias("weekly"), F.col("a.anchor").alias("weekly_anchor"), F.col("b.rule").alias("monthly"), F.col("b.anchor").alias("monthly_anchor"))
+
+
+@query("programme_overrides", """
+with u as (select distinct user_id as g from events where user_id % 3 <> 0) select g, g * 10 + n as id, date '2024-03-04' + 7 * n as recurrence, 'cancelled' as status from u, (values (0), (1), (2), (3)) t(n) where n = g % 4""", dates=("recurrence",))
+def programme_overrides(spark, sf_dir):
+    u = table(spark, sf_dir, "events").select(F.col("user_id").alias("g")).distinct()
+    start = F.timestamp_add("HOUR", F.lit(18), F.date_add(F.lit("2024-03-04").cast("date"), F.col("n") * 7).cast("timestamp_ntz"))
+    rows = u.select("g", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("n")).select("g", (F.col("g") * 10 + F.col("n")).alias("id"), start.alias("start"), F.timestamp_add("HOUR", F.lit(2), start).alias("end"), F.when(F.col("n") == F.col("g") % 4, "cancelled").alias("status"))
+    return P.programme_series(rows, u.where("g % 3 <> 0"), "id", "g")[1].select("g", "id", F.to_date("recurrence").alias("recurrence"), "status")

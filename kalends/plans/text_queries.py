@@ -155,3 +155,21 @@ def inferred_years(spark, sf_dir):
 def valid_dates(spark, sf_dir):
     text = F.concat(F.lit("2023-"), F.lpad((F.col("p_partkey") % 14).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("p_size") % 32).cast("string"), 2, "0"))
     return table(spark, sf_dir, "part").select("p_partkey", Z.valid_date(F.when(F.col("p_size") % 5 == 0, "2023-1-1").otherwise(text)).alias("day"))
+
+
+@query("linked_data_objects", "select p_partkey, case p_partkey % 4 when 3 then '' when 2 then p_name || ';' || p_brand else p_name end as names from part")
+def linked_data_objects(spark, sf_dir):
+    one = F.concat(F.lit('{"@type":"Event","name":"'), F.col("p_name"), F.lit('"}'))
+    other, two = F.lit('{"@type":"Place","name":"x"}'), F.concat(F.lit('{"@type":"Event","name":"'), F.col("p_brand"), F.lit('"}'))
+    kind = F.col("p_partkey") % 4
+    text = F.when(kind == 0, one).when(kind == 1, F.concat(F.lit("["), other, F.lit(","), one, F.lit("]"))).when(kind == 2, F.concat(F.lit('{"@graph":['), one, F.lit(","), other, F.lit(","), two, F.lit("]}"))).otherwise(other)
+    found = T.linked_data(text, "Event", ("name",))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(found, lambda o: o["name"]), ";").alias("names"))
+
+
+@query("review_cards", "select p_partkey, p_name || chr(10) || concat_ws(', ', '2024-01-0' || (1 + p_size % 9), case when p_size % 2 = 0 then p_brand end) || case p_size % 3 when 0 then '' when 1 then chr(10) || '- a' else chr(10) || '- a' || chr(10) || '- b' || chr(10) || '- c' || chr(10) || '- and 1 more' end as card from part")
+def review_cards(spark, sf_dir):
+    s = F.col("p_size")
+    reasons = F.when(s % 3 == 0, F.array().cast("array<string>")).when(s % 3 == 1, F.array(F.lit("a"))).otherwise(F.array(*[F.lit(x) for x in "abcd"]))
+    card = T.review_card(F.col("p_name"), F.concat(F.lit("2024-01-0"), (1 + s % 9).cast("string")), F.when(s % 2 == 0, F.col("p_brand")), reasons)
+    return table(spark, sf_dir, "part").select("p_partkey", card.alias("card"))
