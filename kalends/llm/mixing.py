@@ -81,6 +81,7 @@ def mix_sources(
     first = scratch.write(at(base, ending(base, "one", "left"), "end1", "rest1"), "first")
     second = ending(first.where("one = end1"), "two", "rest1")
     second = scratch.write(at(first, second, "end2", "rest2"), "second")
+    scratch.keep_only(second)
     last = second.where("one = end1 and two = end2")
     order = W.partitionBy("source").orderBy("rank", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     middle = F.sum("size").over(order) - F.col("size") / 2

@@ -280,12 +280,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = scratch.write(connected_components(links, scratch), "linked")
     links = links.unionByName(links_across(stars, linked, texts, "text", _across(words, threshold), scratch, SMALL + 1))
     linked = scratch.write(connected_components(links, scratch), "components")
-    for table in (stars, texts, shapes, near):
-        scratch.drop(table)
-
     groups = sets.join(linked.withColumnRenamed("node", "set"), "set", "left").select("f1", "f2", "n", "first_id", F.coalesce("component", "set").alias("group"))
     least = groups.groupBy("group").agg(F.min("first_id").alias("component_id"))
     classes = scratch.write(groups.join(least, "group").select("f1", "f2", "n", "component_id"), "classes")
+    scratch.keep_only(light, classes)
     out = light.where("n > 0").join(classes, ["f1", "f2", "n"]).select("id", "n", "component_id")
     none = light.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return out.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -18,9 +18,9 @@ RULES: dict[str, tuple[str, str, tuple[float, ...]]] = {
 }
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", whole_rows: bool = False) -> DataFrame:
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", with_hash: bool = False) -> DataFrame:
     """Counts for each text: see `quality_rules`. All within the row, as array expressions."""
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
+    row = [F.xxhash64(text_col).alias("text_hash")] if with_hash else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("text"), *row)
     d = d.withColumn("bare", F.expr(f"trim(BOTH {WS} FROM text)"))
@@ -32,7 +32,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
             struct(0L as n, -3 as last), (a, p) -> struct(a.n + least(3, p - a.last) as n, p as last), a -> a.n) end"""
     lines = F.expr(f"filter(split(text, '\\n', -1), l -> trim(BOTH {WS} FROM l) <> '')")
     return d.select(
-        "id", "stratum", *(["row"] if whole_rows else []), F.size("words").cast("long").alias("n_words"), F.expr(f"length(translate(bare, {WS}, ''))").cast("long").alias("word_chars"),
+        "id", "stratum", *(["text_hash"] if with_hash else []), F.size("words").cast("long").alias("n_words"), F.expr(f"length(translate(bare, {WS}, ''))").cast("long").alias("word_chars"),
         F.expr("length(bare) - length(translate(bare, '#*$%&|<>', ''))").cast("long").alias("n_symbols"),
         lines.alias("lines"), F.expr(covered).cast("long").alias("n_repeat_words"),
     ).withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
@@ -81,7 +81,7 @@ def certified_levels(measured: DataFrame, labels: DataFrame, risk: float, error:
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", whole_rows: bool = False,
+    docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", with_hash: bool = False,
 ) -> DataFrame:
     """Counts, base verdict and risk-controlled verdict for every row.
 
@@ -90,15 +90,15 @@ def quality_rules(
     (under 50 words, or more than half of the words in repeated windows) and kept: false for base_failed, else false
     only if the row is beyond a cutoff of the level that `certified_levels` gives for its stratum. A stratum whose labels certify
     no level (too few of them) rejects nothing more. Labels: rows of `labels` with label_col > 0 are good;
-    null labels and labels of unknown ids are left out. With `whole_rows` each row of `docs` comes along as the struct `row`.
+    null labels and labels of unknown ids are left out. With `with_hash` the text's xxhash64 comes along as `text_hash`, to tell apart rows that share an id.
 
     Null text has no words; null strata are one stratum. Windows are compared by 64-bit hash. Rows that repeat get
     equal verdicts; rows that share an id but not the text, and rows without id, have verdicts of their own. Empty tables give no
     rows; with no labels, only the base rule rejects.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    m = measures(docs, id_col, text_col, stratum_col, whole_rows).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    m = measures(docs, id_col, text_col, stratum_col, with_hash).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     m = scratch.write(m.withColumn("hit", F.when(~F.col("base_failed"), first_level(m))), "measures")
     levels = scratch.write(certified_levels(m, labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).alias("good")).where("good is not null"), risk, error), "levels")
     out = m.join(levels.select("stratum", "level"), "stratum", "left").withColumn("kept", F.expr("not base_failed and not coalesce(hit <= level, false)"))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(["row"] if whole_rows else []))
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(["text_hash"] if with_hash else []))

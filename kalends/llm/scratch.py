@@ -41,6 +41,7 @@ class Scratch:
         small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._next = 0
+        self._places: list[str] = []
 
     def write(self, df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
         """Writes `df` as Parquet, in a folder for each value of `by`, and gives a DataFrame over the files; its shuffle files can go then."""
@@ -48,6 +49,7 @@ class Scratch:
         self._next += 1
         schema = df.schema
         df.write.parquet(path, partitionBy=by)
+        self._places.append(path)
         del df
         self.release()
         out = self.spark.read.schema(schema).parquet(path)
@@ -70,7 +72,19 @@ class Scratch:
 
     def drop(self, table: DataFrame) -> None:
         """Deletes a table that no DataFrame to come reads."""
-        place, files = self._file_system(table._kalends_path)
+        self._delete(table._kalends_path)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Deletes all tables but those that the result reads."""
+        kept = [t._kalends_path for t in tables]
+        for path in self._places:
+            if not any(k == path or k.startswith(path + "/") for k in kept):
+                self._delete(path)
+        self._places = [p for p in self._places if any(k == p or k.startswith(p + "/") for k in kept)]
+        self.release()
+
+    def _delete(self, path: str) -> None:
+        place, files = self._file_system(path)
         files.delete(place, True)
 
     def _file_system(self, path: str):

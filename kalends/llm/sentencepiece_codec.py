@@ -280,8 +280,7 @@ def encoded_with(docs: DataFrame, model: str, finish: Callable, schema: str, id_
     with session_setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(UNITS_AT_ONCE)):
         found = scratch.write(lattice_ids(units, v), "found")
     answers = scratch.write(chunks.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_answer, "chunk long, part int, blob binary"), "answers")
-    scratch.drop(found)
-    scratch.drop(numbered)
+    scratch.keep_only(codes, answers)
     return with_answers(codes, answers, finish, schema)
 
 

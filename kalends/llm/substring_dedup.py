@@ -210,6 +210,7 @@ def repeated_paragraphs(
     members = scratch.write(seen.join(classes, "hash").select("id", "at", "n", "class"), "members")
     firsts = members.groupBy("class").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last")).where("first.id < last").select("class", "first")
     firsts = scratch.write(firsts, "firsts")
+    scratch.keep_only(members, firsts)
     found = members.join(firsts, "class").select("id", "at", "n", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at")).dropDuplicates(["id", "at"])
     along = W.partitionBy("id").orderBy("at")
     found = found.withColumn("new", (F.coalesce(F.lag(F.col("at") + F.col("n")).over(along), F.lit(-1)) != F.col("at")).cast("int"))
