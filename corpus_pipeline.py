@@ -15,9 +15,11 @@ from kalends.llm.substring_dedup import drop_repeated_paragraphs, repeated_parag
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep, each by its own verdict (also rows without id); `labels` calibrates the cutoffs."""
-    verdicts = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole_rows=True)
-    return verdicts.where("kept").select("row.*")
+    """Rows that the quality rules keep, each by the verdict on its own text; `labels` calibrates the cutoffs. Rows without an id leave here, as
+    no later stage could name them."""
+    verdicts = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_hash=True)
+    kept = verdicts.where("kept and doc_id is not null").select("doc_id", F.col("text_hash").alias("_h")).distinct()
+    return docs.withColumn("_h", F.xxhash64("text")).join(kept.hint("merge"), ["doc_id", "_h"], "left_semi").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
