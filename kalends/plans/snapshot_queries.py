@@ -172,9 +172,9 @@ def status_rollup(spark, sf_dir):
     return S.status_rollup(events, previous, "source", s.where("source % 2 = 0"))
 
 
-@query("first_across_feeds", "select l_orderkey, arg_min(l_returnflag, l_linenumber * 1000000 + l_partkey * 10 + l_suppkey % 10) as payload, count(distinct l_returnflag) > 1 as conflict from lineitem group by 1")
+@query("first_across_feeds", "select l_orderkey, arg_min(l_returnflag, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_returnflag) as payload, count(distinct l_returnflag) > 1 as conflict from lineitem group by 1")
 def first_across_feeds(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").withColumn("nth", F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 10 + F.col("l_suppkey") % 10).withColumn("payload", F.col("l_returnflag"))
+    li = table(spark, sf_dir, "lineitem").withColumn("nth", F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")])).withColumn("payload", F.col("l_returnflag"))
     return S.first_across_feeds(li, "l_orderkey", "nth", "payload")
 
 
