@@ -231,6 +231,25 @@ def test_token_files_hold_the_librarys_ids(spark, docs, which, tmp_path):
     assert {r["start"] for r in some} == {r["start"] for r in got if r["doc_id"] == 9}
 
 
+def test_token_files_have_indexes_and_encodings(spark, real, tmp_path):
+    """Files can be read in part: page indexes, dictionary or delta encodings, and a filter that reaches the scan."""
+    import pyarrow.parquet as pq
+
+    path = f"{tmp_path}/ids"
+    write_token_files(real, path, public_tokenizers.path("word_bpe_49k.json"), parts=2)
+    for file in tmp_path.joinpath("ids").glob("*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        columns = {group.column(i).path_in_schema.split(".")[0]: group.column(i) for i in range(group.num_columns)}
+        assert columns["doc_id"].has_column_index
+        assert columns["doc_id"].has_offset_index
+        assert any("DICTIONARY" in e for e in columns["ids"].encodings)
+        assert any("DELTA" in e or "DICTIONARY" in e for e in columns["n_tokens"].encodings)
+    some = read_token_files(spark, path, F.col("doc_id") < 50, with_ids=False)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(doc_id,50)" in plan
+    assert some.count() == real.where("doc_id < 50").count()
+
+
 # --- 4: mixing
 
 
