@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import benchmark_hits, contamination_digest
 from .lm_scoring import lm_scores
+from .merkle import manifest_digest
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .quality_rules import quality_rules
@@ -93,3 +95,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(benchmark_hits(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
