@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import benchmark_hits, contamination_digest
+from .hard_negatives import hard_negatives
 from .lm_scoring import lm_scores
 from .merkle import manifest_digest
 from .mixing import mix_sources
@@ -105,3 +106,26 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+ORACLES["op12_hard_negatives"] = """
+with fit as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and vec_id is not null and label is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as anchor_id, q.label = c.label as same, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from (select distinct * from fit where vec_id % 100 = 0) q join fit c on q.vec_id <> c.vec_id),
+positives as (select distinct anchor_id, vec_id as positive_id, score as positive_score from
+  (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as n from scored where same) where n <= 5),
+banded as (
+  select anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as n
+  from positives join scored using (anchor_id) where not same and 100 * score between 30 * positive_score and 90 * positive_score)
+select anchor_id, positive_id, cast(n as integer) as rank, negative_id, positive_score, negative_score from banded where n <= 10
+"""
