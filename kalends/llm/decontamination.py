@@ -77,16 +77,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col
     first = F.col("at") + F.col("p.s")
     found = hits.select("id", "text_hash", "n_words", F.when(F.col("p.s") == 0, 1).alias("row"), F.when(F.col("items").isNotNull(), F.struct(first.alias("first"), (first + F.col("p.n") - 1).alias("last"))).alias("span"), "items")
 
-    def stretches(spans: Column) -> Column:
-        """Spans in order of their starts as the stretches of words that they cover together, in linear time."""
-        since = lambda s, nth: F.greatest(s["first"], F.coalesce(F.get(spans, nth - 1)["last"] + 1, s["first"]))
-        new = F.transform(spans, lambda s, nth: F.when(since(s, nth) <= s["last"], F.sequence(since(s, nth), s["last"])).otherwise(F.array().cast("array<int>")))
-        covered = F.array_sort(F.array_distinct(F.flatten(new)))
-        ends = lambda step: F.filter(covered, lambda w, nth: F.coalesce(F.when(nth + step >= 0, F.get(covered, nth + step)) != w + step, F.lit(True)))
-        return F.zip_with(ends(-1), ends(1), lambda first, last: F.struct(first.alias("first"), last.alias("last")))
-
     each = found.groupBy("id", "text_hash").agg(F.count("row").alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    each = each.withColumn("spans", stretches(F.col("spans")))
+    # the words that spans add to those before them, in linear time: each step is a column, as a lambda computes anew what it refers to
+    since = lambda s, nth: F.greatest(s["first"], F.coalesce(F.get("spans", nth - 1)["last"] + 1, s["first"]))
+    new = F.transform("spans", lambda s, nth: F.when(since(s, nth) <= s["last"], F.sequence(since(s, nth), s["last"])).otherwise(F.array().cast("array<int>")))
+    each = each.withColumn("covered", F.array_sort(F.array_distinct(F.flatten(new))))
+    ends = lambda step: F.filter("covered", lambda w, nth: F.coalesce(F.when(nth + step >= 0, F.get("covered", nth + step)) != w + step, F.lit(True)))
+    each = each.withColumn("spans", F.zip_with(ends(-1), ends(1), lambda first, last: F.struct(first.alias("first"), last.alias("last"))))
     return each.select(F.col("id").alias(id_col), "text_hash", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
 
 

@@ -24,8 +24,9 @@ PIVOTS = 256
 def _assign(pivots: np.ndarray, top: int, width: int):
     """Adds each row's cell (its nearest pivot) and distance as a candidate, and group and distance as an anchor, in the augmented space.
 
-    A candidate has one more component, sqrt(top - norm), so that all have the same length; an anchor has 0 there. A smaller
-    distance between an anchor and a candidate then is a larger inner product.
+    A candidate has one more component, sqrt(top - norm), so that all have the same length; an anchor has 0 there and is
+    stretched to that length too, which leaves the order of its scores. A smaller distance between an anchor and a candidate
+    then is a larger inner product.
     """
     more = np.sqrt(np.maximum(top - (pivots**2).sum(1), 0.0))
 
@@ -38,9 +39,10 @@ def _assign(pivots: np.ndarray, top: int, width: int):
             cell, group = own.argmax(1), products.argmax(1)
             at = np.arange(len(m))
             dist = np.sqrt(np.maximum(2.0 * top - 2.0 * own[at, cell], 0.0))
-            gdist = np.sqrt(np.maximum(norm + top - 2.0 * products[at, group], 0.0))
-            arrays = [*(batch.column(c) for c in ("id", "label", "asks", "v")), pa.array(cell, pa.int32()), pa.array(dist), pa.array(group, pa.int32()), pa.array(gdist), pa.array(norm)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "label", "asks", "v", "cell", "dist", "group", "gdist", "norm"])
+            stretch = np.sqrt(np.divide(top, norm, out=np.zeros_like(norm), where=norm > 0))
+            gdist = np.sqrt(np.maximum(stretch**2 * norm + top - 2.0 * stretch * products[at, group], 0.0))
+            arrays = [*(batch.column(c) for c in ("id", "label", "asks", "v")), pa.array(cell, pa.int32()), pa.array(dist), pa.array(group, pa.int32()), pa.array(gdist), pa.array(stretch)]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "label", "asks", "v", "cell", "dist", "group", "gdist", "stretch"])
 
     return run
 
@@ -111,19 +113,20 @@ class VoronoiJoin:
     """Candidates and anchors dealt by pivots: which cells may serve which groups, given how near or far the rows sought can be."""
 
     def __init__(self, scratch: Scratch, rows: DataFrame, pivots: np.ndarray, top: int, width: int):
-        schema = "id long, label string, asks boolean, v array<long>, cell int, dist double, group int, gdist double, norm double"
+        schema = "id long, label string, asks boolean, v array<long>, cell int, dist double, group int, gdist double, stretch double"
         self.spark, self.top = scratch.spark, top
         self.rows = scratch.write(rows.mapInArrow(_assign(pivots, top, width), schema), "rows")
         more = np.sqrt(np.maximum(top - (pivots**2).sum(1), 0.0))
         self.between = np.sqrt(np.maximum(2.0 * top - 2.0 * (pivots @ pivots.T + np.outer(more, more)), 0.0))
         self.slack = 1e-6 * (1 + math.sqrt(top))  # far above the rounding of distances
-        self.anchors = self.rows.where("asks").dropDuplicates(["id", "label", "v"]).select("id", "label", "v", "group", "gdist", "norm")
+        self.anchors = self.rows.where("asks").dropDuplicates(["id", "label", "v"]).select("id", "label", "v", "group", "gdist", "stretch")
         self.cells = self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()  # a row for each pivot
-        self.groups = self.anchors.groupBy("group").agg(F.count("*").alias("n"), F.max("gdist").alias("radius")).collect()
+        self.groups = self.anchors.groupBy("group").agg(F.count("*").alias("n")).collect()
 
     def distance(self, score: Column) -> Column:
         """The distance at which a candidate has that score with the anchor of the row."""
-        return F.sqrt(F.greatest(F.col("norm") + self.top - 2.0 * score, F.lit(0.0)))
+        own = F.when(F.col("stretch") > 0, self.top).otherwise(0)
+        return F.sqrt(F.greatest(own + self.top - 2.0 * F.col("stretch") * score, F.lit(0.0)))
 
     def seeds(self) -> tuple[DataFrame, DataFrame]:
         """Each group's bounds to its own cell, of which one shard is enough for a first threshold."""
@@ -133,14 +136,13 @@ class VoronoiJoin:
 
     def bounds(self, anchors: DataFrame, nearest: Column, farthest: Column) -> tuple[DataFrame, DataFrame]:
         """Which candidates of a cell, by their distance from its pivot, can lie between `nearest` and `farthest` from an anchor of a group."""
-        reach = anchors.groupBy("group").agg(F.min(nearest).alias("near"), F.max(farthest).alias("far")).collect()
-        radius = {g["group"]: g["radius"] for g in self.groups}
+        reach = anchors.groupBy("group").agg(F.min(nearest - F.col("gdist")).alias("near"), F.max(farthest + F.col("gdist")).alias("far")).collect()
         pairs, n = [], {}
         for r in reach:
             for c in self.cells:
-                between, wide = self.between[r["group"], c["cell"]], radius[r["group"]]
-                first = max(between - wide - r["far"], r["near"] - between - wide) - self.slack
-                last = r["far"] + between + wide + self.slack
+                between = self.between[r["group"], c["cell"]]
+                first = max(between - r["far"], r["near"] - between) - self.slack
+                last = r["far"] + between + self.slack
                 if c["hi"] >= first and c["lo"] <= last:
                     pairs.append((r["group"], c["cell"], float(first), float(last)))
                     n[r["group"]] = n.get(r["group"], 0) + c["n"]
@@ -174,7 +176,7 @@ def hard_negatives(table: DataFrame, label: Column, is_anchor: Column, positives
 
     Vectors get one more component that gives all the same length, so that the nearest are the best. At most PIVOTS rows are pivots; a
     row belongs to its nearest one's cell, an anchor to its nearest one's group. Each group's own cell gives first thresholds;
-    with them, a group's radius and a candidate's distance from its pivot bound the distance between the two, and only
+    with them, the distances of anchors and candidates from their pivots bound those between the two, and only
     candidates that can still serve one of a group's anchors are sent to it. There they are scored exactly, BLOCK anchors
     and SHARD candidates at a time, however many share a vector, a label or a cell; the best of all shards are merged.
 

@@ -112,7 +112,7 @@ def merkle_manifest(docs: DataFrame, fields: list[str], by: str = "lang", order:
     more = {f"_c{n}": c for n, c in enumerate((carry or {}).values())}
     tree = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
     leaves = docs.select(F.col(order).alias("_order"), tree.alias("tree"), leaf_of(*[F.col(f) for f in fields]).alias("node"), *[c.alias(a) for a, c in more.items()])
-    nodes = placed(scratch, leaves, ["_order", "node"])
+    nodes = placed(scratch, scratch.write(leaves, "leaves"), ["_order", "node"])  # written, as ranging reads its input twice
     blocks = scratch.write(blocks_of(nodes.select("tree", "place", "n", "node", F.struct("_order", "node", *more).alias("item"))), "blocks")
     above = scratch.write(_above(scratch, blocks), "above")
     subroots = placed(scratch, above.where("block = 0").select(F.lit("").alias("tree"), F.col("tree").alias("group"), F.col("root").alias("node")), ["group"])

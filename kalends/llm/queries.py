@@ -103,6 +103,25 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(benchmark_hits(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10))
 
 
+ORACLES["op11_decontamination"] = r"""
+with d as (
+  select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+  select distinct item_id, array_to_string(w[s : s + 9], ' ') as win, len(w[s : s + 9]) as n
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as s from b where len(w) > 0) where s <= greatest(len(w) - 9, 1)),
+lengths as (select distinct n from windows),
+probes as (select r, s, n, array_to_string(w[s : s + n - 1], ' ') as win from (select r, w, n, unnest(range(1, len(w) - n + 2)) as s from d, lengths where len(w) >= n)),
+hits as (select p.r, p.s, p.n, x.item_id from probes p join windows x on p.win = x.win and p.n = x.n),
+covered as (select r, count(distinct word) as n_hit from (select r, unnest(range(s, s + n)) as word from hits) group by r),
+named as (
+  select r, count(distinct item_id) as n_items, sha256(string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar))) as items_sha256 from hits group by r)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(c.n_hit, 0) as n_hit, coalesce(m.n_items, 0) as n_items, coalesce(m.items_sha256, sha256('')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
+from d left join covered c using (r) left join named m using (r)
+"""
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
