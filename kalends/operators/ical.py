@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kalends.functions.similarity import bind
 from kalends.functions.text import ical_escape, missing_if_blank
 
 #: RFC 9562's namespace for names that are URLs (fixed value).
@@ -63,27 +63,26 @@ def event_lines(key: Column, stamp: Column, date: Column, end_date: Column, star
     return F.filter(F.array(*lines), lambda x: x.isNotNull())
 
 
-def fold_lines(lines: pd.Series) -> pd.Series:
-    """Lines of at most LINE_OCTETS octets, joined by CRLF; no character is split, and continuations begin with a space."""
-
-    def fold(line: str) -> str:
-        raw = line.encode()
-        if len(raw) <= LINE_OCTETS:
-            return line
-        out, at, room = [], 0, LINE_OCTETS
-        while at < len(raw):
-            end = min(at + room, len(raw))
-            while end < len(raw) and raw[end] & 0xC0 == 0x80:
-                end -= 1
-            out.append(raw[at:end].decode())
-            at, room = end, LINE_OCTETS - 1
-        return "\r\n ".join(out)
+def folded(c: Column) -> Column:
+    """A line as lines of at most LINE_OCTETS octets, joined by CRLF; no character is split, and continuations begin with a space.
 
-    return lines.map(fold, na_action="ignore")
+    Few lines are long, and of those most are ASCII, whose cuts are known by their length; others are walked once, character by character.
+    """
+    room = LINE_OCTETS - 1
+    pieces = lambda line, cuts: F.array_join(F.transform(cuts, lambda at, i: F.substring(line, at, F.coalesce(F.get(cuts, i + 1), F.length(line) + 1) - at)), "\r\n ")
 
+    def step(state: Column, char: Column) -> Column:
+        n = F.octet_length(char)
+        over = state["used"] + n > LINE_OCTETS
+        cuts = F.when(over, F.concat(state["cuts"], F.array(state["at"]))).otherwise(state["cuts"])
+        # a continuation's space is one of its octets
+        return F.struct((state["at"] + 1).alias("at"), F.when(over, n + 1).otherwise(state["used"] + n).alias("used"), cuts.alias("cuts"))
 
-def folded(c: Column) -> Column:
-    return F.pandas_udf(fold_lines, "string")(c)
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("used"), F.array(F.lit(1)).alias("cuts"))
+    regular = F.concat(F.array(F.lit(1)), F.sequence(F.lit(LINE_OCTETS + 1), F.greatest(F.length(c), F.lit(LINE_OCTETS + 1)), F.lit(room)))
+    walked = F.aggregate(F.split(c, ""), start, step, lambda state: state["cuts"])
+    cut = lambda cuts: bind(F.struct(c.alias("line"), cuts.alias("cuts")), lambda p: pieces(p["line"], p["cuts"]))
+    return F.when(F.octet_length(c) <= LINE_OCTETS, c).when(F.octet_length(c) == F.length(c), cut(regular)).otherwise(cut(walked))
 
 
 #: What a calendar without entries holds, as it must have a component: a zone that shows nothing.
@@ -96,8 +95,7 @@ def calendars(names: DataFrame, entries: DataFrame, key: str, refresh: str = "PT
     entries: (key, order..., lines) with `start_key` and `occurrence`, by which a calendar's entries are ordered. A key's
     calendar is one value, as the file that it becomes is.
     """
-    flat = entries.select(key, "start_key", "occurrence", F.posexplode("lines").alias("nth", "line")).withColumn("line", folded(F.col("line")))
-    one = flat.groupBy(key, "start_key", "occurrence").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "\r\n").alias("entry"))
+    one = entries.select(key, "start_key", "occurrence", F.array_join(F.transform("lines", folded), "\r\n").alias("entry"))
     whole = one.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_key", "occurrence", "entry"))), lambda x: x["entry"]), "\r\n").alias("_entries"))
     head = F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("PRODID:-//Kalends//Kalends//DA"), F.lit("VERSION:2.0"), F.lit("CALSCALE:GREGORIAN"), folded(F.concat(F.lit("NAME;LANGUAGE=da:"), ical_escape(F.col("name")))),
                        folded(F.concat(F.lit("X-WR-CALNAME:"), ical_escape(F.col("name")))), F.lit(f"REFRESH-INTERVAL;VALUE=DURATION:{refresh}"), F.lit(f"X-PUBLISHED-TTL:{refresh}"))
@@ -115,7 +113,7 @@ def content_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """(keep..., nth, name, parameters, value) of each unfolded line of iCalendar texts."""
     whole = F.regexp_replace(F.regexp_replace(F.col(text), "\\r\\n?", "\n"), "\\n[ \\t]", "")
     lines = df.select(*keep, F.posexplode(F.split(whole, "\n")).alias("nth", "_l")).where("_l <> ''")
-    head = F.regexp_extract("_l", r'^((?:[^:"]|"[^"]*")*):', 1)
+    head = F.regexp_extract("_l", r'^((?:[^:"]++|"[^"]*+")*+):', 1)
     return lines.select(*keep, "nth", F.upper(F.substring_index(head, ";", 1)).alias("name"), F.when(F.instr(head, ";") > 0, F.regexp_replace(head, "^[^;]*;", "")).otherwise("").alias("parameters"), F.substring("_l", F.length(head) + 2, F.length("_l")).alias("value"))
 
 
