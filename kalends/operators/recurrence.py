@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kalends.functions import civil as Z
+from kalends.functions.similarity import bind
 
 #: Weekday names of rules, Monday first (fixed values).
 WEEKDAYS = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"]
@@ -16,63 +17,145 @@ RULE_COLUMNS = {"dtstart": "timestamp_ntz", "rule": "string", "rdates": "array<t
 RULE_SHAPE = "^[A-Z]+=[^;=]+(;[A-Z]+=[^;=]+)*$"
 
 
+def bare_rule(rule: Column) -> Column:
+    """A rule without the property name that it may carry."""
+    return F.regexp_replace(rule, "^RRULE:", "")
+
+
 def rule_part(rule: Column, name: str) -> Column:
     """The value of one part of a rule such as FREQ=WEEKLY;BYDAY=MO,TH; null if it has none."""
-    return F.nullif(F.regexp_extract(rule, f"(?:^|;){name}=([^;]*)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(rule, f"(?:^RRULE:|^|;){name}=([^;]*)", 1), F.lit(""))
 
 
 def rule_faults(rule: Column) -> Column:
-    """What keeps a rule from being expanded, as an array of names; such rules give a warning and no occurrences."""
-    known = F.forall(F.split(rule, ";"), lambda p: F.substring_index(p, "=", 1).isin("FREQ", "INTERVAL", "BYDAY", "BYSETPOS", "BYMONTH", "BYMONTHDAY", "UNTIL", "COUNT", "WKST"))
-    days = F.coalesce(rule_part(rule, "BYDAY"), F.lit("MO"))
-    nth, monthly = days.rlike("[0-9]") | rule_part(rule, "BYSETPOS").isNotNull(), rule_part(rule, "FREQ").isin("MONTHLY", "YEARLY")
+    """What keeps a rule from being expanded, as an array of names; such rules give a warning and no occurrences.
+
+    A part that isn't evaluated (such as BYWEEKNO or BYHOUR), or that stands twice, is a fault, as is an ordinal weekday in a daily or weekly rule.
+    """
+    rule = bare_rule(rule)
+    names = F.transform(F.split(rule, ";"), lambda p: F.substring_index(p, "=", 1))
+    known = F.forall(names, lambda n: n.isin("FREQ", "INTERVAL", "BYDAY", "BYSETPOS", "BYMONTH", "BYMONTHDAY", "UNTIL", "COUNT", "WKST")) & (F.size(F.array_distinct(names)) == F.size(names))
+    part = lambda name, default: F.coalesce(rule_part(rule, name), F.lit(default))
+    days, entry = part("BYDAY", "MO"), "([+-]?([1-9]|[1-4][0-9]|5[0-3]))?(MO|TU|WE|TH|FR|SA|SU)"
+    numbers = lambda name, one: part(name, "1").rlike(f"^{one}(,{one})*$")
     checks = {
-        "shape": rule.isNull() | ~rule.rlike(RULE_SHAPE), "frequency": ~F.coalesce(rule_part(rule, "FREQ"), F.lit("")).isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY"),
-        "part": ~known, "weekday": ~days.rlike("^([+-]?[1-5])?(MO|TU|WE|TH|FR|SA|SU)(,([+-]?[1-5])?(MO|TU|WE|TH|FR|SA|SU))*$"),
-        "ordinal": (nth & ~monthly) | (monthly & rule_part(rule, "BYDAY").isNotNull() & ~nth), "interval": ~F.coalesce(rule_part(rule, "INTERVAL"), F.lit("1")).rlike("^[1-9][0-9]*$"),
-        "end": rule_part(rule, "UNTIL").isNotNull() & rule_part(rule, "COUNT").isNotNull(),
+        "shape": rule.isNull() | ~rule.rlike(RULE_SHAPE), "frequency": ~part("FREQ", "").isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY"),
+        "part": ~known, "weekday": ~days.rlike(f"^{entry}(,{entry})*$") | ~part("WKST", "MO").isin(*WEEKDAYS),
+        "ordinal": days.rlike("[0-9]") & ~part("FREQ", "").isin("MONTHLY", "YEARLY"), "interval": ~part("INTERVAL", "1").rlike("^[1-9][0-9]{0,3}$"),
+        "end": (rule_part(rule, "UNTIL").isNotNull() & rule_part(rule, "COUNT").isNotNull()) | ~part("COUNT", "1").rlike("^[1-9][0-9]{0,8}$") | (rule_part(rule, "UNTIL").isNotNull() & _until(rule).isNull()),
+        "number": ~numbers("BYMONTHDAY", "[+-]?([1-9]|[12][0-9]|3[01])") | ~numbers("BYMONTH", "([1-9]|1[0-2])") | ~numbers("BYSETPOS", "[+-]?([1-9]|[1-9][0-9]|[12][0-9][0-9]|3[0-5][0-9]|36[0-6])"),
     }
     return F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
 
 
 def _until(rule: Column) -> Column:
     """UNTIL as a wall time; a date alone means its midnight, so a timed occurrence on that day is past it. A Z is dropped."""
-    text = F.replace(rule_part(rule, "UNTIL"), F.lit("Z"))
-    return F.when(F.length(text) == 8, F.to_timestamp_ntz(F.concat(text, F.lit("T000000")), F.lit("yyyyMMdd'T'HHmmss"))).otherwise(F.to_timestamp_ntz(text, F.lit("yyyyMMdd'T'HHmmss")))
+    text = F.regexp_replace(rule_part(rule, "UNTIL"), "Z$", "")
+    text = F.when(F.length(text) == 8, F.concat(text, F.lit("T000000"))).otherwise(text)
+    # a day that there isn't is null, where a plain conversion would fail the job
+    shown = F.regexp_replace(text, "^(\\d{4})(\\d{2})(\\d{2})T(\\d{2})(\\d{2})(\\d{2})$", "$1-$2-$3 $4:$5:$6")
+    return F.when(text.rlike("^\\d{8}T\\d{6}$"), shown.try_cast("timestamp_ntz"))
 
 
 def _numbers(rule: Column, name: str) -> Column:
     return F.transform(F.split(rule_part(rule, name), ","), lambda x: x.cast("int"))
 
 
-def rule_days(rule: Column, dtstart: Column, last: Column) -> Column:
-    """All dates of a rule from its start to `last`, in order, before COUNT and UNTIL: an array within the row."""
-    first = F.to_date(dtstart)
-    step = F.coalesce(rule_part(rule, "INTERVAL").cast("int"), F.lit(1))
-    freq, days = rule_part(rule, "FREQ"), F.split(rule_part(rule, "BYDAY"), ",")
+def _rule_fields(rule: Column, dtstart: Column, since: Column, last: Column) -> Column:
+    """A rule's parts as one struct, read once: weekdays are 0 for Monday, an ordinal is 0 where there is none, and absent lists are null."""
     names = F.array(*[F.lit(d) for d in WEEKDAYS])
-    weekday = lambda d: F.array_position(names, F.right(d, F.lit(2))).cast("int") - 1
-    stop = F.greatest(last, first)
-    every = lambda start, unit, n: F.sequence(start, stop, F.make_interval(**{unit: n}))
-
-    daily = F.filter(every(first, "days", step), lambda d: days.isNull() | F.array_contains(days, F.element_at(names, F.weekday(d) + 1)))
-    offsets = F.coalesce(F.transform(days, weekday), F.array(F.weekday(first)))
-    weekly = F.flatten(F.transform(every(F.date_sub(first, F.weekday(first)), "days", step * 7), lambda w: F.transform(offsets, lambda k: F.date_add(w, k))))
-
-    months = every(F.trunc(first, "month"), "months", F.when(freq == "YEARLY", step * 12).otherwise(step))
-    months = F.when(freq == "YEARLY", F.filter(months, lambda m: F.month(m) == F.month(first))).otherwise(months)
-    places = F.coalesce(_numbers(rule, "BYSETPOS"), F.array(F.lit(None).cast("int")))
-    # an ordinal before a weekday and a set position beside one weekday mean the same
-    nth = lambda d, p: F.coalesce(F.nullif(F.regexp_extract(d, "^[+-]?[0-9]", 0), F.lit("")).cast("int"), p)
-    by_place = F.flatten(F.transform(months, lambda m: F.flatten(F.transform(days, lambda d: F.transform(places, lambda p: Z.nth_weekday(m, weekday(d), nth(d, p)))))))
-    numbers = F.coalesce(_numbers(rule, "BYMONTHDAY"), F.array(F.dayofmonth(first)))
-    day_of = lambda m, n: F.when(F.abs(n) <= F.dayofmonth(F.last_day(m)), F.when(n > 0, F.date_add(m, n - 1)).otherwise(F.date_add(F.last_day(m), n + 1)))
-    by_number = F.flatten(F.transform(months, lambda m: F.transform(numbers, lambda n: day_of(m, n))))
-
-    found = F.when(freq == "DAILY", daily).when(freq == "WEEKLY", weekly).when(days.isNotNull(), by_place).otherwise(by_number)
-    by_month = _numbers(rule, "BYMONTH")
-    found = F.filter(found, lambda d: d.isNotNull() & (d >= first) & (d <= last) & (by_month.isNull() | F.array_contains(by_month, F.month(d))))
-    return F.array_sort(F.array_distinct(found))
+    weekday = lambda d: (F.array_position(names, F.right(d, F.lit(2))) - 1).cast("int")
+    entry = lambda d: F.struct(weekday(d).alias("day"), F.coalesce(F.nullif(F.regexp_extract(d, "^[+-]?[0-9]+", 0), F.lit("")).cast("int"), F.lit(0)).alias("nth"))
+    first = F.to_date(dtstart)
+    fields = {
+        "freq": rule_part(rule, "FREQ"), "step": F.coalesce(rule_part(rule, "INTERVAL").cast("int"), F.lit(1)), "days": F.transform(F.split(rule_part(rule, "BYDAY"), ","), entry),
+        "numbers": _numbers(rule, "BYMONTHDAY"), "months": _numbers(rule, "BYMONTH"), "places": _numbers(rule, "BYSETPOS"), "wkst": F.coalesce(weekday(rule_part(rule, "WKST")), F.lit(0)),
+        # a count starts at the rule's own start; without one, whole intervals before the window are left out
+        "first": first, "since": F.when(rule_part(rule, "COUNT").isNotNull(), first).otherwise(F.greatest(first, F.least(since, last))), "last": F.greatest(last, first),
+    }
+    # where every interval gives a date, a count also says how far to look
+    count, unit = rule_part(rule, "COUNT").cast("int"), F.when(rule_part(rule, "FREQ") == "DAILY", 1).when(rule_part(rule, "FREQ") == "WEEKLY", 7)
+    sparse = rule.rlike("BYMONTH|BYSETPOS") | ((rule_part(rule, "FREQ") == "DAILY") & rule.contains("BYDAY"))
+    enough = F.when(~sparse & (count < 10_000), F.date_add(first, (count + 1) * unit * F.least(fields["step"], F.lit(1000))))
+    fields["last"] = F.when(enough.isNotNull() & (fields["step"] < 1000), F.least(fields["last"], enough)).otherwise(fields["last"])
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
+def _nth_in(first: Column, last: Column, day: Column, nth: Column) -> Column:
+    """The nth such weekday from the first to the last date, or from the end if negative; null if there is none."""
+    forward = F.date_add(first, F.pmod(day - F.weekday(first), F.lit(7)) + (nth - 1) * 7)
+    backward = F.date_sub(last, F.pmod(F.weekday(last) - day, F.lit(7)) + (-nth - 1) * 7)
+    found = F.when(nth > 0, forward).otherwise(backward)
+    return F.when(found.between(first, last), found)
+
+
+def _days_of_range(p: Column, r: Column) -> Column:
+    """The dates that a monthly or yearly rule sets in a range (first, last, months): by numbers of days, which weekdays then limit, else by weekdays, else the start's own day."""
+    number = lambda m, n: F.when(F.abs(n) <= F.dayofmonth(F.last_day(m)), F.when(n > 0, F.date_add(m, n - 1)).otherwise(F.date_add(F.last_day(m), n + 1)))
+    # weekdays with ordinal 0 are all of a range's, others one
+    fits = lambda d: F.exists(p["days"], lambda w: F.when(w["nth"] == 0, F.weekday(d) == w["day"]).otherwise(_nth_in(r["first"], r["last"], w["day"], w["nth"]) == d))
+    by_number = F.filter(F.flatten(F.transform(r["months"], lambda m: F.transform(p["numbers"], lambda n: number(m, n)))), lambda d: d.isNotNull() & (p["days"].isNull() | fits(d)))
+    start = lambda w: _nth_in(r["first"], r["last"], w["day"], F.lit(1))
+    by_weekday = F.flatten(F.transform(p["days"], lambda w: F.when(w["nth"] == 0, F.sequence(start(w), r["last"], F.expr("interval 7 days"))).otherwise(F.array(_nth_in(r["first"], r["last"], w["day"], w["nth"])))))
+    own = F.transform(r["months"], lambda m: number(m, F.dayofmonth(p["first"])))
+    return F.when(p["numbers"].isNotNull(), by_number).when(p["days"].isNotNull(), by_weekday).otherwise(own)
+
+
+def _at_places(p: Column, dates: Column) -> Column:
+    """A period's dates in order, those at the set positions if there are any."""
+    ordered = F.array_sort(F.array_distinct(F.filter(dates, lambda d: d.isNotNull())))
+    at = lambda xs, n: F.get(xs, F.when(n > 0, n - 1).otherwise(F.size(xs) + n))
+    return bind(ordered, lambda xs: F.when(p["places"].isNull(), xs).otherwise(F.transform(p["places"], lambda n: at(xs, n))))
+
+
+def rule_days(rule: Column, dtstart: Column, last: Column, since: Column | None = None) -> Column:
+    """All dates of a rule from its start (or the interval that `since` falls in) to `last`, in order, before COUNT and UNTIL: an array within the row.
+
+    The periods of the rule's frequency are set up one interval after another. In each, BYMONTHDAY and BYDAY give the dates or
+    limit them as RFC 5545's table says, set positions are taken over the whole period's dates, and weeks start on WKST. As in the
+    libraries that calendars use, the first week of a weekly rule begins with the start itself.
+    """
+    def body(p: Column) -> Column:
+        every = lambda start, **unit: F.sequence(start, F.greatest(p["last"], start), F.make_interval(**unit))
+        in_month = lambda d: p["months"].isNull() | F.array_contains(p["months"], F.month(d))
+        in_number = lambda d: p["numbers"].isNull() | F.array_contains(p["numbers"], F.dayofmonth(d)) | F.array_contains(p["numbers"], F.dayofmonth(d) - F.dayofmonth(F.last_day(d)) - 1)
+        limited = lambda dates: F.filter(dates, lambda d: in_month(d) & in_number(d))
+
+        on_weekday = lambda d: p["days"].isNull() | F.exists(p["days"], lambda w: w["day"] == F.weekday(d))
+        day = F.date_add(p["first"], F.floor(F.greatest(F.datediff(p["since"], p["first"]), F.lit(0)) / p["step"]).cast("int") * p["step"])
+        one = p["places"].isNull() | F.array_contains(p["places"], 1) | F.array_contains(p["places"], -1)
+        all_days = p["months"].isNull() & p["numbers"].isNull() & p["days"].isNull() & p["places"].isNull()
+        daily = F.when(all_days, every(day, days=p["step"])).otherwise(F.filter(limited(every(day, days=p["step"])), lambda d: on_weekday(d) & one))
+
+        week = F.date_sub(p["first"], F.pmod(F.weekday(p["first"]) - p["wkst"], F.lit(7)))
+        week = F.date_add(week, F.floor(F.greatest(F.datediff(p["since"], week), F.lit(0)) / (p["step"] * 7)).cast("int") * p["step"] * 7)
+        # the start's weekday holds only where neither weekdays nor days of the month are named
+        own_day = F.when(p["numbers"].isNull(), F.array(F.pmod(F.weekday(p["first"]) - p["wkst"], F.lit(7)))).otherwise(F.sequence(F.lit(0), F.lit(6)))
+        offsets = F.coalesce(F.transform(p["days"], lambda w: F.pmod(w["day"] - p["wkst"], F.lit(7))), own_day)
+        of_week = lambda w: F.filter(limited(F.transform(offsets, lambda k: F.date_add(w, k))), lambda d: d >= p["first"])
+        weekly = F.flatten(F.transform(every(week, days=p["step"] * 7), lambda w: _at_places(p, of_week(w))))
+
+        count = lambda d: F.year(d) * 12 + F.month(d)
+        month = F.trunc(p["first"], "month")
+        month = F.add_months(month, F.floor(F.greatest(count(p["since"]) - count(p["first"]), F.lit(0)) / p["step"]).cast("int") * p["step"])
+        as_range = lambda m: F.struct(m.alias("first"), F.last_day(m).alias("last"), F.array(m).alias("months"))
+        months = F.filter(every(month, months=p["step"]), in_month)
+        monthly = F.flatten(F.transform(months, lambda m: _at_places(p, bind(as_range(m), lambda r: _days_of_range(p, r)))))
+
+        year = F.trunc(p["first"], "year")
+        year = F.add_months(year, F.floor(F.greatest(F.year(p["since"]) - F.year(p["first"]), F.lit(0)) / p["step"]).cast("int") * p["step"] * 12)
+        all_months = lambda y: F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.add_months(y, k))
+        own_month = lambda y: F.array(F.add_months(y, F.month(p["first"]) - 1))
+        whole = lambda y: F.struct(y.alias("first"), F.date_sub(F.add_months(y, 12), 1).alias("last"), F.when(p["numbers"].isNull() & p["days"].isNull(), own_month(y)).otherwise(all_months(y)).alias("months"))
+        ranges = lambda y: F.when(p["months"].isNull(), F.array(whole(y))).otherwise(F.transform(F.array_distinct(p["months"]), lambda m: bind(F.add_months(y, m - 1), as_range)))
+        yearly = F.flatten(F.transform(every(year, years=p["step"]), lambda y: _at_places(p, F.flatten(F.transform(ranges(y), lambda r: _days_of_range(p, r))))))
+
+        found = F.when(p["freq"] == "DAILY", daily).when(p["freq"] == "WEEKLY", weekly).when(p["freq"] == "MONTHLY", monthly).when(p["freq"] == "YEARLY", yearly)
+        return F.array_sort(F.array_distinct(F.filter(found, lambda d: d.isNotNull() & d.between(p["first"], p["last"]))))
+
+    rule = bare_rule(rule)
+    found = bind(_rule_fields(rule, dtstart, F.to_date(dtstart) if since is None else since, last), body)
+    return F.when(last < F.to_date(dtstart), F.array().cast("array<date>")).otherwise(found)
 
 
 def expand_rules(rules: DataFrame, key: str, start: date, end: date) -> DataFrame:
@@ -80,8 +163,8 @@ def expand_rules(rules: DataFrame, key: str, start: date, end: date) -> DataFram
 
     Rules work on wall time, so clock changes move nothing. COUNT counts from dtstart, before anything is taken out;
     dates of `rdates` come in, those of `exdates` go, and equal ones are one. dtstart itself is an occurrence only if
-    the rule gives it. Rules with faults (`rule_faults`) give only their rdates. Nothing is shuffled: a rule is
-    expanded within its row, and the window bounds the work.
+    the rule gives it. Rules with faults (`rule_faults`), or without a start, give only their rdates. Nothing is shuffled: a rule is
+    expanded within its row, and the window bounds the work; only a COUNT needs what is before it.
     """
     have = {f.name for f in rules.schema}
     r = rules.select(key, *[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in RULE_COLUMNS.items()])
@@ -89,8 +172,8 @@ def expand_rules(rules: DataFrame, key: str, start: date, end: date) -> DataFram
     r = r.withColumn("until", _until(rule)).withColumn("last", F.least(F.lit(end), F.to_date("until")))
     sound = (F.size(rule_faults(rule)) == 0) & (F.to_date(begin) <= F.col("last"))
     since = F.timestamp_diff("SECOND", F.date_trunc("day", begin).cast("timestamp_ntz"), begin)
-    times = F.transform(rule_days(rule, begin, F.col("last")), lambda d: F.timestamp_add("SECOND", since, d.cast("timestamp_ntz")))
-    r = r.withColumn("times", F.when(sound, F.filter(times, lambda t: F.col("until").isNull() | (t <= F.col("until")))))
+    times = F.transform(rule_days(rule, begin, F.col("last"), F.lit(start)), lambda d: F.timestamp_add("SECOND", since, d.cast("timestamp_ntz")))
+    r = r.withColumn("sound", sound).withColumn("times", F.when(F.col("sound"), F.filter(times, lambda t: F.col("until").isNull() | (t <= F.col("until")))))
     r = r.withColumn("times", F.coalesce(F.slice("times", F.lit(1), F.coalesce(rule_part(rule, "COUNT").cast("int"), F.lit(2_000_000_000))), F.array().cast("array<timestamp_ntz>")))
     none = F.array().cast("array<timestamp_ntz>")
     r = r.withColumn("times", F.array_except(F.array_union("times", F.coalesce("rdates", none)), F.coalesce("exdates", none)))
@@ -98,18 +181,27 @@ def expand_rules(rules: DataFrame, key: str, start: date, end: date) -> DataFram
     return r.select(key, F.explode(F.filter("times", lambda t: (t >= lo) & (t < hi))).alias("recurrence"))
 
 
-def apply_overrides(occurrences: DataFrame, overrides: DataFrame, key: str, order: str, start: date, end: date) -> DataFrame:
-    """(key, recurrence, start, status) of occurrences (key, recurrence) under overrides (key, recurrence, order, replacement, status).
+def apply_overrides(occurrences: DataFrame, overrides: DataFrame, key: str, order: str, start: date, end: date, events: DataFrame | None = None) -> DataFrame:
+    """(key, recurrence, start, status) of occurrences (key, recurrence) under overrides (key, recurrence, order, replacement, status, location).
 
     The last override of a recurrence wins. A replacement moves the occurrence, which keeps its recurrence; moved out of
     the window it is dropped. An override with a replacement in the window gives an occurrence even where the rule
     gives none; one without, that matches nothing, vanishes.
+
+    With `events` (key, status, location) there is a location too, and what an override leaves open is the event's own.
+    Without, a status left open is 'scheduled'.
     """
-    last = overrides.groupBy(key, "recurrence").agg(F.max_by(F.struct("replacement", "status"), order).alias("o"), F.lit(True).alias("over"))
+    has_place = "location" in overrides.columns
+    o = overrides.withColumn("_place", F.col("location") if has_place else F.lit(None).cast("string"))
+    last = o.groupBy(key, "recurrence").agg(F.max_by(F.struct("replacement", "status", "_place"), order).alias("o"), F.lit(True).alias("over"))
     both = occurrences.withColumn("made", F.lit(True)).join(last, [key, "recurrence"], "full_outer")
     begins = F.coalesce("o.replacement", F.when(F.col("made"), F.col("recurrence")))
     inside = F.to_date("start").between(F.lit(start), F.lit(end))
-    return both.select(key, "recurrence", begins.alias("start"), F.coalesce("o.status", F.lit("scheduled")).alias("status")).where(F.col("start").isNotNull() & inside)
+    out = both.select(key, "recurrence", begins.alias("start"), F.col("o.status").alias("status"), F.col("o._place").alias("location")).where(F.col("start").isNotNull() & inside)
+    if events is None:
+        return out.select(key, "recurrence", "start", F.coalesce("status", F.lit("scheduled")).alias("status"))
+    own = events.select(key, F.col("status").alias("_status"), F.col("location").alias("_location"))
+    return out.join(own, key, "left").select(key, "recurrence", "start", F.coalesce("status", "_status").alias("status"), F.coalesce("location", "_location").alias("location"))
 
 
 def explicit_occurrences(events: DataFrame, key: str, dates: str, start: date, end: date) -> DataFrame:
