@@ -60,7 +60,8 @@ def event_lines(key: Column, stamp: Column, date: Column, end_date: Column, star
         text("SUMMARY", title), text("DESCRIPTION", description), text("LOCATION", location), text("CONTACT", contact), F.when(F.size(categories) > 0, F.concat(F.lit("CATEGORIES;LANGUAGE=da:"), names)),
         F.concat(F.lit("URL:"), uri_text(url)), F.concat(F.lit("STATUS:"), state), F.when(status == "postponed", "X-KALENDS-STATUS:POSTPONED"), F.lit("CLASS:PUBLIC"), F.lit("END:VEVENT"),
     ]
-    return F.filter(F.array(*lines), lambda x: x.isNotNull())
+    # no lambda over the whole: its argument would be evaluated piece by piece, with common parts each time; no two lines are alike
+    return F.array_except(F.array(*lines), F.array(F.lit(None).cast("string")))
 
 
 def folded(c: Column) -> Column:
@@ -95,7 +96,8 @@ def calendars(names: DataFrame, entries: DataFrame, key: str, refresh: str = "PT
     entries: (key, order..., lines) with `start_key` and `occurrence`, by which a calendar's entries are ordered. A key's
     calendar is one value, as the file that it becomes is.
     """
-    one = entries.select(key, "start_key", "occurrence", F.array_join(F.transform("lines", folded), "\r\n").alias("entry"))
+    # lines are named twice, so that they stay a column of their own and aren't drawn into the lambda
+    one = entries.select(key, "start_key", "occurrence", F.when(F.size("lines") > 0, F.array_join(F.transform("lines", folded), "\r\n")).alias("entry"))
     whole = one.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_key", "occurrence", "entry"))), lambda x: x["entry"]), "\r\n").alias("_entries"))
     head = F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("PRODID:-//Kalends//Kalends//DA"), F.lit("VERSION:2.0"), F.lit("CALSCALE:GREGORIAN"), folded(F.concat(F.lit("NAME;LANGUAGE=da:"), ical_escape(F.col("name")))),
                        folded(F.concat(F.lit("X-WR-CALNAME:"), ical_escape(F.col("name")))), F.lit(f"REFRESH-INTERVAL;VALUE=DURATION:{refresh}"), F.lit(f"X-PUBLISHED-TTL:{refresh}"))
