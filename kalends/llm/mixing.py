@@ -12,6 +12,8 @@ from .scratch import Scratch
 
 #: Parts of the unit interval in each of the two levels that find where a source's sample ends.
 PARTS = 4096
+#: Ranks' logarithms lie within this of 0: hashes give at most 37 in 53 bits, probabilities from 1e-12 on 28.
+SPREAD = 80.0
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,7 +67,8 @@ def mix_sources(
     base = rows.withColumnRenamed("source", "s").join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     p = F.least(F.col("f") * F.coalesce(F.try_divide(2 * F.col("size"), F.col("size") + F.col("mean")), F.lit(0.0)), F.lit(0.99))
     base = base.withColumn("p", F.greatest(p, F.lit(1e-12))).withColumn("rank", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
-    part = F.col("rank") / (1 + F.col("rank"))
+    # the logarithm of ranks of any inclusion probability is spread over some dozens, so parts hold like shares of a source of small odds too
+    part = F.greatest(F.lit(0.0), F.least((F.log("rank") + SPREAD) / (2 * SPREAD), F.lit(1.0)))
     base = base.withColumn("one", F.floor(part * PARTS)).withColumn("two", F.floor(part * PARTS * PARTS))
     base = scratch.write(base, "base")
 
@@ -78,7 +81,7 @@ def mix_sources(
     def at(rows: DataFrame, ends: DataFrame, part: str, rest: str) -> DataFrame:
         return rows.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnsRenamed({"part": part, "rest": rest})
 
-    first = scratch.write(at(base, ending(base, "one", "left"), "end1", "rest1"), "first")
+    first = scratch.write(at(base, ending(base.where("left > 0"), "one", "left"), "end1", "rest1"), "first")
     second = ending(first.where("one = end1"), "two", "rest1")
     second = scratch.write(at(first, second, "end2", "rest2"), "second")
     scratch.keep_only(second)

@@ -66,13 +66,13 @@ def certified_levels(measured: DataFrame, labels: DataFrame, risk: float, error:
     `labels` has (id, good); rows that repeat an id are one piece of evidence. A level rejects what any of its rules rejects, so
     the bound is on all rules together. Levels are tested from loose to strict, up to the first that fails: a level passes if,
     were its rate above `risk`, as few false rejections as seen had probability `error` / strata at most. A fixed order
-    needs no correction beyond that for the strata (Bonferroni), so all hold together with probability 1 - `error`.
+    needs no correction beyond that for the labelled strata (Bonferroni), so all hold together with probability 1 - `error`.
     """
     levels = max(len(grid) for _, _, grid in RULES.values())
     good = labels.where("id is not null").groupBy("id").agg(F.min("good").alias("good")).where("good").select("id")
     seen = measured.where("not base_failed").join(good, "id").groupBy("stratum", "id").agg(F.min("hit").alias("hit"))
     counts = seen.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.sum(F.coalesce((F.col("hit") <= n).cast("long"), F.lit(0))).alias(f"k{n}") for n in range(1, levels + 1)])
-    strata = measured.select("stratum").distinct().agg(F.count("*").alias("strata"))
+    strata = counts.agg(F.count("*").alias("strata"))  # without labels, nothing is tested
     passes = [binomial_cdf(F.col(f"k{n}"), F.col("n_good"), risk) <= error / F.col("strata") for n in range(1, levels + 1)]
     level = F.lit(0)
     for n in range(levels, 0, -1):  # the first that fails ends the sequence
