@@ -119,13 +119,24 @@ def content_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return lines.select(*keep, "nth", F.upper(F.substring_index(head, ";", 1)).alias("name"), F.when(F.instr(head, ";") > 0, F.regexp_replace(head, "^[^;]*;", "")).otherwise("").alias("parameters"), F.substring("_l", F.length(head) + 2, F.length("_l")).alias("value"))
 
 
+def event_properties(lines: DataFrame, *keep: str) -> DataFrame:
+    """Content lines of one file a key that stand in a VEVENT itself, not in a part of it such as an alarm, with `entry`, the event's number in its file."""
+    w = W.partitionBy(*keep).orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
+    event = F.upper("value") == "VEVENT"
+    opens, closes = F.col("name") == "BEGIN", F.col("name") == "END"
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(w)
+    marked = lines.withColumns({"entry": count(opens & event), "_closed": count(closes & event), "_depth": count(opens) - count(closes)}).where("entry > _closed")
+    # the event's own lines are as deep as its first one
+    own = F.max(F.when(opens & event, F.col("_depth"))).over(W.partitionBy(*keep, "entry"))
+    return marked.withColumn("_own", own).where("_depth = _own and name not in ('BEGIN', 'END')").drop("_closed", "_depth", "_own")
+
+
+def plain_text(value: Column) -> Column:
+    """iCalendar text without its escapes; line ends last, as an escaped backslash must not make one of the letter after it."""
+    return F.array_join(F.transform(F.split(value, r"\\\\", -1), lambda p: F.regexp_replace(F.regexp_replace(p, r"\\[nN]", "\n"), r"\\([;,])", "$1")), "\\")
+
+
 def components(lines: DataFrame, *keep: str) -> DataFrame:
     """(keep..., entry, properties) of the VEVENTs among content lines of one file a key: a map of first values by name, texts unescaped."""
-    w = W.partitionBy(*keep).orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
-    opened = F.sum(F.when((F.col("name") == "BEGIN") & (F.col("value") == "VEVENT"), 1).otherwise(0)).over(w)
-    closed = F.sum(F.when((F.col("name") == "END") & (F.col("value") == "VEVENT"), 1).otherwise(0)).over(w)
-    inside = lines.withColumn("entry", opened).withColumn("_c", closed).where("entry > _c and name <> 'BEGIN'")
-    # line ends last: an escaped backslash must not make one of the letter after it
-    plain = F.array_join(F.transform(F.split("value", r"\\\\", -1), lambda p: F.regexp_replace(F.regexp_replace(p, r"\\[nN]", "\n"), r"\\([;,])", "$1")), "\\")
-    firsts = inside.groupBy(*keep, "entry", "name").agg(F.min_by(plain, "nth").alias("v"))
+    firsts = event_properties(lines, *keep).groupBy(*keep, "entry", "name").agg(F.min_by(plain_text(F.col("value")), "nth").alias("v"))
     return firsts.groupBy(*keep, "entry").agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("properties"))

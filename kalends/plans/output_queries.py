@@ -48,7 +48,7 @@ select occurrence, concat_ws(chr(10), 'BEGIN:VEVENT', 'DTSTAMP:20240101T060000Z'
   'URL:https://example.org/' || l_orderkey, 'STATUS:' || state, case when state = 'TENTATIVE' then 'X-KALENDS-STATUS:POSTPONED' end, 'CLASS:PUBLIC', 'END:VEVENT') as lines from r""")
 def ical_lines(spark, sf_dir):
     """All lines but the UID, which has a query of its own."""
-    lines = F.filter("lines", lambda x: ~x.startswith("UID:"))
+    lines = F.when(F.size("lines") > 0, F.filter("lines", lambda x: ~x.startswith("UID:")))  # named twice, so that lines stay a column of their own
     return _entries(spark, sf_dir).select("occurrence", F.array_join(lines, "\n").alias("lines"))
 
 
@@ -66,7 +66,8 @@ select distinct l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' ||
 def ical_read_back(spark, sf_dir):
     """Entries parsed from folded text: what was written comes back."""
     e = _entries(spark, sf_dir)
-    text = e.select("occurrence", F.array_join(F.transform("lines", lambda x: F.concat(F.substring(x, 1, 20), F.when(F.length(x) > 20, F.concat(F.lit("\r\n "), F.substring(x, F.lit(21), F.length(x)))).otherwise(""))), "\r\n").alias("text"))
+    folds = F.transform("lines", lambda x: F.concat(F.substring(x, 1, 20), F.when(F.length(x) > 20, F.concat(F.lit("\r\n "), F.substring(x, F.lit(21), F.length(x)))).otherwise("")))
+    text = e.select("occurrence", F.when(F.size("lines") > 0, F.array_join(folds, "\r\n")).alias("text"))
     found = I.components(I.content_lines(text, "text", "occurrence"), "occurrence")
     return found.select(F.col("occurrence").alias("url"), F.col("properties")["SUMMARY"].alias("summary"), F.col("properties")["STATUS"].alias("status"))
 

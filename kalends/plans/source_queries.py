@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from kalends.operators import catalog as K
 from kalends.operators import ical as I
+from kalends.operators import ics_import as M
+from kalends.operators import recurrence as R
 from kalends.sources import files as S
 
 from .calendar_queries import table
@@ -139,3 +142,42 @@ def calendar_days_missing(spark, sf_dir):
 def sources_in_request_order(spark, sf_dir):
     runs = [("part", table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))), ("supplier", table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))), ("customer", table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))]
     return K.in_request_order(runs).groupBy("source", "position").agg(F.count("*").alias("n")).orderBy("position")
+
+
+ZONE = "Europe/Copenhagen"
+
+
+@query("ics_recurrence", """
+with o as (select o_custkey as customer, o_orderkey as k, cast(o_orderdate as date) as d0 from orders),
+x as (select customer, 'o' || k as uid, k, n, d0 + 7 * n + case when n = 3 and k % 2 = 0 then 1 else 0 end as day from o, (values (0), (1), (3), (4), (5), (6), (7), (8)) t(n))
+select customer, uid, strftime(day, '%Y-%m-%d') || case when k % 3 = 2 then ' 00:00' else ' 18:00' end as start, case when k % 3 = 2 then strftime(day + 1, '%Y-%m-%d') || ' 00:00' else strftime(day, '%Y-%m-%d') || ' 19:30' end as end_at,
+  k % 3 = 2 as all_day, case when n = 3 and k % 2 = 0 then 'cancelled' else 'confirmed' end as status
+from x where day between date '1996-11-05' and date '1997-03-20'""")
+def ics_recurrence(spark, sf_dir):
+    """Calendars of customers with a series for each order, by the zone's clock, by UTC's or of whole days, with an exception and some with a moved occurrence; linked and expanded."""
+    at = lambda days, hours: F.expr(f"o_orderdate + interval {days} days + interval {hours} minutes")
+    kind = F.col("o_orderkey") % 3
+    utc = lambda t: F.concat(F.date_format(F.convert_timezone(F.lit(ZONE), F.lit("UTC"), t), "yyyyMMdd'T'HHmmss"), F.lit("Z"))
+    plain = lambda t: F.date_format(t, "yyyyMMdd'T'HHmmss")
+
+    def when(name: str, days: int, minutes: int = 0):
+        local = F.concat(F.lit(f"{name};TZID={ZONE}:"), plain(at(days, 18 * 60 + minutes)))
+        whole = F.concat(F.lit(f"{name};VALUE=DATE:"), F.date_format(at(days + (2 if minutes else 0), 0), "yyyyMMdd"))
+        return F.when(kind == 0, local).when(kind == 1, F.concat(F.lit(f"{name}:"), plain(at(days, 17 * 60 + minutes)), F.lit("Z"))).otherwise(whole)
+
+    day = F.element_at(F.array(*[F.lit(d) for d in R.WEEKDAYS]), F.weekday("o_orderdate") + 1)
+    weekly = F.concat(F.lit("RRULE:FREQ=WEEKLY;BYDAY="), day, F.lit(";UNTIL="), utc(at(56, 18 * 60)))
+    rule = F.when(kind == 0, weekly).when(kind == 1, "RRULE:FREQ=WEEKLY;COUNT=9").otherwise("RRULE:FREQ=DAILY;INTERVAL=7;COUNT=9")
+    gone = F.when(kind == 0, F.concat(F.lit("EXDATE:"), utc(at(14, 18 * 60)))).otherwise(when("EXDATE", 14))
+    uid = F.concat(F.lit("UID:o"), F.col("o_orderkey").cast("string"))
+    begin, end = F.lit("BEGIN:VEVENT"), F.lit("END:VEVENT")
+    series = F.array(begin, uid, when("DTSTART", 0), when("DTEND", 0, 90), rule, gone, end)
+    moved = F.array(begin, uid, when("RECURRENCE-ID", 21), when("DTSTART", 22), when("DTEND", 22, 90), F.lit("STATUS:CANCELLED"), end)
+    lines = F.when(F.col("o_orderkey") % 2 == 0, F.concat(moved, series)).otherwise(series)
+    o = table(spark, sf_dir, "orders").withColumn("customer", F.col("o_custkey"))
+    entries = o.select("customer", F.date_format("o_orderdate", "yyyyMMdd").alias("start_key"), F.col("o_orderkey").alias("occurrence"), lines.alias("lines"))
+    texts = I.calendars(o.select("customer", F.col("customer").cast("string").alias("name")).distinct(), entries, "customer")
+    found = M.ics_series(M.ics_events(I.content_lines(texts, "calendar", "customer"), ZONE, "customer"), ZONE, "customer")
+    out = M.ics_occurrences(found, ZONE, date(1996, 11, 5), date(1997, 3, 20), "customer")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    return out.select("customer", "uid", shown("start").alias("start"), shown("end").alias("end_at"), "all_day", "status")
