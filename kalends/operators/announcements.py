@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kalends.functions import civil as Z
+from kalends.functions.similarity import bind
 from kalends.functions.text import missing_if_blank, price_of
 
 from .compaction import DAY_NAMES, MONTHS
@@ -23,9 +24,21 @@ _TURN = "(?:\\s+(?:er|bliver))?\\s*[:\\-]?\\s*"
 # what stands before a date: a deadline (1), a move (2), a weekday (3)
 _BEFORE = f"(?:({DEADLINE}){_TURN}|({MOVED}){_TURN})?(?:({_DAYS})\\s+)?(?:den\\s+|d\\.\\s*)?"
 ISO = f"{_BEFORE}\\b(20\\d{{2}})-(\\d{{2}})-(\\d{{2}})\\b"
-NAMED = f"{_BEFORE}(?<!\\d)(\\d{{1,2}})\\.?\\s*(?:(-|–|—|til|og|&)\\s*(\\d{{1,2}})\\.?\\s*)?({_MONTHS})(?:\\s+(20\\d{{2}}))?(?![\\p{{L}}\\p{{N}}])"
-NUMERIC = f"{_BEFORE}(?<![\\d.:])(\\d{{1,2}})([./-])(\\d{{1,2}})(?:\\5(20\\d{{2}}|\\d{{2}}))?(?=$|[\\s,;:!?]|\\.(?!\\d))"
-CLOCK = "(dørene? [^.\\n]{0,20}?)?\\bkl(?:okken)?\\.?\\s*(\\d{1,2})(?:[.:](\\d{2}))?(?:\\s*(?:-|–|til)\\s*(?:kl\\.?\\s*)?(\\d{1,2})(?:[.:](\\d{2}))?)?"
+NAMED = f"{_BEFORE}(?<!\\d)(?<!\\d[-–—])(\\d{{1,2}})\\.?\\s*(?:(-|–|—|til|og|&)\\s*(\\d{{1,2}})\\.?\\s*)?({_MONTHS})(?:\\s+(20\\d{{2}}))?(?![\\p{{L}}\\p{{N}}])"
+NUMERIC = f"{_BEFORE}(?<![\\d.:])(?<!kl\\.?\\s{{0,2}})(?<!klokken\\s{{0,2}})(\\d{{1,2}})(?<separator>[./-])(0?[1-9]|1[0-2])(?:\\k<separator>(20\\d{{2}}|\\d{{2}}))?(?=$|[\\s,;:!?]|\\.(?!\\d))(?!\\s*(?:[-–—]|til)\\s*\\d{{1,2}}[.:]\\d{{2}})(?!\\s*(?:år|årige)(?![\\p{{L}}]))"
+#: A text's dates in one pass, so that each has its place and the text around it; of patterns that begin alike the first one counts.
+ANY_DATE = f"(?:{ISO})|(?:{NAMED})|(?:{NUMERIC})"
+RELATIVE = f"(?<![\\p{{L}}\\p{{N}}])(i dag|i morgen|på (?:{_DAYS}))(?![\\p{{L}}\\p{{N}}])"
+ENCLOSING = "dette arrangement er en del af[\\s\\S]{0,180}(?:finder sted|afholdes|løber)(?:\\s+fra)?\\s*$"
+_TO, _HOUR = "\\s*(?:-|–|—|til)\\s*", "(\\d{1,2})(?:[.:](\\d{2}))?"
+STARTS = f"(?:starter|begynder|start)\\s*(?:ca\\.?\\s*|omkring\\s*)?(?:klokken|kl\\.?)\\s*{_HOUR}"
+CLOCK = f"(?:klokken|kl\\.?)\\s*{_HOUR}(?:{_TO}(?:klokken\\s*|kl\\.?\\s*)?{_HOUR}(?![\\d.]*\\s*(?:{_MONTHS})))?"
+HOURS = f"(?<![\\d.])(\\d{{1,2}})[.:](\\d{{2}}){_TO}(\\d{{1,2}})[.:](\\d{{2}})(?!\\d)"
+DOORS = "(?:dørene?\\s+(?:åbner|op)|døråbning)\\s*(?:ca\\.?\\s*)?"
+ASIDE = "(?:entré|billetsalg|tilmelding|indskrivning)\\s*(?:fra|starter|begynder|klokken|kl\\.?)?\\s*$"
+EVERY_DAY = "(?<![\\p{L}])(?:(?:alle|begge|samtlige)\\s+(?:de\\s+)?(?:dage|datoer|lørdage|søndage|aftener|gange)|hver\\s+dag)(?![\\p{L}])"
+#: Words of places that a line under date and time may name (fixed values).
+PLACES = "forsamlingshus|kulturhus|aktivitetshus|bibliotek|museum|kirke|hallen|hotel|skole|torvet|havn"
 
 
 def affirmed(text: Column, words: str) -> Column:
@@ -46,47 +59,117 @@ def _group(raw: Column, pattern: str, dates: Column) -> Column:
     )
 
 
-def date_groups(text: Column, anchor: Column) -> Column:
-    """All date groups of a text: ISO first, then named months (one day, pair or range), then numbers; what a pattern took, later ones don't see.
+def _dates_of(raw: Column, anchor: Column) -> Column:
+    """What a match of ANY_DATE says, as a date group."""
+    number = lambda p, n: _part(raw, p, n).cast("int")
 
-    A missing year is the anchor's or the next one (`nearest_year`). A range of over LONGEST_RANGE days is no real date.
+    def dated(year: Column, month: Column, day: Column) -> Column:
+        return F.when(year.isNull(), Z.nearest_year(month, day, anchor)).otherwise(Z.made_date(F.when(year < 100, year + 2000).otherwise(year), month, day))
+
+    iso = _group(raw, ISO, F.array(Z.made_date(number(ISO, 4), number(ISO, 5), number(ISO, 6))))
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), _part(raw, NAMED, 7)).cast("int")
+    first, second = (dated(number(NAMED, 8), month, number(NAMED, n)) for n in (4, 6))
+    joined, days = _part(raw, NAMED, 5), F.datediff(second, first)
+    span = F.when(days.between(0, LONGEST_RANGE), F.sequence(first, F.date_add(first, days))).otherwise(F.array(F.lit(None).cast("date")))
+    named = _group(raw, NAMED, F.when(joined.isNull(), F.array(first)).when(joined.isin("og", "&"), F.array(first, second)).otherwise(span))
+    numeric = _group(raw, NUMERIC, F.array(dated(number(NUMERIC, 7), number(NUMERIC, 6), number(NUMERIC, 4))))
+    return F.when(raw.rlike(f"^{ISO}$"), iso).when(raw.rlike(f"^{NAMED}$"), named).otherwise(numeric)
+
+
+def date_spans(text: Column, anchor: Column) -> Column:
+    """The dates of a text in order: (at, upto, before, after, enclosing, deadline, moved, agrees, real, dates), places in characters from 1.
+
+    `before` and `after` is the text to the dates beside it. A missing year is the anchor's or the next one (`nearest_year`). A range of over
+    LONGEST_RANGE days is no real date. A date is `moved` where a word says so before it, or where it is the second of
+    'flyttet fra ... til ...'; `enclosing` where it is that of an event which the text's own, named before, is part of.
     """
     low = F.lower(text)
-    number = lambda raw, p, n: _part(raw, p, n).cast("int")
 
-    def dated(year: Column, month: Column, day: Column) -> Column:
-        return F.when(year.isNull(), Z.nearest_year(month, day, anchor)).otherwise(Z.made_date(F.when(year < 100, year + 2000).otherwise(year), month, day))
+    def spans(p: Column) -> Column:
+        raws, pieces = p["raws"], p["pieces"]
+        size = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda total, x: total + F.length(x))
+
+        def span(raw: Column, i: Column) -> Column:
+            at, before = size(pieces, i + 1) + size(raws, i) + 1, F.get(pieces, i)
+            from_there = (i > 0) & F.get(pieces, i - 1).rlike(f"(?:flyttet|rykket)\\s+fra\\s*(?:{_DAYS})?\\s*$") & before.rlike("^[^!?\\n]{0,60}?\\s+til\\s*$")
+            g = _dates_of(raw, anchor)
+            fields = {"at": at, "upto": at + F.length(raw) - 1, "before": before, "after": F.get(pieces, i + 1), "enclosing": (i > 0) & F.right(before, F.lit(260)).rlike(ENCLOSING)}
+            return bind(g, lambda g: F.struct(*[c.alias(n) for n, c in fields.items()], g["deadline"].alias("deadline"), (g["moved"] | F.coalesce(from_there, F.lit(False))).alias("moved"), g["agrees"].alias("agrees"), g["real"].alias("real"), g["dates"].alias("dates")))
+
+        return F.transform(raws, span)
 
-    def iso(raw: Column) -> Column:
-        return _group(raw, ISO, F.array(Z.made_date(number(raw, ISO, 4), number(raw, ISO, 5), number(raw, ISO, 6))))
+    return bind(F.struct(F.regexp_extract_all(low, F.lit(ANY_DATE), 0).alias("raws"), F.split(low, ANY_DATE, -1).alias("pieces")), spans)
 
-    def named(raw: Column) -> Column:
-        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), _part(raw, NAMED, 7)).cast("int")
-        first, second = (dated(number(raw, NAMED, 8), month, number(raw, NAMED, n)) for n in (4, 6))
-        joined = _part(raw, NAMED, 5)
-        days = F.datediff(second, first)
-        span = F.when(days.between(0, LONGEST_RANGE), F.sequence(first, F.date_add(first, days))).otherwise(F.array(F.lit(None).cast("date")))
-        return _group(raw, NAMED, F.when(joined.isNull(), F.array(first)).when(joined.isin("og", "&"), F.array(first, second)).otherwise(span))
 
-    def numeric(raw: Column) -> Column:
-        return _group(raw, NUMERIC, F.array(dated(number(raw, NUMERIC, 7), number(raw, NUMERIC, 6), number(raw, NUMERIC, 4))))
+def relative_dates(text: Column, anchor: Column) -> Column:
+    """Dates told by the day of a post: today, tomorrow, or the next such weekday, which is never the day itself."""
 
-    no_iso = F.regexp_replace(low, ISO, "¤")
-    no_named = F.regexp_replace(F.regexp_replace(no_iso, NAMED, "¤"), CLOCK, "¤")
-    found = [(low, ISO, iso), (no_iso, NAMED, named), (no_named, NUMERIC, numeric)]
-    return F.concat(*[F.transform(F.regexp_extract_all(t, F.lit(p), 0), f) for t, p, f in found])
+    def day(raw: Column) -> Column:
+        target = F.array_position(F.array(*[F.lit(d) for d in DAY_NAMES]), F.regexp_replace(raw, "^på ", "")).cast("int") - 1
+        ahead = F.pmod(target - F.weekday(anchor) - 1, F.lit(7)) + 1
+        return F.when(raw == "i dag", anchor).when(raw == "i morgen", F.date_add(anchor, 1)).otherwise(F.date_add(anchor, ahead))
 
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(RELATIVE), 1), day)
 
-def clock_times(text: Column) -> Column:
-    """(start, end) of the first time of day that isn't a door's; null where there is none or it is no time."""
-    raws = F.filter(F.regexp_extract_all(F.lower(text), F.lit(CLOCK), 0), lambda r: ~r.rlike("^dør"))
-    raw = F.get(raws, F.lit(0))
 
-    def at(hour: int) -> Column:
-        h, m = _part(raw, CLOCK, hour).cast("int"), F.coalesce(_part(raw, CLOCK, hour + 1).cast("int"), F.lit(0))
+def time_of(segment: Column) -> Column:
+    """(start, end) that a lower-case piece of text names for certain; null where it names none, only that of doors or of something aside, or several.
+
+    A time after a word for starting counts before others. An end before the start is left out.
+    """
+
+    def at(raw: Column, pattern: str, n: int) -> Column:
+        h, m = _part(raw, pattern, n).cast("int"), F.coalesce(_part(raw, pattern, n + 1).cast("int"), F.lit(0))
         return F.when((h < 24) & (m < 60), F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0")))
 
-    return F.struct(at(2).alias("start"), at(4).alias("end"))
+    def read(seg: Column) -> Column:
+        sure, told, bare = (_part(seg, p, 0) for p in (STARTS, CLOCK, HOURS))
+        raw = F.coalesce(sure, told, bare)
+        end = F.when(sure.isNull(), F.coalesce(at(told, CLOCK, 3), F.when(told.isNull(), at(bare, HOURS, 3))))
+        times = F.struct(F.coalesce(at(sure, STARTS, 1), F.when(sure.isNull(), F.coalesce(at(told, CLOCK, 1), F.when(told.isNull(), at(bare, HOURS, 1))))).alias("start"), end.alias("end"))
+        before = F.right(F.call_function("substring_index", seg, raw, F.lit(1)), F.lit(40))
+        many = F.regexp_count(F.regexp_replace(seg, f"{DOORS}(?:(?:klokken|kl\\.?)\\s*)?\\d{{1,2}}(?:[.:]\\d{{2}})?", ""), F.lit("(?:klokken|kl\\.?)\\s*\\d{1,2}")) > F.when(end.isNotNull(), 2).otherwise(1)
+        unsure = sure.isNull() & (before.rlike(f"{DOORS}$") | before.rlike(ASIDE) | many)
+        kept = F.struct(times["start"].alias("start"), F.when(times["end"] >= times["start"], times["end"]).alias("end"))
+        return F.when(~F.coalesce(unsure, F.lit(True)) & times["start"].isNotNull(), kept)
+
+    return bind(segment, read)
+
+
+def shared_time(text: Column) -> Column:
+    """The time of the first sentence that says that it holds for all days."""
+    clauses = F.split(text, "\\n+|(?<=[!?])\\s+|(?<=\\.)\\s+(?=\\p{Lu})", -1)
+    said = F.filter(F.transform(clauses, F.lower), lambda c: c.rlike(EVERY_DAY))
+    return F.get(F.filter(F.transform(said, lambda c: time_of(_until_deadline(c))), lambda t: t.isNotNull()), F.lit(0))
+
+
+def _until_deadline(segment: Column) -> Column:
+    return F.get(F.split(segment, f"(?<![\\p{{L}}]){DEADLINE}(?![\\p{{L}}])|\\n\\s*pris(?![\\p{{L}}])", 2), F.lit(0))
+
+
+def _time_at(span: Column) -> Column:
+    """The time after a date, up to the next one, or right before it."""
+    ahead = F.regexp_extract(span["before"], f"((?:{CLOCK})|(?:{HOURS}))\\s*$", 1)
+    return F.coalesce(time_of(_until_deadline(span["after"])), time_of(ahead))
+
+
+def title_of(text: Column, at: Column) -> Column:
+    """The first line before the first date (the first line at all, if there is none before it) that says something, its weekday and end cut off."""
+    head = F.trim(F.substring(text, F.lit(1), F.coalesce(at - 1, F.length(text))))
+    lines = F.split(F.when(head == "", text).otherwise(head), "\n")
+    bare = F.transform(F.filter(lines, lambda line: ~F.trim(line).startswith("#")), lambda line: F.regexp_replace(line, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N})]+$", ""))
+    first = F.get(F.filter(bare, lambda line: (F.length(line) >= 3) & ~F.lower(line).rlike(f"^(?:klokken|kl\\.?)\\s*\\d{{1,2}}(?:[.:]\\d{{2}})?(?:\\s+(?:{_DAYS})(?:\\s+(?:den|d\\.))?)?$")), F.lit(0))
+    whole = F.regexp_replace(first, f"(?iu)\\s+(?:{_DAYS})(?:\\s+(?:den|d\\.))?\\s*$", "")
+    sentence = F.get(F.split(whole, "(?<=[!?])\\s+", 2), F.lit(0))
+    short = F.regexp_replace(F.substring(sentence, 1, 177), "\\s+\\S*$", "")
+    return missing_if_blank(F.when(F.length(sentence) <= 180, sentence).otherwise(F.concat(short, F.lit("…"))))
+
+
+def place_under(text: Column, upto: Column) -> Column:
+    """The line after date and time that names a place, if it is no sentence."""
+    after = F.substring(text, upto + 1, F.length(text))
+    line = F.trim(F.regexp_extract(after, "(?iu)^(?:[^\\n]*\\n){0,4}?[ \\t]*(?:klokken|kl\\.?)\\s*\\d{1,2}[^\\n]*\\n\\s*[^\\p{L}\\p{N}\\n]*([^\\n]{2,100})", 1))
+    return F.when(F.lower(line).rlike(PLACES) & ~line.rlike("[.!?]$|^(?:https?://|www\\.)") & (F.size(F.split(line, "\\s+")) <= 10), line)
 
 
 def labelled(text: Column, names: str) -> Column:
@@ -95,27 +178,39 @@ def labelled(text: Column, names: str) -> Column:
 
 
 def announcements(df: DataFrame, key: str, text: str, anchor: str) -> DataFrame:
-    """(key, title, location, price, start, end, status, sold_out, attendance, dates, errors) of announcements.
+    """(key, title, location, price, start, end, all_day, status, sold_out, attendance, dates, occurrences, errors) of announcements.
 
-    Dates of deadlines are left out. If a date is marked as the one that an event moved to, only such dates count and the event
-    is on. Errors: no event signal, a text too long or rejected, days that aren't real, weekdays that don't agree,
-    alternatives ('enten ... eller' with several dates), and no date at all.
+    Dates of deadlines, and of an event that the announced one is part of, are left out. If a date is marked as the one that an event
+    moved to, only such dates count and the event is on. Without any date, words relative to the anchor (the day of the post) give
+    them. `occurrences` has each date with its own time, or the one that holds for all; `start` and `end` are the first's.
+    Errors: no text, no event signal, a text too long or rejected, days that aren't real, weekdays that don't agree,
+    alternatives ('enten ... eller' with several dates), relative dates without an anchor, and no date at all. A null text has no text.
     """
-    t = F.col(text)
-    d = df.select(key, t.alias("_t"), date_groups(t, F.col(anchor)).alias("_g"), clock_times(t).alias("_c"))
-    live = F.filter("_g", lambda g: ~g["deadline"])
-    moved = F.filter(live, lambda g: g["moved"])
-    d = d.withColumn("_g", F.when(F.size(moved) > 0, moved).otherwise(live)).withColumn("_m", F.size(moved) > 0)
-    good = F.filter("_g", lambda g: g["real"] & g["agrees"])
-    dates = F.array_sort(F.array_distinct(F.flatten(F.transform(good, lambda g: g["dates"]))))
     t = F.col("_t")
+    whole = F.when(F.length(text) <= LONGEST_TEXT, F.col(text)).otherwise("")
+    d = df.select(key, F.coalesce(text, F.lit("")).alias("_t"), F.coalesce(whole, F.lit("")).alias("_w"), F.col(anchor).alias("_a"))
+    d = d.withColumn("_g", date_spans(F.col("_w"), F.col("_a"))).withColumn("_at", F.get("_g", F.lit(0)))
+    live = F.filter("_g", lambda g: ~g["deadline"] & ~g["enclosing"])
+    d = d.withColumn("_live", live).withColumn("_moved", F.filter("_live", lambda g: g["moved"]))
+    d = d.withColumn("_g", F.when(F.size("_moved") > 0, F.col("_moved")).otherwise(F.col("_live"))).withColumn("_m", F.size("_moved") > 0)
+    d = d.withColumn("_near", F.when(F.size("_g") == 0, relative_dates(F.col("_w"), F.col("_a"))).otherwise(F.array().cast("array<date>")))
+    d = d.withColumn("_all", shared_time(F.col("_w"))).withColumn("_any", time_of(_until_deadline(F.lower("_w"))))
+    good = F.filter("_g", lambda g: g["real"] & g["agrees"])
+    several = F.aggregate("_g", F.lit(0), lambda n, g: n + F.size(g["dates"])) > 1
+    at = lambda day, time: F.struct(day.alias("date"), time["start"].alias("start"), time["end"].alias("end"))
+    timed = F.flatten(F.transform(good, lambda g: bind(F.coalesce(F.when(several, F.col("_all")), _time_at(g)), lambda time: F.transform(g["dates"], lambda day: at(day, time)))))
+    near = F.transform(F.filter("_near", lambda day: day.isNotNull()), lambda day: at(day, F.col("_any")))
+    d = d.withColumn("_o", F.array_sort(F.array_distinct(F.concat(timed, near)))).withColumn("dates", F.array_sort(F.array_distinct(F.transform("_o", lambda o: o["date"]))))
+    many = F.size("dates") > 1
     checks = [
-        (F.length(t) > LONGEST_TEXT, "too-long"), (~F.lower(t).rlike(EVENT_WORDS), "no-signal"), (F.lower(t).rlike(REJECTED_WORDS), "rejected"), (F.exists("_g", lambda g: ~g["real"]), "no-such-day"),
-        (F.exists("_g", lambda g: g["real"] & ~g["agrees"]), "weekday"), (F.lower(t).rlike("(?s)\\benten\\b.*\\beller\\b") & (F.size(dates) > 1), "alternatives"), (F.size(dates) == 0, "no-date"),
+        (F.trim(t) == "", "no-text"), (F.length(t) > LONGEST_TEXT, "too-long"), (~F.lower(t).rlike(EVENT_WORDS), "no-signal"), (F.lower(t).rlike(REJECTED_WORDS), "rejected"), (F.exists("_g", lambda g: ~g["real"]), "no-such-day"),
+        (F.exists("_g", lambda g: g["real"] & ~g["agrees"]), "weekday"), (F.lower(t).rlike("(?s)\\benten\\b.*\\beller\\b") & many, "alternatives"), (F.col("_a").isNull() & (F.size("_near") > 0), "no-anchor"), (F.size("dates") == 0, "no-date"),
     ]
     errors = F.filter(F.array(*[F.when(c, F.lit(e)) for c, e in checks]), lambda x: x.isNotNull())
     status = F.when(affirmed(t, CANCELLED_WORDS) & ~F.col("_m"), "cancelled").otherwise("scheduled")
+    first = F.get("_o", F.lit(0))
+    location = F.coalesce(labelled(t, "sted|hvor|lokation|mødested|adresse"), place_under(t, F.col("_at.upto")))
     return d.select(
-        key, missing_if_blank(F.get(F.split(t, "\n"), F.lit(0))).alias("title"), labelled(t, "sted|hvor").alias("location"), price_of(t).alias("price"), F.col("_c.start").alias("start"), F.col("_c.end").alias("end"), status.alias("status"),
-        affirmed(t, SOLD_OUT_WORDS).alias("sold_out"), F.when(affirmed(t, MEMBER_WORDS), "members").otherwise("unknown").alias("attendance"), dates.alias("dates"), errors.alias("errors"),
+        key, title_of(t, F.col("_at.at")).alias("title"), location.alias("location"), price_of(t).alias("price"), first["start"].alias("start"), first["end"].alias("end"), (F.lower(t).rlike("hele dagen|heldagsarrangement") & first["start"].isNull()).alias("all_day"),
+        status.alias("status"), affirmed(t, SOLD_OUT_WORDS).alias("sold_out"), F.when(affirmed(t, MEMBER_WORDS), "members").otherwise("unknown").alias("attendance"), "dates", F.col("_o").alias("occurrences"), errors.alias("errors"),
     )

@@ -38,6 +38,7 @@ def announcement_extract(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("\n"), texts).alias("text"), F.lit("2024-03-10").cast("date").alias("anchor"))
     out = A.announcements(rows, "p_partkey", "text", "anchor").withColumnRenamed("end", "end_time")
     days = F.array_join(F.transform("dates", lambda d: d.cast("string")), ",")
+    out = out.drop("occurrences", "all_day")
     return out.withColumn("dates", days).withColumn("errors", F.array_join("errors", ","))
 
 
