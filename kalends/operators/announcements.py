@@ -53,27 +53,28 @@ def _part(raw: Column, pattern: str, n: int) -> Column:
 def _group(raw: Column, pattern: str, dates: Column) -> Column:
     """A date group of a match: its contexts, whether its weekday agrees, and its dates (null ones are no real days)."""
     weekday = F.array_position(F.array(*[F.lit(d) for d in DAY_NAMES]), _part(raw, pattern, 3)).cast("int") - 1
-    return F.struct(
-        _part(raw, pattern, 1).isNotNull().alias("deadline"), _part(raw, pattern, 2).isNotNull().alias("moved"),
-        F.coalesce(F.weekday(dates[0]) == weekday, F.lit(True)).alias("agrees"), F.forall(dates, lambda d: d.isNotNull()).alias("real"), dates.alias("dates"),
-    )
+    contexts = F.struct(_part(raw, pattern, 1).isNotNull().alias("deadline"), _part(raw, pattern, 2).isNotNull().alias("moved"), weekday.alias("weekday"), dates.alias("dates"))
+    agrees = lambda g: F.coalesce(F.weekday(g["dates"][0]) == g["weekday"], F.lit(True))
+    return bind(contexts, lambda g: F.struct(g["deadline"].alias("deadline"), g["moved"].alias("moved"), agrees(g).alias("agrees"), F.forall(g["dates"], lambda d: d.isNotNull()).alias("real"), g["dates"].alias("dates")))
 
 
 def _dates_of(raw: Column, anchor: Column) -> Column:
     """What a match of ANY_DATE says, as a date group."""
-    number = lambda p, n: _part(raw, p, n).cast("int")
+    numbers = lambda p, **n: F.struct(*[_part(raw, p, i).cast("int").alias(name) for name, i in n.items()])
+
+    def dated(n: Column, day: str) -> Column:
+        return F.when(n["year"].isNull(), Z.nearest_year(n["month"], n[day], anchor)).otherwise(Z.made_date(F.when(n["year"] < 100, n["year"] + 2000).otherwise(n["year"]), n["month"], n[day]))
 
-    def dated(year: Column, month: Column, day: Column) -> Column:
-        return F.when(year.isNull(), Z.nearest_year(month, day, anchor)).otherwise(Z.made_date(F.when(year < 100, year + 2000).otherwise(year), month, day))
+    def joined(n: Column) -> Column:
+        word, days = _part(raw, NAMED, 5), F.datediff(n["second"], n["first"])
+        span = F.when(days.between(0, LONGEST_RANGE), F.sequence(n["first"], F.date_add(n["first"], days))).otherwise(F.array(F.lit(None).cast("date")))
+        return F.when(word.isNull(), F.array(n["first"])).when(word.isin("og", "&"), F.array(n["first"], n["second"])).otherwise(span)
 
-    iso = _group(raw, ISO, F.array(Z.made_date(number(ISO, 4), number(ISO, 5), number(ISO, 6))))
+    iso = bind(numbers(ISO, year=4, month=5, day=6), lambda n: F.array(Z.made_date(n["year"], n["month"], n["day"])))
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), _part(raw, NAMED, 7)).cast("int")
-    first, second = (dated(number(NAMED, 8), month, number(NAMED, n)) for n in (4, 6))
-    joined, days = _part(raw, NAMED, 5), F.datediff(second, first)
-    span = F.when(days.between(0, LONGEST_RANGE), F.sequence(first, F.date_add(first, days))).otherwise(F.array(F.lit(None).cast("date")))
-    named = _group(raw, NAMED, F.when(joined.isNull(), F.array(first)).when(joined.isin("og", "&"), F.array(first, second)).otherwise(span))
-    numeric = _group(raw, NUMERIC, F.array(dated(number(NUMERIC, 7), number(NUMERIC, 6), number(NUMERIC, 4))))
-    return F.when(raw.rlike(f"^{ISO}$"), iso).when(raw.rlike(f"^{NAMED}$"), named).otherwise(numeric)
+    named = bind(F.struct(month.alias("month"), *[_part(raw, NAMED, i).cast("int").alias(n) for n, i in (("year", 8), ("day", 4), ("until", 6))]), lambda n: bind(F.struct(dated(n, "day").alias("first"), dated(n, "until").alias("second")), joined))
+    numeric = bind(numbers(NUMERIC, year=7, month=6, day=4), lambda n: F.array(dated(n, "day")))
+    return F.when(raw.rlike(f"^{ISO}$"), _group(raw, ISO, iso)).when(raw.rlike(f"^{NAMED}$"), _group(raw, NAMED, named)).otherwise(_group(raw, NUMERIC, numeric))
 
 
 def date_spans(text: Column, anchor: Column) -> Column:
@@ -122,16 +123,22 @@ def time_of(segment: Column) -> Column:
         h, m = _part(raw, pattern, n).cast("int"), F.coalesce(_part(raw, pattern, n + 1).cast("int"), F.lit(0))
         return F.when((h < 24) & (m < 60), F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0")))
 
+    def told(t: Column) -> Column:
+        """The start and end of what was found, and whether to trust it."""
+        sure = t["sure"].isNotNull()
+        start = F.coalesce(at(t["sure"], STARTS, 1), F.when(~sure, F.coalesce(at(t["told"], CLOCK, 1), F.when(t["told"].isNull(), at(t["bare"], HOURS, 1)))))
+        end = F.when(~sure, F.coalesce(at(t["told"], CLOCK, 3), F.when(t["told"].isNull(), at(t["bare"], HOURS, 3))))
+        before = F.right(F.call_function("substring_index", t["seg"], F.coalesce(t["sure"], t["told"], t["bare"]), F.lit(1)), F.lit(40))
+        n = F.regexp_count(F.regexp_replace(t["seg"], f"{DOORS}(?:(?:klokken|kl\\.?)\\s*)?\\d{{1,2}}(?:[.:]\\d{{2}})?", ""), F.lit("(?:klokken|kl\\.?)\\s*\\d{1,2}"))
+        return F.struct(start.alias("start"), end.alias("end"), (~sure & before.rlike(f"{DOORS}$|{ASIDE}")).alias("aside"), F.when(sure, 0).otherwise(n).alias("n"))
+
+    def trusted(t: Column) -> Column:
+        kept = F.struct(t["start"].alias("start"), F.when(t["end"] >= t["start"], t["end"]).alias("end"))
+        return F.when(~F.coalesce(t["aside"], F.lit(True)) & (t["n"] <= F.when(t["end"].isNotNull(), 2).otherwise(1)) & t["start"].isNotNull(), kept)
+
     def read(seg: Column) -> Column:
-        sure, told, bare = (_part(seg, p, 0) for p in (STARTS, CLOCK, HOURS))
-        raw = F.coalesce(sure, told, bare)
-        end = F.when(sure.isNull(), F.coalesce(at(told, CLOCK, 3), F.when(told.isNull(), at(bare, HOURS, 3))))
-        times = F.struct(F.coalesce(at(sure, STARTS, 1), F.when(sure.isNull(), F.coalesce(at(told, CLOCK, 1), F.when(told.isNull(), at(bare, HOURS, 1))))).alias("start"), end.alias("end"))
-        before = F.right(F.call_function("substring_index", seg, raw, F.lit(1)), F.lit(40))
-        many = F.regexp_count(F.regexp_replace(seg, f"{DOORS}(?:(?:klokken|kl\\.?)\\s*)?\\d{{1,2}}(?:[.:]\\d{{2}})?", ""), F.lit("(?:klokken|kl\\.?)\\s*\\d{1,2}")) > F.when(end.isNotNull(), 2).otherwise(1)
-        unsure = sure.isNull() & (before.rlike(f"{DOORS}$") | before.rlike(ASIDE) | many)
-        kept = F.struct(times["start"].alias("start"), F.when(times["end"] >= times["start"], times["end"]).alias("end"))
-        return F.when(~F.coalesce(unsure, F.lit(True)) & times["start"].isNotNull(), kept)
+        found = F.struct(seg.alias("seg"), *[_part(seg, p, 0).alias(n) for n, p in (("sure", STARTS), ("told", CLOCK), ("bare", HOURS))])
+        return bind(bind(found, told), trusted)
 
     return bind(segment, read)
 
