@@ -164,13 +164,40 @@ def fnv36(c: Column) -> Column:
     return F.lower(F.conv(folded.cast("string"), 10, 36))
 
 
-def linked_data(c: Column, kind: str, fields: tuple[str, ...]) -> Column:
-    """Objects of one @type in a JSON-LD text, as an array of structs of text fields: the object itself, a list of them, or what is in its @graph."""
-    shape = "struct<`@type`:string," + ",".join(f"{f}:string" for f in fields) + ">"
-    graph = F.from_json(F.get_json_object(c, "$['@graph']"), f"array<{shape}>")
-    whole = F.when(F.trim(c).startswith("["), F.from_json(c, f"array<{shape}>")).otherwise(F.array(F.from_json(c, shape)))
-    wanted = F.filter(F.coalesce(graph, whole), lambda o: o["@type"] == kind)
-    return F.transform(wanted, lambda o: F.struct(*[o[f].alias(f) for f in fields]))
+def linked_data(c: Column, kind: str, fields: tuple[str, ...], through: tuple[str, ...] | None = ("@graph",), depth: int = 32) -> Column:
+    """Objects of one @type in a JSON-LD text, as an array of structs of text fields, in the order in which they stand.
+
+    The walk goes down through lists and the named keys (through every value, in order of keys, if `through` is None), also from objects that
+    are found themselves, `depth` levels at most. A @type may be a list. All levels are unfolded within the row. A text
+    that is no JSON, like null, has none.
+    """
+    node = "array<struct<path: array<struct<name: string, nth: int>>, v: variant>>"
+
+    def at(n: Column, name: Column, nth: Column, v: Column) -> Column:
+        return F.struct(F.concat(n["path"], F.array(F.struct(name.cast("string").alias("name"), nth.cast("int").alias("nth")))).alias("path"), v.alias("v"))
+
+    def children(n: Column) -> Column:
+        items = F.transform(F.try_variant_get(n["v"], "$", "array<variant>"), lambda v, i: at(n, F.lit(""), i, v))
+        if through is None:
+            found = F.transform(F.map_entries(F.try_variant_get(n["v"], "$", "map<string, variant>")), lambda e: at(n, e["key"], F.lit(0), e["value"]))
+        else:
+            found = F.array(*[at(n, F.lit(name), F.lit(i), F.try_variant_get(n["v"], f"$['{name}']", "variant")) for i, name in enumerate(through)])
+        return F.filter(F.coalesce(items, found, F.array().cast(node)), lambda x: x["v"].isNotNull())
+
+    def step(state: Column, _: Column) -> Column:
+        return F.struct(F.flatten(F.transform(state["open"], children)).cast(node).alias("open"), F.concat(state["seen"], state["open"]).alias("seen"))
+
+    whole = F.try_parse_json(c)
+    root = F.filter(F.array(F.struct(F.array().cast("array<struct<name: string, nth: int>>").alias("path"), whole.alias("v"))), lambda x: x["v"].isNotNull()).cast(node)
+    seen = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.struct(root.alias("open"), F.array().cast(node).alias("seen")), step, lambda state: state["seen"])
+    of_kind = lambda x: F.coalesce(F.try_variant_get(x["v"], "$['@type']", "string") == kind, F.lit(False)) | F.coalesce(F.array_contains(F.try_variant_get(x["v"], "$['@type']", "array<string>"), kind), F.lit(False))
+    told = F.transform(F.filter(seen, of_kind), lambda x: F.struct(x["path"].alias("path"), F.struct(*[F.try_variant_get(x["v"], f"$['{f}']", "string").alias(f) for f in fields]).alias("o")))
+    return F.transform(F.array_sort(told), lambda x: x["o"])
+
+
+def canonical_text(c: Column) -> Column:
+    """A JSON text with keys in order at every level, also within lists, and without spaces; null where it is no JSON."""
+    return F.to_json(F.try_parse_json(c))
 
 
 def review_card(title: Column, when: Column, place: Column, reasons: Column, most: int = 3) -> Column:

@@ -86,17 +86,20 @@ def editor_owned(events: DataFrame, snapshots: DataFrame, key: str) -> DataFrame
 
 
 def canonical_json(df: DataFrame, columns: list[str]) -> Column:
-    """A row's columns as JSON with keys in order at every level of structs; nulls are left out."""
-    from pyspark.sql.types import StructType
-
-    def ordered(prefix: str, schema: StructType) -> Column:
-        parts = []
-        for f in sorted(schema.fields, key=lambda f: f.name):
-            path = f"{prefix}.{f.name}" if prefix else f.name
-            parts.append((ordered(path, f.dataType) if isinstance(f.dataType, StructType) else F.col(path)).alias(f.name))
-        return F.struct(*parts)
-
-    return F.to_json(ordered("", StructType([df.schema[c] for c in columns])))
+    """A row's columns as JSON with keys in order at every level, in lists and maps too; null fields are left out."""
+    from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+
+    def ordered(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            return F.when(c.isNotNull(), F.struct(*[ordered(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+        if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, ArrayType, MapType)):
+            return F.transform(c, lambda x: ordered(x, kind.elementType))
+        if isinstance(kind, MapType):
+            keys = F.array_sort(F.map_keys(c))
+            return F.map_from_arrays(keys, F.transform(keys, lambda k: ordered(F.element_at(c, k), kind.valueType)))
+        return c
+
+    return F.to_json(F.struct(*[ordered(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(columns)]))
 
 
 def payload_digest(df: DataFrame, columns: list[str], reasons: str, name: str = "digest") -> DataFrame:

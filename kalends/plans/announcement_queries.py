@@ -47,3 +47,32 @@ def affirmed_signals(spark, sf_dir):
     texts = ["Det er aflyst", "ikke aflyst", "hvis aflyst kommer besked", "aflyst alligevel ikke", "Aflyst!", "uaflyst"]
     text = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", A.affirmed(text, A.CANCELLED_WORDS).alias("affirmed"))
+
+
+@query("announcement_occurrences", """
+with o as (select o_orderkey, cast(o_orderkey % 8 as integer) as k, cast(o_orderdate as date) as anchor, cast(o_orderdate as date) + 10 as d1, cast(o_orderdate as date) + 17 as d2,
+  lpad(cast(10 + o_custkey % 10 as varchar), 2, '0') || ':' || lpad(cast(15 * (o_custkey % 4) as varchar), 2, '0') as t, lpad(cast(12 + o_custkey % 10 as varchar), 2, '0') || ':' || lpad(cast(15 * (o_custkey % 4) as varchar), 2, '0') as e, cast(o_custkey % 7 as integer) as w from orders),
+x as (select o_orderkey, d1 as day, case when k = 6 then null else t end as start, case when k = 0 then e end as end_time from o where k in (0, 1, 4, 6, 7)
+  union all select o_orderkey, d2, t, null from o where k in (1, 5)
+  union all select o_orderkey, anchor + 1, t, null from o where k = 2
+  union all select o_orderkey, anchor + ((w - (isodow(anchor)::int - 1) + 6) % 7) + 1, t, null from o where k = 3)
+select o_orderkey, strftime(day, '%Y-%m-%d') as day, start, end_time from x""")
+def announcement_occurrences(spark, sf_dir):
+    """Posts written from orders' dates and times: each date with a time of its own or for all, relative, enclosing, moved and unsure ones."""
+    d1, d2 = F.date_add("o_orderdate", 10), F.date_add("o_orderdate", 17)
+    months, days = (F.array(*[F.lit(n) for n in names]) for names in (A.MONTHS, A.DAY_NAMES))
+    said = lambda d: F.concat(F.dayofmonth(d).cast("string"), F.lit(". "), F.element_at(months, F.month(d)))
+    hour = lambda more: (10 + more + F.col("o_custkey") % 10).cast("string")
+    minute = F.lpad((15 * (F.col("o_custkey") % 4)).cast("string"), 2, "0")
+    time = F.concat(F.lit("kl. "), hour(0), F.lit("."), minute)
+    weekday = F.element_at(days, F.weekday(d1) + 1)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    posts = [
+        text("Koncert i haven\\n", weekday, " den ", said(d1), " ", time, "-", hour(2), ".", minute, "\\nSted: ", F.col("o_orderpriority")), text("Foredrag ", said(d1), " og ", said(d2), ". Vi mødes alle gange ", time),
+        text("Fest i morgen ", time), text("Møde på ", F.element_at(days, (F.col("o_custkey") % 7 + 1).cast("int")), " ", time), text("Udstilling den ", said(d1), " ", time, "\\nDette arrangement er en del af festugen, som finder sted ", said(d2)),
+        text("Koncert flyttet fra ", said(d1), " til ", said(d2), " ", time), text("Koncert ", said(d1), ", dørene åbner ", time), text("Foredrag ", time, " den ", F.date_format(d1, "d/M-"), F.lit("").cast("string"), "\\n"),
+    ]
+    posts[7] = text("Foredrag ", time, " den ", F.date_format(d1, "d/M"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("anchor"), F.element_at(F.array(*posts), (F.col("o_orderkey") % 8 + 1).cast("int")).alias("text"))
+    found = A.announcements(rows, "o_orderkey", "text", "anchor").select("o_orderkey", F.explode("occurrences").alias("o"))
+    return found.select("o_orderkey", F.date_format("o.date", "yyyy-MM-dd").alias("day"), "o.start", F.col("o.end").alias("end_time"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kalends.functions import civil as Z
 from kalends.functions import text as T
 from kalends.operators import calendar as C
+from kalends.operators.snapshots import canonical_json
 
 from .calendar_queries import table
 from .registry import query
@@ -173,3 +174,32 @@ def review_cards(spark, sf_dir):
     reasons = F.when(s % 3 == 0, F.array().cast("array<string>")).when(s % 3 == 1, F.array(F.lit("a"))).otherwise(F.array(*[F.lit(x) for x in "abcd"]))
     card = T.review_card(F.col("p_name"), F.concat(F.lit("2024-01-0"), (1 + s % 9).cast("string")), F.when(s % 2 == 0, F.col("p_brand")), reasons)
     return table(spark, sf_dir, "part").select("p_partkey", card.alias("card"))
+
+
+@query("linked_data_walk", """
+with p as (select p_partkey, p_size % 5 as d, p_name, p_brand from part)
+select p_partkey, case d when 0 then p_name else concat_ws(';', 'top', p_name, p_brand) end as names, case d when 0 then p_name else concat_ws(';', 'top', p_name, p_brand, 'aside') end as everywhere from p""")
+def linked_data_walk(spark, sf_dir):
+    """Events one to five levels down, in lists and graphs of graphs, one of them under another key."""
+    event = lambda name, kind='"Event"': F.concat(F.lit(f'{{"@type":{kind},"name":"'), name, F.lit('"}'))
+    inner = F.concat(F.lit("[["), event(F.col("p_name"), '["Thing","Event"]'), F.lit('],{"@type":"Place","name":"x"},'), event(F.col("p_brand")), F.lit("]"))
+    depth = F.col("p_size") % 5
+    deep = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), inner, lambda text, _: F.concat(F.lit('{"@graph":'), text, F.lit("}")))
+    whole = F.when(depth == 0, event(F.col("p_name"))).otherwise(F.concat(F.lit('[{"@type":"Event","name":"top","@graph":'), deep, F.lit(',"other":{"@type":"Event","name":"aside"}}]')))
+    names = lambda through: F.array_join(F.transform(T.linked_data(whole, "Event", ("name",), through), lambda o: o["name"]), ";")
+    return table(spark, sf_dir, "part").select("p_partkey", names(("@graph",)).alias("names"), names(None).alias("everywhere"))
+
+
+CANONICAL = """'{"customer":' || o_custkey || ',"lines":[{"a":' || o_orderkey % 9 || ',"b":"' || o_orderpriority || '"},{"a":1}],"places":{"here":{"x":' || o_orderkey || ',"y":2},"there":{"y":3}}}'"""
+
+
+@query("canonical_digests", f"select o_orderkey, sha256({CANONICAL}) as digest, sha256({CANONICAL}) as text_digest from orders")
+def canonical_digests(spark, sf_dir):
+    """Digests of records with lists of records and maps of records, and of the same as JSON text with its keys in another order."""
+    n = F.col("o_orderkey")
+    line = lambda b, a: F.struct(b.alias("b"), a.cast("long").alias("a"))
+    place = lambda y, x: F.struct(F.lit(y).alias("y"), x.cast("long").alias("x"))
+    none = F.lit(None)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.create_map(F.lit("there"), place(3, none), F.lit("here"), place(2, n)).alias("places"), F.array(line(F.col("o_orderpriority"), n % 9), line(none.cast("string"), F.lit(1))).alias("lines"), F.col("o_custkey").alias("customer"))
+    text = F.format_string('{ "places": {"there": {"y": 3}, "here": {"y": 2, "x": %d}}, "lines": [{"b": "%s", "a": %d}, {"a": 1}], "customer": %d }', n, F.col("lines")[0]["b"], n % 9, "customer")
+    return rows.select("o_orderkey", F.sha2(canonical_json(rows, ["places", "customer", "lines"]), 256).alias("digest"), F.sha2(T.canonical_text(text), 256).alias("text_digest"))

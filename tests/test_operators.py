@@ -202,3 +202,80 @@ def test_streamed_reminders_are_those_that_a_replay_shows(spark):
     due = {i for i, e in last.items() if e["event_type"] != "error" and (end - e["ts"]).total_seconds() > 30 * 3600 + 3600}
     assert due <= got
     assert len(got) <= len(last)
+
+
+def test_canonical_texts_are_pythons_sorted_json(spark):
+    import json
+
+    values = [{"b": [{"z": 1, "a": {"y": "æ", "x": None}}, [], {}], "a": {"c": True, "b": [3, 2, 1]}}, [1, [2, {"k": "v\n\"q\""}]], "text", 5, {}]
+    got = column(spark, T.canonical_text, *[json.dumps(v) for v in values], "{broken", None)
+    assert got[:-2] == [json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for v in values]
+    assert got[-2:] == [None, None]
+
+
+def test_linked_data_of_odd_texts(spark):
+    deep = '{"@graph":' * 20 + '{"@type":"Event","name":"deep"}' + "}" * 20
+    texts = [None, "", "{broken", "[]", "5", '"Event"', '{"@type":["A","Event"],"name":7}', deep]
+    got = column(spark, lambda c: F.transform(T.linked_data(c, "Event", ("name",)), lambda o: o["name"]), *texts)
+    assert got == [[], [], [], [], [], [], ["7"], ["deep"]]
+
+
+def test_nearest_matches_equal_a_plain_greedy_pass(spark):
+    import random
+
+    r = random.Random(7)
+    day = lambda: None if r.random() < 0.03 else date.fromordinal(date(2024, 1, 1).toordinal() + r.randrange(420))
+    mine, theirs = ([(r.choice([1, 1, 1, 2, None]), base + i, day()) for i in range(n)] for base, n in ((0, 400), (10_000, 350)))
+    schema = "k int, id long, date date"
+    got = {x["wanted_id"]: (x["offered_id"], x["gap"]) for x in D.nearest_matches(spark.createDataFrame(mine, schema), spark.createDataFrame(theirs, schema), "k").collect()}
+    expected = {i: (None, None) for _, i, _ in mine}
+    for k in (1, 2):
+        for year in (2024, 2025):
+            w = sorted((d, i) for kk, i, d in mine if kk == k and d and d.year == year)
+            free = sorted((d, i) for kk, i, d in theirs if kk == k and d and d.year == year)
+            rest = []
+            for d, i in w:
+                same = [o for o in free if o[0] == d]
+                if same:
+                    free.remove(same[0])
+                    expected[i] = (same[0][1], 0)
+                else:
+                    rest.append((d, i))
+            for d, i in rest:
+                near = [(abs((o[0] - d).days), o) for o in free if abs((o[0] - d).days) <= 14]
+                if near:
+                    gap, o = min(near)
+                    free.remove(o)
+                    expected[i] = (o[1], gap)
+    assert got == expected
+    assert sum(g is not None and g > 0 for _, g in got.values()) > 30
+
+
+def test_similar_titles_are_found_without_scoring_all_pairs(spark):
+    import random
+
+    from kalends.functions.similarity import title_similarity
+
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijklmnoprstuv") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    titles = [" ".join(r.choice(words) for _ in range(r.randint(1, 6))) for _ in range(200)]
+    titles += [t + " extra" for t in titles[:20]] + [t.replace("a", "e") for t in titles[20:40]] + ["", "a", "ab", titles[3][:-1]]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    similar, candidates = D.similar_texts(df, "t", 0.6)
+    known = df.distinct()
+    pairs = known.alias("a").join(known.alias("b"), F.expr("a.t < b.t and a.t <> '' and b.t <> ''")).select(F.col("a.t").alias("x"), F.col("b.t").alias("y"), title_similarity(F.col("a.t"), F.col("b.t")).alias("s"))
+    expected = {(p["x"], p["y"]): round(p["s"], 9) for p in pairs.where("s >= 0.6").collect()}
+    assert {(p["x"], p["y"]): round(p["s"], 9) for p in similar.collect()} == expected
+    assert len(expected) > 30
+    assert candidates.count() < 0.35 * pairs.count()
+
+
+def test_lines_without_colon_of_any_length(spark):
+    df = spark.createDataFrame([("x" * 50_000 + "\n" + 'A;P="q:' + "y" * 20_000 + '":v\nB:' + "z" * 10,)], "t string")
+    assert [(r["name"], r["parameters"][:4], r["value"]) for r in I.content_lines(df, "t").where("name <> ''").collect()] == [("A", 'P="q', "v"), ("B", "", "zzzzzzzzzz")]
+
+
+def test_null_scopes_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, None, "f", True), (2, None, "f", True), (3, "s", None, True), (4, "s", "g", True)], "id int, scope string, fp string, ok boolean")
+    got = {r["id"]: r["demoted"] for r in D.semantic_guard(df, "scope", F.col("fp"), "id", "ok").collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False}
