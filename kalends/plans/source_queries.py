@@ -12,6 +12,7 @@ from kalends.operators import ical as I
 from kalends.operators import ics_import as M
 from kalends.operators import recurrence as R
 from kalends.sources import files as S
+from kalends.sources import publish as P
 
 from .calendar_queries import table
 from .registry import query
@@ -181,3 +182,22 @@ def ics_recurrence(spark, sf_dir):
     out = M.ics_occurrences(found, ZONE, date(1996, 11, 5), date(1997, 3, 20), "customer")
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
     return out.select("customer", "uid", shown("start").alias("start"), shown("end").alias("end_at"), "all_day", "status")
+
+
+@query("validated_publish", """
+select c_nationkey, count(o_orderkey) as events, (select count(*) from orders where o_orderkey % 7 = 0) as refused_prices, (select count(*) from orders where o_custkey % 5 = 0) as refused_references
+from customer join orders on o_custkey = c_custkey group by 1""")
+def validated_publish(spark, sf_dir):
+    """A catalog of two tables published, then two candidates refused, one by a rule of its rows and one by references to nowhere; what is shown is the first."""
+    root = folder(spark)
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lit(1.0).alias("price"))
+    rules = {"events": {"price": F.col("price").isNotNull()}}
+    orphans = lambda t: {"references": t["events"].join(t["organizers"], F.col("o_custkey") == F.col("c_custkey"), "left_anti")}
+    P.publish(spark, {"organizers": customers, "events": orders}, root, rules, orphans)
+    bad = orders.withColumn("price", F.when(F.col("o_orderkey") % 7 != 0, 1.0))
+    prices = P.publish(spark, {"organizers": customers, "events": bad}, root, rules, orphans).faults.get("events.price", 0)
+    references = P.publish(spark, {"organizers": customers.where("c_custkey % 5 <> 0"), "events": orders}, root, rules, orphans).faults.get("references", 0)
+    shown = P.load(spark, root)
+    counts = shown["organizers"].join(shown["events"], F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("o_orderkey").alias("events"))
+    return counts.select("c_nationkey", "events", F.lit(prices).cast("long").alias("refused_prices"), F.lit(references).cast("long").alias("refused_references"))
