@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kalends.functions import civil as Z
+
 from kalends.functions.text import search_key
 
 
@@ -43,6 +45,32 @@ class QuerySpec:
         return cls(p.get("q", ""), p.get("organizer", ""), p.get("category", ""), day("from"), day("to"), "month" if p.get("view") == "month" else "agenda", month if month in months else (months[0] if months else ""), months)
 
 
+def spec_of_link(link: Column, months: Column) -> Column:
+    """A link's query as (text, organizer, category, start, end, view, month), by the rules of `QuerySpec.from_parameters`, for a table of links.
+
+    The last of repeated parameters counts; what can't be decoded is as if it weren't there. A null link has the defaults.
+    """
+    query = F.regexp_extract(F.coalesce(link, F.lit("")), "[?]([^#]*)", 1)
+    pairs = F.filter(F.split(query, "&"), lambda p: F.instr(p, "=") > 1)
+    value = lambda name: F.coalesce(F.try_element_at(F.filter(pairs, lambda p: F.substring_index(p, "=", 1) == name), F.lit(-1)), F.lit(""))
+    said = lambda name: F.coalesce(F.try_url_decode(F.regexp_replace(value(name), "^[^=]*=", "")), F.lit(""))
+    month = F.when(F.array_contains(months, said("month")), said("month")).otherwise(F.coalesce(F.get(months, F.lit(0)), F.lit("")))
+    return F.struct(
+        said("q").alias("text"), said("organizer").alias("organizer"), said("category").alias("category"), Z.valid_date(said("from")).alias("start"), Z.valid_date(said("to")).alias("end"),
+        F.when(said("view") == "month", "month").otherwise("agenda").alias("view"), month.alias("month"),
+    )
+
+
+def link_of_spec(spec: Column, months: Column) -> Column:
+    """The parameters of a spec as a link has them, encoded and without the defaults; '' if all are."""
+    first = F.coalesce(F.get(months, F.lit(0)), F.lit(""))
+    values = {
+        "q": spec["text"], "organizer": spec["organizer"], "category": spec["category"], "from": spec["start"].cast("string"), "to": spec["end"].cast("string"), "view": F.nullif(spec["view"], F.lit("agenda")),
+        "month": F.nullif(spec["month"], first),
+    }
+    return F.concat_ws("&", *[F.when(v != "", F.concat(F.lit(f"{name}="), F.url_encode(v))) for name, v in values.items()])
+
+
 def last_date(start: Column, end_date: Column, end_at: Column) -> Column:
     """The last day of an occurrence: its end date, else the day it ends at, else its start."""
     return F.coalesce(end_date, F.to_date(end_at), start)

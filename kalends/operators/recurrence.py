@@ -230,6 +230,16 @@ def occurrence_ends(df: DataFrame, civil: str, zone: str, minutes: str, days: st
     return df.withColumn("end_text", F.when(~F.col(all_day), end_text)).withColumn("end_date", F.when(F.col(all_day) & F.col(days).isNotNull(), F.date_add(F.to_date(civil), F.col(days))))
 
 
+def timed_fields(df: DataFrame, kind: str, start: str, end: str) -> DataFrame:
+    """Adds `all_day` and `time_unknown`, never both, from the kind of a date ('timed', 'all-day' or 'unknown'), and leaves start and end only to timed rows.
+
+    A timed row without a start is of unknown time; an end without a start isn't shown. A null kind is unknown.
+    """
+    timed = (F.coalesce(kind, F.lit("unknown")) == "timed") & F.col(start).isNotNull()
+    all_day = F.coalesce(F.col(kind) == "all-day", F.lit(False))
+    return df.withColumns({"all_day": all_day, "time_unknown": ~all_day & ~timed, start: F.when(timed, F.col(start)), end: F.when(timed, F.col(end))})
+
+
 def occurrence_id(key: Column, recurrence: Column) -> Column:
     """The event's id, two hyphens and the recurrence without all but letters, digits and hyphens."""
     return F.concat(key.cast("string"), F.lit("--"), F.regexp_replace(recurrence, "[^A-Za-z0-9-]", ""))

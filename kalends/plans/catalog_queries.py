@@ -222,9 +222,26 @@ def months_with_neighbours(spark, sf_dir):
     return K.neighbour_months(months, "month")
 
 
-@query("query_parameters", "select 'q=x&organizer=a&from=2024-02-01&view=month' as link, '1997-02' as month")
+@query("query_parameters", """
+with o as (select o_orderkey, o_orderkey % 4 as k, o_orderpriority as p, strftime(o_orderdate, '%Y-%m-%d') as d, strftime(o_orderdate, '%Y-%m') as m from orders)
+select o_orderkey, concat_ws('&', case when k <> 0 then 'q=' || replace(p, ' ', '+') end, case when k <> 2 then 'from=' || d end, case when k = 1 then 'view=month' end, case when k < 2 and m = '1997-03' then 'month=1997-03' end) as link,
+  case when k < 2 and m in ('1997-02', '1997-03') then m else '1997-02' end as month from o""")
 def query_parameters(spark, sf_dir):
-    """A view's link: parameters to a spec and back, defaults left out and unknown months replaced by the first."""
-    spec = C.QuerySpec.from_parameters({"q": "x", "organizer": "a", "from": "2024-02-01", "to": "2024-02-31", "view": "month", "month": "1990-01"}, ("1997-02", "1997-03"))
-    assert spec.start == date(2024, 2, 1)
-    return spark.createDataFrame([("&".join(f"{k}={v}" for k, v in spec.to_parameters().items()), spec.month)], "link string, month string")
+    """Links written from orders: parameters to a spec and back, defaults left out, days that don't exist dropped, and unknown months replaced by the first."""
+    months = F.array(F.lit("1997-02"), F.lit("1997-03"))
+    k, day = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd")
+    query = F.concat_ws("&", F.when(k != 0, F.concat(F.lit("q="), F.url_encode("o_orderpriority"))).otherwise("q="), F.lit("view=agenda"), F.concat(F.lit("from="), F.when(k == 2, "2024-02-31").otherwise(day)), F.lit("to=soon"), F.lit("other=%zz"),
+                        F.when(k == 1, "view=month"), F.concat(F.lit("month="), F.when(k < 2, F.substring(day, 1, 7)).otherwise("1990-01")))
+    spec = C.spec_of_link(F.concat(F.lit("https://example.org/calendar?"), query, F.lit("#top")), months)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", spec.alias("spec"))
+    return rows.select("o_orderkey", C.link_of_spec(F.col("spec"), months).alias("link"), F.col("spec.month").alias("month"))
+
+
+@query("source_reasons", """
+with e as (select o_orderkey, 's' || o_custkey % 9 as source, regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g') || strftime(o_orderdate, '%Y-%m-%d') as fp from orders),
+p as (select distinct a.source, a.o_orderkey, b.source as other from e a join e b on a.fp = b.fp and a.source <> b.source)
+select source || ':' || o_orderkey as identity, 'Also seen at ' || string_agg(other, ', ' order by other) as reason from p group by 1""")
+def source_reasons(spark, sf_dir):
+    """What an editor is told of events that other sources have too, by identity."""
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("s"), (F.col("o_custkey") % 9).cast("string")).alias("source"), F.col("o_orderkey").cast("string").alias("external"), D.fingerprint(F.col("o_orderpriority"), F.to_date("o_orderdate"), F.lit(None)).alias("fp"))
+    return D.source_reasons(rows, "fp", "source", "external", "Also seen at ")

@@ -207,3 +207,49 @@ def rule_faults(spark, sf_dir):
     texts = ["FREQ=WEEKLY;BYDAY=MO", "FREQ=HOURLY", "FREQ=DAILY;BYHOUR=3", "FREQ=WEEKLY;BYDAY=XX", "FREQ=WEEKLY;BYDAY=2MO", "FREQ=DAILY;INTERVAL=0", "FREQ=DAILY;COUNT=2;UNTIL=20200101", "WKST=MO;;COUNT=2"]
     rule = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("o_orderkey") % 8 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(R.rule_faults(rule), ",").alias("faults"))
+
+
+@query("timed_fields", """
+with r as (select l_orderkey, l_linenumber, cast(l_partkey % 3 as integer) as k, case when l_suppkey % 4 <> 0 then '18:00' end as s, case when l_quantity > 20 then '20:00' end as e from lineitem)
+select l_orderkey, l_linenumber, k = 1 as all_day, k = 2 or (k = 0 and s is null) as time_unknown, case when k = 0 then s end as start_time, case when k = 0 and s is not null then e end as end_time from r""")
+def timed_fields(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("timed"), F.lit("all-day"), F.lit("unknown")), (F.col("l_partkey") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"), F.when(F.col("l_suppkey") % 4 != 0, "18:00").alias("start_time"), F.when(F.col("l_quantity") > 20, "20:00").alias("end_time"))
+    return R.timed_fields(rows, "kind", "start_time", "end_time").drop("kind")
+
+
+@query("expand_setpos", """
+with days as (select cast(unnest(generate_series(date '1996-01-01', date '1996-06-30', interval 1 day)) as date) as day),
+ranked as (select day, row_number() over (partition by date_trunc('month', day) order by day desc) as n from days where isodow(day) < 6),
+o as (select o_orderkey as id, cast(o_orderdate as date) as d0, o_orderkey % 2 as k from orders)
+select id, day as date from o join ranked on n = 1 and k = 0 where day >= d0
+union all select id, day from o join (select day from days where day(day) in (2)) on k = 1 where day >= d0""", dates=("date",))
+def expand_setpos(spark, sf_dir):
+    """The last working day of each month, and the second of the first three days, over whole months whatever day a series starts on."""
+    rule = F.when(F.col("o_orderkey") % 2 == 0, "FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1").otherwise("FREQ=MONTHLY;BYMONTHDAY=1,2,3;BYSETPOS=2")
+    rules = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), evening().alias("dtstart"), rule.alias("rule"))
+    return R.expand_rules(rules, "id", date(1996, 1, 1), date(1996, 6, 30)).select("id", F.to_date("recurrence").alias("date"))
+
+
+@query("expand_by_limits", """
+with days as (select cast(unnest(generate_series(date '1996-01-01', date '1997-06-30', interval 1 day)) as date) as day),
+o as (select o_orderkey as id, cast(o_orderdate as date) as d0, o_orderkey % 4 as k from orders)
+select id, day as date from o join days on day >= d0 and case k when 0 then day(day) = 13 when 1 then isodow(day) = 5 and day(day) = 13 when 2 then day(day) = 1 and month(day) in (1, 7) else isodow(day) = 2 and month(day) = 2 end""", dates=("date",))
+def expand_by_limits(spark, sf_dir):
+    """Parts that limit what a frequency gives: days of the month, weekdays, months."""
+    texts = ["FREQ=DAILY;BYMONTHDAY=13", "FREQ=MONTHLY;BYDAY=FR;BYMONTHDAY=13", "FREQ=YEARLY;BYMONTH=1,7;BYMONTHDAY=1", "RRULE:FREQ=DAILY;BYMONTH=2;BYDAY=TU"]
+    rule = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    rules = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), evening().alias("dtstart"), rule.alias("rule"))
+    return R.expand_rules(rules, "id", date(1996, 1, 1), date(1997, 6, 30)).select("id", F.to_date("recurrence").alias("date"))
+
+
+@query("expand_wkst", """
+with days as (select cast(unnest(generate_series(date '1996-01-01', date '1996-04-30', interval 1 day)) as date) as day),
+o as (select o_orderkey as id, cast(o_orderdate as date) as d0, cast(o_orderkey % 2 as integer) as k from orders)
+select id, day as date from o join days on day >= d0 and isodow(day) in (2, 7)
+where ((day - cast((isodow(day) - 1 + k) % 7 as integer)) - (d0 - cast((isodow(d0) - 1 + k) % 7 as integer))) % 14 = 0""", dates=("date",))
+def expand_wkst(spark, sf_dir):
+    """Every second week, whose days depend on whether weeks start on Monday or Sunday."""
+    rule = F.concat(F.lit("FREQ=WEEKLY;INTERVAL=2;BYDAY=TU,SU;WKST="), F.when(F.col("o_orderkey") % 2 == 0, "MO").otherwise("SU"))
+    rules = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), evening().alias("dtstart"), rule.alias("rule"))
+    return R.expand_rules(rules, "id", date(1996, 1, 1), date(1996, 4, 30)).select("id", F.to_date("recurrence").alias("date"))

@@ -279,3 +279,19 @@ def test_null_scopes_keep_their_rows(spark):
     df = spark.createDataFrame([(1, None, "f", True), (2, None, "f", True), (3, "s", None, True), (4, "s", "g", True)], "id int, scope string, fp string, ok boolean")
     got = {r["id"]: r["demoted"] for r in D.semantic_guard(df, "scope", F.col("fp"), "id", "ok").collect()}
     assert got == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_specs_of_links_follow_the_rules_of_single_ones(spark):
+    from urllib.parse import parse_qsl, urlsplit
+
+    months = ("2024-04", "2024-05")
+    links = [None, "", "https://x.org/", "?q=", "?q=a%20b&q=c+d&organizer=%C3%A6", "?from=2024-02-30&to=2024-03-01&view=odd&month=2024-05", "?view=month&month=1999-01#month=2024-05", "?q=%zz&category=x=y&&=z"]
+    column_months = F.array(*[F.lit(m) for m in months])
+    rows = spark.createDataFrame([(x,) for x in links], "link string").select("link", C.spec_of_link(F.col("link"), column_months).alias("s"))
+    for r in rows.select("*", C.link_of_spec(F.col("s"), column_months).alias("again")).collect():
+        if r["link"] and "%zz" in r["link"]:
+            assert (r["s"]["text"], r["s"]["category"]) == ("", "x=y")
+            continue
+        plain = C.QuerySpec.from_parameters(dict(parse_qsl(urlsplit(r["link"] or "").query)), months)
+        assert tuple(r["s"]) == (plain.text, plain.organizer, plain.category, plain.start, plain.end, plain.view, plain.month)
+        assert dict(parse_qsl(r["again"])) == plain.to_parameters()
