@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kalends.operators.reminders import GRACE
 
+from .delivery import STATE_STORE
+
 #: Columns of the notices.
 OUTPUT = "id string, notify timestamp, lead int, moved boolean"
 STATE = "start_ms long, lead int, moved boolean"
@@ -52,11 +54,20 @@ def due_reminders(changes: DataFrame, delay: str = "1 minute") -> DataFrame:
     return watched.groupBy("id").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_end(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """All that a bounded stream gives, as a table in the shared folder; timers that the last watermark passes fire."""
+def run_to_end(spark: SparkSession, stream: DataFrame, place: str | None = None) -> DataFrame:
+    """All that a bounded stream has given so far, as a table in the shared folder; timers that the last watermark passes fire. The same
+    `place` again goes on from where it was left."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    place = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = place or f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
     writer = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state")
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    # state with initial rows and timers of its own needs this store; the session's choice is put back
+    old = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(schema).parquet(f"{place}/out")
