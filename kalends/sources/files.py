@@ -120,3 +120,13 @@ def findings(faults: DataFrame, key: str, most: int = 20) -> tuple[str, int]:
     rows = faults.orderBy(key).limit(most).collect()
     lines = [f"{n} findings", *(" ".join(str(v) for v in r) for r in rows)]
     return "\n".join(lines + ([f"and {n - most} more"] if n > most else [])), int(n > 0)
+
+
+def report(faults: DataFrame, key: str, most: int = 20) -> DataFrame:
+    """(place, line) of the same report as a table: the count at place 0, the first findings by key, and how many more there are."""
+    n = faults.agg(F.count("*").alias("n"))
+    first = faults.orderBy(key).limit(most).select(F.array(F.struct(F.col(key).alias("_k"), F.concat_ws(" ", *[F.col(c).cast("string") for c in faults.columns]).alias("line"))).alias("r"))
+    lines = first.agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("r")).select(F.posexplode("r").alias("place", "r")).select((F.col("place") + 1).alias("place"), "r.line")
+    head = n.select(F.lit(0).alias("place"), F.concat(F.col("n").cast("string"), F.lit(" findings")).alias("line"))
+    more = n.where(F.col("n") > most).select(F.lit(most + 1).alias("place"), F.concat(F.lit("and "), (F.col("n") - most).cast("string"), F.lit(" more")).alias("line"))
+    return head.unionByName(lines).unionByName(more)
