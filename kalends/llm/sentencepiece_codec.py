@@ -135,8 +135,23 @@ def merge_with_heap(unit: str, ranks: dict[str, int]) -> list[str]:
     return [t for t in text if t]
 
 
+def best_path(unit: str, ranks: dict[str, int], longest: int, unknown_rank: int) -> int:
+    """What `viterbi` gives, for one unit of any length: the fewest ids of the path of least total rank."""
+    best = [(0, 0)]
+    for end in range(1, len(unit) + 1):
+        offers = []
+        for start in range(max(0, end - longest), end):
+            rank = ranks.get(unit[start:end], unknown_rank if end - start == 1 else None)
+            if rank is not None:
+                total, n = best[start]
+                offers.append((total + rank, n + 1))
+        best.append(min(offers))
+    return best[-1][1]
+
+
 def _merge_long(v: Vocabulary):
     ranks, ids = {p: r for p, _, r in v.pieces}, {p: i for p, i, _ in v.pieces}
+    unknown_rank = _unknown_rank(v)
 
     def of(piece: str) -> list[int]:
         if piece in ids:
@@ -146,12 +161,17 @@ def _merge_long(v: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [[i for p in merge_with_heap(u, ranks) for i in of(p)] for u in b.column("unit").to_pylist()]
-            none = pa.nulls(b.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("seq"), pa.array(found, pa.list_(pa.int32())), none], ["part", "seq", "ids", "best"])
+            best = pa.array([best_path(u, ranks, v.longest, unknown_rank) for u in b.column("unit").to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("seq"), pa.array(found, pa.list_(pa.int32())), best], ["part", "seq", "ids", "best"])
 
     return releasing(run)
 
 
+def _unknown_rank(v: Vocabulary) -> int:
+    """What a character that is no piece costs a path: more than any piece."""
+    return max(r for _, _, r in v.pieces) + 10
+
+
 def lattice(units: DataFrame, v: Vocabulary) -> DataFrame:
     """(part, seq, unit, edges) for units of at most LONGEST characters: every piece that stands in one, and every character.
 
@@ -196,7 +216,7 @@ def lattice_ids(units: DataFrame, v: Vocabulary) -> DataFrame:
 
     The fold of merges runs over a unit's edges with the set of cut points as the bits of a long: each step takes
     the best-ranked, then leftmost edge that spans exactly two of the present symbols, and removes the cut between. Edges that
-    can no longer be taken leave the list, so that later steps look at few. Longer units are merged with a heap.
+    can no longer be taken leave the list, so that later steps look at few. Longer units are merged with a heap, by the same rules.
     """
     first, last = START.format("x"), f"({START.format('x')} + {LENGTH.format('x')})"
     both, between = (
@@ -219,16 +239,15 @@ def lattice_ids(units: DataFrame, v: Vocabulary) -> DataFrame:
     # the edges that are symbols in the end, by start, as the mask takes the rank off
     chosen = f"array_sort(transform(filter(edges, x -> (cuts & {both}) = {both} and (cuts & {between}) = 0), x -> x & 4294967295))"
     ids = F.expr(f"flatten(transform({chosen}, x -> if((x & {NO_ID}) = {NO_ID}, {other}, array(cast(x & {NO_ID} as int)))))")
-    worst = max(r for _, _, r in v.pieces)
     long = units.where(F.length("unit") > LONGEST).mapInArrow(_merge_long(v), "part int, seq int, ids array<int>, best int")
-    return edges.select("part", "seq", ids.alias("ids"), viterbi(worst + 10).alias("best")).unionByName(long)
+    return edges.select("part", "seq", ids.alias("ids"), viterbi(_unknown_rank(v)).alias("best")).unionByName(long)
 
 
 def _answer(chunks: pa.Table, found: pa.Table) -> pa.Table:
     found = found.sort_by("seq")
     lists = found["ids"].combine_chunks()
     n = np.asarray(lists.value_lengths()).astype(np.int64)
-    flat, starts, best = np.asarray(lists.flatten()), np.cumsum(n) - n, np.asarray(found["best"].fill_null(0))
+    flat, starts, best = np.asarray(lists.flatten()), np.cumsum(n) - n, np.asarray(found["best"])
     out = []
     for blob in chunks["blob"]:
         seq = unpack(blob.as_py())["seq"].astype(np.int64)
@@ -261,8 +280,8 @@ def sentencepiece_encode(docs: DataFrame, model: str, id_col: str = "doc_id", te
     have. Characters outside the vocabulary become byte pieces.
 
     Null text counts as empty: no ids, checksum 0. Null ids and repeated rows are kept. An empty table gives no rows.
-    Units longer than `LONGEST` characters, whose cut points don't fit in a long, are merged with a heap instead of the fold
-    and add nothing to n_viterbi.
+    Units longer than `LONGEST` characters, whose cut points don't fit in a long, are merged with a heap, and
+    their best paths found by the same recurrence, in the task instead of the folds.
     """
     return encoded_with(docs, model, _lay_out, "doc_id long, text_crc32 long, ids array<int>, n_viterbi long", id_col, text_col).withColumnRenamed("doc_id", id_col)
 

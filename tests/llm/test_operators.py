@@ -397,7 +397,7 @@ def test_sentencepiece_equals_the_library_and_decodes(docs, which):
 def test_viterbi_fold_equals_a_plain_one(spark):
     v = load_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     rank, worst = {p: r for p, _, r in v.pieces}, max(r for _, _, r in v.pieces) + 10
-    units = ["▁internationalization", "▁the", "▁été", "漢字", "▁aaaaaaaaaaaaaaaa", "x", "▁unbelievably-odd", "▁▁▁▁"]
+    units = ["▁internationalization", "▁the", "▁été", "漢字", "▁aaaaaaaaaaaaaaaa", "x", "▁unbelievably-odd", "▁▁▁▁", "▁internationalization" * 5, "ab漢é" * 40, "x" * 60, "x" * 61]
     table = spark.createDataFrame([(0, n, u) for n, u in enumerate(units)], "part int, seq int, unit string")
     got = {r["seq"]: r["best"] for r in lattice_ids(table, v).collect()}
     for n, u in enumerate(units):
