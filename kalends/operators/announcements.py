@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kalends.functions import civil as Z
 from kalends.functions.similarity import bind
+from kalends.functions.spread import spread
 from kalends.functions.text import missing_if_blank, price_of
 
 from .compaction import DAY_NAMES, MONTHS
@@ -18,6 +19,8 @@ CANCELLED_WORDS, SOLD_OUT_WORDS, MEMBER_WORDS = "aflyst|aflyses", "udsolgt", "ku
 DEADLINE = "(?:senest|tilmeldingsfrist|sidste frist|frist(?:en)?|tilmelding)"
 MOVED = "(?:ny dato|(?:flyttet|rykket|udsat) til|afholdes i stedet)"
 LONGEST_TEXT, LONGEST_RANGE = 20_000, 14
+#: A noncharacter of Unicode, which stands for a date where a text is cut at its dates.
+MARK = "\uffff"
 
 _DAYS, _MONTHS = "|".join(DAY_NAMES), "|".join(MONTHS)
 _TURN = "(?:\\s+(?:er|bliver))?\\s*[:\\-]?\\s*"
@@ -99,7 +102,9 @@ def date_spans(text: Column, anchor: Column) -> Column:
 
         return F.transform(raws, span)
 
-    return bind(F.struct(F.regexp_extract_all(low, F.lit(ANY_DATE), 0).alias("raws"), F.split(low, ANY_DATE, -1).alias("pieces")), spans)
+    # a split compiles its pattern for each row, a replacement only once: so dates become a mark that no text has, and that is split at
+    pieces = F.split(F.regexp_replace(F.translate(low, MARK, "\ufffe"), ANY_DATE, MARK), MARK, -1)
+    return bind(F.struct(F.regexp_extract_all(low, F.lit(ANY_DATE), 0).alias("raws"), pieces.alias("pieces")), spans)
 
 
 def relative_dates(text: Column, anchor: Column) -> Column:
@@ -151,7 +156,7 @@ def shared_time(text: Column) -> Column:
 
 
 def _until_deadline(segment: Column) -> Column:
-    return F.get(F.split(segment, f"(?<![\\p{{L}}]){DEADLINE}(?![\\p{{L}}])|\\n\\s*pris(?![\\p{{L}}])", 2), F.lit(0))
+    return F.regexp_replace(segment, f"(?:(?<![\\p{{L}}]){DEADLINE}(?![\\p{{L}}])|\\n\\s*pris(?![\\p{{L}}]))[\\s\\S]*", "")
 
 
 def _time_at(span: Column) -> Column:
@@ -192,10 +197,12 @@ def announcements(df: DataFrame, key: str, text: str, anchor: str) -> DataFrame:
     them. `occurrences` has each date with its own time, or the one that holds for all; `start` and `end` are the first's.
     Errors: no text, no event signal, a text too long or rejected, days that aren't real, weekdays that don't agree,
     alternatives ('enten ... eller' with several dates), relative dates without an anchor, and no date at all. A null text has no text.
+    `announced` gives a row for each occurrence; a plain explode would have all of a row's work done anew by the filter that comes with it.
     """
     t = F.col("_t")
     whole = F.when(F.length(text) <= LONGEST_TEXT, F.col(text)).otherwise("")
-    d = df.select(key, F.coalesce(text, F.lit("")).alias("_t"), F.coalesce(whole, F.lit("")).alias("_w"), F.col(anchor).alias("_a"))
+    d = spread(df.select(key, text, anchor), key)
+    d = d.select(key, F.coalesce(text, F.lit("")).alias("_t"), F.coalesce(whole, F.lit("")).alias("_w"), F.col(anchor).alias("_a"))
     d = d.withColumn("_g", date_spans(F.col("_w"), F.col("_a"))).withColumn("_at", F.get("_g", F.lit(0)))
     live = F.filter("_g", lambda g: ~g["deadline"] & ~g["enclosing"])
     d = d.withColumn("_live", live).withColumn("_moved", F.filter("_live", lambda g: g["moved"]))
@@ -221,3 +228,13 @@ def announcements(df: DataFrame, key: str, text: str, anchor: str) -> DataFrame:
         key, title_of(t, F.col("_at.at")).alias("title"), location.alias("location"), price_of(t).alias("price"), first["start"].alias("start"), first["end"].alias("end"), (F.lower(t).rlike("hele dagen|heldagsarrangement") & first["start"].isNull()).alias("all_day"),
         status.alias("status"), affirmed(t, SOLD_OUT_WORDS).alias("sold_out"), F.when(affirmed(t, MEMBER_WORDS), "members").otherwise("unknown").alias("attendance"), "dates", F.col("_o").alias("occurrences"), errors.alias("errors"),
     )
+
+
+def announced(found: DataFrame, key: str) -> DataFrame:
+    """(key, date, start, end) of each occurrence of announcements.
+
+    Outer, so that no filter on the size of `occurrences` is made: Spark would take it down through all the columns that they are made
+    from, each written out wherever it is named.
+    """
+    each = found.select(key, F.explode_outer("occurrences").alias("_o"))
+    return each.where(F.col("_o").isNotNull()).select(key, "_o.date", "_o.start", "_o.end")

@@ -74,5 +74,5 @@ def announcement_occurrences(spark, sf_dir):
     ]
     posts[7] = text("Foredrag ", time, " den ", F.date_format(d1, "d/M"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("anchor"), F.element_at(F.array(*posts), (F.col("o_orderkey") % 8 + 1).cast("int")).alias("text"))
-    found = A.announcements(rows, "o_orderkey", "text", "anchor").select("o_orderkey", F.explode("occurrences").alias("o"))
-    return found.select("o_orderkey", F.date_format("o.date", "yyyy-MM-dd").alias("day"), "o.start", F.col("o.end").alias("end_time"))
+    found = A.announced(A.announcements(rows, "o_orderkey", "text", "anchor"), "o_orderkey")
+    return found.select("o_orderkey", F.date_format("date", "yyyy-MM-dd").alias("day"), "start", F.col("end").alias("end_time"))
