@@ -91,3 +91,64 @@ def test_category_news_by_checks_limits_and_failures(spark, tmp_path):
     known = spark.createDataFrame([("s", "a"), ("t", "z")], "id string, event string")
     got = run_to_end(spark, category_news(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), known), f"{tmp_path}/run").collect()
     assert sorted((r["id"], int((r["at"] - T0).total_seconds() // 60), r["n"], r["event"]) for r in got) == [("s", 0, 1, "b"), ("s", 15, 1, "c"), ("s", 16, 2, None), ("s", 31, 1, "d"), ("t", 5, 1, "a")]
+
+
+class Counted:
+    """A handle and its states that keep what is put there and count the calls, as each one goes to the JVM."""
+
+    def __init__(self):
+        self.calls, self.timers, self.list, self.map, self.value = 0, [], [], {}, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name.startswith("get") and name.endswith("State"):
+                return self
+            if name == "registerTimer":
+                self.timers.append(args[0])
+            elif name in ("appendList", "put"):
+                self.list = (self.list if name == "appendList" else []) + list(args[0])
+            elif name == "appendValue":
+                self.list.append(args[0])
+            elif name == "clear":
+                self.list = []
+            elif name == "get":
+                return list(self.list)
+            elif name == "getCurrentWatermarkInMs":
+                return self.value
+            elif name == "containsKey":
+                return args[0] in self.map
+            elif name == "updateValue":
+                self.map[args[0]] = args[1]
+
+        return call
+
+
+class Checked:
+    now = None
+
+    def get(self):
+        return self.now
+
+    def update(self, value):
+        self.now = value
+
+
+def test_calls_to_state_do_not_grow_with_a_keys_changes():
+    from kalends.streaming.delivery import _Category
+
+    handle, clock = Counted(), Counted()
+    news = _Category()
+    news.init(handle)
+    news.checked = Checked()
+    clock.value = 0
+    rows = [(1, n * 1_000_000, "check", f"e{n % 5}", None) for n in range(1, 1001)]
+    list(news.handleInputRows(("k",), iter(("k", *r[1:]) for r in rows), clock))
+    assert handle.timers == [1_000_000]
+    clock.value = 500_000_000
+    found = list(news.handleExpiredTimer(("k",), clock, None))
+    assert [r["event"] for r in found] == ["e1", "e2", "e3", "e4", "e0"]
+    assert handle.timers == [1_000_000, 501_000_000] and len(handle.list) == 500
+    clock.value = 2_000_000_000
+    assert list(news.handleExpiredTimer(("k",), clock, None)) == []
+    assert handle.list == [] and handle.calls < 40
