@@ -295,3 +295,19 @@ def test_specs_of_links_follow_the_rules_of_single_ones(spark):
         plain = C.QuerySpec.from_parameters(dict(parse_qsl(urlsplit(r["link"] or "").query)), months)
         assert tuple(r["s"]) == (plain.text, plain.organizer, plain.category, plain.start, plain.end, plain.view, plain.month)
         assert dict(parse_qsl(r["again"])) == plain.to_parameters()
+
+
+def test_scored_pairs_of_blocks_are_all_pairs(spark):
+    """Ids of one text fall into several blocks; null and blank texts, null keys and repeated ids as in a plain join."""
+    from pyspark.sql import functions as F
+
+    from kalends.functions.similarity import title_similarity
+    from kalends.operators.duplicates import scored_pairs
+
+    rows = [(n, "ab"[n % 2] if n % 11 else None, [None, "", "red ring", "red ring big", "blue bolt"][n % 5]) for n in range(60)] + [(7, "b", "red ring"), (None, "a", "red ring")]
+    df = spark.createDataFrame(rows, "id int, g string, t string")
+    one, two = (df.select("g", F.col("id").alias(f"id_{x}"), F.col("t").alias(f"t{x}")) for x in "ab")
+    plain = one.join(two, "g").where("id_a < id_b").select("id_a", "id_b", title_similarity(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("s"), F.col("ta").isNull() | F.col("tb").isNull())
+    expected = sorted((r[0], r[1], -1.0 if r[3] else round(r[2], 6)) for r in plain.collect())
+    got = sorted((r[0], r[1], -1.0 if r[2] is None else round(r[2], 6)) for r in scored_pairs(df, ["g"], "id", "t", "s", block=2).collect())
+    assert got == expected and len(got) > 700
