@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kalends.functions import civil as Z
+from kalends.functions.spread import merged
 
 from .recurrence import WEEKDAYS
 
@@ -77,9 +78,9 @@ def consolidate(df: DataFrame, key: str, group: str, signature: str) -> tuple[Da
     df: (key, group, signature, start, end, status), a row for each occurrence.
     """
     g = df.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(key).alias("members"), F.count_distinct(signature).alias("kinds"))
-    fit = df.join(g.where("members >= 2 and members = n and kinds = 1").select(group), group, "left_semi")
+    fit = df.join(merged(g.where("members >= 2 and members = n and kinds = 1").select(group)), group, "left_semi")
     series = compact_weekly(fit, group)
-    return series, fit.join(series.select(group), group, "left_semi").select(group, key)
+    return series, fit.join(merged(series.select(group)), group, "left_semi").select(group, key)
 
 
 def ordinal_series(df: DataFrame, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kalends.functions import civil as Z
+from kalends.functions.spread import merged, spread
 
 from .compaction import compact_weekly
 from .recurrence import WEEKDAYS
@@ -27,17 +28,17 @@ def continued_series(df: DataFrame, definitions: DataFrame, key: str, title: str
     equal each other. Groups whose days repeat are refused before they are gathered, so a gathered one is bounded by its days.
     """
     d = definitions.select(F.col("title").alias("_title"), "declaration", "prefix", "series").dropDuplicates(["_title"])
-    rows = df.join(d, df[title] == d["_title"]).withColumns({"_says": F.coalesce(F.regexp_like(F.col(text), F.col("declaration")), F.lit(False)), "_sig": F.coalesce(F.concat(F.lit("+"), F.col(signature)), F.lit("-"))})
+    rows = df.join(merged(d), df[title] == F.col("_title")).withColumns({"_says": F.coalesce(F.regexp_like(F.col(text), F.col("declaration")), F.lit(False)), "_sig": F.coalesce(F.concat(F.lit("+"), F.col(signature)), F.lit("-"))})
     g = rows.groupBy("_title", "prefix", "series").agg(
         F.count_distinct(key).alias("members"), F.count_distinct("_sig").alias("kinds"), F.count("*").alias("n"), F.count_distinct(F.to_date("start")).alias("days"), F.bool_or("_says").alias("said"), F.max(F.length(text)).alias("_l"),
     ).where("members >= 2 and said")
     one = g.where("kinds = 1")
-    templates = rows.join(one.select("_title", "_l"), "_title").where(F.length(text).eqNullSafe(F.col("_l"))).groupBy("_title").agg(F.min(text).alias("template"))
-    fit = df.join(one.where("days = n").select("_title"), df[title] == F.col("_title")).select("_title", "start", "end", "status")
-    rules = compact_weekly(fit, "_title").join(one.select("_title", "prefix", "series", "members"), "_title").where(F.startswith("rule", "prefix"))
-    series = rules.join(templates, "_title").select(F.col("_title").alias("title"), "series", "members", "template", "dtstart", "minutes", "rule", "exdates", "longer")
-    absorbed = rows.join(series.select(F.col("title").alias("_title")), "_title", "left_semi").select("series", F.col(key).alias("id")).distinct()
-    refused = one.join(series.select(F.col("title").alias("_title")), "_title", "left_anti").select(F.col("_title").alias("title"), F.lit("rule").alias("fault"))
+    templates = rows.join(merged(one.select("_title", "_l")), "_title").where(F.length(text).eqNullSafe(F.col("_l"))).groupBy("_title").agg(F.min(text).alias("template"))
+    fit = df.join(merged(one.where("days = n").select("_title")), df[title] == F.col("_title")).select("_title", "start", "end", "status")
+    rules = compact_weekly(fit, "_title").join(merged(one.select("_title", "prefix", "series", "members")), "_title").where(F.startswith("rule", "prefix"))
+    series = rules.join(merged(templates), "_title").select(F.col("_title").alias("title"), "series", "members", "template", "dtstart", "minutes", "rule", "exdates", "longer")
+    absorbed = rows.join(merged(series.select(F.col("title").alias("_title"))), "_title", "left_semi").select("series", F.col(key).alias("id")).distinct()
+    refused = one.join(merged(series.select(F.col("title").alias("_title"))), "_title", "left_anti").select(F.col("_title").alias("title"), F.lit("rule").alias("fault"))
     return series, absorbed, refused.unionByName(g.where("kinds > 1").select(F.col("_title").alias("title"), F.lit("metadata").alias("fault")))
 
 
@@ -49,12 +50,12 @@ def monthly_series(df: DataFrame, key: str, weekday: int, nth: int) -> DataFrame
     day; other series give no row. Starts elsewhere are rdates, months without one exdates at the series' time, and
     occurrences of another length than the first regular one overrides (recurrence, end). UNTIL has the time, so that the last one stays.
     """
-    rows = df.withColumn("_m", F.timestamp_diff("SECOND", F.col("start"), F.col("end")))
+    rows = spread(df.select(key, "start", "end", "status"), key).withColumn("_m", F.timestamp_diff("SECOND", F.col("start"), F.col("end")))
     g = rows.groupBy(key).agg(
         F.count("*").alias("n"), F.count_distinct(F.to_date("start")).alias("days"), F.count_distinct(_clock(F.col("start"))).alias("times"), F.min("_m").alias("least"), F.max(F.col("_m") % 60).alias("odd"), F.count("_m").alias("ended"), F.count("status").alias("marked"),
     ).where("days = n and times = 1 and least > 0 and odd = 0 and ended = n and marked = 0")
     regular = F.coalesce(Z.nth_weekday(F.trunc("start", "month"), weekday, nth) == F.to_date("start"), F.lit(False))
-    fit = rows.join(g.select(key), key, "left_semi").withColumn("_on", regular)
+    fit = rows.join(merged(g.select(key)), key, "left_semi").withColumn("_on", regular)
     out = fit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "_on", (F.col("_m") / 60).cast("int").alias("minutes")))).alias("rows"))
     out = out.withColumn("on", F.filter("rows", lambda r: r["_on"])).where("size(on) >= 2").withColumns({"dtstart": F.col("on")[0]["start"], "minutes": F.col("on")[0]["minutes"], "last": F.element_at("on", -1)["start"]})
     months = F.sequence(F.to_date(F.trunc("dtstart", "month")), F.to_date(F.trunc("last", "month")), F.make_interval(months=F.lit(1)))
@@ -76,15 +77,15 @@ def booked_series(df: DataFrame, key: str, series: str, title: str, order: str)
     named = F.when(F.col(series).isNotNull(), F.concat(F.lit("series-"), F.col(series).cast("string"))).otherwise(F.concat(F.lit("booking-"), F.col(key).cast("string")))
     rows = df.where(F.col(key).isNotNull()).select(named.alias("group"), F.col(key).alias("_key"), F.col(title).alias("_title"), F.col(order).alias("_order"), "start", "end")
     first = rows.groupBy("group").agg(F.min_by("_title", "_order").alias("title"))
-    same = rows.join(first, "group").withColumn("_same", F.col("_title").eqNullSafe(F.col("title")))
+    same = rows.join(merged(first), "group").withColumn("_same", F.col("_title").eqNullSafe(F.col("title")))
     kept = same.where("_same").groupBy("group", "title", "_key").agg(F.min_by(F.struct("start", "end"), "_order").alias("v"), F.count("*").alias("c")).select("group", "title", "_key", "v.start", "v.end", "c")
     sizes = kept.groupBy("group", "title").agg(F.count("*").alias("n"), F.count_distinct(F.to_date("start")).alias("days"), F.max("c").alias("c"))
-    fit = kept.join(sizes.where("days = n").select("group"), "group", "left_semi").where(F.startswith("group", F.lit("series-"))).withColumn("status", F.lit(None).cast("string"))
+    fit = kept.join(merged(sizes.where("days = n").select("group")), "group", "left_semi").where(F.startswith("group", F.lit("series-"))).withColumn("status", F.lit(None).cast("string"))
     rules = compact_weekly(fit, "group").select("group", "dtstart", "minutes", "rule", "exdates")
     faults = same.where("not _same").select("group", F.col("_key").cast("string").alias("key"), F.lit("title").alias("fault"))
     faults = faults.unionByName(sizes.where("c > 1").select("group", F.lit(None).cast("string").alias("key"), F.lit("repeated").alias("fault")))
     faults = faults.unionByName(df.where(F.col(key).isNull()).select(F.lit(None).cast("string").alias("group"), F.lit(None).cast("string").alias("key"), F.lit("key").alias("fault")))
-    return sizes.select("group", "title", "n").join(rules, "group", "left"), faults
+    return sizes.select("group", "title", "n").join(merged(rules), "group", "left"), faults
 
 
 def season_plan(plans: DataFrame, days: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -95,17 +96,17 @@ def season_plan(plans: DataFrame, days: DataFrame, key: str) -> tuple[DataFrame,
     on another day, which the rule would lose). A plan has the first of these faults only.
     """
     p = plans.select(key, "weekday", F.col("clock").alias("_clock"))
-    rows = p.join(days.select(key, "date", "clock", F.coalesce(F.concat(F.lit("+"), F.col("status")), F.lit("-")).alias("_status"), "status"), key, "left")
+    rows = p.join(merged(days.select(key, "date", "clock", F.coalesce(F.concat(F.lit("+"), F.col("status")), F.lit("-")).alias("_status"), "status")), key, "left")
     g = rows.groupBy(key, "weekday", "_clock").agg(
         F.count("date").alias("n"), F.count_distinct("date").alias("days"), F.count_distinct(F.when(F.col("date").isNotNull(), F.col("_status"))).alias("kinds"), F.min("status").alias("status"),
         F.bool_or(F.col("clock") != F.col("_clock")).alias("odd"), F.bool_or(F.weekday("date") != F.col("weekday")).alias("off"), F.min("date").alias("first"), F.max("date").alias("last"),
     )
     g = g.withColumn("fault", F.when(F.col("odd"), "time").when(F.col("kinds") > 1, "status").when((F.col("n") == 0) | (F.col("days") < F.col("n")), "dates").when(F.col("off"), "weekday"))
     good = g.where("fault is null")
-    week = good.select(key, F.explode(F.sequence("first", "last", F.make_interval(days=F.lit(7)))).alias("date")).join(days.select(key, "date"), [key, "date"], "left_anti")
+    week = good.select(key, F.explode(F.sequence("first", "last", F.make_interval(days=F.lit(7)))).alias("date")).join(merged(days.select(key, "date")), [key, "date"], "left_anti")
     missing = week.groupBy(key).agg(F.array_sort(F.collect_list("date")).alias("_missing"))
     stamp = lambda d: F.to_timestamp_ntz(F.concat(d.cast("string"), F.lit(" "), F.col("_clock")), F.lit("yyyy-MM-dd HH:mm"))
     rule = F.concat(F.lit("FREQ=WEEKLY;BYDAY="), F.element_at(F.array(*[F.lit(w) for w in WEEKDAYS]), F.col("weekday").cast("int") + 1), F.lit(";UNTIL="), F.date_format(stamp(F.col("last")), "yyyyMMdd'T'HHmmss"))
-    rules = good.join(missing, key, "left").withColumn("_missing", F.coalesce("_missing", F.expr("array()").cast("array<date>")))
+    rules = good.join(merged(missing), key, "left").withColumn("_missing", F.coalesce("_missing", F.expr("array()").cast("array<date>")))
     rules = rules.select(key, stamp(F.col("first")).alias("dtstart"), F.when(F.col("n") > 1, rule).alias("rule"), F.transform("_missing", stamp).alias("exdates"), "status")
     return rules, g.where("fault is not null").select(key, "fault")

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from dateutil.rrule import rrulestr
 
+from .conftest import DATA
 from kalends.operators import series as S
 
 
@@ -66,3 +67,12 @@ def test_nothing_gives_nothing_and_null_keys_are_faults(spark):
     rules, faults = S.season_plan(plans, days, "key")
     assert [(r["key"], r["rule"], r["exdates"]) for r in rules.collect()] == [(1, None, [])]
     assert [(r["key"], r["fault"]) for r in faults.collect()] == [(2, "dates")]
+
+
+def test_no_side_that_grows_is_gathered_at_the_driver(spark):
+    """Exploded rows of a small file look small to the planner, which then broadcast all of them."""
+    from kalends.plans import registry
+
+    for name in ("series_continued", "series_continued_ids", "series_continued_refused", "series_booked", "series_booked_faults", "series_monthly", "season_plans", "duplicate_pairs"):
+        plan = registry.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan, name
