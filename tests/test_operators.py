@@ -311,3 +311,17 @@ def test_scored_pairs_of_blocks_are_all_pairs(spark):
     expected = sorted((r[0], r[1], -1.0 if r[3] else round(r[2], 6)) for r in plain.collect())
     got = sorted((r[0], r[1], -1.0 if r[2] is None else round(r[2], 6)) for r in scored_pairs(df, ["g"], "id", "t", "s", block=2).collect())
     assert got == expected and len(got) > 700
+
+
+def test_new_events_of_categories_meet_in_shares(spark):
+    """Repeated subscriptions share what they know, one without user knows nothing, and no pair is shuffled to be compared."""
+    from kalends.operators import reminders as N
+
+    subs = spark.createDataFrame([(1, "a", [10, None]), (1, "a", [11]), (2, "a", []), (None, "a", [10]), (3, None, []), (4, "b", None)], "user int, category string, known array<int>")
+    events = spark.createDataFrame([(10, ["a", "b"]), (11, ["a"]), (12, ["a", "a"]), (None, ["a"])], "event int, categories array<string>")
+    found = N.new_in_category(subs, events)
+    expected = [(1, e) for e in (12, 12, None, None)] + [(2, e) for e in (10, 11, 12, None)] + [(None, e) for e in (10, 11, 12, None)] + [(4, 10)]
+    order = lambda rows: sorted(rows, key=str)
+    assert order((r["user"], r["event"]) for r in found.collect()) == order(expected)
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["user"]: r["known"] for r in N.merge_known(subs.where("user in (2, 4)"), events.where("event is not null")).collect()} == {2: [10, 11, 12], 4: None}
