@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kalends.functions import civil as Z
 from kalends.functions import text as T
+from kalends.functions.spread import spread
 from kalends.operators import calendar as C
 from kalends.operators.snapshots import canonical_json
 
@@ -187,7 +188,8 @@ def linked_data_walk(spark, sf_dir):
     deep = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), inner, lambda text, _: F.concat(F.lit('{"@graph":'), text, F.lit("}")))
     whole = F.when(depth == 0, event(F.col("p_name"))).otherwise(F.concat(F.lit('[{"@type":"Event","name":"top","@graph":'), deep, F.lit(',"other":{"@type":"Event","name":"aside"}}]')))
     names = lambda through: F.array_join(F.transform(T.linked_data(whole, "Event", ("name",), through), lambda o: o["name"]), ";")
-    return table(spark, sf_dir, "part").select("p_partkey", names(("@graph",)).alias("names"), names(None).alias("everywhere"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
+    return parts.select("p_partkey", names(("@graph",)).alias("names"), names(None).alias("everywhere"))
 
 
 CANONICAL = """'{"customer":' || o_custkey || ',"lines":[{"a":' || o_orderkey % 9 || ',"b":"' || o_orderpriority || '"},{"a":1}],"places":{"here":{"x":' || o_orderkey || ',"y":2},"there":{"y":3}}}'"""
