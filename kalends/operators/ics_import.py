@@ -7,8 +7,10 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kalends.functions.similarity import bind
+
 from . import recurrence as R
-from .ical import event_properties, plain_text
+from .ical import line_events, plain_text
 
 #: What a point in time of a calendar is: a whole day or not, in which clock it is told, and when by that clock.
 TIME = "struct<all_day: boolean, clock: string, at: timestamp_ntz, fault: string>"
@@ -16,7 +18,7 @@ TIME = "struct<all_day: boolean, clock: string, at: timestamp_ntz, fault: string
 
 def _parameter(parameters: Column, name: str) -> Column:
     value = F.regexp_extract(parameters, f'(?i)(?:^|;){name}=("[^"]*"|[^;]*)', 1)
-    return F.nullif(F.replace(value, F.lit('"'), F.lit("")), F.lit(""))
+    return F.when(parameters != "", F.nullif(F.replace(value, F.lit('"'), F.lit("")), F.lit("")))
 
 
 def ics_time(parameters: Column, value: Column, zone: str) -> Column:
@@ -25,32 +27,44 @@ def ics_time(parameters: Column, value: Column, zone: str) -> Column:
     Days have no clock ('day'), times either UTC's ('utc') or that of `zone` ('local'). Faults: 'value' for what is no such time, 'zone'
     for another zone or none, 'seconds' for times that aren't on a minute.
     """
-    kind, tzid = F.upper(F.coalesce(_parameter(parameters, "VALUE"), F.lit("DATE-TIME"))), _parameter(parameters, "TZID")
     shown = F.regexp_replace(value, "^(\\d{4})(\\d{2})(\\d{2})(?:T(\\d{2})(\\d{2})(\\d{2})Z?)?$", "$1-$2-$3 $4:$5:$6")
-    day, time = kind == "DATE", kind == "DATE-TIME"
-    at = F.when(day & value.rlike("^\\d{8}$"), F.substring(shown, 1, 10).try_cast("date").cast("timestamp_ntz")).when(time & value.rlike("^\\d{8}T\\d{6}Z?$"), shown.try_cast("timestamp_ntz"))
-    clock = F.when(day, "day").when(value.endswith("Z"), "utc").otherwise("local")
-    misplaced = F.when(day, tzid.isNotNull()).when(clock == "utc", tzid.isNotNull()).otherwise(F.coalesce(tzid != zone, F.lit(True)))
-    fault = F.when(at.isNull(), "value").when(misplaced, "zone").when(F.second(at) != 0, "seconds")
-    return F.struct(day.alias("all_day"), clock.alias("clock"), at.alias("at"), fault.alias("fault")).cast(TIME)
+    read = F.struct(F.upper(F.coalesce(_parameter(parameters, "VALUE"), F.lit("DATE-TIME"))).alias("kind"), _parameter(parameters, "TZID").alias("tzid"), shown.alias("shown"))
+
+    def told(r: Column) -> Column:
+        day, time = r["kind"] == "DATE", r["kind"] == "DATE-TIME"
+        at = F.when(day & value.rlike("^\\d{8}$"), F.substring(r["shown"], 1, 10).try_cast("date").cast("timestamp_ntz")).when(time & value.rlike("^\\d{8}T\\d{6}Z?$"), r["shown"].try_cast("timestamp_ntz"))
+        clock = F.when(day, "day").when(value.endswith("Z"), "utc").otherwise("local")
+        return F.struct(day.alias("all_day"), clock.alias("clock"), at.alias("at"), r["tzid"].alias("tzid"))
+
+    def checked(t: Column) -> Column:
+        misplaced = F.when(t["clock"] == "local", F.coalesce(t["tzid"] != zone, F.lit(True))).otherwise(t["tzid"].isNotNull())
+        fault = F.when(t["at"].isNull(), "value").when(misplaced, "zone").when(F.second(t["at"]) != 0, "seconds")
+        return F.struct(t["all_day"].alias("all_day"), t["clock"].alias("clock"), t["at"].alias("at"), fault.alias("fault")).cast(TIME)
+
+    # each step is computed once, whatever is told of it
+    return bind(bind(read, told), checked)
 
 
 def ics_events(lines: DataFrame, zone: str, *keep: str) -> DataFrame:
-    """(keep..., entry, uid, summary, status, start, end, rule, exdates, rdates, recurrence, faults): a row for each VEVENT among content lines.
+    """`timed_events` of the VEVENTs among content lines of one file a key."""
+    return timed_events(line_events(lines, *keep), zone, *keep)
+
+
+def timed_events(events: DataFrame, zone: str, *keep: str) -> DataFrame:
+    """(keep..., entry, uid, summary, status, start, end, rule, exdates, rdates, recurrence, faults) of events (keep..., entry, lines), within the row.
 
     `recurrence` is set for an event that stands for one occurrence of a series. Faults name what is missing, twice, or no time.
     """
-    p = event_properties(lines, *keep)
-    time = ics_time(F.col("parameters"), F.col("value"), zone)
-    times = F.transform(F.split("value", ","), lambda v: ics_time(F.col("parameters"), v, zone))
-    of = lambda name, c: F.min_by(F.when(F.col("name") == name, c), F.when(F.col("name") == name, F.col("nth")))
-    many = lambda name: F.flatten(F.collect_list(F.when(F.col("name") == name, times)))
-    count = lambda name: F.count(F.when(F.col("name") == name, 1))
     single = ["UID", "DTSTART", "DTEND", "RRULE", "RECURRENCE-ID"]
-    twice = F.filter(F.array(*[F.when(count(n) > 1, F.lit(f"{n}-twice")) for n in single]), lambda x: x.isNotNull())
-    out = p.groupBy(*keep, "entry").agg(
-        of("UID", F.col("value")).alias("uid"), of("SUMMARY", plain_text(F.col("value"))).alias("summary"), F.lower(of("STATUS", F.col("value"))).alias("status"), of("DTSTART", time).alias("start"), of("DTEND", time).alias("end"),
-        F.upper(of("RRULE", F.col("value"))).alias("rule"), many("EXDATE").alias("exdates"), many("RDATE").alias("rdates"), of("RECURRENCE-ID", time).alias("recurrence"), twice.alias("faults"),
+    named = lambda name: F.filter("lines", lambda x: x["name"] == name).alias(f"_{name}")
+    p = events.select(*keep, "entry", *[named(n) for n in [*single, "SUMMARY", "STATUS", "EXDATE", "RDATE"]])
+    of = lambda name: F.get(F.col(f"_{name}"), F.lit(0))["value"]
+    time = lambda name: F.get(F.transform(F.slice(F.col(f"_{name}"), 1, 1), lambda x: ics_time(x["parameters"], x["value"], zone)), F.lit(0))
+    many = lambda name: F.flatten(F.transform(F.col(f"_{name}"), lambda x: F.transform(F.split(x["value"], ","), lambda v: ics_time(x["parameters"], v, zone))))
+    twice = F.filter(F.array(*[F.when(F.size(f"_{n}") > 1, F.lit(f"{n}-twice")) for n in single]), lambda x: x.isNotNull())
+    out = p.select(
+        *keep, "entry", of("UID").alias("uid"), plain_text(of("SUMMARY")).alias("summary"), F.lower(of("STATUS")).alias("status"), time("DTSTART").alias("start"), time("DTEND").alias("end"),
+        F.upper(of("RRULE")).alias("rule"), many("EXDATE").alias("exdates"), many("RDATE").alias("rdates"), time("RECURRENCE-ID").alias("recurrence"), twice.alias("faults"),
     )
     start, end = F.col("start"), F.col("end")
     every = F.concat("exdates", "rdates")
@@ -80,30 +94,31 @@ def ics_series(events: DataFrame, zone: str, *keep: str) -> DataFrame:
     keys = [*keep, "uid"]
     start = F.col("start")
     clock = start["clock"]
-    rule = F.col("rule")
-    until = R.rule_part(rule, "UNTIL")
+    rule, until = F.col("rule"), F.col("_until")
     ends = F.struct((~until.contains("T")).alias("all_day"), F.when(until.contains("T"), F.when(until.endswith("Z"), F.lit("utc")).otherwise("local")).otherwise("day").alias("clock"), R._until(rule).alias("at"), F.lit(None).cast("string").alias("fault")).cast(TIME)
-    shown = F.date_format(_on_clock(ends, clock, zone), "yyyyMMdd'T'HHmmss")
+    # columns of their own, as each is named more than once below
+    events = events.withColumn("_until", R.rule_part(rule, "UNTIL")).withColumn("_ends", bind(ends, lambda e: _on_clock(e, clock, zone))).withColumn("_faults", F.when(rule.isNotNull(), R.rule_faults(rule)))
+    shown = F.date_format("_ends", "yyyyMMdd'T'HHmmss")
     clear = F.when(until.isNull(), rule).otherwise(F.regexp_replace(rule, F.lit("UNTIL=[^;]*"), F.concat(F.lit("UNTIL="), F.coalesce(shown, F.lit("?")))))
     days = R.rule_part(rule, "BYDAY")
     name = F.element_at(F.array(*[F.lit(d) for d in R.WEEKDAYS]), F.weekday(start["at"]) + 1)
     off = (R.rule_part(rule, "FREQ") == "WEEKLY") & days.isNotNull() & ~F.array_contains(F.split(days, ","), name)
-    rule_faults = F.when(rule.isNotNull(), F.concat(F.transform(R.rule_faults(rule), lambda f: F.concat(F.lit("rule-"), f)), F.when(off, F.array(F.lit("start-off-rule"))).otherwise(F.array()), F.when(_on_clock(ends, clock, zone) < start["at"], F.array(F.lit("until-before-start"))).otherwise(F.array())))
+    rule_faults = F.concat(F.transform("_faults", lambda f: F.concat(F.lit("rule-"), f)), F.when(off, F.array(F.lit("start-off-rule"))).otherwise(F.array()), F.when(F.col("_ends") < start["at"], F.array(F.lit("until-before-start"))).otherwise(F.array()))
 
-    masters = events.where("recurrence is null")
     length = F.timestamp_diff("MINUTE", start["at"], _on_clock(F.col("end"), clock, zone)).cast("int")
     lists = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda t: _on_clock(t, clock, zone))))
-    masters = masters.select(
-        *keys, "summary", "status", start["all_day"].alias("all_day"), clock.alias("clock"), start["at"].alias("dtstart"), F.when(~start["all_day"], length).alias("minutes"), F.when(start["all_day"], F.floor(length / 1440).cast("int")).alias("days"),
+    master = F.struct(
+        "summary", "status", start["all_day"].alias("all_day"), clock.alias("clock"), start["at"].alias("dtstart"), F.when(~start["all_day"], length).alias("minutes"), F.when(start["all_day"], F.floor(length / 1440).cast("int")).alias("days"),
         F.coalesce(clear, F.lit("FREQ=DAILY;COUNT=1")).alias("rule"), lists("rdates").alias("rdates"), lists("exdates").alias("exdates"), F.concat("faults", F.coalesce(rule_faults, F.array())).alias("faults"),
     )
+    # both kinds of a UID's events are gathered at once, so that texts are read once; events without a UID are of no series
+    single = F.col("recurrence").isNotNull()
+    parts = events.select(*keys, F.when(F.col("uid").isNull(), single).alias("_apart"), F.when(~single, master).alias("_m"), F.when(single, F.struct("entry", "recurrence", "start", "status")).alias("_o"), F.when(single, F.col("faults")).alias("_f"))
+    both = parts.groupBy(*keys, "_apart").agg(F.count("_m").alias("_n"), F.min("_m").alias("_m"), F.array_sort(F.collect_list("_o")).alias("_o"), F.flatten(F.collect_list("_f")).alias("_f"))
     # a UID that stands for two series is neither
-    alone = masters.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct(*[c for c in masters.columns if c not in keys])).alias("_m"))
-    alone = alone.select(*keys, "_n", "_m.*")
-    others = events.where("recurrence is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("entry", "recurrence", "start", "status"))).alias("_o"), F.flatten(F.collect_list("faults")).alias("_f"))
-    both = alone.join(others, keys, "full_outer")
+    both = both.select(*keys, "_n", "_m.*", "_o", "_f")
     over = F.transform("_o", lambda o: F.struct(_on_clock(o["recurrence"], F.col("clock"), zone).alias("recurrence"), _on_clock(o["start"], F.col("clock"), zone).alias("replacement"), o["status"].alias("status"), o["entry"].alias("nth")))
-    extra = F.array(F.when(F.col("_n") > 1, F.lit("UID-twice")), F.when(F.col("_n").isNull(), F.lit("no-series")))
+    extra = F.array(F.when(F.col("_n") > 1, F.lit("UID-twice")), F.when(F.col("_n") == 0, F.lit("no-series")))
     empty = F.array().cast("array<string>")
     faults = F.array_distinct(F.concat(F.coalesce("faults", empty), F.coalesce(F.transform("_f", lambda f: F.concat(F.lit("override-"), f)), empty), F.filter(extra, lambda x: x.isNotNull())))
     return both.withColumn("overrides", F.coalesce(over, F.array().cast("array<struct<recurrence: timestamp_ntz, replacement: timestamp_ntz, status: string, nth: bigint>>"))).withColumn("faults", faults).drop("_o", "_f", "_n")
@@ -114,13 +129,10 @@ def ics_occurrences(series: DataFrame, zone: str, start: date, end: date, *keep:
 
     An end is inclusive for whole days. Rules in UTC are looked up a day beyond the window's ends, which the two clocks may move occurrences across.
     """
-    sound = series.where("size(faults) = 0").withColumn("_key", F.struct(*keep, "uid"))
     wide = (date.fromordinal(start.toordinal() - 1), date.fromordinal(end.toordinal() + 1))
-    made = R.expand_rules(sound, "_key", *wide)
-    overrides = sound.select("_key", F.inline("overrides"))
-    moved = R.apply_overrides(made, overrides, "_key", "nth", *wide, events=sound.select("_key", "status", F.lit(None).cast("string").alias("location")))
-    own = sound.select("_key", "all_day", "clock", "minutes", "days")
+    made = R.rule_times(series.where("size(faults) = 0"), *wide)
+    moved = made.select(*keep, "uid", "all_day", "clock", "minutes", "days", F.col("status").alias("_status"), F.inline(R.overridden(F.col("times"), F.col("overrides"), *wide)))
     civil = F.when(F.col("clock") == "utc", F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("start"))).otherwise(F.col("start"))
-    out = moved.join(own, "_key").withColumn("start", civil).where(F.to_date("start").between(F.lit(start), F.lit(end)))
+    out = moved.withColumn("start", civil).where(F.to_date("start").between(F.lit(start), F.lit(end)))
     last = F.when(F.col("all_day"), F.date_add(F.to_date("start"), F.greatest(F.col("days") - 1, F.lit(0))).cast("timestamp_ntz")).otherwise(F.timestamp_add("MINUTE", F.col("minutes"), F.col("start")))
-    return out.select(*[F.col("_key")[k].alias(k) for k in [*keep, "uid"]], "recurrence", "start", last.alias("end"), "all_day", F.coalesce("status", F.lit("confirmed")).alias("status"))
+    return out.select(*keep, "uid", "recurrence", "start", last.alias("end"), "all_day", F.coalesce("status", "_status", F.lit("confirmed")).alias("status"))

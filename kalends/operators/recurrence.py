@@ -19,12 +19,12 @@ RULE_SHAPE = "^[A-Z]+=[^;=]+(;[A-Z]+=[^;=]+)*$"
 
 def bare_rule(rule: Column) -> Column:
     """A rule without the property name that it may carry."""
-    return F.regexp_replace(rule, "^RRULE:", "")
+    return F.when(rule.startswith("RRULE:"), F.substring(rule, 7, F.length(rule))).otherwise(rule)
 
 
 def rule_part(rule: Column, name: str) -> Column:
-    """The value of one part of a rule such as FREQ=WEEKLY;BYDAY=MO,TH; null if it has none."""
-    return F.nullif(F.regexp_extract(rule, f"(?:^RRULE:|^|;){name}=([^;]*)", 1), F.lit(""))
+    """The value of one part of a rule such as FREQ=WEEKLY;BYDAY=MO,TH; null if it has none. Most parts aren't there, which is told without a pattern."""
+    return F.when(rule.contains(f"{name}="), F.nullif(F.regexp_extract(rule, f"(?:^RRULE:|^|;){name}=([^;]*)", 1), F.lit("")))
 
 
 def rule_faults(rule: Column) -> Column:
@@ -32,20 +32,26 @@ def rule_faults(rule: Column) -> Column:
 
     A part that isn't evaluated (such as BYWEEKNO or BYHOUR), or that stands twice, is a fault, as is an ordinal weekday in a daily or weekly rule.
     """
-    rule = bare_rule(rule)
-    names = F.transform(F.split(rule, ";"), lambda p: F.substring_index(p, "=", 1))
-    known = F.forall(names, lambda n: n.isin("FREQ", "INTERVAL", "BYDAY", "BYSETPOS", "BYMONTH", "BYMONTHDAY", "UNTIL", "COUNT", "WKST")) & (F.size(F.array_distinct(names)) == F.size(names))
-    part = lambda name, default: F.coalesce(rule_part(rule, name), F.lit(default))
-    days, entry = part("BYDAY", "MO"), "([+-]?([1-9]|[1-4][0-9]|5[0-3]))?(MO|TU|WE|TH|FR|SA|SU)"
-    numbers = lambda name, one: part(name, "1").rlike(f"^{one}(,{one})*$")
-    checks = {
-        "shape": rule.isNull() | ~rule.rlike(RULE_SHAPE), "frequency": ~part("FREQ", "").isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY"),
-        "part": ~known, "weekday": ~days.rlike(f"^{entry}(,{entry})*$") | ~part("WKST", "MO").isin(*WEEKDAYS),
-        "ordinal": days.rlike("[0-9]") & ~part("FREQ", "").isin("MONTHLY", "YEARLY"), "interval": ~part("INTERVAL", "1").rlike("^[1-9][0-9]{0,3}$"),
-        "end": (rule_part(rule, "UNTIL").isNotNull() & rule_part(rule, "COUNT").isNotNull()) | ~part("COUNT", "1").rlike("^[1-9][0-9]{0,8}$") | (rule_part(rule, "UNTIL").isNotNull() & _until(rule).isNull()),
-        "number": ~numbers("BYMONTHDAY", "[+-]?([1-9]|[12][0-9]|3[01])") | ~numbers("BYMONTH", "([1-9]|1[0-2])") | ~numbers("BYSETPOS", "[+-]?([1-9]|[1-9][0-9]|[12][0-9][0-9]|3[0-5][0-9]|36[0-6])"),
-    }
-    return F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
+    every = ["FREQ", "INTERVAL", "BYDAY", "BYSETPOS", "BYMONTH", "BYMONTHDAY", "UNTIL", "COUNT", "WKST"]
+
+    def faults(p: Column) -> Column:
+        rule, names = p["rule"], F.transform(F.split(p["rule"], ";"), lambda x: F.substring_index(x, "=", 1))
+        known = bind(names, lambda xs: F.forall(xs, lambda n: n.isin(*every)) & (F.size(F.array_distinct(xs)) == F.size(xs)))
+        part = lambda name, default: F.coalesce(p[name], F.lit(default))
+        days, entry = part("BYDAY", "MO"), "([+-]?([1-9]|[1-4][0-9]|5[0-3]))?(MO|TU|WE|TH|FR|SA|SU)"
+        numbers = lambda name, one: p[name].isNull() | p[name].rlike(f"^{one}(,{one})*$")
+        checks = {
+            "shape": rule.isNull() | ~rule.rlike(RULE_SHAPE), "frequency": ~part("FREQ", "").isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY"),
+            "part": ~known, "weekday": (p["BYDAY"].isNotNull() & ~days.rlike(f"^{entry}(,{entry})*$")) | ~part("WKST", "MO").isin(*WEEKDAYS),
+            "ordinal": days.rlike("[0-9]") & ~part("FREQ", "").isin("MONTHLY", "YEARLY"), "interval": p["INTERVAL"].isNotNull() & ~p["INTERVAL"].rlike("^[1-9][0-9]{0,3}$"),
+            "end": (p["UNTIL"].isNotNull() & p["COUNT"].isNotNull()) | (p["COUNT"].isNotNull() & ~p["COUNT"].rlike("^[1-9][0-9]{0,8}$")) | (p["UNTIL"].isNotNull() & _until(rule).isNull()),
+            "number": ~numbers("BYMONTHDAY", "[+-]?([1-9]|[12][0-9]|3[01])") | ~numbers("BYMONTH", "([1-9]|1[0-2])") | ~numbers("BYSETPOS", "[+-]?([1-9]|[1-9][0-9]|[12][0-9][0-9]|3[0-5][0-9]|36[0-6])"),
+        }
+        return F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
+
+    # each part is read once, and the checks are made of what was read
+    read = lambda r: F.struct(r.alias("rule"), *[rule_part(r, name).alias(name) for name in every])
+    return bind(bind(bare_rule(rule), read), faults)
 
 
 def _until(rule: Column) -> Column:
@@ -158,27 +164,55 @@ def rule_days(rule: Column, dtstart: Column, last: Column, since: Column | None
     return F.when(last < F.to_date(dtstart), F.array().cast("array<date>")).otherwise(found)
 
 
-def expand_rules(rules: DataFrame, key: str, start: date, end: date) -> DataFrame:
-    """(key, recurrence) for each occurrence in [start 00:00, end 23:59:59], from rows (key, dtstart, rule, rdates, exdates).
+def rule_times(rules: DataFrame, start: date, end: date) -> DataFrame:
+    """Adds `times` to rows with columns as in RULE_COLUMNS: the occurrences in [start 00:00, end 23:59:59], as an array.
 
     Rules work on wall time, so clock changes move nothing. COUNT counts from dtstart, before anything is taken out;
     dates of `rdates` come in, those of `exdates` go, and equal ones are one. dtstart itself is an occurrence only if
     the rule gives it. Rules with faults (`rule_faults`), or without a start, give only their rdates. Nothing is shuffled: a rule is
     expanded within its row, and the window bounds the work; only a COUNT needs what is before it.
     """
-    have = {f.name for f in rules.schema}
-    r = rules.select(key, *[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in RULE_COLUMNS.items()])
     rule, begin = F.col("rule"), F.col("dtstart")
-    r = r.withColumn("until", _until(rule)).withColumn("last", F.least(F.lit(end), F.to_date("until")))
-    sound = (F.size(rule_faults(rule)) == 0) & (F.to_date(begin) <= F.col("last"))
+    r = rules.withColumn("_until", _until(rule)).withColumn("_last", F.least(F.lit(end), F.to_date("_until")))
+    sound = (F.size(rule_faults(rule)) == 0) & (F.to_date(begin) <= F.col("_last"))
     since = F.timestamp_diff("SECOND", F.date_trunc("day", begin).cast("timestamp_ntz"), begin)
-    times = F.transform(rule_days(rule, begin, F.col("last"), F.lit(start)), lambda d: F.timestamp_add("SECOND", since, d.cast("timestamp_ntz")))
-    r = r.withColumn("sound", sound).withColumn("times", F.when(F.col("sound"), F.filter(times, lambda t: F.col("until").isNull() | (t <= F.col("until")))))
+    times = F.transform(rule_days(rule, begin, F.col("_last"), F.lit(start)), lambda d: F.timestamp_add("SECOND", since, d.cast("timestamp_ntz")))
+    r = r.withColumn("_sound", sound).withColumn("times", F.when(F.col("_sound"), F.filter(times, lambda t: F.col("_until").isNull() | (t <= F.col("_until")))))
     r = r.withColumn("times", F.coalesce(F.slice("times", F.lit(1), F.coalesce(rule_part(rule, "COUNT").cast("int"), F.lit(2_000_000_000))), F.array().cast("array<timestamp_ntz>")))
     none = F.array().cast("array<timestamp_ntz>")
     r = r.withColumn("times", F.array_except(F.array_union("times", F.coalesce("rdates", none)), F.coalesce("exdates", none)))
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.date_add(F.lit(end), 1).cast("timestamp_ntz")
-    return r.select(key, F.explode(F.filter("times", lambda t: (t >= lo) & (t < hi))).alias("recurrence"))
+    return r.withColumn("times", F.filter("times", lambda t: (t >= lo) & (t < hi))).drop("_until", "_last", "_sound")
+
+
+def expand_rules(rules: DataFrame, key: str, start: date, end: date) -> DataFrame:
+    """(key, recurrence) for each occurrence in the window, as in `rule_times`, from rows (key, dtstart, rule, rdates, exdates)."""
+    have = {f.name for f in rules.schema}
+    r = rules.select(key, *[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in RULE_COLUMNS.items()])
+    return rule_times(r, start, end).select(key, F.explode("times").alias("recurrence"))
+
+
+def overridden(times: Column, overrides: Column, start: date, end: date) -> Column:
+    """`apply_overrides` within the row: an array of (recurrence, start, status) from an array of times and one of (recurrence, replacement, status, nth).
+
+    Times and overrides are sorted together, so that the work stays near linear however many a series has. A status left open is null.
+    """
+    differs = lambda xs, i, j: ~F.get(xs, i)["recurrence"].eqNullSafe(F.get(xs, j)["recurrence"])
+    ordered = F.array_sort(F.transform(overrides, lambda o: F.struct(o["recurrence"].alias("recurrence"), o["nth"].cast("long").alias("nth"), o["replacement"].alias("replacement"), o["status"].alias("status"))))
+    last = bind(ordered, lambda xs: F.filter(xs, lambda x, i: (i == F.size(xs) - 1) | differs(xs, i, i + 1)))
+    # a time stands before its override
+    made = F.transform(times, lambda t: F.struct(t.alias("recurrence"), F.lit(False).alias("over"), F.lit(None).cast("timestamp_ntz").alias("replacement"), F.lit(None).cast("string").alias("status")))
+    over = F.transform(last, lambda o: F.struct(o["recurrence"].alias("recurrence"), F.lit(True).alias("over"), o["replacement"].alias("replacement"), o["status"].alias("status")))
+
+    def shown(xs: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            alone, ends = (i == 0) | differs(xs, i, i - 1), (i == F.size(xs) - 1) | differs(xs, i, i + 1)
+            begins = F.coalesce(x["replacement"], F.when(~x["over"] | ~alone, x["recurrence"]))
+            return F.struct(x["recurrence"].alias("recurrence"), F.when(ends, begins).alias("start"), x["status"].alias("status"))
+
+        return F.transform(xs, one)
+
+    return F.filter(bind(F.array_sort(F.concat(made, over)), shown), lambda x: x["start"].isNotNull() & F.to_date(x["start"]).between(F.lit(start), F.lit(end)))
 
 
 def apply_overrides(occurrences: DataFrame, overrides: DataFrame, key: str, order: str, start: date, end: date, events: DataFrame | None = None) -> DataFrame:

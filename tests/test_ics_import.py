@@ -70,3 +70,38 @@ def test_null_empty_and_very_long_texts(spark):
     long = calendar(["UID:x", "DTSTART:20240301T120000Z", "DTEND:20240301T130000Z", "DESCRIPTION:" + "ab " * 50_000, "X" * 60_000])
     got = {r["file"]: r["uid"] for r in series_of(spark, None, "", "no calendar", long).collect()}
     assert got == {3: "x"}
+
+
+def test_texts_are_read_once_and_no_line_is_shuffled(spark):
+    df = spark.createDataFrame([(0, calendar(["UID:a", "DTSTART:20240301T120000Z", "DTEND:20240301T130000Z"]))], "file int, text string")
+    series = S.ics_series(S.timed_events(I.text_events(df, "text", "file"), ZONE, "file"), ZONE, "file")
+    plan = S.ics_occurrences(series, ZONE, date(2024, 3, 1), date(2024, 3, 31), "file")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1
+    assert "Window" not in plan
+    assert "Join" not in plan
+
+
+def test_whole_texts_and_their_lines_give_the_same_events(spark):
+    odd = ["BEGIN:VEVENT\nUID:1\nBEGIN:VALARM\nUID:no\nBEGIN:X\nA:1\nEND:X\nEND:VALARM\nSUMMARY:a\\, b\r\n \tc\r\nEND:VEVENT\nUID:outside", "END:VEVENT\nbegin;X=\"a:b\":vevent\nuid:2\nUID:later\nBEGIN:VEVENT\nno colon\nUID;P=\"x:y\";Q=1:3\n\n\tfold\nEND:VEVENT\nBEGIN:VTODO\nUID:todo\nEND:VTODO",
+           "BEGIN:VEV\r\n ENT\r\nUID:4\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:5", None, ""]
+    df = spark.createDataFrame(list(enumerate(odd)), "file int, text string")
+    rows = lambda e: sorted((r["file"], r["entry"], [tuple(x) for x in r["lines"]]) for r in e.collect())
+    got = rows(I.text_events(df, "text", "file"))
+    assert got == rows(I.line_events(I.content_lines(df, "text", "file"), "file"))
+    assert [(f, e, [x[2] for x in lines]) for f, e, lines in got] == [(0, 1, ["1", "a\\, b\tc"]), (1, 1, ["2", "later"]), (1, 2, ["o colon", "3", "old"]), (2, 1, ["4"]), (2, 3, ["5"])]
+
+
+def test_overrides_within_the_row_are_those_of_the_join(spark):
+    from pyspark.sql import functions as F
+
+    from kalends.operators import recurrence as R
+
+    day = lambda n: datetime(2024, 3, n, 18)
+    over = [(day(2), None, "cancelled", 1), (day(2), day(9), "tentative", 7), (day(3), datetime(2024, 5, 1), None, 2), (day(4), None, None, 3), (day(20), day(21), None, 4), (day(22), None, "cancelled", 5)]
+    row = spark.createDataFrame([(1, [day(n) for n in (5, 1, 2, 3, 4)], over), (2, [day(1)], [])], "id int, times array<timestamp_ntz>, over array<struct<recurrence: timestamp_ntz, replacement: timestamp_ntz, status: string, nth: bigint>>")
+    lo, hi = date(2024, 3, 1), date(2024, 3, 31)
+    got = row.select("id", F.inline(R.overridden(F.col("times"), F.col("over"), lo, hi)))
+    joined = R.apply_overrides(row.select("id", F.explode("times").alias("recurrence")), row.select("id", F.inline("over")), "id", "nth", lo, hi)
+    plain = lambda rows: sorted((r["id"], r["recurrence"], r["start"], r["status"] or "scheduled") for r in rows.collect())
+    assert plain(got) == plain(joined)
+    assert len(plain(got)) == 6
