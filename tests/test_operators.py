@@ -325,3 +325,11 @@ def test_new_events_of_categories_meet_in_shares(spark):
     assert order((r["user"], r["event"]) for r in found.collect()) == order(expected)
     assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r["user"]: r["known"] for r in N.merge_known(subs.where("user in (2, 4)"), events.where("event is not null")).collect()} == {2: [10, 11, 12], 4: None}
+
+
+def test_long_entries_are_not_shuffled_and_are_read_back_within_the_row(spark):
+    plan = lambda name: registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    document = plan("ical_document")
+    # nothing is dealt out above the step that makes calendars of entries
+    assert "Exchange" not in document[document.index("ObjectHashAggregate"):document.index("SortMergeJoin", document.index("ObjectHashAggregate"))]
+    assert "Window" not in plan("ical_read_back")
