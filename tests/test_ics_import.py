@@ -105,3 +105,23 @@ def test_overrides_within_the_row_are_those_of_the_join(spark):
     plain = lambda rows: sorted((r["id"], r["recurrence"], r["start"], r["status"] or "scheduled") for r in rows.collect())
     assert plain(got) == plain(joined)
     assert len(plain(got)) == 6
+
+
+def test_calendars_by_rows_are_those_made_as_values_and_are_read_by_blocks(spark, tmp_path):
+    from kalends.sources import files as S2
+
+    names = spark.createDataFrame([("a", "A, b"), ("b", "B"), ("none", "N")], "k string, name string")
+    long = "SUMMARY:" + "æ b" * 60
+    entries = spark.createDataFrame([(k, f"2024{n % 7}", n, ["BEGIN:VEVENT", f"UID:{n}", long, "END:VEVENT"]) for k in "ab" for n in range(300)], "k string, start_key string, occurrence int, lines array<string>")
+    S2.write_calendar_rows(I.calendar_rows(names, entries, "k"), str(tmp_path / "c"), "k")
+    wanted = {r["k"]: r["calendar"] for r in I.calendars(names, entries, "k").collect()}
+    got = {p.parent.name[2:]: p.read_bytes().decode() for p in (tmp_path / "c").rglob("*.txt")}
+    assert got == wanted
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        found = [(r["entry"], r["properties"]["UID"], r["properties"]["SUMMARY"]) for r in I.properties(S2.calendar_events(spark, str(tmp_path / "c")), "file").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    order = sorted(range(300), key=lambda n: (n % 7, n))
+    assert sorted(found) == sorted((i + 1, str(n), long[8:]) for i, n in enumerate(order) for _ in "ab")
