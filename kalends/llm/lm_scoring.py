@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -9,6 +10,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +18,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import whole_groups
 from .dictionaries import dictionary_chunks, id_array, pack, strings_of, unpack, with_answers
 from .scratch import Scratch
 from .token_counts import PATTERN, SAME_BELOW
-from .words import byte_characters, mix, release_memory, releasing, split_words
+from .words import byte_characters, mix, releasing, split_words
 
 #: Positions (subword ids) of a context window that predict, and positions before them that it also holds: windows
 #: overlap by BEFORE.
 SCORED, BEFORE = 24, 8
-#: Words of a stretch that one component explains in EM; windows whose attention is computed at once; heads' width.
+#: Words of a stretch that one component explains in EM; windows whose attention is computed at once (four times as many
+#: in a chunk of many windows, which has steps enough); heads' width.
 STRETCH, BATCH, HEAD = 32, 64, 8
+#: How far back each place of a window (columns) lies from each that may predict (rows); later places are masked.
+GAP = np.arange(SCORED)[:, None] + BEFORE - np.arange(BEFORE + SCORED)[None]
+BACK, MASK = np.maximum(GAP, 0), np.where(GAP >= 0, 0, -np.inf).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -57,18 +64,15 @@ def held_out(ids: np.ndarray, null: np.ndarray, fold: int, folds: int) -> np.nda
 
 
 def _count_words(path: str):
-    def run(rows: pa.Table) -> pa.Table:
-        """For the words of one part of all dictionaries: their training counts and subword ids, and the part's totals."""
+    """For the words of each part of all dictionaries: their training counts and subword ids, and the part's totals; rows come in order of parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
+        # loading the file takes longer than many parts' words, so a task does it once for all of its parts
         tok, characters = Tokenizer.from_file(path), byte_characters()
         pre, tokenize = tok.pre_tokenizer.pre_tokenize_str, tok.model.tokenize
         pattern, beyond = regex.compile(PATTERN), re.compile(f"[^\\x00-{chr(SAME_BELOW - 1)}]")
-        counts: dict[bytes, int] = defaultdict(int)
-        for blob in rows["blob"]:
-            held = unpack(blob.as_py())
-            for w, n in zip(strings_of(held), held["times"].tolist(), strict=True):
-                counts[w] += n
 
         def of(part: str) -> list[int]:
             return [t.id for t in tokenize(part.encode().decode("latin-1").translate(characters))]
@@ -82,22 +86,30 @@ def _count_words(path: str):
             parts = [" " + text] if text.isalpha() else pattern.findall(" " + text)
             return array("I", [i for p in parts for i in of(p)]).tobytes()
 
+        for b, group in whole_groups(batches, ("part",)):
+            bounds = np.searchsorted(group, np.arange(group[-1] + 2)).tolist()
+            for lo, hi in itertools.pairwise(bounds):
+                yield part_of(b.slice(lo, hi - lo), ids_of)
+
+    def part_of(rows: pa.RecordBatch, ids_of) -> pa.RecordBatch:
+        counts: dict[bytes, int] = defaultdict(int)
+        for blob in rows.column("blob"):
+            held = unpack(blob.as_py())
+            for w, n in zip(strings_of(held), held["times"].tolist(), strict=True):
+                counts[w] += n
         ids, out = {w: ids_of(w) for w in counts}, []
-        for blob in rows["blob"]:
+        for blob in rows.column("blob"):
             words = strings_of(unpack(blob.as_py()))
             pieces = [ids[w] for w in words]
             c = np.fromiter((counts[w] for w in words), np.uint64, len(words))
             out.append(pack(c=c, n=np.fromiter(map(len, pieces), np.uint32, len(pieces)) // 4, ids=np.frombuffer(b"".join(pieces), np.uint32)))
         totals = [np.zeros(len(out), np.int64) for _ in range(3)]
-        if len(out):
-            c = np.fromiter(counts.values(), np.int64, len(counts))
-            for t, v in zip(totals, (c.sum(), (c > 0).sum(), (c == 1).sum()), strict=True):
-                t[0] = v
-        del ids, counts
-        release_memory()
-        return pa.table({"chunk": rows["chunk"], "part": rows["part"], "blob": pa.array(out, pa.binary()), "tokens": totals[0], "types": totals[1], "once": totals[2]})
+        c = np.fromiter(counts.values(), np.int64, len(counts))
+        for t, v in zip(totals, (c.sum(), (c > 0).sum(), (c == 1).sum()), strict=True):
+            t[0] = v
+        return pa.RecordBatch.from_arrays([rows.column("chunk"), rows.column("part"), pa.array(out, pa.binary()), *map(pa.array, totals)], ["chunk", "part", "blob", "tokens", "types", "once"])
 
-    return run
+    return releasing(run)
 
 
 def _gather(codes: dict[str, np.ndarray], answers: list[dict[str, np.ndarray]]) -> pa.Table:
@@ -113,12 +125,12 @@ class Chunk:
     def __init__(self, blob: bytes, fold: int, folds: int):
         x = unpack(blob)
         self.ids, self.null, self.n = x["id"], x["null"].astype(bool), x["n"].astype(np.int64)
-        self.codes, self.c = x["codes"].astype(np.int64), x["c"].astype(np.float64)
-        self.subwords, self.flat = x["subwords"].astype(np.int64), x["ids"].astype(np.int64)
+        self.codes, self.c = x["codes"].astype(np.int32), x["c"].astype(np.float64)
+        self.subwords, self.flat = x["subwords"].astype(np.int32), x["ids"].astype(np.int32)
         self.at = np.concatenate([[0], np.cumsum(self.n)])
         self.out = held_out(self.ids, self.null, fold, folds)
-        self.word_of = np.repeat(np.arange(len(self.c)), self.subwords)
-        self.starts = np.cumsum(self.subwords) - self.subwords
+        self.word_of = np.repeat(np.arange(len(self.c), dtype=np.int32), self.subwords)
+        self.starts = np.cumsum(self.subwords, dtype=np.int32) - self.subwords
         self.is_first = np.zeros(len(self.flat), bool)
         self.is_first[self.starts] = True
 
@@ -126,8 +138,13 @@ class Chunk:
         """Log-probability of each distinct word's subwords by component."""
         if not len(self.c):
             return np.zeros((0, len(m.prior)), np.float32)
-        each = np.where(self.is_first[:, None], m.first[self.flat], m.later[self.flat])
-        return np.add.reduceat(each, self.starts, axis=0) + m.later[-1]
+        out = np.add.reduceat(np.concatenate([m.first, m.later])[self.places(len(m.first))], self.starts, axis=0)
+        out += m.later[-1]
+        return out
+
+    def places(self, vocabulary: int) -> np.ndarray:
+        """Each subword's row in a table of first and then of later ones."""
+        return self.flat + np.where(self.is_first, np.int32(0), np.int32(vocabulary))
 
     def shares(self, spelled: np.ndarray, m: Model) -> np.ndarray:
         """Posterior of the components for each distinct word alone."""
@@ -162,13 +179,14 @@ def _expect(m: Model, fold: int, folds: int, share: int, first_round: bool):
             logs = np.add.reduceat(x.spelled(m)[codes], np.cumsum(size) - size, axis=0) + m.prior
             r = np.exp(logs - logs.max(1, keepdims=True))
             r /= r.sum(1, keepdims=True)
-        which = np.repeat(np.arange(len(size)), size)
-        weight = np.stack([np.bincount(codes, r[which, z], len(x.c)) for z in range(k)], 1)
-        for n, mask in enumerate((x.is_first, ~x.is_first)):
-            for z in range(k):
-                sums[n][:, z] += np.bincount(x.flat[mask], weight[x.word_of[mask], z], v)
-        sums[2] += weight.sum(0)[None]
         sums[3] += r.sum(0)[None]
+        met = np.bincount(codes, minlength=len(x.c)) > 0
+        kinds = [(t, x.flat[t], x.word_of[t]) for t in (np.flatnonzero(met[x.word_of] & mask) for mask in (x.is_first, ~x.is_first))]
+        for z, rz in enumerate(np.ascontiguousarray(r.T)):
+            weight = np.bincount(codes, np.repeat(rz, size), len(x.c))
+            for n, (_, ids, word_of) in enumerate(kinds):
+                sums[n][:, z] += np.bincount(ids, weight[word_of], v)
+            sums[2][0, z] += weight.sum()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((v, k)), np.zeros((v, k)), np.zeros((1, k)), np.zeros((1, k))]
@@ -229,18 +247,21 @@ def windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return doc, first, np.minimum(SCORED, length[doc] - first), np.concatenate([[0], np.cumsum(length)])
 
 
-def attend(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Log component weights for each predicting position from inputs (windows, BEFORE + SCORED, k + 1) up to it.
+def weights(p: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Component weights (k, positions) for predicting positions `at` (windows, some; from 0 at the first that may predict).
 
-    The last number of an input is one, or the whole input is zero where there is no such position; such ones then add
-    nothing to the weighted sums, nor to the sum of weights, which is the one's.
+    From inputs (windows, BEFORE + SCORED, k + 1) up to each. The last number of an input is one, or the whole input is
+    zero where there is no such position; such ones then add nothing to the weighted sums, nor to the sum of weights, which is the one's.
     """
     k = x.shape[2] - 1
-    q, key = x[:, BEFORE:] @ (p["q"] * np.float32(1 / np.sqrt(HEAD))), x @ p["key"]
-    v = np.concatenate([x @ p["v"], x[..., k:]], 2)
-    gap = np.arange(SCORED)[:, None] + BEFORE - np.arange(BEFORE + SCORED)[None]
+    one = np.zeros((k + 1, 1), x.dtype)
+    one[k] = 1
+    held = (x.reshape(-1, k + 1) @ np.concatenate([p["key"], p["v"], one], 1)).reshape(len(x), BEFORE + SCORED, -1)
+    key, v = held[..., :HEAD], held[..., HEAD:]
+    own = x[np.arange(len(x))[:, None], BEFORE + at].reshape(-1, k + 1)
+    q = (own @ (p["q"] * np.float32(1 / np.sqrt(HEAD)))).reshape(*at.shape, HEAD)
     e = q @ key.transpose(0, 2, 1)
-    e += np.where(gap >= 0, p["near"][np.clip(gap, 0, None)], -np.inf).astype(x.dtype)
+    e += (p["near"][BACK] + MASK).astype(x.dtype)[at]
     # inputs are shares and a one, so parameters bound the scores; only then can exp not overflow
     if 4 * (np.abs(p["q"]).max(0) * np.abs(p["key"]).max(0)).sum() + np.abs(p["near"]).max() > 80:
         np.minimum(e, 80, out=e)
@@ -248,41 +269,76 @@ def attend(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
     h = e @ v
     total = h[..., k:] + np.finfo(x.dtype).tiny
     h = h[..., :k] / total
-    logits = h @ p["o"] + x[:, BEFORE:] @ p["u"] + p["b"]
-    top = logits.max(2, keepdims=True)
-    return logits - top - np.log(np.exp(logits - top).sum(2, keepdims=True)), (q, key, v[..., :k], e, total, h, gap)
+    # components lead, as sums over them are then sums of long rows
+    w = p["o"].T @ h.reshape(-1, k).T
+    w += p["u"].T @ own.T
+    w += p["b"][:, None]
+    w -= w.max(0)
+    np.exp(w, out=w)
+    w /= w.sum(0)
+    return w, (own, q, key, v[..., :k], e, total, h)
+
+
+def attend(p: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+    """Log component weights (windows, predicting positions, k); all SCORED positions predict unless `at` names some. See `weights`."""
+    at = _every(x) if at is None else at
+    w, held = weights(p, x, at)
+    return np.log(w).T.reshape(*at.shape, -1), held
 
 
-def gradient(p: dict[str, np.ndarray], x: np.ndarray, emit: np.ndarray, scored: np.ndarray) -> tuple[float, np.ndarray]:
+def _every(x: np.ndarray) -> np.ndarray:
+    return np.broadcast_to(np.arange(SCORED), (len(x), SCORED))
+
+
+def gradient(p: dict[str, np.ndarray], x: np.ndarray, emit: np.ndarray, scored: np.ndarray, at: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """Summed negative log-likelihood of predicting positions and its gradient, flat; emit: each one's likelihood by component."""
-    logp, (q, key, v, e, total, h, gap) = attend(p, x)
-    w = np.exp(logp)
-    mixed = (w * emit).sum(2)
-    g = (w - w * emit / mixed[..., None]) * scored[..., None]
-    xs = x[:, BEFORE:]
+    at, k = _every(x) if at is None else at, emit.shape[2]
+    w, (own, q, key, v, e, total, h) = weights(p, x, at)
+    emit, scored = emit.reshape(-1, k).T, scored.ravel()
+    parts = w * emit
+    mixed = parts.sum(0)
+    parts /= mixed
+    g = np.subtract(w, parts, out=w)
+    g *= scored
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    dh = g @ p["o"].T
+    dh = (g.T @ p["o"].T).reshape(h.shape)
     a = np.divide(e, total, out=e)
     ds = dh @ v.transpose(0, 2, 1)
-    ds -= (dh * h).sum(2, keepdims=True)
+    ds -= np.einsum("wmk,wmk->wm", dh, h)[..., None]
     ds *= a
     scale = np.float32(1 / np.sqrt(HEAD))
-    dq, dkey, dv = ds @ key * scale, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-    by_place = np.einsum("wij,wj->ij", ds, x[..., -1])
-    near = np.bincount(np.clip(gap, 0, None).ravel(), (by_place * (gap >= 0)).ravel(), BEFORE + SCORED)[: BEFORE + SCORED]
-    parts = {"q": flat(xs).T @ flat(dq), "key": flat(x).T @ flat(dkey), "v": flat(x).T @ flat(dv), "o": flat(h).T @ flat(g), "u": flat(xs).T @ flat(g), "near": near, "b": g.sum((0, 1))}
-    return float(-(np.log(mixed) * scored).sum()), np.concatenate([parts[n].ravel() for n in _shapes(emit.shape[2])]).astype(np.float64)
+    dq, dkey, dv = ds @ key, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
+    dq *= scale
+    ds *= x[:, None, :, k]
+    by_place = np.eye(SCORED, dtype=x.dtype)[at.ravel()].T @ flat(ds)
+    near = np.bincount(BACK.ravel(), np.where(GAP < 0, 0, by_place).ravel(), BEFORE + SCORED)
+    out = {"q": own.T @ flat(dq), "key": flat(x).T @ flat(dkey), "v": flat(x).T @ flat(dv), "o": flat(h).T @ g.T, "u": own.T @ g.T, "near": near, "b": g.sum(1)}
+    return float(-(np.log(mixed) * scored).sum()), np.concatenate([out[n].ravel() for n in _shapes(k)]).astype(np.float64)
 
 
 def _emissions(x: Chunk, m: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(log scale, likelihood over it by component) of each distinct word, and then of the end of a document."""
-    spelled = x.spelled(m).astype(np.float64)
-    with np.errstate(divide="ignore"):
-        seen = np.log((1 - m.rate) * x.c / max(m.total, 1))[:, None] + np.log(x.shares(spelled, m)) - np.log(m.known)
-    logs = np.logaddexp(seen, np.log(m.rate) + spelled)
-    logs = np.concatenate([logs, np.full((1, len(m.prior)), np.log((1 - m.rate) * max(m.ends, 1e-9) / max(m.total, 1)))])
-    top = logs.max(1)
-    return top, np.exp(logs - top[:, None]).astype(np.float32)
+    """(log scale, likelihood over it by component) of each distinct word, and then of the end of a document.
+
+    A known word's scale is its training share, an unknown one's its best spelling; so no exponent can overflow.
+    """
+    out = x.spelled(m)
+    best = out.max(1, initial=-np.inf)
+    out -= best[:, None]
+    np.exp(out, out=out)
+    seen = x.c > 0
+    scale = np.log(m.rate) + best.astype(np.float64)
+    share = np.log((1 - m.rate) * x.c[seen] / max(m.total, 1))
+    ratio = np.exp(np.minimum(scale[seen] - share, 700))
+    spelled = out[seen]
+    by = spelled * (np.exp(m.prior) / m.known)
+    by *= (1 / (spelled @ np.exp(m.prior)))[:, None]
+    by += spelled * ratio[:, None]
+    top = by.max(1, initial=0)
+    scale[seen] = share + np.log(top)
+    by /= top[:, None]
+    out[seen] = by
+    end = np.log((1 - m.rate) * max(m.ends, 1e-9) / max(m.total, 1))
+    return np.append(scale, end), np.concatenate([out, np.ones((1, len(m.prior)), np.float32)])
 
 
 def vectors(m: Model) -> np.ndarray:
@@ -296,38 +352,61 @@ def vectors(m: Model) -> np.ndarray:
     return np.pad(np.concatenate([table, np.ones((len(table), 1), np.float32)], 1), ((0, 1), (0, 0))).astype(np.float32)
 
 
+class Windows(NamedTuple):
+    """Inputs (windows, BEFORE + SCORED, k + 1), and which positions predict (windows, some), padded with the first."""
+
+    x: np.ndarray
+    at: np.ndarray
+
+
 def _batches(x: Chunk, m: Model, table: np.ndarray, train: bool):
     """Arrays for some windows at once: documents, inputs, emissions, which predict, log scales.
 
     A document's positions are its start and its subword ids. The start and each word's last id predict the next word, all
-    of its ids at once, or the end.
+    of its ids at once, or the end. Windows in which about as many positions predict come together, so that few are padding.
     """
     top, emit = _emissions(x, m)
     pieces = x.subwords[x.codes]
-    row = np.repeat(np.arange(len(x.n)), x.n)
+    row = np.repeat(np.arange(len(x.n), dtype=np.int32), x.n)
     ids_of = np.bincount(row, pieces, len(x.n)).astype(np.int64)
-    doc, first, count, at = windows(ids_of)
-    if train:
-        doc, first, count = (v[~x.out[doc]] for v in (doc, first, count))
-    starts = at[:-1]
-    before = np.cumsum(pieces) - pieces + row + 1  # where a word's ids begin, each document having one start
-    source = np.full(at[-1] + 1, len(table) - 2)
+    doc, first, _, begins = windows(ids_of)
+    into = np.cumsum(pieces, dtype=np.int64) - pieces
+    before = into + row  # the position before each word's ids, each document having one start
+    source = np.full(begins[-1] + 1, len(table) - 2, np.int32)
     source[-1] = len(table) - 1  # where a window has no position
-    inside = np.ones(at[-1] + 1, bool)
-    inside[starts] = inside[-1] = False
+    inside = np.ones(begins[-1] + 1, bool)
+    inside[begins] = False
     # id k of a word stands in x.flat at its word's start plus k
-    place = np.repeat(x.starts[x.codes] - (np.cumsum(pieces) - pieces), pieces) + np.arange(pieces.sum())
-    source[inside] = (x.flat + np.where(x.is_first, 0, len(m.first)))[place]
-    target = np.full(at[-1] + 1, -1)
-    target[before - 1] = x.codes
-    target[at[1:] - 1] = len(x.c)
-    for lo in range(0, len(doc), BATCH):
-        d, f, c = doc[lo : lo + BATCH], first[lo : lo + BATCH], count[lo : lo + BATCH]
+    place = np.repeat((x.starts[x.codes] - into).astype(np.int32), pieces)
+    place += np.arange(len(place), dtype=np.int32)
+    source[inside] = x.places(len(m.first))[place]
+    del inside, place, pieces, into
+    target = np.full(begins[-1], -1, np.int32)
+    target[before] = x.codes
+    target[begins[1:] - 1] = len(x.c)
+    where = np.flatnonzero(target >= 0)
+    target = target[where]
+    of = np.repeat(np.arange(len(x.n), dtype=np.int32), x.n + 1)
+    window_of = np.searchsorted(doc, np.arange(len(x.n)))[of] + (where - begins[of]) // SCORED
+    place = ((where - begins[of]) % SCORED).astype(np.int32)
+    count = np.bincount(window_of, minlength=len(doc))
+    start = np.cumsum(count) - count
+    del where, of, window_of, row, before
+    order = np.lexsort((count, np.arange(len(doc)) // (16 * BATCH)))
+    if train:
+        order = order[~x.out[doc[order]]]
+    most = BATCH if len(order) < 64 * BATCH else 4 * BATCH
+    for lo in range(0, len(order), most):
+        w = order[lo : lo + most]
+        d, f, c = doc[w], first[w], count[w]
+        there = np.arange(c.max(initial=0)) < c[:, None]
+        if not there.size:
+            continue
+        which = np.where(there, start[w][:, None] + np.arange(there.shape[1]), 0)
+        t = target[which]
         where = f[:, None] + np.arange(-BEFORE, SCORED)
-        there = (where >= 0) & (where < (f + c)[:, None])
-        token = np.where(there, at[d][:, None] + where, at[-1])
-        t = target[token[:, BEFORE:]]
-        yield d, table[source[token]], emit[t], t >= 0, top[t]
+        token = np.where((where >= 0) & (where < (begins[d + 1] - begins[d])[:, None]), begins[d][:, None] + where, begins[-1])
+        yield d, Windows(table[source[token]], np.where(there, place[which], 0)), emit[t], there, top[t]
 
 
 def _train(m: Model, fold: int, folds: int, step: float):
@@ -342,7 +421,7 @@ def _train(m: Model, fold: int, folds: int, step: float):
                 size = float(scored.sum())
                 if not size:
                     continue
-                _, g = gradient(split_parameters(flat.astype(np.float32), k), inputs, emit, scored.astype(np.float32))
+                _, g = gradient(split_parameters(flat.astype(np.float32), k), inputs.x, emit, scored.astype(np.float32), inputs.at)
                 steps, n, g = steps + 1, n + size, g / size
                 one, two = 0.9 * one + 0.1 * g, 0.99 * two + 0.01 * g * g
                 flat = flat - step / np.sqrt(1 + steps / 50) * (one / (1 - 0.9**steps)) / (np.sqrt(two / (1 - 0.99**steps)) + 1e-8)
@@ -356,7 +435,7 @@ def _known(m: Model, fold: int, folds: int):
         total = np.zeros(len(m.prior))
         for x in each_chunk(batches, fold, folds):
             times = np.bincount(x.codes[np.repeat(~x.out, x.n)], minlength=len(x.c))
-            total += times @ x.shares(x.spelled(m).astype(np.float64), m)
+            total += times @ x.shares(x.spelled(m), m)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["z", "share"])
 
     return releasing(run)
@@ -369,8 +448,9 @@ def _score(m: Model, types: int, fold: int, folds: int):
         for x in each_chunk(batches, fold, folds):
             scores = np.zeros(len(x.n))
             for doc, inputs, emit, scored, top in _batches(x, m, table, False):
-                logp, _ = attend(p, inputs)
-                mixed = np.log((np.exp(logp) * emit).sum(2)) + top
+                w, _ = weights(p, inputs.x, inputs.at)
+                w *= emit.reshape(-1, k).T
+                mixed = np.log(w.sum(0)).reshape(top.shape) + top
                 scores += np.bincount(doc, (mixed * scored).sum(1), len(scores))
             base = np.bincount(np.repeat(np.arange(len(x.n)), x.n), np.log10((x.c + 1) / (m.total + types + 1))[x.codes], len(x.n))
             known = np.concatenate([[0], np.cumsum((x.c > 0)[x.codes])])
@@ -398,7 +478,9 @@ def fit_lm(docs: DataFrame, tokenizer: str, scratch: Scratch, fold: int, folds:
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = lambda held: ~held_out(held["id"], held["null"], fold, folds)
     codes, pieces = dictionary_chunks(slim, lambda: _words, False, scratch, 4 << 20, counted)
-    answers = scratch.write(pieces.groupBy("part").applyInArrow(_count_words(tokenizer), "chunk long, part int, blob binary, tokens long, types long, once long"), "answers")
+    dealt = pieces.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part")
+    answers = scratch.write(dealt.mapInArrow(_count_words(tokenizer), "chunk long, part int, blob binary, tokens long, types long, once long"), "answers")
+    del dealt
     scratch.drop(pieces)
     coded = scratch.write(with_answers(codes, answers.select("chunk", "part", "blob"), _gather, "blob binary"), "coded")
     scratch.drop(codes)
