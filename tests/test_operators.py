@@ -313,6 +313,17 @@ def test_scored_pairs_of_blocks_are_all_pairs(spark):
     assert got == expected and len(got) > 700
 
 
+def test_pairs_of_titles_are_not_shuffled(spark):
+    """All shuffles are below the join at which pairs first meet, and each title is rounded as one of a pair of blocks."""
+    plan = registry.QUERIES["title_similarity"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in plan[:plan.index("SortMergeJoin")]
+    assert "round(" not in plan[:plan.index("Generate")]
+    df = spark.createDataFrame([(n, "a", f"red ring {n % 7}") for n in range(70)], "id int, g string, t string")
+    for block, shares in ((3, 1), (1000, 8), (4, 3)):
+        got = [tuple(r) for r in D.scored_pairs(df, ["g"], "id", "t", "s", block=block, shares=shares).select("id_a", "id_b").collect()]
+        assert len(got) == 70 * 69 // 2 and set(got) == {(a, b) for b in range(70) for a in range(b)}
+
+
 def test_new_events_of_categories_meet_in_shares(spark):
     """Repeated subscriptions share what they know, one without user knows nothing, and no pair is shuffled to be compared."""
     from kalends.operators import reminders as N
