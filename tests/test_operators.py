@@ -324,6 +324,18 @@ def test_pairs_of_titles_are_not_shuffled(spark):
         assert len(got) == 70 * 69 // 2 and set(got) == {(a, b) for b in range(70) for a in range(b)}
 
 
+def test_titles_of_one_brand_are_compared_whatever_their_sizes(spark, tmp_path):
+    import duckdb
+
+    rows = [(n, ["red ring", "red bolt", "blue plate", None][n % 4], f"Brand#{n % 2}", ["SMALL", "LARGE"][n % 3 % 2], n % 5 or None) for n in range(24)] + [(30, "red ring", None, "SMALL", 1), (31, "red ring", None, "SMALL", 1)]
+    path = str(tmp_path / "part.parquet")
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(path)
+    got = sorted(tuple(r) for r in registry.QUERIES["title_similarity"](spark, str(tmp_path)).collect())
+    assert got == sorted(duckdb.sql(registry.ORACLES["title_similarity"].replace("from part", f"from read_parquet('{path}/*.parquet')")).fetchall())
+    assert [r[:2] for r in got] == [(a, b) for a in range(24) for b in range(a + 2, 24, 2)]
+    assert (0, 12, 1.0) in got and (1, 3, 0.0) in got
+
+
 def test_new_events_of_categories_meet_in_shares(spark):
     """Repeated subscriptions share what they know, one without user knows nothing, and no pair is shuffled to be compared."""
     from kalends.operators import reminders as N
