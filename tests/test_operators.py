@@ -336,6 +336,20 @@ def test_titles_of_one_brand_are_compared_whatever_their_sizes(spark, tmp_path):
     assert (0, 12, 1.0) in got and (1, 3, 0.0) in got
 
 
+def test_pairs_of_events_are_not_shuffled(spark):
+    """Shared dates are put together where a pair meets; only events whose title or start changes have several rows a pair."""
+    plan = registry.QUERIES["duplicate_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    alone = plan[plan.index("Union"):]
+    assert "Exchange" not in plan[:plan.index("Union")] and "Exchange" not in alone[:alone.index("ShuffledHashJoin")]
+    day = lambda n: date(2024, 1, n)
+    rows = [(k, k, "red ring night", "Hall", "timed", 600, day(n)) for k in (1, 2, 10) for n in (1, 8)]
+    rows += [(3, 3, "red ring night", "hall", "timed", 610, day(8)), (3, 3, "red ring nights", None, "unknown", None, day(1)), (4, 3, "red ring night", "Halls", "all-day", 0, day(1))]
+    rows += [(5, 5, "red ring night", "Pub", "timed", 600, day(1)), (None, 6, "red ring night", None, "timed", 600, day(1)), (7, None, "red ring night", None, "timed", 600, day(1))]
+    df = spark.createDataFrame(rows, "id int, event int, title string, venue string, kind string, minutes int, date date")
+    got = {(r["left_id"], r["right_id"]): [x.day for x in r["shared"]] for r in D.duplicate_pairs(df, "id", "event").collect()}
+    assert got == {("1", "10"): [1, 8], ("1", "2"): [1, 8], ("10", "2"): [1, 8], ("1", "3"): [1, 8], ("10", "3"): [1, 8], ("2", "3"): [1, 8]} | {(x, "5"): [1] for x in ("1", "10", "2", "3")}
+
+
 def test_new_events_of_categories_meet_in_shares(spark):
     """Repeated subscriptions share what they know, one without user knows nothing, and no pair is shuffled to be compared."""
     from kalends.operators import reminders as N
