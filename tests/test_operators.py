@@ -364,6 +364,17 @@ def test_new_events_of_categories_meet_in_shares(spark):
     assert {r["user"]: r["known"] for r in N.merge_known(subs.where("user in (2, 4)"), events.where("event is not null")).collect()} == {2: [10, 11, 12], 4: None}
 
 
+def test_new_events_take_little_space_in_files(spark, tmp_path):
+    """A block of events comes again for each user; were all events of one user to follow each other, a row would take two bytes or more."""
+    from kalends.operators import reminders as N
+
+    subs = spark.range(1600).selectExpr("id as user", "'a' as category", "array(id, 3 * id) as known")
+    events = spark.range(20_000).selectExpr("id * 7919 as event", "array('a') as categories")
+    N.new_in_category(subs, events).coalesce(2).write.parquet(str(tmp_path / "new"))
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 1600 * 20_000 - 1
+    assert sum(f.stat().st_size for f in (tmp_path / "new").glob("*.parquet")) < 1600 * 20_000
+
+
 def test_long_entries_are_not_shuffled_and_are_read_back_within_the_row(spark):
     plan = lambda name: registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     document = plan("ical_document")
